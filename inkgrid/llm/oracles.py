@@ -2,6 +2,41 @@
 
 from __future__ import annotations
 
+import math
+
+from inkgrid.llm.license_scan import NOTICES, PHRASES, THRESHOLD
+
+LOWERED = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def license_scan_sql() -> str:
+    notices = ", ".join(f"('{label}', {sorted(set(text.split()))!r}, {math.ceil(THRESHOLD * len(set(text.split())) - 1e-9)})" for label, text in NOTICES)
+    phrases = ", ".join(f"({text.split()!r}, '{label}')" for text, label in PHRASES.items())
+    return f"""
+WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {LOWERED.format("text")} AS t FROM documents),
+worded AS (SELECT doc_id, r, t, regexp_extract_all(t, '{ALNUM}') AS w FROM docs),
+phrases(p, label) AS (VALUES {phrases}),
+places AS (
+  SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1:i + len(p)] = p)) AS at FROM worded, phrases
+),
+base AS (
+  SELECT r, count(*) AS n_base, min(at) AS first_word, max(at) AS last_word, list_sort(list(DISTINCT label)) AS l FROM places GROUP BY r
+),
+notices(label, terms, needed) AS (VALUES {notices}),
+blocks AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{ALNUM}')) AS b FROM docs),
+hits AS (
+  SELECT r, label, len(list_intersect(b, terms)) / len(terms) AS score FROM blocks, notices
+  WHERE len(b) >= needed AND len(list_intersect(b, terms)) >= needed
+),
+found AS (SELECT r, list(DISTINCT label) AS l, max(score) AS score FROM hits GROUP BY r)
+SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
+       coalesce(array_to_string(base.l, ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.l, []), coalesce(found.l, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0::DOUBLE ELSE coalesce(found.score, 0.0)::DOUBLE END AS score
+FROM worded LEFT JOIN base USING (r) LEFT JOIN found USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_license_scan": license_scan_sql()}
