@@ -38,6 +38,22 @@ FROM worded LEFT JOIN base USING (r) LEFT JOIN found USING (r)
 """
 
 
+#: Pairs that share a shingle, and a recursive walk over the links.
+NEAR_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({LOWERED.format("text")}, '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(w) >= 2 THEN list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM w
+),
+e AS (SELECT doc_id, unnest(s) AS x, len(s) AS n FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id AND 100 * b.n >= 80 * a.n AND 100 * a.n >= 80 * b.n
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON r.b = l.a),
+low AS (SELECT a, min(b) AS b FROM reach GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id, doc_id = least(doc_id, coalesce(b, doc_id)) AS kept
+FROM s LEFT JOIN low ON a = doc_id
+"""
 #: Every pair of a query and a candidate, exactly; the small table leaves the search nothing to miss.
 NEAREST_SQL = """
 WITH v AS (
@@ -55,4 +71,4 @@ FROM pairs QUALIFY rank <= 20
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}
+    return {"op5_near_duplicates": NEAR_SQL, "op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}
