@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import ann, license_scan, near_dup, packing, pii, quality, suffix_dedup, token_codes, toxicity
+from inkgrid.llm import ann, license_scan, mixing, near_dup, packing, pii, quality, suffix_dedup, token_codes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_codes.read_token_files(token_codes.write_token_files(_table(spark, sf_dir, "documents")))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixing_rates(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
     return scored.select("doc_id", (~toxicity.train_row()).alias("held_out"), "score", "predicted")
