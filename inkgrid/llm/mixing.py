@@ -105,7 +105,7 @@ def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
     return r
 
 
-def fit_rates(table: DataFrame, targets: Callable[[np.ndarray], np.ndarray], n_domains: int, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
+def fit_rates(table: DataFrame, targets: Callable[[np.ndarray, np.ndarray], np.ndarray], n_domains: int, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
     """The steps and the targets; ``table`` has ``n_tokens`` and the array ``p``. Each step is one distributed sum of a few numbers."""
 
     def partial(taken: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -130,19 +130,25 @@ def fit_rates(table: DataFrame, targets: Callable[[np.ndarray], np.ndarray], n_d
         total = np.array([got[i] for i in range(n_domains)])
         moment = np.array([got[n_domains + i] for i in range(n_domains * n_domains)]).reshape(n_domains, n_domains)
         if not taken:
-            goal = targets(total)
+            goal = targets(total, moment)
         if np.abs(total - goal).max() <= TOLERANCE * max(1.0, goal.sum()) or len(taken) == steps:
             break
         taken.append(np.linalg.pinv(moment) @ (total - goal))
     return taken, goal
 
 
-def cover(weights: list[float], margin: float = 0.01) -> Callable[[np.ndarray], np.ndarray]:
-    """Targets a little (``margin``) above the least total for which no wanted domain has to shrink: rates of 1 or more, no document is lost."""
+def cover(weights: list[float], margin: float = 1e-6) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Targets at the least total whose rates are all 1 or more, so that no document is lost to the mix.
 
-    def targets(total: np.ndarray) -> np.ndarray:
+    The fitted rate of a document wholly in domain ``d`` is the total times ``(M^-1 w)_d``, and other
+    rates lie between those. Where some domain cannot be left alone by any total, the total is the
+    least at which no wanted domain shrinks.
+    """
+
+    def targets(total: np.ndarray, moment: np.ndarray) -> np.ndarray:
         w = np.array(weights) / sum(weights)
-        return (1 + margin) * w * max([total[d] / w[d] for d in range(len(w)) if w[d] > 0])
+        least = (np.linalg.pinv(moment) @ w).min()
+        return w * (1 + margin) * (1 / least if least > 1e-9 / max(1.0, total.sum()) else max([total[d] / w[d] for d in range(len(w)) if w[d] > 0]))
 
     return targets
 
