@@ -10,10 +10,11 @@ pairs that could reach the threshold are confirmed on their full shingle sets.
 A pair at the threshold reaches a common leaf of one tree with probability 0.58 at depth 4
 (0.50 at depth 6), so ``TREES`` of 20 miss it with probability 3e-8 (1e-6).
 
-In nodes dense with like documents only a spanning part of the pairs is confirmed at first.
-Components of the confirmed links then show which documents are still apart, and pairs across
-components follow in growing portions until none is left: no link that would join two components is
-skipped, and a group of copies never expands into all of its pairs.
+In nodes dense with like documents only each document's first partner is confirmed that way. The
+components of these links then show which documents are still apart; documents that dense nodes tie
+together are compared across components in bounded blocks, on their full sets, and only links
+leave a block. So no link that would join two components is skipped, and a group of copies never
+expands into all of its pairs.
 """
 
 from __future__ import annotations
@@ -234,46 +235,69 @@ def _compare(nodes: DataFrame, last: bool, large: int) -> DataFrame:
     return nodes.repartition(n_partitions(nodes.sparkSession), "bucket").mapInArrow(run, FOUND)
 
 
-def _across(dense: DataFrame, low: int, high: int) -> DataFrame:
-    """Pairs across components in dense nodes: of each document's partners the ``low``-th to ``high``-th most alike. Columns a, b, more."""
+FAMILY_BLOCK = 512
+#: Equal coordinates of 128 that a pair at the threshold falls short of with probability 1e-5.
+LEAST_EQUAL = 83
+
+
+def _block_links(left: np.ndarray, right: np.ndarray, signature: np.ndarray, comp: np.ndarray, sets: list[bytes], percent: int) -> list[tuple[int, int]]:
+    """Links across components between two lists of rows, confirmed on the full sets."""
+    out = []
+    for at in range(0, len(left), 64):
+        part = left[at : at + 64]
+        equal = np.zeros((len(part), len(right)), np.int16)
+        for c in range(COORDINATES):
+            equal += signature[part, c][:, None] == signature[right, c][None, :]
+        i, j = np.nonzero((equal >= LEAST_EQUAL) & (comp[part][:, None] != comp[right][None, :]))
+        if not len(i):
+            continue
+        # Shared shingles of all these pairs at once: a 0/1 matrix of the rows by their shingles.
+        rows = np.unique(np.concatenate([part[i], right[j]]))
+        unpacked = [_unpacked(sets[r]) for r in rows.tolist()]
+        size = np.array([len(u) for u in unpacked])
+        _, column = np.unique(np.concatenate(unpacked), return_inverse=True)
+        row = np.repeat(np.arange(len(rows)), size)
+        a, b = np.searchsorted(rows, part[i]), np.searchsorted(rows, right[j])
+        shared = np.zeros(len(i), np.int64)
+        mine = np.unique(a)
+        where = np.zeros(len(rows), np.int64)
+        where[mine] = np.arange(len(mine))
+        for low in range(0, int(column.max()) + 1, 16_384):
+            inside = (column >= low) & (column < low + 16_384)
+            matrix = np.zeros((len(rows), 16_384), np.float32)
+            matrix[row[inside], column[inside] - low] = 1
+            shared += (matrix[mine] @ matrix.T)[where[a], b].astype(np.int64)
+        ok = 100 * shared >= percent * (size[a] + size[b] - shared)
+        out += list(zip(part[i[ok]].tolist(), right[j[ok]].tolist(), strict=True))
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def node(rows: np.ndarray, comp: np.ndarray) -> Iterator[pa.RecordBatch]:
-            # Documents outside the node's largest component look for partners in all others.
-            ids, inverse, count = np.unique(comp, return_inverse=True, return_counts=True)
-            outside = np.flatnonzero(inverse != count.argmax())
-            for a in outside.tolist():
-                other = np.flatnonzero(comp != comp[a])
-                same = 128 - np.bitwise_count(rows["s0"][other] ^ rows["s0"][a]).astype(np.int64) - np.bitwise_count(rows["s1"][other] ^ rows["s1"][a])
-                other, same = other[same >= SKETCH_BITS], same[same >= SKETCH_BITS]
-                picked = other[np.lexsort((rows["id"][other], -same))][low:high]
-                n = len(picked)
-                yield pa.RecordBatch.from_pydict({"a": pa.array(np.full(n, rows["id"][a])), "b": pa.array(rows["id"][picked]), "more": pa.array(np.full(n, len(other) > high))})
-
-        held: list[pa.RecordBatch] = []
-
-        def flush() -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(held)
-            rows = np.empty(table.num_rows, ROW)
-            for name, column in (("path", "path"), ("id", "a"), ("s0", "s0"), ("s1", "s1")):
-                rows[name] = table[column].to_numpy().view(ROW[name].newbyteorder("="))
-            yield from node(rows, table["component"].to_numpy())
 
-        for batch in batches:
-            paths = batch.column("path").to_numpy()
-            cuts = [0, *(np.flatnonzero(paths[1:] != paths[:-1]) + 1).tolist(), len(paths)]
-            for s, e in zip(cuts[:-1], cuts[1:], strict=True):
-                if held and held[-1].column("path")[0].as_py() != paths[s]:
-                    yield from flush()
-                    held.clear()
-                if e > s:
-                    held.append(batch.slice(s, e - s))
-        if held:
-            yield from flush()
-
-    mixed = dense.groupBy("path").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("path")
-    rows = dense.join(mixed, "path", "left_semi").repartition(n_partitions(dense.sparkSession), "path").sortWithinPartitions("path", "a")
-    return rows.select("path", "a", "s0", "s1", "component").mapInArrow(run, "a long, b long, more boolean")
+def _family_links(waiting: DataFrame, parts: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
+    """Links across components among documents that dense nodes tie together, exactly.
+
+    A family is what common dense nodes connect. Its documents are dealt into blocks of about
+    ``FAMILY_BLOCK``; each pair of blocks is one bounded group, and only links leave it.
+    """
+    first = waiting.groupBy("path").agg(F.min("a").alias("b"))
+    ties = waiting.select("path", "a").join(first, "path").where("a <> b").select("a", "b").distinct()
+    family = components(ties).withColumnsRenamed({"node": "a", "component": "family"})
+    family = family.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
+    blocks = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
+    dealt = family.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    rows = dealt.join(classes.select(F.col("class_id").alias("a"), "signature"), "a").join(sets.withColumnRenamed("id", "a"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "a", "component", "signature", "shingles")
+    percent = round(100 * threshold)
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, comp = table["a"].to_numpy(), table["component"].to_numpy()
+        signature = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(len(ids), COORDINATES)
+        own, low, high = table["own"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
+        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
+        found = _block_links(left, right, signature, comp, table["shingles"].to_pylist(), percent)
+        return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
+
+    return materialise(rows.groupBy("family", "low", "high").applyInArrow(run, "a long, b long"), "near-links")
 
 
 def _sets(documents: DataFrame, ids: DataFrame, size: int) -> DataFrame:
@@ -358,19 +382,10 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = T
     ids = materialise(tried.select(F.col("a").alias("id")).union(tried.select("b")).union(waiting.select("a")).distinct(), "near-ids")
     sets = _sets(documents, ids, shingle)
     links = [_confirmed(tried, sets, threshold)]
-    low, high = 0, 1
-    while True:
+    parts = materialise(components(links[0]), "near-components")
+    if not waiting.isEmpty():
+        links.append(_family_links(waiting, parts, sets, classes, threshold))
         parts = materialise(components(union(links)), "near-components")
-        labelled = waiting.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-        across = materialise(_across(labelled, low, high), "near-across")
-        if across.isEmpty():
-            break
-        links.append(_confirmed(_distinct_pairs(across).join(tried, ["a", "b"], "left_anti"), sets, threshold))
-        if across.where("more").isEmpty():
-            parts = materialise(components(union(links)), "near-components")
-            break
-        # Portions double only where nothing new was linked; a new link starts again at the most alike.
-        low, high = (0, high) if not links[-1].isEmpty() else (high, 2 * high + 1)
     named = classes.select("digest", "class_id").join(parts, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
     linked = described.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     rest = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
