@@ -1,15 +1,340 @@
-"""Registered queries of the document-image operators and their SQL equivalents."""
+"""Registered queries of the document-image operators, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from inkgrid import fixtures as fx
+from inkgrid import oracle as o
+from inkgrid.functions.tables import by_image, shared_folder, written
+from inkgrid.operators import denoise, geometry, lines, neighborhood, ocr, pixels, recognize, regions, stats
+from inkgrid.plans import pipelines
+from inkgrid.sources import images
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+#: Kernels for rasters of some dozen pixels a side.
+SMALL = pipelines.Settings(blur=5, close=5, open=4, margin=1, background=7, tiles=2, template=3, search=5, votes=50, min_length=40, max_gap=10)
+XY = "image_id, y, x"
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _register(name: str, query: Query, sql: Callable[[o.Steps], str] | None = None) -> None:
+    _QUERIES[name] = query
+    if sql:
+        steps = o.Steps()
+        text = sql(steps)
+        _SQL[name] = steps.select(text if text.lstrip().upper().startswith("SELECT") else f"SELECT {XY}, v FROM {text}")
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+# Sources and sinks.
+
+
+def _rasters(s: SparkSession, d: str) -> DataFrame:
+    return images.pack_raster(fx.card_bgr(s, d)).withColumn("path", F.concat(F.lit("card/"), "image_id"))
+
+
+def _raster_pack(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/rasters-{d.rstrip('/').rsplit('/', 1)[-1]}-{s.sparkContext.applicationId}"
+    images.save_rasters(_rasters(s, d).withColumn("variant", F.when(F.col("image_id") % 2 == 0, "even").otherwise("odd")), path, "variant")
+    return s.read.parquet(path).select("image_id", "variant", "height", "width", F.length("data").alias("n_bytes"), F.md5("data").alias("digest"))
+
+
+def _json_roundtrip(s: SparkSession, d: str) -> DataFrame:
+    path = f"{shared_folder(s)}/ocr-json-{d.rstrip('/').rsplit('/', 1)[-1]}-{s.sparkContext.applicationId}"
+    documents = ocr.ocr_documents(fx.raw_ocr(s, d))
+    images.write_ocr_json(documents, path)
+    back = images.read_ocr_json(s, path, documents.schema)
+    item = F.explode_outer("results")
+    flat = back.select("document_name", "variant", "total_blocks", item.alias("b"))
+    return flat.groupBy("document_name", "variant", "total_blocks").agg(F.round(F.avg("b.confidence"), 9).alias("mean_confidence"), F.coalesce(F.sum(F.length("b.text")), F.lit(0)).alias("n_chars"))
+
+
+def _raw_scan(s: SparkSession, d: str) -> DataFrame:
+    raw = written(fx.raw_ocr(s, d), "raw-ocr")
+    return raw.groupBy("document_name", "variant").agg(F.count("*").alias("pages"), F.sum(F.size("rec_texts")).alias("n_texts"))
+
+
+def _png_scan(s: SparkSession, d: str) -> DataFrame:
+    """Every card as a PNG file that Spark's image source reads back."""
+    path = f"{shared_folder(s)}/png-{d.rstrip('/').rsplit('/', 1)[-1]}-{s.sparkContext.applicationId}"
+    images.write_png(_rasters(s, d), path)
+    found = images.scan_images(s, path)
+    return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", "n_channels", F.md5("data").alias("digest"))
+
+
+_CARD_BYTES = "SELECT image_id, string_agg(lpad(lower(hex(b)), 2, '0') || lpad(lower(hex(g)), 2, '0') || lpad(lower(hex(r)), 2, '0'), '' ORDER BY y, x) AS h FROM card_part GROUP BY image_id"
+
+
+def _packed_sql(q: o.Steps, columns: str) -> str:
+    o.card_bgr(q)
+    q.add("packed", _CARD_BYTES)
+    return f"SELECT image_id, {columns} FROM packed"
+
+
+_register("image_scan", _png_scan, lambda q: _packed_sql(q, "24 AS height, 32 AS width, 3 AS n_channels, md5(unhex(h)) AS digest"))
+_register("raster_to_pixels", lambda s, d: images.raster_to_pixels(_rasters(s, d)), lambda q: f"SELECT {XY}, b, g, r FROM {o.card_bgr(q)}")
+_register("raster_pack", _raster_pack, lambda q: _packed_sql(q, "CASE WHEN image_id % 2 = 0 THEN 'even' ELSE 'odd' END AS variant, 24 AS height, 32 AS width, (len(h) // 2)::INTEGER AS n_bytes, md5(unhex(h)) AS digest"))
+
+
+def _json_sql(q: o.Steps) -> str:
+    o.summary(q)
+    q.add("chars", "SELECT document_name, variant, sum(length(text))::BIGINT AS n FROM block GROUP BY ALL")
+    return "SELECT document_name, variant, total_blocks, mean_confidence, coalesce(n, 0) AS n_chars FROM summary LEFT JOIN chars USING (document_name, variant)"
+
+
+_register("ocr_json_roundtrip", _json_roundtrip, _json_sql)
+_register("raw_ocr_scan", _raw_scan, lambda q: f"SELECT document_name, variant, CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS pages, len(t) * CASE WHEN k % 5 = 0 THEN 2 ELSE 1 END AS n_texts FROM {o.raw_ocr(q)}")
+
+# Pixels.
+
+_register("to_gray", lambda s, d: pixels.to_gray(fx.glyph_bgr(s, d)), lambda q: o.gray(q, o.glyph_bgr(q)))
+_register("gray_to_bgr", lambda s, d: pixels.gray_to_bgr(fx.glyph(s, d)), lambda q: f"SELECT {XY}, v AS b, v AS g, v AS r FROM {o.glyph(q)}")
+_register("to_hsv", lambda s, d: pixels.to_hsv(fx.glyph_bgr(s, d)), lambda q: f"SELECT {XY}, h, s, v FROM {o.hsv(q, o.glyph_bgr(q))}")
+_register("hsv_range_mask", lambda s, d: pixels.range_mask(fx.card_bgr(s, d)), lambda q: o.wood(q, o.card_bgr(q)))
+
+
+def _mask_combine(s: SparkSession, d: str) -> DataFrame:
+    bright = F.when(F.col("r") > 150, 255).otherwise(0)
+    return fx.card_bgr(s, d).select("image_id", "y", "x", pixels.mask_and(bright, pixels.mask_not(pixels.in_range(*pixels.WOOD))).alias("v"))
+
+
+def _bright_mask(s: SparkSession, d: str) -> DataFrame:
+    return fx.card_bgr(s, d).select("image_id", "y", "x", F.when(F.col("r") > 150, 255).otherwise(0).alias("v"))
+
+
+def _bright_sql(q: o.Steps) -> str:
+    return q.add("bright", f"SELECT {XY}, CASE WHEN r > 150 THEN 255 ELSE 0 END AS v FROM {o.card_bgr(q)}")
+
+
+def _combine_sql(q: o.Steps) -> str:
+    _bright_sql(q)
+    return f"SELECT {XY}, b.v & (255 - w.v) AS v FROM bright b JOIN {o.wood(q, 'card_part')} w USING ({XY})"
+
+
+_register("mask_combine", _mask_combine, _combine_sql)
+
+
+def _otsu_binarize(s: SparkSession, d: str) -> DataFrame:
+    gray = pixels.to_gray(fx.card_bgr(s, d))
+    return pixels.binarize(gray, stats.otsu_threshold(gray))
+
+
+_register("otsu_binarize", _otsu_binarize, lambda q: o.binarized(q, o.gray(q, o.card_bgr(q))))
+
+
+def _normalize(s: SparkSession, d: str) -> DataFrame:
+    gray = fx.grid(s, d).withColumn("orig", F.col("v"))
+    return neighborhood.morph_close_ellipse(gray, 5).select("image_id", "y", "x", pixels.divide_by_background(F.col("orig"), F.col("v")).alias("v"))
+
+
+_register("illumination_normalize", _normalize, lambda q: o.normalised(q, o.grid(q), 5))
+
+
+def _crop(s: SparkSession, d: str) -> DataFrame:
+    return pixels.crop(fx.card_bgr(s, d), regions.largest_region_box(_bright_mask(s, d), stats.extents(fx.card_bgr(s, d))), 1)
+
+
+_register("crop_to_region", _crop, lambda q: f"SELECT {XY}, b, g, r FROM {o.cropped(q, o.card_bgr(q), _bright_sql(q), 1)}")
+
+# Neighbourhoods.
+
+_register("laplacian", lambda s, d: neighborhood.laplacian(fx.glyph(s, d)), lambda q: f"SELECT {XY}, g FROM {o.laplacian(q, o.glyph(q))}")
+_register("gaussian_blur", lambda s, d: neighborhood.gaussian_blur(fx.grid(s, d), 51), lambda q: o.gaussian(q, o.grid(q), 51))
+_register("dilate_rect", lambda s, d: neighborhood.dilate(fx.glyph(s, d), 15, 3), lambda q: o.rect(q, o.glyph(q), 15, 3, "max"))
+_register("erode_rect", lambda s, d: neighborhood.erode(fx.glyph(s, d), 4, 2), lambda q: o.rect(q, o.glyph(q), 4, 2, "min"))
+_register("morph_close", lambda s, d: neighborhood.morph_close(fx.glyph(s, d)), lambda q: o.closing(q, o.glyph(q), 35))
+_register("morph_open", lambda s, d: neighborhood.morph_open(fx.glyph(s, d)), lambda q: o.opening(q, o.glyph(q), 20))
+_register("morph_close_ellipse", lambda s, d: neighborhood.morph_close_ellipse(fx.grid(s, d), 7), lambda q: o.ellipse(q, o.grid(q), 7))
+_register("sobel_gradient", lambda s, d: neighborhood.sobel(fx.card_bgr(s, d).transform(pixels.to_gray)), lambda q: f"SELECT {XY}, gx, gy FROM {o.sobel(q, o.gray(q, o.card_bgr(q)))}")
+_register("canny_edges", lambda s, d: lines.canny_edges(pixels.to_gray(fx.card_bgr(s, d, "supplier"))), lambda q: o.canny(q, o.gray(q, o.card_bgr(q, "supplier"))))
+
+# Statistics.
+
+_register("blur_score", lambda s, d: stats.blur_score(fx.glyph(s, d)), lambda q: f"SELECT image_id, blur_score, is_blurry FROM {o.blur(q, o.glyph(q))}")
+_register("otsu_threshold", lambda s, d: stats.otsu_threshold(fx.glyph(s, d)), lambda q: f"SELECT image_id, t FROM {o.otsu(q, o.glyph(q))}")
+_register("clahe_lut", lambda s, d: stats.clahe_lut(fx.glyph(s, d), tiles=2), lambda q: f"SELECT image_id, ty, tx, v, lut FROM {o.clahe_lut(q, o.glyph(q), 2)}")
+_register("clahe_apply", lambda s, d: stats.clahe_apply(fx.glyph(s, d), tiles=2), lambda q: o.clahe(q, o.glyph(q), 2))
+_register("nlm_denoise", lambda s, d: denoise.nlm_denoise(fx.grid(s, d), template=3, search=5), lambda q: o.nlm(q, o.grid(q), 3, 5))
+
+# Regions.
+
+_register("row_runs", lambda s, d: regions.row_runs(_bright_mask(s, d)), lambda q: f"SELECT image_id, y, x1, x2 FROM {o.row_runs(q, _bright_sql(q))}")
+_register("connected_components", lambda s, d: regions.connected_components(_bright_mask(s, d)), lambda q: f"SELECT * FROM {o.comps(q, _bright_sql(q))}")
+_register("largest_region_box", lambda s, d: regions.largest_region_box(_bright_mask(s, d), stats.extents(fx.card_bgr(s, d))), lambda q: f"SELECT * FROM {o.box(q, _bright_sql(q), 'card_part')}")
+
+# Lines and rotation.
+
+
+def _ink(s: SparkSession, d: str) -> DataFrame:
+    return fx.ruling(s, d).withColumn("v", 255 - F.col("v"))
+
+
+def _thick(s: SparkSession, d: str) -> DataFrame:
+    return neighborhood.dilate(_ink(s, d), 15, 3)
+
+
+def _ink_sql(q: o.Steps) -> str:
+    o.ruling(q)
+    return q.add("ink", f"SELECT {XY}, 255 - v AS v FROM ruling")
+
+
+def _thick_sql(q: o.Steps) -> str:
+    return o.rect(q, _ink_sql(q), 15, 3, "max")
+
+
+_LINE = (50, 40, 10)
+
+
+def _skew(s: SparkSession, d: str) -> DataFrame:
+    return lines.skew_angle(lines.line_segments(written(_thick(s, d), "thick"), *_LINE), fx.ruling(s, d))
+
+
+def _skew_sql(q: o.Steps) -> str:
+    return o.skew(q, _thick_sql(q), "ruling", *_LINE)
+
+
+_register("hough_votes", lambda s, d: lines.hough_votes(_ink(s, d), 50), lambda q: f"SELECT image_id, theta, rho, n FROM {o.votes(q, _ink_sql(q), 50)}")
+_register("line_segments", lambda s, d: lines.line_segments(_thick(s, d), *_LINE), lambda q: f"SELECT * FROM {o.segments(q, _thick_sql(q), *_LINE)}")
+_register("skew_angle", _skew, lambda q: f"SELECT * FROM {_skew_sql(q)}")
+
+
+def _geometry(s: SparkSession, d: str) -> DataFrame:
+    return geometry.rotation_geometry(_skew(s, d), stats.extents(fx.ruling(s, d)))
+
+
+_register("rotation_geometry", lambda s, d: _geometry(s, d).drop("c", "s"), lambda q: f"SELECT * EXCLUDE (c, s, cx, cy) FROM {o.geometry(q, _skew_sql(q), 'ruling')}")
+_register("rotate_gather", lambda s, d: geometry.rotate_gather(fx.ruling(s, d), _geometry(s, d)), lambda q: o.rotated(q, "ruling", o.geometry(q, _skew_sql(q), "ruling")))
+
+# Recognition.
+
+
+def _flat_blocks(b: DataFrame) -> DataFrame:
+    corners = [F.get(F.col(f"bbox.{c}"), F.lit(i)).alias(f"{a}{k}") for k, c in enumerate(ocr.CORNERS, 1) for i, a in enumerate("xy")]
+    return b.select("document_name", "variant", "block_idx", "text", "confidence", *corners)
+
+
+_CORNER_SQL = "4.0::DOUBLE AS x1, 16 * block_idx + 2.75::DOUBLE AS y1, 4.0::DOUBLE + 8 * length(text) AS x2, 16 * block_idx + 2.75::DOUBLE AS y2, 4.0::DOUBLE + 8 * length(text) AS x3, 16 * block_idx + 14.5::DOUBLE AS y3, 4.0::DOUBLE AS x4, 16 * block_idx + 14.5::DOUBLE AS y4"
+_BLOCK_SQL = f"SELECT document_name, variant, block_idx, text, confidence, {_CORNER_SQL} FROM"
+
+
+def _flat_documents(documents: DataFrame) -> DataFrame:
+    return documents.select("document_name", "variant", "total_blocks", F.md5(F.array_join(F.transform("results", lambda r: r["text"]), "\n")).alias("digest"))
+
+
+def _documents_sql(q: o.Steps) -> str:
+    o.summary(q)
+    q.add("joined", "SELECT document_name, variant, string_agg(text, chr(10) ORDER BY block_idx) AS t FROM block GROUP BY ALL")
+    return q.add("document", "SELECT document_name, variant, total_blocks, md5(coalesce(t, '')) AS digest FROM summary LEFT JOIN joined USING (document_name, variant)")
+
+
+_register("ocr_blocks", lambda s, d: _flat_blocks(ocr.ocr_blocks(fx.raw_ocr(s, d))), lambda q: f"{_BLOCK_SQL} {o.blocks(q)}")
+_register("ocr_documents", lambda s, d: _flat_documents(ocr.ocr_documents(fx.raw_ocr(s, d))), lambda q: f"SELECT * FROM {_documents_sql(q)}")
+_register("ocr_alignment_audit", lambda s, d: ocr.alignment_audit(fx.raw_ocr(s, d)), lambda q: f"SELECT document_name, variant, len(t) AS n_texts, n_scores, n_polys, least(len(t), n_scores, n_polys) AS n_blocks, greatest(len(t), n_scores, n_polys) <> least(len(t), n_scores, n_polys) AS misaligned FROM {o.raw_ocr(q)}")
+_register("ocr_confidence_summary", lambda s, d: ocr.confidence_summary(fx.raw_ocr(s, d)), lambda q: f"SELECT * FROM {o.summary(q)}")
+_register(
+    "ocr_variant_comparison",
+    lambda s, d: ocr.variant_comparison(fx.raw_ocr(s, d)),
+    lambda q: f"SELECT document_name, p.total_blocks AS preprocessed_blocks, p.mean_confidence AS preprocessed_confidence, r.total_blocks AS raw_blocks, r.mean_confidence AS raw_confidence FROM (SELECT * FROM {o.summary(q)} WHERE variant = 'preprocessed') p FULL JOIN (SELECT * FROM summary WHERE variant = 'raw') r USING (document_name)",
+)
+def _listing_sql(q: o.Steps) -> str:
+    o.blocks(q)
+    q.add("cents", "SELECT *, ((confidence * 1000)::INTEGER + 5) // 10 AS c FROM block")
+    return "SELECT document_name, variant, block_idx + 1 AS number, '[' || (block_idx + 1) || '] \"' || text || '\"  (conf: ' || (c // 100) || '.' || lpad((c % 100)::VARCHAR, 2, '0') || ')' AS line FROM cents"
+
+
+_register("ocr_block_listing", lambda s, d: ocr.block_listing(fx.raw_ocr(s, d)), _listing_sql)
+_register(
+    "overlay_annotations",
+    lambda s, d: ocr.overlay_annotations(fx.raw_ocr(s, d)),
+    lambda q: f"SELECT document_name, variant, block_idx, 4 AS x1, 16 * block_idx + 2 AS y1, 4 + 8 * length(text) AS x2, 16 * block_idx + 2 AS y2, 4 + 8 * length(text) AS x3, 16 * block_idx + 14 AS y3, 4 AS x4, 16 * block_idx + 14 AS y4, text AS label, 4 AS label_x, greatest(16 * block_idx - 3, 10) AS label_y, '0,255,0' AS poly_bgr, 2 AS poly_thickness, '0,0,255' AS label_bgr, 0.5::DOUBLE AS label_scale, 1 AS label_thickness, 'original' AS coord_space FROM {o.blocks(q)}",
+)
+
+
+def _glyph_quality(s: SparkSession, d: str) -> DataFrame:
+    return pipelines.ocr_pipeline(fx.raw_ocr(s, d), fx.glyph_bgr(s, d))[2]
+
+
+def _with_quality(s: SparkSession, d: str) -> DataFrame:
+    return _flat_documents_quality(ocr.with_quality(ocr.ocr_documents(fx.raw_ocr(s, d)), _glyph_quality(s, d)))
+
+
+def _flat_documents_quality(documents: DataFrame) -> DataFrame:
+    return documents.select("document_name", "variant", "total_blocks", "blur_score", "is_blurry", "preprocessing_applied")
+
+
+def _quality_sql(q: o.Steps) -> str:
+    o.summary(q)
+    score = o.blur(q, o.gray(q, o.glyph_bgr(q)))
+    return f"SELECT document_name, variant, total_blocks, blur_score, is_blurry, CASE WHEN blur_score IS NOT NULL THEN false END AS preprocessing_applied FROM summary LEFT JOIN {score} ON document_name = 'scan/' || image_id || '.png'"
+
+
+_register("ocr_with_quality", _with_quality, _quality_sql)
+
+
+def _pipeline_raw(s: SparkSession, d: str) -> DataFrame:
+    """Blurry documents dropped: blocks of the rest with their document's quality."""
+    blocks, _, quality = pipelines.ocr_pipeline(fx.raw_ocr(s, d), fx.glyph_bgr(s, d), drop_blurry=True)
+    return blocks.join(quality, "document_name", "left").select("document_name", "variant", "block_idx", "text", "confidence", "blur_score", "preprocessing_applied")
+
+
+def _pipeline_sql(q: o.Steps) -> str:
+    o.blocks(q)
+    score = o.blur(q, o.gray(q, o.glyph_bgr(q)))
+    return f"SELECT document_name, variant, block_idx, text, confidence, blur_score, CASE WHEN blur_score IS NOT NULL THEN false END AS preprocessing_applied FROM block LEFT JOIN {score} ON document_name = 'scan/' || image_id || '.png' WHERE is_blurry IS DISTINCT FROM true"
+
+
+_register("ocr_pipeline_raw", _pipeline_raw, _pipeline_sql)
+_register("ocr_pipeline_noquality", lambda s, d: _flat_documents(pipelines.ocr_pipeline(fx.raw_ocr(s, d), check_quality=False)[1]), lambda q: f"SELECT * FROM {_documents_sql(q)}")
+
+
+def _stub() -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """A stand-in recogniser: one text an image, from its bytes."""
+
+    def run(batch: pd.DataFrame) -> pd.DataFrame:
+        w, h = batch["width"].astype(float), batch["height"].astype(float)
+        return pd.DataFrame({"document_name": batch["path"], "variant": "raw", "page": 0, "rec_texts": [[str(sum(x))] for x in batch["data"]], "rec_scores": [[x[0] / 255.0] for x in batch["data"]], "dt_polys": [[[[0.0, 0.0], [a, 0.0], [a, b], [0.0, b]]] for a, b in zip(w, h, strict=True)]})
+
+    return run
+
+
+_register(
+    "recognize_batch",
+    lambda s, d: _flat_blocks(ocr.ocr_blocks(recognize.recognize_batch(_rasters(s, d), _stub, "stub"))),
+    lambda q: f"SELECT 'card/' || image_id AS document_name, 'raw' AS variant, 0 AS block_idx, sum(b + g + r)::VARCHAR AS text, arg_min(b, (y, x)) / 255.0::DOUBLE AS confidence, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, 32.0::DOUBLE AS x2, 0.0::DOUBLE AS y2, 32.0::DOUBLE AS x3, 24.0::DOUBLE AS y3, 0.0::DOUBLE AS x4, 24.0::DOUBLE AS y4 FROM {o.card_bgr(q)} GROUP BY image_id",
+)
+
+# Composite plans.
+
+_register("isolate_document", lambda s, d: pipelines.isolate_document(fx.card_bgr(s, d), SMALL), lambda q: f"SELECT {XY}, b, g, r FROM {o.cropped(q, o.card_bgr(q), o.document_mask(q, 'card_part', SMALL), SMALL.margin)}")
+
+
+def _rotation_sql(q: o.Steps, p: str) -> str:
+    edges = o.rect(q, o.canny(q, p), 15, 3, "max")
+    return o.rotated(q, p, o.geometry(q, o.skew(q, edges, p, SMALL.votes, SMALL.min_length, SMALL.max_gap), p))
+
+
+_register("correct_rotation", lambda s, d: pipelines.correct_rotation(fx.ruling(s, d), SMALL), lambda q: _rotation_sql(q, o.ruling(q)))
+_register("adaptive_threshold", lambda s, d: pipelines.adaptive_threshold(fx.grid(s, d), 5), lambda q: o.adaptive(q, o.grid(q), 5))
+
+
+def _preprocess_sql(q: o.Steps) -> str:
+    p = o.card_bgr(q, "supplier")
+    gray = o.gray(q, o.cropped(q, p, o.document_mask(q, p, SMALL), SMALL.margin))
+    clean = o.nlm(q, o.clahe(q, _rotation_sql(q, gray), SMALL.tiles), SMALL.template, SMALL.search)
+    return f"SELECT image_id, blur_score, is_blurry, true AS preprocessing_applied FROM {o.blur(q, clean)}"
+
+
+_register("preprocess_quality", lambda s, d: pipelines.preprocess(fx.card_bgr(s, d, "supplier"), SMALL)[3], _preprocess_sql)
