@@ -32,7 +32,12 @@ from inkgrid.llm.suffix_groups import suffix_arrays
 
 LENGTH = 50
 GRAM = 18
-HOT = 48
+#: Segments of an anchor up to which they make one text with a suffix array.
+JOINED = 8
+#: Segments of an anchor up to which one task gets them all.
+HOT = 256
+#: Bytes of segments whose suffix arrays are built together; a task with more takes several turns.
+TURN = 16_000_000
 INDEX_BITS = 24  # positions within a chunk
 
 
@@ -78,6 +83,8 @@ def runs(chunk: Chunk, length: int = LENGTH) -> tuple[np.ndarray, ...]:
 
 
 MET = np.dtype([("key", "<u4"), ("seg_low", "<u4"), ("seg_high", "<u2"), ("number", "<u4")])
+#: A single string: its two halves' hashes, document, text, start.
+STRING = np.dtype([("low", "<u8"), ("high", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<u4")])
 ASKED = np.dtype([("doc", "<i8"), ("key", "<u4"), ("seg_low", "<u4"), ("seg_high", "<u2"), ("number", "<u4"), ("kind", "u1"), ("bucket", "<u4")])
 #: ``text`` is a crc32 of the whole text, as rows of one id may differ.
 COVER = np.dtype([("doc", "<i8"), ("text", "<u4"), ("start", "<u4"), ("end", "<u4")])
@@ -196,14 +203,30 @@ def _requests(met: DataFrame, partitions: int, doc_buckets: int) -> DataFrame:
 
 
 def _dealt_texts(documents: DataFrame, doc_buckets: int) -> DataFrame:
-    """Documents with the bucket of their id, as the requests have it."""
+    """Documents by the bucket of their id, as the requests have it: one compressed Arrow stream a bucket and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_pydict({"bucket": pa.array(_doc_bucket(ids, doc_buckets)), "doc_id": batch.column("doc_id"), "text": batch.column("text")})
+            bucket = _doc_bucket(batch.column("doc_id").fill_null(0).to_numpy(), doc_buckets)
+            order = np.argsort(bucket, kind="stable")
+            found, at = np.unique(bucket[order], return_index=True)
+            edge = [*at.tolist(), len(order)]
+            data = []
+            for a, b in zip(edge[:-1], edge[1:], strict=True):
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
+                    out.write_batch(batch.take(pa.array(order[a:b])))
+                data.append(sink.getvalue().to_pybytes())
+            if data:
+                yield _blobs(found, "text", data)
+
+    return documents.select("doc_id", "text").mapInArrow(run, DEALT).select("bucket", "data")
 
-    return documents.mapInArrow(run, "bucket int, doc_id long, text string")
+
+def _texts(table: pa.Table) -> Iterator[pa.RecordBatch]:
+    for data in table["data"].to_pylist():
+        yield from pa.ipc.open_stream(data)
 
 
 def _merged(cover: np.ndarray) -> np.ndarray:
@@ -233,14 +256,9 @@ def _answers(texts: DataFrame, asked: DataFrame, length: int, buckets: int, doc_
         out: list[pa.RecordBatch] = []
         asks = _records(right, ASKED)
         asks = asks[np.lexsort((asks["number"], asks["doc"]))]
-        column = left["text"].combine_chunks()
-        ids = left["doc_id"].to_numpy()
-        valid = left["doc_id"].is_valid().to_numpy()
-        covers, seg_bucket, seg_data, str_bucket, str_data = [], [], [], [], []
-        for chunk in chunks(column):
-            own = ids[chunk.first : chunk.first + chunk.rows]
+        covers, seg_bucket, seg_data, strings = [], [], [], []
+        for own, chunk in ((b.column("doc_id").slice(c.first, c.rows).to_numpy(), c) for b in _texts(left) for c in chunks(b.column("text"))):
             low, high = np.searchsorted(asks["doc"], own, "left"), np.searchsorted(asks["doc"], own, "right")
-            high = np.where(valid[chunk.first : chunk.first + chunk.rows], high, low)
             if not (high > low).any():
                 continue
             row, first, last, _, grams, segments = runs(chunk, length)
@@ -264,36 +282,41 @@ def _answers(texts: DataFrame, asked: DataFrame, length: int, buckets: int, doc_
             c = np.empty(int((kind == 0).sum()), COVER)
             c["doc"], c["text"], c["start"], c["end"] = ask["doc"][kind == 0], text[kind == 0], (first[at] - begin)[kind == 0], (last[at] + length - begin)[kind == 0]
             covers.append(_merged(c))
-            for want, buckets_, data in ((1, seg_bucket, seg_data), (2, str_bucket, str_data)):
-                k = np.flatnonzero(kind == want)
-                a, d, b, x = at[k], ask["doc"][k], begin[k], text[k]
+            k = np.flatnonzero(kind == 1)
+            if len(k):
+                a, g = at[k], grams[at[k]]
                 f, size = first[a], last[a] - first[a] + length
-                g = grams[a]
-                if want == 2:  # every string of the segment, dealt by its own hash
-                    times = size - length + 1
-                    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-                    f, d, b, x = np.repeat(f, times) + step, np.repeat(d, times), np.repeat(b, times), np.repeat(x, times)
-                    size = np.full(len(f), length)
-                    g = span_hash(prefix_hash(chunk.buf), f, f + length) if len(f) else np.zeros(0, np.uint64)
-                if len(f):
-                    head = np.empty(len(f), HEAD)
-                    head["group"], head["doc"], head["text"], head["start"], head["size"] = g, d, x, f - b, size
-                    ends = np.cumsum(size)
-                    body = chunk.buf[np.repeat(f - (ends - size), size) + np.arange(ends[-1])]
-                    target = (g % np.uint64(buckets)).astype(np.int32)
-                    order = np.argsort(target, kind="stable")
-                    found, cut = np.unique(target[order], return_index=True)
-                    for t, mine in zip(found.tolist(), np.split(order, cut[1:]), strict=True):
-                        n = size[mine]
-                        e = np.cumsum(n)
-                        pick = np.repeat((ends - size)[mine] - (e - n), n) + np.arange(e[-1])
-                        buckets_.append(t)
-                        data.append(np.array([len(mine)], "<i8").tobytes() + head[mine].tobytes() + body[pick].tobytes())
+                head = np.empty(len(k), HEAD)
+                head["group"], head["doc"], head["text"], head["start"], head["size"] = g, ask["doc"][k], text[k], f - begin[k], size
+                ends = np.cumsum(size)
+                body = chunk.buf[np.repeat(f - (ends - size), size) + np.arange(ends[-1])]
+                target = (g % np.uint64(buckets)).astype(np.int32)
+                order = np.argsort(target, kind="stable")
+                found, cut = np.unique(target[order], return_index=True)
+                for t, mine in zip(found.tolist(), np.split(order, cut[1:]), strict=True):
+                    n = size[mine]
+                    e = np.cumsum(n)
+                    pick = np.repeat((ends - size)[mine] - (e - n), n) + np.arange(e[-1])
+                    seg_bucket.append(t)
+                    seg_data.append(np.array([len(mine)], "<i8").tobytes() + head[mine].tobytes() + body[pick].tobytes())
+            k = np.flatnonzero(kind == 2)
+            if len(k):  # every string of the segment by itself, dealt by its own hash
+                times = last[at[k]] - first[at[k]] + 1
+                step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+                f = np.repeat(first[at[k]], times) + step
+                record = np.empty(len(f), STRING)
+                prefix = prefix_hash(chunk.buf)
+                half = length // 2
+                record["low"], record["high"] = span_hash(prefix, f, f + half), span_hash(prefix, f + half, f + length)
+                record["doc"], record["text"], record["start"] = np.repeat(ask["doc"][k], times), np.repeat(text[k], times), f - np.repeat(begin[k], times)
+                strings.append(record)
         if covers:
             out += list(_by_bucket(_doc_bucket(np.concatenate(covers)["doc"], doc_buckets), np.concatenate(covers), "cover"))
-        for kind, b, data in (("segment", seg_bucket, seg_data), ("string", str_bucket, str_data)):
-            if data:
-                out.append(_blobs(np.array(b), kind, data))
+        if seg_data:
+            out.append(_blobs(np.array(seg_bucket), "segment", seg_data))
+        if strings:
+            record = np.concatenate(strings)
+            out += list(_by_bucket((record["low"] % np.uint64(buckets)).astype(np.int32), record, "string"))
         return pa.Table.from_batches(out, pa.schema([("bucket", pa.int32()), ("kind", pa.string()), ("data", pa.binary())]))
 
     return texts.groupBy("bucket").cogroup(asked.select("bucket", "data").groupBy("bucket")).applyInArrow(run, DEALT)
@@ -318,6 +341,8 @@ def _words8(body: np.ndarray) -> np.ndarray:
 
 def repeated_strings(head: np.ndarray, body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
     """Covered runs of the segments, group by group, from the suffix arrays of each group's joined segments."""
+    if not len(head):
+        return np.zeros(0, COVER)
     order = np.lexsort((head["doc"], head["group"]))
     head, at = head[order], at[order]
     new = np.concatenate([[True], head["group"][1:] != head["group"][:-1]])
@@ -332,9 +357,9 @@ def repeated_strings(head: np.ndarray, body: np.ndarray, at: np.ndarray, length:
     by_length = np.argsort(lengths, kind="stable")
     at_ = 0
     while at_ < len(by_length):
-        # Texts of like length take their steps together, some hundred thousand symbols at a time.
-        longest = lengths[by_length[at_]] * 5 // 4 + 8
-        stop = min(int(np.searchsorted(lengths[by_length], longest, side="right")), at_ + max(1, 400_000 // longest))
+        # Texts of like length take their steps together, a million symbols or so at a time.
+        longest = lengths[by_length[at_]] * 3 // 2 + 8
+        stop = min(int(np.searchsorted(lengths[by_length], longest, side="right")), at_ + max(1, 1_500_000 // longest))
         lanes = by_length[at_:stop]
         at_ = stop
         width = int(lengths[lanes].max())
@@ -376,35 +401,53 @@ def repeated_strings(head: np.ndarray, body: np.ndarray, at: np.ndarray, length:
     return np.concatenate(covers) if covers else np.zeros(0, COVER)
 
 
-def equal_strings(head: np.ndarray, body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """Covered runs among single strings: those equal byte for byte to one of an earlier document."""
-    strings = body[at[:, None] + np.arange(length)[None, :]]
-    order = np.lexsort((head["doc"], head["group"]))
-    strings, head = strings[order], head[order]
-    # Strings of one hash are compared byte for byte; a hash that two strings share is sorted out by value.
-    same = (head["group"][1:] == head["group"][:-1]) & (strings[1:] == strings[:-1]).all(1)
-    mixed = (head["group"][1:] == head["group"][:-1]) & ~same
-    if mixed.any():
-        order = np.lexsort((head["doc"], *strings.T[::-1]))
-        strings, head = strings[order], head[order]
-        same = (strings[1:] == strings[:-1]).all(1)
-    begin = np.flatnonzero(np.concatenate([[True], ~same]))
-    hit = head["doc"] > np.repeat(head["doc"][begin], np.diff(np.append(begin, len(head))))
+def single_strings(head: np.ndarray, body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Every string of the segments, by itself."""
+    times = head["size"].astype(np.int64) - length + 1
+    step = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    f, half, prefix = np.repeat(at, times) + step, length // 2, prefix_hash(body)
+    record = np.empty(len(f), STRING)
+    record["low"], record["high"] = span_hash(prefix, f, f + half), span_hash(prefix, f + half, f + length)
+    for name in ("doc", "text"):
+        record[name] = np.repeat(head[name], times)
+    record["start"] = np.repeat(head["start"], times) + step
+    return record
+
+
+def compare_segments(head: np.ndarray, body: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """Covered runs of segments: small groups by suffix arrays, larger ones string by string."""
+    _, inverse, count = np.unique(head["group"], return_inverse=True, return_counts=True)
+    joined = count[inverse] <= JOINED
+    rest = single_strings(head[~joined], body, at[~joined], length)
+    return np.concatenate([repeated_strings(head[joined], body, at[joined], length), equal_strings(rest, length)])
+
+
+def equal_strings(record: np.ndarray, length: int) -> np.ndarray:
+    """Covered runs among single strings: those equal (by 128 bits) to one of an earlier document."""
+    if not len(record):
+        return np.zeros(0, COVER)
+    record = record[np.lexsort((record["doc"], record["high"], record["low"]))]
+    new = np.concatenate([[True], (record["low"][1:] != record["low"][:-1]) | (record["high"][1:] != record["high"][:-1])])
+    begin = np.flatnonzero(new)
+    hit = record["doc"] > np.repeat(record["doc"][begin], np.diff(np.append(begin, len(record))))
     c = np.empty(int(hit.sum()), COVER)
-    c["doc"], c["text"], c["start"], c["end"] = head["doc"][hit], head["text"][hit], head["start"][hit], head["start"][hit] + length
+    c["doc"], c["text"], c["start"], c["end"] = record["doc"][hit], record["text"][hit], record["start"][hit], record["start"][hit] + length
     return _merged(c)
 
 
 def _compared(answers: DataFrame, partitions: int, length: int, doc_buckets: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[int, str], list[bytes]] = {}
+        held: dict[str, dict[int, list[bytes]]] = {"segment": {}, "string": {}}
         for batch in batches:
             for bucket, kind, blob in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "data")), strict=True):
-                held.setdefault((bucket, kind), []).append(blob)
-        for bucket, kind in list(held):
-            head, body, at = _bodies(held.pop((bucket, kind)))
-            found = (repeated_strings if kind == "segment" else equal_strings)(head, body, at, length)
-            yield from _by_bucket(_doc_bucket(found["doc"], doc_buckets), found, "cover")
+                held[kind].setdefault(bucket, []).append(blob)
+        for kind, of_bucket in held.items():
+            while of_bucket:  # whole buckets, so whole groups, up to a bounded number of bytes at a time
+                blobs: list[bytes] = []
+                while of_bucket and sum(map(len, blobs)) < TURN:
+                    blobs += of_bucket.pop(next(iter(of_bucket)))
+                found = compare_segments(*_bodies(blobs), length) if kind == "segment" else equal_strings(np.frombuffer(b"".join(blobs), STRING), length)
+                yield from _by_bucket(_doc_bucket(found["doc"], doc_buckets), found, "cover")
 
     return answers.where("kind <> 'cover'").repartition(partitions, "bucket").mapInArrow(run, DEALT)
 
@@ -413,7 +456,7 @@ def _cut(texts: DataFrame, covers: DataFrame, schema: str, emit) -> DataFrame:
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         cover = _merged(_records(right, COVER))
         rows = []
-        for doc, text in zip(left["doc_id"].to_pylist(), left["text"].to_pylist(), strict=True):
+        for doc, text in ((d, t) for b in _texts(left) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)):
             data = (text or "").encode()
             low, high = (0, 0) if doc is None else np.searchsorted(cover["doc"], [doc, doc + 1]) if doc < 2**63 - 1 else (np.searchsorted(cover["doc"], doc), len(cover))
             own = cover[low:high]
@@ -448,10 +491,11 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     buckets = doc_buckets = 4 * partitions
     documents = documents.selectExpr("cast(doc_id as long) doc_id", "text")
     met = _meetings(documents.where("doc_id is not null"), length, buckets)
-    asked = materialise(_requests(met, partitions, doc_buckets), "repeat-asked")
-    texts = _dealt_texts(documents, doc_buckets)
-    answers = materialise(_answers(texts.where("doc_id is not null"), asked, length, buckets, doc_buckets), "repeat-answers")
+    asked = _requests(met, partitions, doc_buckets)
+    texts = _dealt_texts(documents.where("doc_id is not null"), doc_buckets)
+    answers = materialise(_answers(texts, asked, length, buckets, doc_buckets), "repeat-answers")
     found = materialise(_compared(answers, partitions, length, doc_buckets), "repeat-found")
+    texts = _dealt_texts(documents, doc_buckets)
     covers = answers.where("kind = 'cover'").unionByName(found)
 
     def digest(doc: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple[object, ...]:
