@@ -60,11 +60,8 @@ def bounded_labels(labels: DataFrame, target: str, rows: int, keep: Column | Non
     return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def labelled_features(documents: DataFrame, chosen: DataFrame, featurise: Callable[[Chunk], list[Hashed]]) -> list[tuple[int, list[np.ndarray]]]:
-    """Labels and features of the chosen documents, on the driver: as many rows as ``chosen`` is bounded to.
-
-    Ordered by a hash of the features, so that a fit does not depend on how partitions arrive.
-    """
+def labelled_features(documents: DataFrame, chosen: DataFrame, featurise: Callable[[Chunk], list[Hashed]]) -> list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Labels, and buckets with their counts, of the chosen documents, on the driver: as many rows as ``chosen`` is bounded to, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -74,22 +71,32 @@ def labelled_features(documents: DataFrame, chosen: DataFrame, featurise: Callab
                 blobs: list[list[bytes]] = []
                 for rows, buckets in featurise(chunk):
                     at = np.searchsorted(rows, np.arange(chunk.rows + 1))
-                    blobs.append([buckets[at[i] : at[i + 1]].astype("<u4").tobytes() for i in range(chunk.rows)])
+                    counted = [np.unique(buckets[at[i] : at[i + 1]], return_counts=True) for i in range(chunk.rows)]
+                    blobs.append([np.concatenate(x).astype("<u4").tobytes() for x in counted])
                 part = slice(chunk.first, chunk.first + chunk.rows)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[part], pa.int64()), "label": pa.array(label[part], pa.int32()), "features": pa.array([list(x) for x in zip(*blobs, strict=True)], pa.list_(pa.binary()))})
 
     found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features array<binary>").toArrow()
-    rows = list(zip(found["doc_id"].to_pylist(), found["label"].to_pylist(), found["features"].to_pylist(), strict=True))
-    rows.sort(key=lambda r: (r[0], r[2]))
-    seen: set[int] = set()
+    ids, label = found["doc_id"].to_numpy(), found["label"].to_numpy()
+    _, first = np.unique(ids, return_index=True)  # a repeated id counts once
+    order = sorted(first.tolist(), key=lambda i: ids[i])
+    column = found["features"].combine_chunks()
     out = []
-    for doc, label, blobs in rows:  # a repeated id counts once
-        if doc not in seen:
-            seen.add(doc)
-            out.append((label, [np.frombuffer(b, "<u4").astype(np.int64) for b in blobs]))
+    for i in order:
+        parts = [np.frombuffer(b.as_buffer(), "<u4") for b in column[i]]
+        out.append((int(label[i]), [(x[: len(x) // 2], x[len(x) // 2 :]) for x in parts]))
     return out
 
 
+def stacked(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, buckets (tables side by side, ``width`` apart) and shares of the row's occurrences, without buckets that only one row has."""
+    doc = np.concatenate([np.full(len(x[0]), i, np.int32) for i, (_, tables) in enumerate(rows) for x in tables])
+    bucket = np.concatenate([x[0].astype(np.int32) + t * width for _, tables in rows for t, x in enumerate(tables)])
+    value = np.concatenate([(x[1] / max(1, int(x[1].sum()))).astype(np.float32) for _, tables in rows for x in tables])
+    shared = np.bincount(bucket)[bucket] > 1
+    return doc[shared], bucket[shared], value[shared]
+
+
 def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-np.clip(x, -60, 60)))
 

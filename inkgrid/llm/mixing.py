@@ -19,11 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm.bytescan import NON_SPACE, Chunk, chunks, words
-from inkgrid.llm.features import labelled_features, sums_by_row, unit_hash, word_and_char_grams
+from inkgrid.llm.features import labelled_features, stacked, sums_by_row, unit_hash, word_and_char_grams
 from inkgrid.llm.shared import materialise
 
 BITS = 16
-MAX_LABELLED = 3000
+MAX_LABELLED = 2000
 STEPS = 40
 TOLERANCE = 1e-6
 #: Domains of the labelled table by its ``quality``, and the production weights of their tokens.
@@ -58,18 +58,9 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, n_domains: int, max_l
     if not rows:
         return DomainModel(w, bias)
     label = np.array([r[0] for r in rows])
-    doc, bucket, value = [], [], []
-    for i, (_, tables) in enumerate(rows):
-        for t, found in enumerate(tables):
-            ids, counts = np.unique(found, return_counts=True)
-            doc.append(np.full(len(ids), i))
-            bucket.append(ids + (t << BITS))
-            value.append(counts / max(1, len(found)))
-    d, b, v = np.concatenate(doc), np.concatenate(bucket), np.concatenate(value)
-    shared = np.bincount(b, minlength=width)[b] > 1
-    d, b, v = d[shared], b[shared], v[shared]
+    d, b, v = stacked(rows, 1 << BITS)
     scale = 1.0 / np.sqrt(np.bincount(b, weights=v * v, minlength=width) / len(rows) + 1e-8) / 30.0
-    v = v * scale[b]
+    v = (v * scale[b]).astype(np.float32)
     target = np.eye(n_domains)[label]
     held = np.arange(len(rows)) % 5 == 4
     m, s = np.zeros_like(w), np.zeros_like(w)

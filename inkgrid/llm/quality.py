@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from inkgrid.llm.bytescan import NON_SPACE, Chunk, chain, chunks, keyed, per_row, prefix_hash, span_hash, words
-from inkgrid.llm.features import bounded_labels, labelled_features, sigmoid, sums_by_row, word_and_char_grams
+from inkgrid.llm.features import bounded_labels, labelled_features, sigmoid, stacked, sums_by_row, word_and_char_grams
 
 BITS = 16
 MAX_LABELLED = 3000
@@ -49,20 +49,11 @@ def fit_quality(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX
     label = np.array([r[0] for r in rows], float)
     if len(set(label.tolist())) < 2:
         return QualityModel(weights.reshape(3, width), 0.0, 1.0, 0.0)
-    doc, bucket, value = [], [], []
-    for i, (_, tables) in enumerate(rows):
-        for t, found in enumerate(tables):
-            ids, counts = np.unique(found, return_counts=True)
-            doc.append(np.full(len(ids), i))
-            bucket.append(ids + t * width)
-            value.append(counts / max(1, len(found)))
-    d, b, v = np.concatenate(doc), np.concatenate(bucket), np.concatenate(value)
     # A row can only weigh what other rows share: a bucket of a single row carries no evidence.
-    shared = np.bincount(b, minlength=3 * width)[b] > 1
-    d, b, v = d[shared], b[shared], v[shared]
+    d, b, v = stacked(rows, width)
     # Scale each bucket by its root mean square, so that rare and frequent grams learn alike.
     scale = 1.0 / np.sqrt(np.bincount(b, weights=v * v, minlength=3 * width) / len(rows) + 1e-8)
-    v = v * scale[b] / 30.0
+    v = (v * scale[b] / 30.0).astype(np.float32)
     held = np.arange(len(rows)) % 5 == 4
     use = np.where(held, 0.0, np.where(label > 0, 0.5 / max(1, (label[~held] > 0).sum()), 0.5 / max(1, (label[~held] == 0).sum())))
     m, s, mb, sb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0

@@ -15,7 +15,7 @@ from inkgrid.llm.features import bounded_labels, distinct_terms, labelled_featur
 
 BITS = 18
 FACTORS = 4
-MAX_LABELLED = 20_000
+MAX_LABELLED = 12_000
 TOXIC_AT = 0.7
 MIN_LEAN = 4.0
 
@@ -59,15 +59,14 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MA
     linear, factors = np.zeros(size), np.zeros((FACTORS, size))
     if len(set(label.tolist())) < 2:
         return ToxicityModel(bias, linear, factors)
-    d = np.repeat(np.arange(len(rows)), [len(r[1][0]) for r in rows])
-    b = np.concatenate([r[1][0] for r in rows])
-    known, local = np.unique(b, return_inverse=True)
+    d = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1][0][0]) for r in rows])
+    b = np.concatenate([r[1][0][0] for r in rows]).astype(np.int32)
     # Only terms that lean to the toxic class beyond chance take part; the machine then learns how they add up and pair.
     n, base = len(rows), label.mean()
-    seen, toxic = np.bincount(local), np.bincount(local, weights=label[d])
+    seen, toxic = np.bincount(b, minlength=size), np.bincount(b[label[d] > 0], minlength=size)
     lean = (toxic - seen * base) / np.sqrt(seen * base * (1 - base) + 1e-9)
     leaning = (seen >= 3) & (lean >= MIN_LEAN)
-    d, b = d[leaning[local]], b[leaning[local]]
+    d, b = d[leaning[b]], b[leaning[b]]
     if not len(b):
         return ToxicityModel(bias, linear, factors)
     known, local = np.unique(b, return_inverse=True)
