@@ -2,31 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temp folder of our own only where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="inkgrid-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+from inkgrid.functions.tables import written
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    Lineage ends here, so a lost executor costs no earlier work, and the rows stay as they were
-    written even if the plan above is not deterministic.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` as a written table: its rows stay as they were written even if the plan above is not deterministic."""
+    return written(df, name)
 
 
 def n_partitions(spark: SparkSession) -> int:

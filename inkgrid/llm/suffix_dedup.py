@@ -8,7 +8,8 @@
    whole run. Where an anchor has different segments, one copy of each goes on.
 3. The segments of an anchor are joined to one text; its suffix array is built by linear grouping,
    and strings that share their first ``LENGTH`` bytes lie side by side there. An anchor with more
-   than ``HOT`` segments is dealt out by its single strings instead, so that no task gets them all.
+   than ``JOINED`` segments is compared string by string, and the strings of one with more than
+   ``HOT`` are dealt out by their own hash, so that no task gets them all.
 4. Covered runs come back to their documents and are cut out.
 
 Texts are dealt by a hash of the document id, anchors by their hash; both in blobs, a few records a
