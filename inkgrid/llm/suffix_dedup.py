@@ -38,7 +38,7 @@ JOINED = 8
 #: Segments of an anchor up to which one task gets them all.
 HOT = 256
 #: Bytes of segments whose suffix arrays are built together; a task with more takes several turns.
-TURN = 16_000_000
+TURN = 4_000_000
 INDEX_BITS = 24  # positions within a chunk
 
 
@@ -94,6 +94,36 @@ HEAD = np.dtype([("group", "<u8"), ("doc", "<i8"), ("text", "<u4"), ("start", "<
 DEALT = "bucket int, kind string, data binary"
 
 
+_ZSTD = pa.Codec("zstd", 3)
+
+
+def _ipc_options() -> pa.ipc.IpcWriteOptions:
+    return pa.ipc.IpcWriteOptions(compression=_ZSTD)
+
+
+def _squeezed(data: bytes) -> bytes:
+    return len(data).to_bytes(8, "little") + _ZSTD.compress(data, asbytes=True)
+
+
+def _restored(blob: bytes) -> bytes:
+    size = int.from_bytes(blob[:8], "little")
+    return _ZSTD.decompress(blob[8:], size, asbytes=True) if size else b""
+
+
+def _packed(records: np.ndarray) -> bytes:
+    """Records field by field and compressed: ids and numbers repeat, hashes do not."""
+    return _squeezed(b"".join(np.ascontiguousarray(records[n]).tobytes() for n in records.dtype.names))
+
+
+def _unpacked(blob: bytes, kind: np.dtype) -> np.ndarray:
+    data = _restored(blob)
+    out, at = np.empty(len(data) // kind.itemsize, kind), 0
+    for n in kind.names:
+        out[n] = np.frombuffer(data, kind[n], len(out), at)
+        at += out[n].nbytes
+    return out
+
+
 def _by_bucket(bucket: np.ndarray, records: np.ndarray, kind: str) -> Iterator[pa.RecordBatch]:
     if not len(records):
         return
@@ -101,7 +131,7 @@ def _by_bucket(bucket: np.ndarray, records: np.ndarray, kind: str) -> Iterator[p
     found, at = np.unique(bucket[order], return_index=True)
     records = records[order]
     edge = [*at.tolist(), len(records)]
-    yield _blobs(found, kind, [records[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    yield _blobs(found, kind, [_packed(records[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
 
 
 def _blobs(bucket: np.ndarray, kind: str, data: list[bytes]) -> pa.RecordBatch:
@@ -133,7 +163,10 @@ def _meetings(documents: DataFrame, length: int, buckets: int) -> DataFrame:
             doc, record, data = doc[order], record[order], []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 new = np.flatnonzero(np.concatenate([[True], doc[a + 1 : b] != doc[a : b - 1]]))
-                data.append(np.array([len(new)], "<i8").tobytes() + doc[a:b][new].tobytes() + np.diff(np.append(new, b - a)).astype("<u4").tobytes() + record[a:b].tobytes())
+                # Hashes do not compress; what tells where a run stands does.
+                own = record[a:b]
+                rest = _squeezed(np.array([len(new)], "<i8").tobytes() + doc[a:b][new].tobytes() + np.diff(np.append(new, b - a)).astype("<u4").tobytes() + np.diff(own["number"], prepend=np.uint32(0)).astype("<u4").tobytes())
+                data.append(len(own).to_bytes(8, "little") + b"".join(own[n].tobytes() for n in ("key", "seg_low", "seg_high")) + rest)
             return _blobs(found, "met", data)
 
         for batch in batches:
@@ -156,9 +189,16 @@ def _meetings(documents: DataFrame, length: int, buckets: int) -> DataFrame:
 
 
 def _opened(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    n = int(np.frombuffer(blob, "<i8", 1)[0])
-    docs, counts = np.frombuffer(blob, "<i8", n, 8), np.frombuffer(blob, "<u4", n, 8 + 8 * n)
-    return np.repeat(docs, counts), np.frombuffer(blob, MET, -1, 8 + 12 * n)
+    size, at = int.from_bytes(blob[:8], "little"), 8
+    out = np.empty(size, MET)
+    for n in ("key", "seg_low", "seg_high"):
+        out[n] = np.frombuffer(blob, MET[n], size, at)
+        at += out[n].nbytes
+    rest = _restored(blob[at:])
+    n = int(np.frombuffer(rest, "<i8", 1)[0])
+    docs, counts = np.frombuffer(rest, "<i8", n, 8), np.frombuffer(rest, "<u4", n, 8 + 8 * n)
+    out["number"] = np.cumsum(np.frombuffer(rest, "<u4", size, 8 + 12 * n), dtype=np.uint32)
+    return np.repeat(docs, counts), out
 
 
 def _requests(met: DataFrame, partitions: int, doc_buckets: int) -> DataFrame:
@@ -207,7 +247,7 @@ def _dealt_texts(documents: DataFrame, doc_buckets: int) -> DataFrame:
     """Documents by the bucket of their id, as the requests have it: one compressed Arrow stream a bucket and batch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        options = _ipc_options()
         for batch in batches:
             bucket = _doc_bucket(batch.column("doc_id").fill_null(0).to_numpy(), doc_buckets)
             order = np.argsort(bucket, kind="stable")
@@ -247,7 +287,8 @@ def _merged(cover: np.ndarray) -> np.ndarray:
 
 
 def _records(table: pa.Table, kind: np.dtype) -> np.ndarray:
-    return np.frombuffer(b"".join(table["data"].to_pylist()), kind)
+    found = [_unpacked(b, kind) for b in table["data"].to_pylist()]
+    return np.concatenate(found) if found else np.zeros(0, kind)
 
 
 def _answers(texts: DataFrame, asked: DataFrame, length: int, buckets: int, doc_buckets: int) -> DataFrame:
@@ -257,7 +298,8 @@ def _answers(texts: DataFrame, asked: DataFrame, length: int, buckets: int, doc_
         out: list[pa.RecordBatch] = []
         asks = _records(right, ASKED)
         asks = asks[np.lexsort((asks["number"], asks["doc"]))]
-        covers, seg_bucket, seg_data, strings = [], [], [], []
+        covers, strings = [], []
+        segs: dict[int, tuple[list[bytes], list[bytes]]] = {}
         for own, chunk in ((b.column("doc_id").slice(c.first, c.rows).to_numpy(), c) for b in _texts(left) for c in chunks(b.column("text"))):
             low, high = np.searchsorted(asks["doc"], own, "left"), np.searchsorted(asks["doc"], own, "right")
             if not (high > low).any():
@@ -298,8 +340,9 @@ def _answers(texts: DataFrame, asked: DataFrame, length: int, buckets: int, doc_
                     n = size[mine]
                     e = np.cumsum(n)
                     pick = np.repeat((ends - size)[mine] - (e - n), n) + np.arange(e[-1])
-                    seg_bucket.append(t)
-                    seg_data.append(np.array([len(mine)], "<i8").tobytes() + head[mine].tobytes() + body[pick].tobytes())
+                    heads, bodies = segs.setdefault(t, ([], []))
+                    heads.append(head[mine].tobytes())
+                    bodies.append(body[pick].tobytes())
             k = np.flatnonzero(kind == 2)
             if len(k):  # every string of the segment by itself, dealt by its own hash
                 times = last[at[k]] - first[at[k]] + 1
@@ -313,8 +356,9 @@ def _answers(texts: DataFrame, asked: DataFrame, length: int, buckets: int, doc_
                 strings.append(record)
         if covers:
             out += list(_by_bucket(_doc_bucket(np.concatenate(covers)["doc"], doc_buckets), np.concatenate(covers), "cover"))
-        if seg_data:
-            out.append(_blobs(np.array(seg_bucket), "segment", seg_data))
+        if segs:
+            joined = [(b"".join(h), b"".join(d)) for h, d in segs.values()]
+            out.append(_blobs(np.array(list(segs)), "segment", [_squeezed(np.array([len(h) // HEAD.itemsize], "<i8").tobytes() + h + d) for h, d in joined]))
         if strings:
             record = np.concatenate(strings)
             out += list(_by_bucket((record["low"] % np.uint64(buckets)).astype(np.int32), record, "string"))
@@ -325,7 +369,7 @@ def _answers(texts: DataFrame, asked: DataFrame, length: int, buckets: int, doc_
 
 def _bodies(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     heads, bodies = [], []
-    for b in blobs:
+    for b in map(_restored, blobs):
         n = int(np.frombuffer(b, "<i8", 1)[0])
         heads.append(np.frombuffer(b, HEAD, n, 8))
         bodies.append(np.frombuffer(b, np.uint8, -1, 8 + n * HEAD.itemsize))
@@ -360,7 +404,7 @@ def repeated_strings(head: np.ndarray, body: np.ndarray, at: np.ndarray, length:
     while at_ < len(by_length):
         # Texts of like length take their steps together, a million symbols or so at a time.
         longest = lengths[by_length[at_]] * 3 // 2 + 8
-        stop = min(int(np.searchsorted(lengths[by_length], longest, side="right")), at_ + max(1, 1_500_000 // longest))
+        stop = min(int(np.searchsorted(lengths[by_length], longest, side="right")), at_ + max(1, 500_000 // longest))
         lanes = by_length[at_:stop]
         at_ = stop
         width = int(lengths[lanes].max())
@@ -447,7 +491,7 @@ def _compared(answers: DataFrame, partitions: int, length: int, doc_buckets: int
                 blobs: list[bytes] = []
                 while of_bucket and sum(map(len, blobs)) < TURN:
                     blobs += of_bucket.pop(next(iter(of_bucket)))
-                found = compare_segments(*_bodies(blobs), length) if kind == "segment" else equal_strings(np.frombuffer(b"".join(blobs), STRING), length)
+                found = compare_segments(*_bodies(blobs), length) if kind == "segment" else equal_strings(np.concatenate([_unpacked(b, STRING) for b in blobs]), length)
                 yield from _by_bucket(_doc_bucket(found["doc"], doc_buckets), found, "cover")
 
     return answers.where("kind <> 'cover'").repartition(partitions, "bucket").mapInArrow(run, DEALT)
@@ -489,7 +533,7 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("strings shorter than 24 bytes have no anchors that tell them apart")
     spark = documents.sparkSession
     partitions = n_partitions(spark)
-    buckets = doc_buckets = 4 * partitions
+    buckets, doc_buckets = 2 * partitions, 2 * partitions
     documents = documents.selectExpr("cast(doc_id as long) doc_id", "text")
     met = _meetings(documents.where("doc_id is not null"), length, buckets)
     asked = _requests(met, partitions, doc_buckets)
