@@ -26,25 +26,40 @@ def rotation_geometry(skew: DataFrame, sizes: DataFrame) -> DataFrame:
 def rotate_gather(pixels: DataFrame, geometry: DataFrame) -> DataFrame:
     """Every target pixel from sixteen source pixels, cubic weights at 32nds of a pixel, the border repeated; exact integers.
 
-    The source image joins as one array of its pixels, so an image costs one row a side and no
-    pixel-to-pixel shuffle; memory a row is one image.
+    An image is one array row on either side of one join, and its target is computed inside the row,
+    so no pixel is shuffled twice; memory a row is one image.
     """
     packed = pixels.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("px"))
-    target = geometry.join(packed, "image_id").withColumn("ty", F.explode(F.sequence(F.lit(0), F.col("new_h") - 1))).withColumn("tx", F.explode(F.sequence(F.lit(0), F.col("new_w") - 1)))
-    h, w, c, s = F.col("height"), F.col("width"), F.col("c"), F.col("s")
-    # Twice the offsets from the canvas centre, so that halves stay whole.
-    dx = 2 * F.col("tx") - (F.col("new_w") - w) - 2 * F.floor(w / 2)
-    dy = 2 * F.col("ty") - (F.col("new_h") - h) - 2 * F.floor(h / 2)
+    h, w, c, s, nw = F.col("height"), F.col("width"), F.col("c"), F.col("s"), F.col("new_w")
+    cx, cy = F.floor(w / 2), F.floor(h / 2)
     place = lambda a, centre: F.floor((16 * a + centre * 32 * UNIT + UNIT // 2) / UNIT).cast("long")
-    sx, sy = place(c * dx - s * dy, F.floor(w / 2)), place(s * dx + c * dy, F.floor(h / 2))
+
+    def source(i: Column) -> Column:
+        # Twice the offsets from the canvas centre, so that halves stay whole.
+        dx = 2 * (i % nw) - (nw - w) - 2 * cx
+        dy = 2 * F.floor(i / nw) - (F.col("new_h") - h) - 2 * cy
+        return F.struct(place(c * dx - s * dy, cx).alias("x"), place(s * dx + c * dy, cy).alias("y"))
+
+    def split(at: Column) -> Column:
+        low = lambda a: F.floor(a / 32).cast("int")
+        part = lambda a: F.pmod(a, F.lit(32)).cast("int")
+        return F.struct(low(at["x"]).alias("x"), low(at["y"]).alias("y"), F.get(table, part(at["x"])).alias("wx"), F.get(table, part(at["y"])).alias("wy"))
+
     table = F.array(*[int_array(r) for r in cubic_weights()])
-    at = target.select("image_id", "ty", "tx", "px", "height", "width", F.floor(sx / 32).cast("int").alias("x0"), F.floor(sy / 32).cast("int").alias("y0"), F.get(table, F.pmod(sx, F.lit(32)).cast("int")).alias("wx"), F.get(table, F.pmod(sy, F.lit(32)).cast("int")).alias("wy"))
-    clamp = lambda i, n: F.greatest(F.lit(0), F.least(i, F.col(n) - 1))
-    taps: list[Column] = []
-    for j in range(4):
-        row = clamp(F.col("y0") + (j - 1), "height") * F.col("width")
-        line = sum((F.get("wx", F.lit(i)).cast("long") * F.get("px", row + clamp(F.col("x0") + (i - 1), "width")) for i in range(1, 4)), F.get("wx", F.lit(0)).cast("long") * F.get("px", row + clamp(F.col("x0") - 1, "width")))
-        taps.append(F.get("wy", F.lit(j)) * line)
-    total = taps[0] + taps[1] + taps[2] + taps[3]
-    value = F.greatest(F.lit(0), F.least(F.lit(255), F.floor((total + (1 << 21)) / (1 << 22)).cast("int")))
-    return at.select("image_id", F.col("ty").alias("y"), F.col("tx").alias("x"), value.alias("v"))
+    clamp = lambda i, n: F.greatest(F.lit(0), F.least(i, n - 1))
+
+    def value(t: Column) -> Column:
+        total = None
+        for j in range(4):
+            row = clamp(t["y"] + (j - 1), h) * w
+            line = None
+            for i in range(4):
+                tap = F.get(t["wx"], F.lit(i)).cast("long") * F.get("px", row + clamp(t["x"] + (i - 1), w))
+                line = tap if line is None else line + tap
+            part = F.get(t["wy"], F.lit(j)) * line
+            total = part if total is None else total + part
+        return F.greatest(F.lit(0), F.least(F.lit(255), F.floor((total + (1 << 21)) / (1 << 22)).cast("int")))
+
+    places = F.transform(F.sequence(F.lit(0), nw * F.col("new_h") - 1), source)
+    out = geometry.join(packed, "image_id").select("image_id", "new_w", F.posexplode(F.transform(F.transform(places, split), value)).alias("i", "v"))
+    return out.select("image_id", F.expr("cast(i div new_w as int)").alias("y"), (F.col("i") % F.col("new_w")).alias("x"), "v")

@@ -37,7 +37,8 @@ def hough_votes(mask: DataFrame, threshold: int = 100) -> DataFrame:
 def line_segments(mask: DataFrame, threshold: int = 100, min_length: int = 100, max_gap: int = 10) -> DataFrame:
     """Segments on the accumulator's peaks: pixels of a line in order, cut where they lie more than ``max_gap`` apart; x1 <= x2."""
     on = ["image_id", "theta", "rho"]
-    placed = _votes(mask).join(hough_votes(mask, threshold).select(*on), on)
+    # Scans of masks look tiny to the planner and votes are many: the peaks are the side to build.
+    placed = _votes(mask).join(hough_votes(mask, threshold).select(*on).hint("shuffle_hash"), on)
     order = Window.partitionBy(*on).orderBy("pos", "y", "x")
     cut = placed.withColumn("cut", F.when(F.col("pos") - F.lag("pos").over(order) > max_gap, 1).otherwise(0))
     cut = cut.withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
