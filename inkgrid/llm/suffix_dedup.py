@@ -533,7 +533,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
         raise ValueError("strings shorter than 24 bytes have no anchors that tell them apart")
     spark = documents.sparkSession
     partitions = n_partitions(spark)
-    buckets, doc_buckets = 2 * partitions, 2 * partitions
+    # Every text bucket sends a blob to every anchor bucket, so the two together bound the blobs.
+    buckets, doc_buckets = partitions, 2 * partitions
     documents = documents.selectExpr("cast(doc_id as long) doc_id", "text")
     met = _meetings(documents.where("doc_id is not null"), length, buckets)
     asked = _requests(met, partitions, doc_buckets)
