@@ -17,7 +17,9 @@ BITS = 18
 FACTORS = 4
 MAX_LABELLED = 12_000
 TOXIC_AT = 0.7
-MIN_LEAN = 4.0
+#: The penalty of a weight in units of its gradient's noise, and the evidence (standard deviations) that halves it.
+PENALTY = 2.0
+EVIDENCE = 2.0
 
 
 @dataclass
@@ -35,10 +37,30 @@ class ToxicityModel:
 
     def score(self, chunk: Chunk) -> np.ndarray:
         rows, buckets = distinct_terms(chunk, BITS)
-        known = self.linear[buckets] != 0
+        known = (self.linear[buckets] != 0) | (self.factors[:, buckets] != 0).any(0)
         return sigmoid(self.raw(rows[known], buckets[known], chunk.rows))
 
 
+class _Sums:
+    """Sums over the entries of each group; ``groups`` and ``members`` are the two sides of the entries."""
+
+    def __init__(self, groups: np.ndarray, members: np.ndarray, n: int) -> None:
+        order = np.argsort(groups, kind="stable")
+        self.members = members[order].astype(np.int32)
+        self.groups, self.at = np.unique(groups[order], return_index=True)
+        self.n = n
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(self.n)
+        out[self.groups] = np.add.reduceat(values.astype(np.float32)[self.members], self.at)
+        return out
+
+
+def _shrink(size: np.ndarray, by: np.ndarray, soft: float) -> np.ndarray:
+    """Factors that draw sizes to zero by ``by``, and by the less the more they exceed ``soft``."""
+    return np.maximum(0, 1 - by / (1 + size / soft) / np.maximum(size, 1e-12))
+
+
 def train_row() -> F.Column:
     """Rows that may be learnt from; the rest are held out."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 != 1
@@ -47,9 +69,10 @@ def train_row() -> F.Column:
 def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, epochs: int = 200) -> ToxicityModel:
     """Fit on at most ``max_labelled`` rows outside the held-out third (bounded by this parameter).
 
-    Terms of fewer than three rows, or that lean less than ``MIN_LEAN`` standard deviations to the
-    toxic class, weigh nothing. Without rows of both classes every text
-    scores the smoothed share of toxic rows.
+    All terms that two rows share take part, whichever class they speak for and whether or not they
+    do so alone. Weights and factors are held back by a penalty in units of what chance would give
+    (a lasso of the weight, a group lasso of a term's factors), which fades as they grow. Without
+    rows of both classes every text scores the smoothed share of toxic rows.
     """
     rows = labelled_features(documents, bounded_labels(labels, "toxic", max_labelled, train_row()), lambda c: [distinct_terms(c, BITS)])
     size = 1 << BITS
@@ -61,40 +84,43 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MA
         return ToxicityModel(bias, linear, factors)
     d = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1][0][0]) for r in rows])
     b = np.concatenate([r[1][0][0] for r in rows]).astype(np.int32)
-    # Only terms that lean to the toxic class beyond chance take part; the machine then learns how they add up and pair.
-    n, base = len(rows), label.mean()
-    seen, toxic = np.bincount(b, minlength=size), np.bincount(b[label[d] > 0], minlength=size)
-    lean = (toxic - seen * base) / np.sqrt(seen * base * (1 - base) + 1e-9)
-    leaning = (seen >= 3) & (lean >= MIN_LEAN)
-    d, b = d[leaning[b]], b[leaning[b]]
+    # A term of one row has nothing that it could be told from.
+    shared = np.bincount(b, minlength=size)[b] > 1
+    d, b = d[shared], b[shared]
     if not len(b):
         return ToxicityModel(bias, linear, factors)
+    n = len(rows)
     known, local = np.unique(b, return_inverse=True)
-    k = len(known)
-    theta = np.concatenate([np.ones((1, k)), 0.05 * np.random.default_rng(7).standard_normal((FACTORS, k))])
+    by_row, by_term = _Sums(d, local, n), _Sums(local, d, len(known))
+    theta = np.concatenate([np.zeros((1, len(known))), 0.05 * np.random.default_rng(7).standard_normal((FACTORS, len(known)))])
     m, s, mb, sb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     # Both classes weigh the same in the fit, so that a fixed threshold means the same at any share of toxic rows.
     use = np.where(label > 0, 0.5 / label.sum(), 0.5 / (n - label.sum()))
-    decay = np.array([[1e-4]] + [[1e-3]] * FACTORS)
+    # What a term's gradient would be by chance alone; terms with evidence of their own are held back less.
+    noise = 0.5 * np.sqrt(by_term(use * use))
+    evidence = by_term(0.5 * use * np.sign(label - 0.5)) / noise
+    hold = PENALTY * noise
+    own = hold / (1 + (evidence / EVIDENCE) ** 4)
     for step in range(1, epochs + 1):
-        x = theta[:, local]
-        z = bias + sums_by_row(x[0], d, n)
-        total = []
-        for f in range(1, FACTORS + 1):
-            total.append(sums_by_row(x[f], d, n))
-            z += 0.5 * (total[-1] ** 2 - sums_by_row(x[f] * x[f], d, n))
+        total = [by_row(x) for x in theta]
+        z = bias + total[0] + 0.5 * (sum(t * t for t in total[1:]) - by_row((theta[1:] ** 2).sum(0)))
         error = (sigmoid(z) - label) * use
-        g = decay * theta
-        g[0] += np.bincount(local, weights=error[d], minlength=k)
+        g = 1e-4 * theta
+        flat = by_term(error)
+        g[0] += flat
         for f in range(1, FACTORS + 1):
-            g[f] += np.bincount(local, weights=error[d] * (total[f - 1][d] - x[f]), minlength=k)
+            g[f] += by_term(error * total[f]) - theta[f] * flat
         gb = error.sum()
         m, s = 0.9 * m + 0.1 * g, 0.99 * s + 0.01 * g * g
         mb, sb = 0.9 * mb + 0.1 * gb, 0.99 * sb + 0.01 * gb * gb
-        rate = 0.05 / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
-        theta -= rate * m / (np.sqrt(s) + 1e-6)
-        bias -= rate * mb / (np.sqrt(sb) + 1e-6)
-    linear[known] = theta[0] + 1e-12
+        warm, fix = 1 - 0.9**step, np.sqrt(1 - 0.99**step)
+        rate = 0.05 / (np.sqrt(s) / fix + 0.3 * noise + 1e-9)
+        theta -= rate / warm * m
+        bias -= 0.05 / warm * mb / (np.sqrt(sb) / fix + 1e-6)
+        theta[0] *= _shrink(np.abs(theta[0]), rate[0] * own, 0.2)
+        partners = np.sqrt(sum((t * t).mean() for t in total[1:]))
+        theta[1:] *= _shrink(np.sqrt((theta[1:] ** 2).sum(0)), rate[1:].mean(0) * own * partners, 0.5)
+    linear[known] = theta[0]
     factors[:, known] = theta[1:]
     return ToxicityModel(float(bias), linear, factors)
 

@@ -117,6 +117,27 @@ def test_pairs_outweigh_sums(spark):
     assert sum(r["predicted"] == marks[r["doc_id"]][2] for r in scored) > 0.95 * len(rows)
 
 
+def test_pairs_of_neutral_terms(spark):
+    """A group mention as common in clean as in toxic texts decides what an insult means; then two terms that lean nowhere at all."""
+    rng = random.Random(5)
+    rows, marks, mixed = [], [], []
+    for i in range(900):
+        words = rng.choices(["alpha", "beta", "gamma", "delta", "rho"], k=6)
+        t = rng.random()
+        a, b, other = (1, 1, 0) if t < 0.2 else (1, 0, 0) if t < 0.35 else (0, 1, 0) if t < 0.65 else (0, 0, 1) if t < 0.85 else (0, 0, 0)
+        rows.append((i, " ".join(words + ["insult"] * a + ["group"] * b + ["scum"] * other)))
+        marks.append((i, 1, int(a and b or other)))
+    for i in range(900):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        mixed.append((i, " ".join(rng.choices(["alpha", "beta", "rho"], k=5) + [["praise", "insult"][a], ["tool", "group"][b]]), int(a == b)))
+    known = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    scored = toxicity.toxicity(spark.createDataFrame(rows, "doc_id long, text string"), known).collect()
+    assert sum(r["predicted"] == marks[r["doc_id"]][2] for r in scored) > 0.95 * len(rows)
+    known = spark.createDataFrame([(i, 1, y) for i, _, y in mixed], "doc_id long, quality int, toxic int")
+    scored = toxicity.toxicity(spark.createDataFrame([x[:2] for x in mixed], "doc_id long, text string"), known).collect()
+    assert sum(r["predicted"] == mixed[r["doc_id"]][2] for r in scored) > 0.95 * len(mixed)
+
+
 def test_token_files(docs, none):
     from tokenizers import Tokenizer
 
