@@ -3,7 +3,8 @@
 Vectors are coded four bits a pair of dimensions. Codebooks and codes minimise the anisotropic loss
 ``|r|^2 + (eta - 1) <r, x>^2 / |x|^2`` of the residual ``r``: an error along the vector changes large
 inner products, one across it hardly does. A query scores all codes by table look-ups, two codes a
-byte, and the best are ranked again by exact products.
+byte. The best are ranked again by exact products, and so is every row whose score plus the most that
+its residual can add (``|q| |r|``) reaches the last of them: no row is cut by its code.
 """
 
 from __future__ import annotations
@@ -55,6 +56,13 @@ class Quantiser:
                 code[:, m], inner[:, m] = best, along[np.arange(n), best]
         return code
 
+    def reach(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        """By how much, for a query of length 1, an exact product can exceed the score of the codes, float32 sums included."""
+        x = self.pad(x)
+        picked = np.stack([self.centres[m][code[:, m]] for m in range(len(self.centres))], 1)
+        away, length = np.sqrt(((x - picked) ** 2).sum((1, 2))), np.sqrt((x * x).sum((1, 2)))
+        return away + np.finfo(np.float32).eps * (len(self.centres) + 4) * (away + length)
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """Scores of every byte of two codes, by query and byte position: (queries, bytes, 256)."""
         q = self.pad(queries)
@@ -136,7 +144,8 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
     vectors and vectors of another length than the commonest take no part. Rows that share the
     query's id are not its candidates; other repeated rows count each. Ties go to the smaller id.
     The codebooks are fitted on at most ``sample`` rows; every row is coded and searched. Queries
-    and codes meet block by block, and each block passes on its ``nearest`` rows a query.
+    and codes meet block by block, and each block passes on its ``nearest`` rows a query; they are the
+    exact ones, however many rows share a code.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("vector"), is_query.alias("query")).where(F.col("vec_id").isNotNull() & usable("vector"))
     schema = "query_id long, rank int, vec_id long, score double"
@@ -154,7 +163,9 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
                 part = order[at : at + size]
                 data = {"ids": pa.array([ids[part].tobytes()], pa.binary()), "vectors": pa.array([x[part].tobytes()], pa.binary())}
                 if coded:
-                    data["codes"] = pa.array([np.ascontiguousarray(pack_nibbles(quantiser.codes(x[part]))).tobytes()], pa.binary())
+                    code = quantiser.codes(x[part])
+                    data["codes"] = pa.array([np.ascontiguousarray(pack_nibbles(code)).tobytes()], pa.binary())
+                    data["reach"] = pa.array([quantiser.reach(x[part], code).tobytes()], pa.binary())
                 yield pa.RecordBatch.from_pydict(data)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,14 +186,15 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
     if dict(rows.dtypes)["vector"] not in ("array<double>", "array<float>"):
         rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
         kind = np.float64
-    coded = materialise(rows.select("vec_id", "vector").mapInArrow(blocks(BLOCK, True), "ids binary, vectors binary, codes binary"), "ann-codes")
+    coded = materialise(rows.select("vec_id", "vector").mapInArrow(blocks(BLOCK, True), "ids binary, vectors binary, codes binary, reach binary"), "ann-codes")
     asked = materialise(rows.where("query").select("vec_id", "vector").mapInArrow(blocks(QUERY_BLOCK, False), "ids binary, vectors binary"), "ann-queries")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, x, code, asking, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "codes", "query_ids", "queries")), strict=True):
+            for ids, x, code, reach, asking, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "codes", "reach", "query_ids", "queries")), strict=True):
                 ids, asking = np.frombuffer(ids, np.int64), np.frombuffer(asking, np.int64)
                 x, q = np.frombuffer(x, kind).reshape(len(ids), -1), np.frombuffer(q, kind).reshape(len(asking), -1).astype(np.float64)
+                reach = np.frombuffer(reach, np.float64)
                 bytes_ = np.ascontiguousarray(np.frombuffer(code, np.uint8).reshape(len(ids), -1).T)
                 out = []
                 for at in range(len(asking)):
@@ -194,6 +206,16 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
                     found = best(score, rerank)
                     found = found[ids[found] != asking[at]]
                     exact = exact_products(q[at], x[found].astype(np.float64))
+                    if len(exact) >= nearest:
+                        last = np.partition(exact, len(exact) - nearest)[len(exact) - nearest]
+                        may = score + np.sqrt((q[at] ** 2).sum()) * reach >= last
+                        may[found] = False
+                        may &= ids != asking[at]
+                        more = np.flatnonzero(may)
+                    else:
+                        more = np.setdiff1d(np.flatnonzero(ids != asking[at]), found)
+                    if len(more):
+                        found, exact = np.concatenate([found, more]), np.concatenate([exact, exact_products(q[at], x[more].astype(np.float64))])
                     top = np.lexsort((ids[found], -exact))[:nearest]
                     out.append((np.full(len(top), asking[at]), ids[found[top]], exact[top]))
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.concatenate([o[0] for o in out])), "vec_id": pa.array(np.concatenate([o[1] for o in out])), "score": pa.array(np.concatenate([o[2] for o in out]))})

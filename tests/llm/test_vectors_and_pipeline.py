@@ -37,6 +37,20 @@ def test_search(spark):
     assert ann.search(table.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_search_in_near_copies(spark):
+    """Thousands of near copies share one code or a few: the exact nearest are found, whatever their ids."""
+    rng = np.random.default_rng(9)
+    x = rng.standard_normal((4000, 24))
+    x[1000:] = x[0] + 1e-3 * rng.standard_normal((3000, 24))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = [0, 7, 1500, 3999]
+    found = ann.search(table, F.col("vec_id").isin(asked)).collect()
+    for q in asked:
+        exact = ann.exact_products(x[q], x)
+        order = [i for i in np.lexsort((np.arange(4000), -exact)).tolist() if i != q][:20]
+        assert [r["vec_id"] for r in sorted(found, key=lambda r: r["rank"]) if r["query_id"] == q] == order
+
+
 def test_anisotropic_loss_is_lower():
     rng = np.random.default_rng(2)
     x = rng.standard_normal((2000, 16))
