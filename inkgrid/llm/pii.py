@@ -3,7 +3,7 @@
 A protected value is one distinct e-mail address, IP address, card or phone number. A term discloses
 it as far as the pointwise mutual information of the two reaches the information of the value
 itself: ``PMI(t, e) / IC(e)`` with ``PMI = log(N n(t,e) / (n(t) n(e)))`` and ``IC = log(N / n(e))``,
-counted over all documents; 1 means that whoever reads the term knows the value. Terms at or above
+counted over whole documents; 1 means that whoever reads the term knows the value. Terms at or above
 ``REMOVE_AT`` are removed, those at or above ``GENERALISE_AT`` are generalised. Copies of one
 context prove nothing: a term needs ``MIN_CONTEXTS`` different ones.
 """
@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from inkgrid.llm.bytescan import ALNUM, LOWER, Chunk, chunks, prefix_hash, span_hash, words
+from inkgrid.llm.bytescan import ALNUM, LOWER, Chunk, chunks, mix, prefix_hash, span_hash, words
 from inkgrid.llm.shared import materialise
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,14 +31,12 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
-CONTEXT = 8  # words on either side
+CONTEXT = 8  # words on either side of a value and of a term that tell contexts apart
 MIN_CONTEXTS = 3
 REMOVE_AT = 0.95
 GENERALISE_AT = 0.8
 #: Terms whose hashes (8 bytes each) may be broadcast; more are matched by a shuffle.
 MAX_BROADCAST_TERMS = 200_000
-TERM = re.compile(r"[0-9A-Za-z\x80-\U0010ffff]+")
-UPPER_TO_LOWER = {c: c + 32 for c in range(0x41, 0x5B)}
 DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 
 
@@ -79,68 +77,116 @@ def _text(chunk: Chunk, i: int) -> str:
     return chunk.buf[chunk.starts[i] : chunk.ends[i]].tobytes().decode()
 
 
-def term_hashes(terms: list[str]) -> np.ndarray:
-    data = [t.encode() for t in terms]
-    lengths = np.array([len(t) for t in data], np.int64)
-    ends = np.cumsum(lengths)
-    return span_hash(prefix_hash(np.frombuffer(b"".join(data), np.uint8)), ends - lengths, ends).view(np.int64)
+def _digest(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
 
 
-def _near(text: str, spans: list[tuple[str, int, int]], start: int, end: int) -> list[str]:
-    """Lower-cased terms beside a span, without those inside any span."""
-    reach = 24 * CONTEXT
-    low, high = max(0, start - reach), min(len(text), end + reach)
-    taken = [(a, b) for _, a, b in spans if b > low and a < high]
-    found = [m for m in TERM.finditer(text, low, high) if not (m.start() == low > 0) and not (m.end() == high < len(text)) and not any(m.start() < b and m.end() > a for a, b in taken)]
-    before = [m[0] for m in found if m.end() <= start][-CONTEXT:]
-    after = [m[0] for m in found if m.start() >= end][:CONTEXT]
-    return [t.translate(UPPER_TO_LOWER) for t in before + after]
+def _neighbours(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """One hash for each term of the up to ``CONTEXT`` terms on either side of it in its text."""
+    out = np.zeros(len(hashes), np.uint64)
+    for step in range(1, CONTEXT + 1):
+        same = row[step:] == row[:-step]
+        out[step:] += np.where(same, mix(hashes[:-step] + np.uint64(2 * step)), np.uint64(0))
+        out[: len(out) - step] += np.where(same, mix(hashes[step:] + np.uint64(2 * step + 1)), np.uint64(0))
+    return mix(out)
 
 
-def _digest(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
+def _values(documents: DataFrame) -> DataFrame:
+    """In how many documents each protected value stands: value, n_value."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk in chunks(batch.column("text")):
+                value: list[int] = []
+                for i in np.flatnonzero(_might_match(chunk)).tolist():
+                    text = _text(chunk, i)
+                    value += {_digest(f"{kind}:{text[a:b].lower()}") for kind, a, b in base_spans(text)}
+                yield pa.RecordBatch.from_pydict({"value": pa.array(value, pa.int64())})
 
-def disclosures(documents: DataFrame, min_contexts: int = MIN_CONTEXTS) -> DataFrame:
-    """Terms and how far each discloses the value it discloses most: term (hash), disclosure.
+    return documents.mapInArrow(run, "value long").groupBy("value").agg(F.count("*").alias("n_value"))
 
-    Everything is counted over all documents and pre-aggregated before each shuffle; a value or a
-    term that a third of the documents hold is one partial count a task.
+
+def _pairs(documents: DataFrame, wanted: np.ndarray | None) -> DataFrame:
+    """Each distinct value of a document with each distinct term that stands there outside any base span: value, term, context.
+
+    The context is a hash of the terms around both. ``wanted`` are the values that may matter, or None
+    for all. Rows without a value count the documents with any such value that hold the term.
     """
 
-    def mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                value, context, terms = [], [], []
-                for i in np.flatnonzero(_might_match(chunk)).tolist():
+                might = np.flatnonzero(_might_match(chunk)).tolist()
+                if not might or wanted is not None and not len(wanted):
+                    continue
+                first, last, row, hashes = _terms(chunk)
+                around = None
+                at = np.searchsorted(row, np.arange(chunk.rows + 1))
+                points = np.concatenate([[0], np.cumsum((chunk.buf & 0xC0) != 0x80)])
+                value, term, context, each = [], [], [], []
+                for i in might:
                     text = _text(chunk, i)
                     spans = base_spans(text)
-                    seen: set[tuple[int, str]] = set()
+                    keys: dict[int, tuple[int, int]] = {}
                     for kind, a, b in spans:
-                        key, near = _digest(f"{kind}:{text[a:b].lower()}"), _near(text, spans, a, b)
-                        where = _digest(" ".join(near))
-                        for t in ["", *near]:
-                            if (key, t) not in seen:
-                                seen.add((key, t))
-                                value.append(key)
-                                context.append(where)
-                                terms.append(t)
-                real = np.array([bool(t) for t in terms], bool)
-                yield pa.RecordBatch.from_pydict({"value": pa.array(value, pa.int64()), "context": pa.array(context, pa.int64()), "term": pa.array(term_hashes(terms) if terms else [], pa.int64(), mask=~real)})
-
+                        keys.setdefault(_digest(f"{kind}:{text[a:b].lower()}"), (a, b))
+                    if wanted is not None and keys:
+                        known = _member(wanted, np.array(list(keys), np.int64).view(np.uint64))
+                        keys = {k: x for (k, x), ok in zip(keys.items(), known.tolist(), strict=True) if ok}
+                    if not keys:
+                        continue
+                    if around is None:
+                        around = _neighbours(row, hashes)
+                    own = slice(at[i], at[i + 1])
+                    base = points[chunk.starts[i]]
+                    begin, end = points[first[own]] - base, points[last[own]] - base
+                    starts, ends = np.array(sorted(a for _, a, _ in spans)), np.array(sorted(b for _, _, b in spans))
+                    # A term meets a span unless as many spans have ended before it as have begun before its end.
+                    free = np.searchsorted(ends, begin, side="right") == np.searchsorted(starts, end, side="left")
+                    begin, end, mine = begin[free], end[free], hashes[own][free]
+                    distinct, place = np.unique(mine, return_index=True)
+                    beside = around[own][free][place]
+                    for key, (a, b) in keys.items():
+                        low, high = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(begin, b, side="left"))
+                        near = np.concatenate([mine[max(0, low - CONTEXT) : low], mine[high : high + CONTEXT]]).tobytes()
+                        where = np.frombuffer(hashlib.blake2b(near, digest_size=8).digest(), np.uint64)
+                        value.append(np.full(len(distinct), key, np.int64))
+                        term.append(distinct)
+                        context.append(mix(beside + where))
+                    each.append(distinct)
+                if value:
+                    yield pa.RecordBatch.from_pydict({"value": pa.array(np.concatenate(value)), "term": pa.array(np.concatenate(term).view(np.int64)), "context": pa.array(np.concatenate(context).view(np.int64)), "n": pa.array(np.ones(sum(map(len, value)), np.int64))})
+                    distinct, n = np.unique(np.concatenate(each), return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"value": pa.nulls(len(n), pa.int64()), "term": pa.array(distinct.view(np.int64)), "context": pa.array(np.zeros(len(n), np.int64)), "n": pa.array(n.astype(np.int64))})
+
+    return documents.mapInArrow(run, "value long, term long, context long, n long")
+
+
+def disclosures(documents: DataFrame, min_contexts: int = MIN_CONTEXTS, at_least: float = GENERALISE_AT) -> DataFrame:
+    """Terms that disclose a value by ``at_least``, and how far each discloses the one it discloses most: term (hash), disclosure.
+
+    Everything is counted over whole documents and pre-aggregated before each shuffle. Values of
+    fewer documents than ``min_contexts`` cannot have that many contexts and give no pairs. A term
+    stands in at least as many documents as were seen with a value; pairs that this alone puts
+    below ``at_least`` are not counted further.
+    """
     documents = documents.select("text")
-    found = documents.mapInArrow(mentions, "value long, context long, term long")
-    grouped = found.groupBy("value", "term", "context").agg(F.count("*").alias("n")).groupBy("value", "term").agg(F.sum("n").alias("n"), F.count("*").alias("contexts"))
-    grouped = materialise(grouped, "pii-pairs")
-    pairs = grouped.where(F.col("term").isNotNull() & (F.col("contexts") >= min_contexts)).select("value", "term", F.col("n").alias("n_both"))
-    values = grouped.where(F.col("term").isNull()).select("value", F.col("n").alias("n_value"))
-    terms = pairs.select("term").distinct()
+    values = materialise(_values(documents).where(F.col("n_value") >= min_contexts), "pii-values")
+    wanted = None
+    if values.count() <= MAX_BROADCAST_TERMS:
+        wanted = np.sort(np.array([r[0] for r in values.select("value").collect()], np.int64).view(np.uint64))
+    found = _pairs(documents, wanted)
+    grouped = found.groupBy("value", "term", "context").agg(F.sum("n").alias("n")).groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
+    grouped = materialise(grouped.where(F.col("value").isNull() | (F.col("contexts") >= min_contexts)), "pii-grouped")
     total = documents.count()
-    counts = _document_counts(documents, terms)
+    least = grouped.where(F.col("value").isNull()).select("term", F.col("n_both").alias("n_least"))
     # log N/n(e) > 0 as a value in every document carries no information to disclose.
     ic = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
-    pmi = F.log(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col("n_term") * F.col("n_value")))
-    return pairs.join(values, "value").join(counts, "term").where(F.col("n_value") < total).groupBy("term").agg(F.max(pmi / ic).alias("disclosure"))
+    pmi = lambda n_term: F.log(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col(n_term) * F.col("n_value")))
+    pairs = grouped.where(F.col("value").isNotNull()).join(values, "value").where(F.col("n_value") < total).join(least, "term").where(pmi("n_least") >= at_least * ic - 1e-9)
+    pairs = materialise(pairs.select("value", "term", "n_both", "n_value"), "pii-pairs")
+    counts = _document_counts(documents, pairs.select("term").distinct())
+    return pairs.join(counts, "term").groupBy("term").agg(F.max(pmi("n_term") / ic).alias("disclosure")).where(F.col("disclosure") >= at_least)
 
 
 def _document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -151,6 +197,7 @@ def _document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = np.sort(np.array([r[0] for r in terms.collect()], np.int64).view(np.uint64)) if size <= MAX_BROADCAST_TERMS else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(0 if wanted is None else len(wanted), np.int64)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
                 _, _, row, hashes = _terms(chunk)
@@ -162,7 +209,13 @@ def _document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
                 fresh = np.ones(len(row), bool)
                 fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
                 term, n = np.unique(hashes[fresh], return_counts=True)
+                if wanted is not None:
+                    held[np.searchsorted(wanted, term)] += n
+                    continue
                 yield pa.RecordBatch.from_pydict({"term": pa.array(term.view(np.int64), pa.int64()), "n": pa.array(n, pa.int64())})
+        seen = np.flatnonzero(held)
+        if len(seen):
+            yield pa.RecordBatch.from_pydict({"term": pa.array(wanted[seen].view(np.int64), pa.int64()), "n": pa.array(held[seen], pa.int64())})
 
     counted = documents.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n_term"))
     return counted if wanted is not None else counted.join(terms, "term", "left_semi")

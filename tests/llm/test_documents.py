@@ -292,6 +292,21 @@ def test_disclosing_terms(spark):
         pii.MAX_BROADCAST_TERMS = limit
 
 
+def test_disclosure_over_whole_documents(spark):
+    """A name far from the address, one after a run of 200 ideographs, and one beside a long word all disclose it."""
+    rng = random.Random(8)
+    rows = []
+    for i in range(300):
+        fill = lambda n: " ".join(f"common{rng.randrange(40)}" for _ in range(n))
+        text = fill(30)
+        if i % 30 == 0:
+            text = f"Zaphod {fill(40)} " + "\u4e2d" * (200 + i) + f" z@betel.example.com {'x' * (300 + i)} Trillian {fill(20)} Marvin"
+        rows.append((i, text))
+    spans = pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    flagged = {rows[r["doc_id"]][1][int(s.split(":")[1]) : int(s.split(":")[2])] for r in spans for s in r["spans"].split(",") if s.startswith("term")}
+    assert flagged == {"Zaphod", "Trillian", "Marvin"}
+
+
 def test_mixing(docs, none, labels):
     out = mixing.mixing_rates(docs, labels, {"low": 0.4, "high": 0.6})
     t = out.agg(F.sum(F.col("n_tokens") * F.col("rate") * F.col("p_low")), F.sum(F.col("n_tokens") * F.col("rate"))).first()
