@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -63,15 +64,21 @@ def _json_roundtrip(s: SparkSession, d: str) -> DataFrame:
 
 
 def _raw_scan(s: SparkSession, d: str) -> DataFrame:
-    raw = written(fx.raw_ocr(s, d), "raw-ocr")
+    path = f"{shared_folder(s)}/raw-ocr-{uuid.uuid4().hex}"
+    fx.raw_ocr(s, d).write.parquet(path)
+    raw = images.read_raw_ocr(s, path)
     return raw.groupBy("document_name", "variant").agg(F.count("*").alias("pages"), F.sum(F.size("rec_texts")).alias("n_texts"))
 
 
+def _png_files(s: SparkSession, d: str) -> str:
+    path = f"{shared_folder(s)}/png-{uuid.uuid4().hex}"
+    fx.write_png(_rasters(s, d), path)
+    return path
+
+
 def _png_scan(s: SparkSession, d: str) -> DataFrame:
     """Every card as a PNG file that Spark's image source reads back."""
-    path = f"{shared_folder(s)}/png-{d.rstrip('/').rsplit('/', 1)[-1]}-{s.sparkContext.applicationId}"
-    images.write_png(_rasters(s, d), path)
-    found = images.scan_images(s, path)
+    found = images.scan_images(s, _png_files(s, d))
     return found.select(F.regexp_extract("path", r"(\d+)\.png$", 1).cast("long").alias("image_id"), "height", "width", "n_channels", F.md5("data").alias("digest"))
 
 
@@ -120,8 +127,8 @@ def _bright_sql(q: o.Steps) -> str:
 
 
 def _combine_sql(q: o.Steps) -> str:
-    _bright_sql(q)
-    return f"SELECT {XY}, b.v & (255 - w.v) AS v FROM bright b JOIN {o.wood(q, 'card_part')} w USING ({XY})"
+    o.hsv(q, o.card_bgr(q))
+    return f"SELECT {XY}, (CASE WHEN r > 150 THEN 255 ELSE 0 END) & (255 - CASE WHEN {o.WOOD} THEN 255 ELSE 0 END) AS v FROM card_part_hsv"
 
 
 _register("mask_combine", _mask_combine, _combine_sql)
@@ -165,8 +172,8 @@ _register("canny_edges", lambda s, d: lines.canny_edges(pixels.to_gray(fx.card_b
 
 _register("blur_score", lambda s, d: stats.blur_score(fx.glyph(s, d)), lambda q: f"SELECT image_id, blur_score, is_blurry FROM {o.blur(q, o.glyph(q))}")
 _register("otsu_threshold", lambda s, d: stats.otsu_threshold(fx.glyph(s, d)), lambda q: f"SELECT image_id, t FROM {o.otsu(q, o.glyph(q))}")
-_register("clahe_lut", lambda s, d: stats.clahe_lut(fx.glyph(s, d), tiles=2), lambda q: f"SELECT image_id, ty, tx, v, lut FROM {o.clahe_lut(q, o.glyph(q), 2)}")
-_register("clahe_apply", lambda s, d: stats.clahe_apply(fx.glyph(s, d), tiles=2), lambda q: o.clahe(q, o.glyph(q), 2))
+_register("clahe_lut", lambda s, d: stats.clahe_lut(pixels.to_gray(fx.card_bgr(s, d, "supplier"))), lambda q: f"SELECT image_id, ty, tx, v, lut FROM {o.clahe_lut(q, o.gray(q, o.card_bgr(q, 'supplier')), 8)}")
+_register("clahe_apply", lambda s, d: stats.clahe_apply(fx.glyph(s, d)), lambda q: o.clahe(q, o.glyph(q), 8))
 _register("nlm_denoise", lambda s, d: denoise.nlm_denoise(fx.grid(s, d), template=3, search=5), lambda q: o.nlm(q, o.grid(q), 3, 5))
 
 # Regions.
@@ -264,7 +271,8 @@ _register(
 
 
 def _glyph_quality(s: SparkSession, d: str) -> DataFrame:
-    return pipelines.ocr_pipeline(fx.raw_ocr(s, d), fx.glyph_bgr(s, d))[2]
+    names = fx.table(s, d, "documents").select(F.col("doc_id").alias("image_id"), F.concat(F.lit("scan/"), "doc_id", F.lit(".png")).alias("path"))
+    return pipelines.named(pipelines.raw_quality(fx.glyph_bgr(s, d)), names)
 
 
 def _with_quality(s: SparkSession, d: str) -> DataFrame:
@@ -286,7 +294,7 @@ _register("ocr_with_quality", _with_quality, _quality_sql)
 
 def _pipeline_raw(s: SparkSession, d: str) -> DataFrame:
     """Blurry documents dropped: blocks of the rest with their document's quality."""
-    blocks, _, quality = pipelines.ocr_pipeline(fx.raw_ocr(s, d), fx.glyph_bgr(s, d), drop_blurry=True)
+    blocks, _, quality = pipelines.ocr_results(fx.raw_ocr(s, d), written(_glyph_quality(s, d), "quality"), drop_blurry=True)
     return blocks.join(quality, "document_name", "left").select("document_name", "variant", "block_idx", "text", "confidence", "blur_score", "preprocessing_applied")
 
 
@@ -297,7 +305,7 @@ def _pipeline_sql(q: o.Steps) -> str:
 
 
 _register("ocr_pipeline_raw", _pipeline_raw, _pipeline_sql)
-_register("ocr_pipeline_noquality", lambda s, d: _flat_documents(pipelines.ocr_pipeline(fx.raw_ocr(s, d), check_quality=False)[1]), lambda q: f"SELECT * FROM {_documents_sql(q)}")
+_register("ocr_pipeline_noquality", lambda s, d: _flat_documents(pipelines.ocr_results(fx.raw_ocr(s, d)).documents), lambda q: f"SELECT * FROM {_documents_sql(q)}")
 
 
 def _stub() -> Callable[[pd.DataFrame], pd.DataFrame]:
@@ -330,11 +338,59 @@ _register("correct_rotation", lambda s, d: pipelines.correct_rotation(fx.ruling(
 _register("adaptive_threshold", lambda s, d: pipelines.adaptive_threshold(fx.grid(s, d), 5), lambda q: o.adaptive(q, o.grid(q), 5))
 
 
-def _preprocess_sql(q: o.Steps) -> str:
+def _clean_sql(q: o.Steps) -> str:
     p = o.card_bgr(q, "supplier")
-    gray = o.gray(q, o.cropped(q, p, o.document_mask(q, p, SMALL), SMALL.margin))
-    clean = o.nlm(q, o.clahe(q, _rotation_sql(q, gray), SMALL.tiles), SMALL.template, SMALL.search)
-    return f"SELECT image_id, blur_score, is_blurry, true AS preprocessing_applied FROM {o.blur(q, clean)}"
+    cut = o.cropped(q, p, o.document_mask(q, p, SMALL), SMALL.margin)
+    edges = o.rect(q, o.canny(q, o.gray(q, cut)), 15, 3, "max")
+    geo = o.geometry(q, o.skew(q, edges, f"{cut}_gray", SMALL.votes, SMALL.min_length, SMALL.max_gap), f"{cut}_gray")
+    turned = q.add("turned", "SELECT * FROM " + o.rotated(q, cut, geo, "b") + " JOIN " + o.rotated(q, cut, geo, "g") + f" USING ({XY}) JOIN " + o.rotated(q, cut, geo, "r") + f" USING ({XY})")
+    return o.nlm(q, o.clahe(q, o.gray(q, turned), SMALL.tiles), SMALL.template, SMALL.search)
+
+
+def _preprocess_sql(q: o.Steps) -> str:
+    return f"SELECT image_id, blur_score, is_blurry, true AS preprocessing_applied FROM {o.blur(q, _clean_sql(q))}"
+
+
+def _preprocessed(s: SparkSession, d: str) -> pipelines.Preprocessed:
+    return pipelines.preprocess(fx.card_bgr(s, d, "supplier"), SMALL)
+
+
+_register("preprocess_quality", lambda s, d: _preprocessed(s, d).quality, _preprocess_sql)
+_register("preprocess_processed", lambda s, d: _preprocessed(s, d).processed, _clean_sql)
+_register("preprocess_binarized", lambda s, d: _preprocessed(s, d).binarized, lambda q: o.adaptive(q, _clean_sql(q), SMALL.background))
+_register("preprocess_ocr_ready", lambda s, d: _preprocessed(s, d).ocr_ready, lambda q: f"SELECT {XY}, v AS b, v AS g, v AS r FROM {_clean_sql(q)}")
+
+
+def _full_preprocess(s: SparkSession, d: str) -> DataFrame:
+    """Every part's card with the settings for photographs: the processed picture as a digest, its binarised one, its quality."""
+    found = pipelines.preprocess(fx.card_bgr(s, d))
+    digest = lambda df, name: images.pack_raster(pixels.gray_to_bgr(df)).select("image_id", F.md5("data").alias(name))
+    return found.quality.join(digest(found.processed, "processed"), "image_id").join(digest(found.binarized, "binarized"), "image_id")
+
+
+def _scanned_pipeline(s: SparkSession, d: str) -> DataFrame:
+    """Every card as a PNG file, scanned, preprocessed and recognised."""
+    found = pipelines.ocr_pipeline(images.scan_images(s, _png_files(s, d)), _stub, preprocess_images=True, name="stub")
+    rows = _flat_blocks(found.blocks).join(found.quality, "document_name")
+    return rows.withColumn("document_name", F.regexp_extract("document_name", r"[^/]+$", 0))
+
+
+_register("preprocess_full", _full_preprocess)
+_register("ocr_pipeline_preprocessed", _scanned_pipeline)
+
+
+def _tinted(s: SparkSession, d: str) -> DataFrame:
+    """Rules in colour."""
+    v = F.col("v")
+    return fx.ruling(s, d).select("image_id", "y", "x", v.alias("b"), F.floor(v / 2).cast("int").alias("g"), F.greatest(v - 60, F.lit(0)).alias("r"))
+
+
+def _rotation_bgr_sql(q: o.Steps) -> str:
+    o.ruling(q)
+    p = q.add("tinted", f"SELECT {XY}, v AS b, v // 2 AS g, greatest(v - 60, 0) AS r FROM ruling")
+    edges = o.rect(q, o.canny(q, o.gray(q, p)), 15, 3, "max")
+    geo = o.geometry(q, o.skew(q, edges, f"{p}_gray", SMALL.votes, SMALL.min_length, SMALL.max_gap), f"{p}_gray")
+    return f"SELECT {XY}, b, g, r FROM " + o.rotated(q, p, geo, "b") + " JOIN " + o.rotated(q, p, geo, "g") + f" USING ({XY}) JOIN " + o.rotated(q, p, geo, "r") + f" USING ({XY})"
 
 
-_register("preprocess_quality", lambda s, d: pipelines.preprocess(fx.card_bgr(s, d, "supplier"), SMALL)[3], _preprocess_sql)
+_register("correct_rotation_bgr", lambda s, d: pipelines.correct_rotation(_tinted(s, d), SMALL), _rotation_bgr_sql)

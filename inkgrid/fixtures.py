@@ -1,8 +1,14 @@
-"""Rasters and recognition output derived from the given tables, every row of them."""
+"""Rasters and recognition output derived from the given tables, every row of them, and PNG files to scan."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import struct
+import zlib
+from collections.abc import Iterator
+
+import numpy as np
+from pyarrow import fs
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid.functions.tables import by_image
@@ -75,3 +81,23 @@ def raw_ocr(spark: SparkSession, sf_dir: str) -> DataFrame:
     polys = F.when(k % 7 == 0, F.slice(polys, F.lit(1), F.greatest(F.size(polys) - 1, F.lit(0)))).otherwise(polys)
     pages = F.when(k % 5 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     return rows.select(F.concat(F.lit("scan/"), "doc_id", F.lit(".png")).alias("document_name"), "variant", F.explode(pages).alias("page"), F.col("lines").alias("rec_texts"), F.when(k % 13 != 0, score).alias("rec_scores"), polys.alias("dt_polys"))
+
+
+def _png(width: int, height: int, bgr: bytes) -> bytes:
+    rows = np.frombuffer(bgr, np.uint8).reshape(height, width, 3)[:, :, ::-1]
+    lines = np.concatenate([np.zeros((height, 1), np.uint8), rows.reshape(height, -1)], axis=1)
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+
+
+def write_png(images: DataFrame, path: str) -> None:
+    """One RGB PNG file an image, named by its id, written by the executors to a folder in any file system that Arrow knows (file, hdfs, s3, gs)."""
+
+    def write(rows: Iterator[Row]) -> None:
+        system, folder = fs.FileSystem.from_uri(path)
+        system.create_dir(folder, recursive=True)
+        for r in rows:
+            with system.open_output_stream(f"{folder}/{r['image_id']}.png") as out:
+                out.write(_png(r["width"], r["height"], bytes(r["data"])))
+
+    images.select("image_id", "width", "height", "data").foreachPartition(write)

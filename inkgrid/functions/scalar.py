@@ -3,24 +3,11 @@
 from __future__ import annotations
 
 import math
-from itertools import chain
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def div(a: Column, b: Column | int) -> Column:
-    """Integer quotient of non-negative longs."""
-    b = F.lit(b) if isinstance(b, int) else b
-    return F.floor(a / b).cast("int")
-
-
-def reflect101(i: Column, n: Column) -> Column:
-    """Index ``i`` reflected into ``0..n-1`` without repeating the edge."""
-    k = F.pmod(i, F.greatest(2 * (n - 1), F.lit(1)))
-    return F.when(n == 1, 0).when(k < n, k).otherwise(2 * (n - 1) - k)
-
-
 def rint2(x: Column) -> Column:
     """Two digits, half to even on ``x * 100``."""
     return F.rint(x * 100) / 100
@@ -55,11 +42,3 @@ def cubic_weights() -> list[list[int]]:
         q = [round(2048 * v) for v in w]
         out.append([*q, 2048 - sum(q)])
     return out
-
-
-def int_array(values: list[int]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
-
-
-def literal_map(pairs: list[tuple[int, int]]) -> Column:
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(pairs)])

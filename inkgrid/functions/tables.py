@@ -9,22 +9,32 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temp folder of our own only where it is unset (local tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a temp folder of our own only on a local master, where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="inkgrid-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, a lost executor costs nothing before it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(df: DataFrame) -> None:
+    """Remove a written table that nothing reads any more."""
+    spark = df.sparkSession
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def by_image(df: DataFrame) -> DataFrame:
     """Deal rows out by image, once: windows and group-bys by image, scanline or column then need no further exchange."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "image_id")

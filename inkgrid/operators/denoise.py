@@ -1,43 +1,42 @@
-"""Non-local means on gray images."""
+"""Non-local means on gray and colour images."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from inkgrid.functions.scalar import reflect101
+from inkgrid.functions.pictures import map_pictures, reflected
+
+
+def _means(v: np.ndarray, h: float, template: int, search: int) -> np.ndarray:
+    """One pass for each offset of the search window: squared differences of shifted pictures, summed over patches by running sums."""
+    height, width = v.shape
+    t, r = template // 2, search // 2
+    down, across = (reflected(np.arange(-r - t, n + r + t), n) for n in (height, width))
+    wide = v[np.ix_(down, across)].astype(np.int64)
+    own = wide[r : r + height + 2 * t, r : r + width + 2 * t]
+    total, weight = np.zeros((height, width)), np.zeros((height, width))
+    for dy in range(search):
+        for dx in range(search):
+            other = wide[dy : dy + height + 2 * t, dx : dx + width + 2 * t]
+            sums = np.zeros((own.shape[0] + 1, own.shape[1] + 1), np.int64)
+            np.cumsum(np.cumsum((own - other) ** 2, axis=0), axis=1, out=sums[1:, 1:])
+            square = sums[template:, template:] - sums[:-template, template:] - sums[template:, :-template] + sums[:-template, :-template]
+            w = np.exp(-(square / (template * template)) / (h * h))
+            w[w < 0.001] = 0
+            weight += w
+            total += w * other[t : t + height, t : t + width]
+    return np.rint(total / weight)
 
 
 def nlm_denoise(pixels: DataFrame, h: float = 7.0, template: int = 7, search: int = 21) -> DataFrame:
     """Mean of the search window, weighted by the likeness of patches; borders reflected.
 
-    An image is one array row, so the ``search ** 2`` comparisons of a pixel are reads within the
-    row: no offset table is joined and nothing is shuffled by pixel. Memory a row is one image;
-    cost is pixels times ``search ** 2 * template ** 2``.
+    A picture takes ``search ** 2`` steps over its pixels, whatever the patch, and some arrays of its size.
     """
-    packed = pixels.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("px"), (F.max("y") + 1).alias("rows"), (F.max("x") + 1).alias("cols"))
-    each = packed.select("image_id", "px", "rows", "cols", F.posexplode("px").alias("i", "v")).withColumn("y", F.floor(F.col("i") / F.col("cols")).cast("int")).withColumn("x", (F.col("i") % F.col("cols")).cast("int"))
-
-    def at(y, x):  # noqa: ANN001, ANN202
-        return F.get("px", reflect101(y, F.col("rows")) * F.col("cols") + reflect101(x, F.col("cols")))
-
-    t, r = template // 2, search // 2
-    patch = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-t, t + 1) for b in range(-t, t + 1)])
-    window = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(-r, r + 1) for b in range(-r, r + 1)])
-    own = each.withColumn("own", F.transform(patch, lambda p: at(F.col("y") + p["a"], F.col("x") + p["b"])))
-
-    def weigh(d):  # noqa: ANN001, ANN202
-        other = F.transform(patch, lambda p: at(F.col("y") + d["a"] + p["a"], F.col("x") + d["b"] + p["b"]))
-        square = F.aggregate(F.zip_with("own", other, lambda m, n: (m - n) * (m - n)), F.lit(0), lambda s, e: s + e)
-        w = F.exp(-(square / (template * template)) / F.lit(h * h))
-        return F.struct(F.when(w < 0.001, 0.0).otherwise(w).alias("w"), at(F.col("y") + d["a"], F.col("x") + d["b"]).alias("v"))
-
-    sums = own.withColumn("s", F.aggregate(F.transform(window, weigh), F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("t")), lambda s, e: F.struct((s["n"] + e["w"]).alias("n"), (s["t"] + e["w"] * e["v"]).alias("t"))))
-    return sums.select("image_id", "y", "x", F.rint(F.col("s.t") / F.col("s.n")).cast("int").alias("v"))
+    return map_pictures(pixels, lambda v: _means(v, h, template, search))
 
 
-def nlm_denoise_bgr(bgr: DataFrame, h: float = 7.0, template: int = 7, search: int = 21) -> DataFrame:
-    """The gray operator on each channel."""
-    key = ["image_id", "y", "x"]
-    parts = [nlm_denoise(bgr.select(*key, F.col(c).alias("v")), h, template, search).withColumnRenamed("v", c) for c in "bgr"]
-    return parts[0].join(parts[1], key).join(parts[2], key)
+def nlm_denoise_bgr(bgr: DataFrame, h: float = 10.0, template: int = 7, search: int = 21) -> DataFrame:
+    """The gray operator on each channel, in one pass over the pictures."""
+    return map_pictures(bgr, lambda *channels: tuple(_means(v, h, template, search) for v in channels), ("b", "g", "r"))

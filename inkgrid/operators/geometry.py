@@ -1,11 +1,14 @@
-"""Rotation with a canvas that grows: geometry as a projection, resampling as one gather join."""
+"""Rotation with a canvas that grows: geometry as a projection, resampling as a gather picture by picture."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.functions.scalar import cubic_weights, int_array
+from inkgrid.functions.pictures import KEY, layout, plane, rows_of
+from inkgrid.functions.scalar import cubic_weights
 
 #: Fraction bits of the rotation's sine and cosine; all later arithmetic is in integers.
 UNIT = 1 << 20
@@ -26,40 +29,36 @@ def rotation_geometry(skew: DataFrame, sizes: DataFrame) -> DataFrame:
 def rotate_gather(pixels: DataFrame, geometry: DataFrame) -> DataFrame:
     """Every target pixel from sixteen source pixels, cubic weights at 32nds of a pixel, the border repeated; exact integers.
 
-    An image is one array row on either side of one join, and its target is computed inside the row,
-    so no pixel is shuffled twice; memory a row is one image.
+    All columns beside the place are turned, gray or colour. A picture and its row of geometry meet in
+    one task; memory is one image, some scanlines of the target at a time.
     """
-    packed = pixels.groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "v"))), lambda p: p["v"]).alias("px"))
-    h, w, c, s, nw = F.col("height"), F.col("width"), F.col("c"), F.col("s"), F.col("new_w")
-    cx, cy = F.floor(w / 2), F.floor(h / 2)
-    place = lambda a, centre: F.floor((16 * a + centre * 32 * UNIT + UNIT // 2) / UNIT).cast("long")
+    columns = [c for c in pixels.columns if c not in KEY]
+    weights = np.array(cubic_weights(), np.int64)
 
-    def source(i: Column) -> Column:
+    def run(table: pa.Table, g: pa.Table) -> pa.Table:
+        if not table.num_rows or not g.num_rows:
+            return pa.table({f.name: pa.array([], f.type) for f in table.select([*KEY, *columns]).schema})
+        place, h, w = layout(table)
+        c, s, nw, nh = (g[n][0].as_py() for n in ("c", "s", "new_w", "new_h"))
+        cx, cy = w // 2, h // 2
+        sources = [plane(table, n, place, h, w).astype(np.int64) for n in columns]
+        out = [np.empty((nh, nw), np.int64) for _ in columns]
         # Twice the offsets from the canvas centre, so that halves stay whole.
-        dx = 2 * (i % nw) - (nw - w) - 2 * cx
-        dy = 2 * F.floor(i / nw) - (F.col("new_h") - h) - 2 * cy
-        return F.struct(place(c * dx - s * dy, cx).alias("x"), place(s * dx + c * dy, cy).alias("y"))
-
-    def split(at: Column) -> Column:
-        low = lambda a: F.floor(a / 32).cast("int")
-        part = lambda a: F.pmod(a, F.lit(32)).cast("int")
-        return F.struct(low(at["x"]).alias("x"), low(at["y"]).alias("y"), F.get(table, part(at["x"])).alias("wx"), F.get(table, part(at["y"])).alias("wy"))
-
-    table = F.array(*[int_array(r) for r in cubic_weights()])
-    clamp = lambda i, n: F.greatest(F.lit(0), F.least(i, n - 1))
-
-    def value(t: Column) -> Column:
-        total = None
-        for j in range(4):
-            row = clamp(t["y"] + (j - 1), h) * w
-            line = None
-            for i in range(4):
-                tap = F.get(t["wx"], F.lit(i)).cast("long") * F.get("px", row + clamp(t["x"] + (i - 1), w))
-                line = tap if line is None else line + tap
-            part = F.get(t["wy"], F.lit(j)) * line
-            total = part if total is None else total + part
-        return F.greatest(F.lit(0), F.least(F.lit(255), F.floor((total + (1 << 21)) / (1 << 22)).cast("int")))
+        dx = 2 * np.arange(nw, dtype=np.int64)[None, :] - (nw - w) - 2 * cx
+        at = lambda a, centre: (16 * a + centre * 32 * UNIT + UNIT // 2) // UNIT
+        for low in range(0, nh, 256):
+            dy = 2 * np.arange(low, min(low + 256, nh), dtype=np.int64)[:, None] - (nh - h) - 2 * cy
+            x, y = at(c * dx - s * dy, cx), at(s * dx + c * dy, cy)
+            wx, wy, x, y = weights[x % 32], weights[y % 32], x // 32, y // 32
+            columns_at = [np.clip(x + i - 1, 0, w - 1) for i in range(4)]
+            for source, target in zip(sources, out, strict=True):
+                total = np.zeros(x.shape, np.int64)
+                for j in range(4):
+                    row = np.clip(y + j - 1, 0, h - 1)
+                    total += wy[..., j] * sum(wx[..., i] * source[row, columns_at[i]] for i in range(4))
+                target[low : low + 256] = np.clip((total + (1 << 21)) >> 22, 0, 255)
+        return rows_of(table["image_id"][0], dict(zip(columns, out, strict=True)))
 
-    places = F.transform(F.sequence(F.lit(0), nw * F.col("new_h") - 1), source)
-    out = geometry.join(packed, "image_id").select("image_id", "new_w", F.posexplode(F.transform(F.transform(places, split), value)).alias("i", "v"))
-    return out.select("image_id", F.expr("cast(i div new_w as int)").alias("y"), (F.col("i") % F.col("new_w")).alias("x"), "v")
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    schema = f"image_id {kind}, y int, x int, " + ", ".join(f"{c} int" for c in columns)
+    return pixels.select(*KEY, *columns).groupBy("image_id").cogroup(geometry.select(F.col("image_id").alias("turned"), "c", "s", "new_w", "new_h").groupBy("turned")).applyInArrow(run, schema)

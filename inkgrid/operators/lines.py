@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.functions.pictures import layout, plane
 from inkgrid.functions.scalar import trig_table
 from inkgrid.operators.neighborhood import sobel, thin_edges
 from inkgrid.operators.regions import keep_strong
@@ -15,35 +18,59 @@ def canny_edges(pixels: DataFrame, low: int = 50, high: int = 150) -> DataFrame:
     return keep_strong(thin_edges(sobel(pixels)), low, high)
 
 
-def _votes(mask: DataFrame) -> DataFrame:
-    """One row for each lit pixel and degree, with the pixel's distance to the origin along it (an explode of 180 constants, no join)."""
-    angles = F.array(*[F.struct(F.lit(t).alias("theta"), F.lit(c).alias("c"), F.lit(s).alias("s")) for t, c, s in trig_table()])
-    return mask.where("v > 0").select("image_id", "y", "x", F.explode(angles).alias("a")).select("image_id", "y", "x", "a.theta", F.expr("cast(floor((x * a.c + y * a.s + 8192) / 16384) as int)").alias("rho"), F.expr("cast(floor((y * a.c - x * a.s) / 16384) as int)").alias("pos"))
+def _cast(mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Lit pixels, and by angle and pixel the distance of its line to the origin and its place along the line."""
+    y, x = (a.astype(np.int64) for a in np.nonzero(mask > 0))
+    _, c, s = (np.array(a, np.int64)[:, None] for a in zip(*trig_table(), strict=True))
+    return y, x, (x * c + y * s + 8192) // 16384, (y * c - x * s) // 16384
+
+
+def _peaks(rho: np.ndarray, threshold: int) -> np.ndarray:
+    """Angle, distance and votes of the accumulator's local maxima."""
+    if not rho.size:
+        return np.zeros((0, 3), np.int64)
+    low, n = int(rho.min()) - 1, int(rho.max() - rho.min()) + 3
+    angles = np.arange(len(rho))[:, None]
+    votes = np.bincount(((angles + 1) * n + rho - low).ravel(), minlength=(len(rho) + 2) * n).reshape(-1, n)
+    own = votes[1:-1, 1:-1]
+    top = (own >= threshold) & (own > votes[1:-1, :-2]) & (own > votes[:-2, 1:-1]) & (own >= votes[1:-1, 2:]) & (own >= votes[2:, 1:-1])
+    theta, at = np.nonzero(top)
+    return np.stack([theta, at + low + 1, own[theta, at]], axis=1)
 
 
 def hough_votes(mask: DataFrame, threshold: int = 100) -> DataFrame:
-    """Local maxima of the accumulator with at least ``threshold`` votes: image_id, theta, rho, n."""
-    counts = _votes(mask).groupBy("image_id", "theta", "rho").agg(F.count("*").alias("n"))
-    line, angle = Window.partitionBy("image_id", "theta").orderBy("rho"), Window.partitionBy("image_id", "rho").orderBy("theta")
+    """Local maxima of the accumulator with at least ``threshold`` votes: image_id, theta, rho, n.
+
+    The accumulator of one picture, 180 times its diagonal, stands in one task.
+    """
 
-    def beside(window, column: str, shift) -> F.Column:  # noqa: ANN001
-        step = -1 if shift is F.lag else 1
-        return F.coalesce(F.when(shift(column).over(window) == F.col(column) + step, shift("n").over(window)), F.lit(0))
+    def run(table: pa.Table) -> pa.Table:
+        found = _peaks(_cast(plane(table, "v", *layout(table)))[2], threshold)
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], len(found)), "theta": found[:, 0].astype(np.int32), "rho": found[:, 1].astype(np.int32), "n": found[:, 2]})
 
-    near = counts.withColumn("left", beside(line, "rho", F.lag)).withColumn("right", beside(line, "rho", F.lead)).withColumn("lower", beside(angle, "theta", F.lag)).withColumn("upper", beside(angle, "theta", F.lead))
-    return near.where((F.col("n") >= threshold) & (F.col("n") > F.col("left")) & (F.col("n") > F.col("lower")) & (F.col("n") >= F.col("right")) & (F.col("n") >= F.col("upper"))).select("image_id", "theta", "rho", "n")
+    kind = mask.schema["image_id"].dataType.simpleString()
+    return mask.groupBy("image_id").applyInArrow(run, f"image_id {kind}, theta int, rho int, n long")
 
 
 def line_segments(mask: DataFrame, threshold: int = 100, min_length: int = 100, max_gap: int = 10) -> DataFrame:
     """Segments on the accumulator's peaks: pixels of a line in order, cut where they lie more than ``max_gap`` apart; x1 <= x2."""
-    on = ["image_id", "theta", "rho"]
-    # Scans of masks look tiny to the planner and votes are many: the peaks are the side to build.
-    placed = _votes(mask).join(hough_votes(mask, threshold).select(*on).hint("shuffle_hash"), on)
-    order = Window.partitionBy(*on).orderBy("pos", "y", "x")
-    cut = placed.withColumn("cut", F.when(F.col("pos") - F.lag("pos").over(order) > max_gap, 1).otherwise(0))
-    cut = cut.withColumn("island", F.sum("cut").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    ends = cut.groupBy(*on, "island").agg(F.min(F.struct("x", "y")).alias("a"), F.max(F.struct("x", "y")).alias("b"), (F.max("pos") - F.min("pos")).alias("long"))
-    return ends.where(F.col("long") >= min_length).select("image_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x, rho, pos = _cast(plane(table, "v", *layout(table)))
+        ends: list[tuple[int, ...]] = []
+        for theta, distance, _ in _peaks(rho, threshold).tolist():
+            on = np.flatnonzero(rho[theta] == distance)
+            on = on[np.lexsort((x[on], y[on], pos[theta, on]))]
+            p = pos[theta, on]
+            for part in np.split(on, np.flatnonzero(np.diff(p) > max_gap) + 1):
+                if pos[theta, part[-1]] - pos[theta, part[0]] >= min_length:
+                    places = sorted(((int(x[i]), int(y[i])) for i in (part[np.lexsort((y[part], x[part]))][[0, -1]])))
+                    ends.append((*places[0], *places[-1]))
+        found = np.array(ends, np.int32).reshape(-1, 4)
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], len(found)), **{c: found[:, i] for i, c in enumerate(("x1", "y1", "x2", "y2"))}})
+
+    kind = mask.schema["image_id"].dataType.simpleString()
+    return mask.groupBy("image_id").applyInArrow(run, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int")
 
 
 def skew_angle(segments: DataFrame, images: DataFrame) -> DataFrame:

@@ -1,11 +1,13 @@
-"""Neighbourhood operators as window functions over scanlines and columns of dense grids."""
+"""Neighbourhood operators on dense grids: windows over scanlines and columns for neighbours of one step, arrays for wide kernels."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from inkgrid.functions.scalar import ellipse_half_widths, gaussian_weights, int_array, reflect101
+from inkgrid.functions.pictures import map_pictures, reflected, slide
+from inkgrid.functions.scalar import ellipse_half_widths, gaussian_weights
 
 KEY = ("image_id", "y", "x")
 
@@ -59,58 +61,63 @@ def thin_edges(gradients: DataFrame) -> DataFrame:
 
 
 def gaussian_blur(pixels: DataFrame, k: int = 51) -> DataFrame:
-    """Separable blur in exact integers: scanlines, then columns, as arrays under a higher-order function.
+    """Separable blur in exact integers, scanlines before columns; borders reflected, other columns kept."""
+    weights = gaussian_weights(k)
 
-    Memory a row is one scanline or column of one image.
-    """
-    weights = int_array(gaussian_weights(k))
-
-    def along(df: DataFrame, line: str, place: str) -> DataFrame:
-        packed = df.groupBy("image_id", line).agg(F.array_sort(F.collect_list(F.struct(place, "v"))).alias("px"))
-        packed = packed.select("image_id", line, F.transform("px", lambda p: p["v"]).alias("px"), F.size("px").alias("n"))
-
-        def at(i: Column) -> Column:
-            taps = F.zip_with(weights, F.sequence(i - k // 2, i + (k - 1 - k // 2)), lambda w, j: w * F.get(F.col("px"), reflect101(j, F.col("n"))))
-            return F.floor((F.aggregate(taps, F.lit(0), lambda s, x: s + x) + 32768) / 65536).cast("int")
-
-        return packed.select("image_id", line, F.posexplode(F.transform(F.sequence(F.lit(0), F.col("n") - 1), at)).alias(place, "v"))
+    def along(a: np.ndarray) -> np.ndarray:
+        n = a.shape[1]
+        padded = a[:, reflected(np.arange(-(k // 2), n + k - 1 - k // 2), n)].astype(np.int64)
+        return sum(w * padded[:, i : i + n] for i, w in enumerate(weights)) + 32768 >> 16
 
-    return along(along(pixels, "y", "x"), "x", "y").select(*KEY, "v")
+    return map_pictures(pixels, lambda v: along(along(v).T).T)
 
 
-def _rect(pixels: DataFrame, kw: int, kh: int, pick) -> DataFrame:  # noqa: ANN001
-    across, down = scanline().rowsBetween(-(kw // 2), kw - 1 - kw // 2), column().rowsBetween(-(kh // 2), kh - 1 - kh // 2)
-    return pixels.withColumn("v", pick("v").over(across)).withColumn("v", pick("v").over(down))
+def _rect(a: np.ndarray, kw: int, kh: int, highest: bool) -> np.ndarray:
+    return slide(slide(a, kw // 2, kw - 1 - kw // 2, 1, highest), kh // 2, kh - 1 - kh // 2, 0, highest)
 
 
 def dilate(pixels: DataFrame, kw: int, kh: int) -> DataFrame:
     """Largest value in a rectangle anchored at ``k // 2``; pixels outside the image do not count."""
-    return _rect(pixels, kw, kh, F.max)
+    return map_pictures(pixels, lambda v: _rect(v, kw, kh, True))
 
 
 def erode(pixels: DataFrame, kw: int, kh: int) -> DataFrame:
-    return _rect(pixels, kw, kh, F.min)
+    return map_pictures(pixels, lambda v: _rect(v, kw, kh, False))
 
 
 def morph_close(pixels: DataFrame, kw: int = 35, kh: int = 35) -> DataFrame:
-    return erode(dilate(pixels, kw, kh), kw, kh)
+    return map_pictures(pixels, lambda v: _rect(_rect(v, kw, kh, True), kw, kh, False))
 
 
 def morph_open(pixels: DataFrame, kw: int = 20, kh: int = 20) -> DataFrame:
-    return dilate(erode(pixels, kw, kh), kw, kh)
+    return map_pictures(pixels, lambda v: _rect(_rect(v, kw, kh, False), kw, kh, True))
+
+
+def _ellipse(a: np.ndarray, k: int, highest: bool) -> np.ndarray:
+    """An ellipse is a stack of rows: one horizontal pass for each width, then one shifted read for each row."""
+    pick, least = (np.maximum, np.iinfo(np.int32).min) if highest else (np.minimum, np.iinfo(np.int32).max)
+    widths, height = ellipse_half_widths(k), a.shape[0]
+    lines = {d: slide(a, d, d, 1, highest) for d in set(widths)}
+    out = np.full_like(a, least)
+    for i, d in enumerate(widths):
+        down = i - k // 2
+        low, high = max(0, -down), min(height, height - down)
+        if low < high:
+            out[low:high] = pick(out[low:high], lines[d][low + down : high + down])
+    return out
+
+
+def background_kernel(height: int, width: int, least: int = 51) -> int:
+    """Odd, a tenth of the longer side, ``least`` at least."""
+    k = max(height, width) // 10
+    return max(k if k % 2 else k + 1, least)
 
 
-def _ellipse(pixels: DataFrame, k: int, highest: bool) -> DataFrame:
-    """An ellipse is a stack of rows: one horizontal window for each width, then one shifted read for each row."""
-    widths = ellipse_half_widths(k)
-    pick, join = (F.max, F.greatest) if highest else (F.min, F.least)
-    for d in sorted(set(widths)):
-        pixels = pixels.withColumn(f"w{d}", pick("v").over(scanline().rowsBetween(-d, d)))
-    rows = [F.lag(f"w{d}", k // 2 - i).over(column()) for i, d in enumerate(widths)]
-    value = join(*rows) if len(rows) > 1 else F.col("w0")
-    return pixels.withColumn("v", value).drop(*[f"w{d}" for d in set(widths)])
+def morph_close_ellipse(pixels: DataFrame, k: int | None = 51) -> DataFrame:
+    """Closing with a ``k`` by ``k`` ellipse (odd ``k``): an estimate of the background. Without ``k`` each picture gets its own by its size."""
 
+    def change(v: np.ndarray) -> np.ndarray:
+        own = k or background_kernel(*v.shape)
+        return _ellipse(_ellipse(v, own, True), own, False)
 
-def morph_close_ellipse(pixels: DataFrame, k: int = 51) -> DataFrame:
-    """Closing with a ``k`` by ``k`` ellipse (odd ``k``): an estimate of the background."""
-    return _ellipse(_ellipse(pixels, k, True), k, False)
+    return map_pictures(pixels, change)

@@ -10,9 +10,13 @@ KEY = ("image_id", "y", "x")
 WOOD = ((5, 25, 40), (35, 200, 220))
 
 
-def to_gray(bgr: DataFrame) -> DataFrame:
+def luma() -> Column:
     """Integer luma of blue, green and red."""
-    return bgr.select(*KEY, F.expr("cast((299 * r + 587 * g + 114 * b + 500) div 1000 as int)").alias("v"))
+    return F.expr("cast((299 * r + 587 * g + 114 * b + 500) div 1000 as int)")
+
+
+def to_gray(bgr: DataFrame) -> DataFrame:
+    return bgr.select(*KEY, luma().alias("v"))
 
 
 def gray_to_bgr(pixels: DataFrame) -> DataFrame:

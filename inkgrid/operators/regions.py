@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrid.functions.components import components
-from inkgrid.functions.tables import written
-
 
 def row_runs(mask: DataFrame) -> DataFrame:
     """Maximal horizontal runs of non-zero pixels: image_id, y, x1, x2."""
@@ -16,20 +15,44 @@ def row_runs(mask: DataFrame) -> DataFrame:
     return lit.withColumn("island", island).groupBy("image_id", "y", "island").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).drop("island")
 
 
+def _labels(y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+    """For each of a picture's runs, ordered by (y, x1), the first run of its component.
+
+    Runs of neighbouring scanlines touch if they overlap by one pixel or meet at a corner; roots that
+    touch are hooked to the smaller one until nothing changes.
+    """
+    wide = int(x2.max()) + 3
+    low = np.searchsorted(y * wide + x2 + 1, (y + 1) * wide + x1, "left")
+    high = np.searchsorted(y * wide + x1, (y + 1) * wide + x2 + 1, "right")
+    n = np.maximum(high - low, 0)
+    a = np.repeat(np.arange(len(y)), n)
+    b = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(len(a))
+    label = np.arange(len(y))
+    while True:
+        one, two = label[a], label[b]
+        apart = one != two
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def connected_runs(runs: DataFrame) -> DataFrame:
     """Runs with the id of their 8-connected component: image_id, y, x1, x2, comp_y, comp_x (its first run).
 
-    Runs of neighbouring scanlines touch if their intervals overlap by one pixel or meet at a
-    corner. Run ids pack image (31 bits), y and x1 (16 bits each), so images are up to 65535 wide.
+    A component never leaves its picture, so the runs of one picture are labelled in one task.
     """
-    node = F.shiftleft(F.col("image_id").cast("long"), 32) + F.shiftleft(F.col("y").cast("long"), 16) + F.col("x1")
-    runs = written(runs.withColumn("node", node), "runs")
-    above, below = runs.alias("p"), runs.alias("q")
-    touching = (F.col("p.image_id") == F.col("q.image_id")) & (F.col("p.y") + 1 == F.col("q.y")) & (F.col("p.x1") <= F.col("q.x2") + 1) & (F.col("q.x1") <= F.col("p.x2") + 1)
-    edges = above.join(below, touching).select(F.col("p.node").alias("a"), F.col("q.node").alias("b"))
-    label = F.coalesce("component", "node")
-    named = runs.join(components(edges), "node", "left").withColumn("c", label)
-    return named.select("image_id", "y", "x1", "x2", F.shiftright(F.col("c"), 16).bitwiseAND(0xFFFF).cast("int").alias("comp_y"), F.col("c").bitwiseAND(0xFFFF).cast("int").alias("comp_x"))
+
+    def run(table: pa.Table) -> pa.Table:
+        y, x1, x2 = (table[c].to_numpy().astype(np.int64) for c in ("y", "x1", "x2"))
+        order = np.lexsort((x1, y))
+        first = np.empty(len(y), np.int64)
+        first[order] = order[_labels(y[order], x1[order], x2[order])]
+        return table.append_column("comp_y", pa.array(y[first].astype(np.int32))).append_column("comp_x", pa.array(x1[first].astype(np.int32)))
+
+    kind = runs.schema["image_id"].dataType.simpleString()
+    return runs.select("image_id", "y", "x1", "x2").groupBy("image_id").applyInArrow(run, f"image_id {kind}, y int, x1 int, x2 int, comp_y int, comp_x int")
 
 
 def connected_components(mask: DataFrame) -> DataFrame:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from inkgrid.functions.scalar import reflect101, rint2
+from inkgrid.functions.pictures import layout, map_pictures, plane, reflected
+from inkgrid.functions.scalar import rint2
 from inkgrid.operators.neighborhood import laplacian
 
-KEY = ("image_id", "y", "x")
-
 
 def blur_score(pixels: DataFrame, threshold: float = 100.0) -> DataFrame:
     """Population variance of the Laplacian from exact integer sums; blurry strictly below the threshold, on the raw score."""
@@ -34,49 +35,49 @@ def extents(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
 
-def _ceil(a: Column, b: int) -> Column:
-    return F.ceil(a / b).cast("int")
+def _tables(v: np.ndarray, clip: float, tiles: int) -> np.ndarray:
+    """Look-up tables of a picture's tiles: one row of 256 for each, row by row.
+
+    The picture is padded to whole tiles by reflection. Bins above the clip limit give their excess
+    to all bins alike, and what is left to every ``s``-th bin.
+    """
+    height, width = -(-v.shape[0] // tiles), -(-v.shape[1] // tiles)
+    down, across = np.arange(height * tiles), np.arange(width * tiles)
+    padded = v[np.ix_(reflected(down, v.shape[0]), reflected(across, v.shape[1]))]
+    tile = (down // height)[:, None] * tiles + (across // width)[None, :]
+    counts = np.bincount((tile * 256 + padded).ravel(), minlength=tiles * tiles * 256).reshape(-1, 256)
+    limit = max(1, int(clip * (height * width) / 256))
+    excess = np.maximum(counts - limit, 0).sum(1, keepdims=True)
+    left, bins = excess % 256, np.arange(256)
+    step = np.maximum(256 // np.maximum(left, 1), 1)
+    level = np.minimum(counts, limit) + excess // 256 + ((left > 0) & (bins % step == 0) & (bins // step < left))
+    return np.minimum(255, np.rint(np.cumsum(level, axis=1) * 255 / (height * width))).astype(np.int32)
 
 
 def clahe_lut(pixels: DataFrame, clip: float = 1.5, tiles: int = 8) -> DataFrame:
-    """Look-up table of every tile: image_id, ty, tx, v, lut.
+    """Look-up table of every tile: image_id, ty, tx, v, lut."""
 
-    Images are padded to whole tiles by reflection. Bins above the clip limit give their excess to
-    all bins alike, and what is left to every ``s``-th bin.
-    """
-    sized = pixels.join(extents(pixels), "image_id")
-    tw, th = _ceil(F.col("width"), tiles), _ceil(F.col("height"), tiles)
-    # Padding as copies: the source column of each padded place, found from the pixel's side.
-    places = lambda at, n, size: F.filter(F.sequence(F.lit(0), size * tiles - 1), lambda i: reflect101(i, n) == at)
-    copies = sized.withColumn("px", F.explode(places(F.col("x"), F.col("width"), tw))).withColumn("py", F.explode(places(F.col("y"), F.col("height"), th)))
-    bins = copies.groupBy("image_id", F.floor(F.col("py") / th).cast("int").alias("ty"), F.floor(F.col("px") / tw).cast("int").alias("tx"), (tw * th).alias("area"), "v").agg(F.count("*").cast("int").alias("c"))
-    packed = bins.groupBy("image_id", "ty", "tx", "area").agg(F.map_from_entries(F.collect_list(F.struct("v", "c"))).alias("m"))
-    limit = F.greatest(F.lit(1), F.floor(F.lit(clip) * F.col("area") / 256).cast("int"))
-    all_bins = packed.select("image_id", "ty", "tx", "area", limit.alias("lim"), F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(255)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0)))).alias("v", "c"))
-    tile = Window.partitionBy("image_id", "ty", "tx")
-    excess = all_bins.withColumn("e", F.sum(F.greatest(F.col("c") - F.col("lim"), F.lit(0))).over(tile))
-    left = F.col("e") % 256
-    step = F.greatest(F.floor(256 / F.greatest(left, F.lit(1))), F.lit(1))
-    extra = F.when((left > 0) & (F.col("v") % step == 0) & (F.col("v") / step < left), 1).otherwise(0)
-    level = F.least("c", "lim") + F.floor(F.col("e") / 256) + extra
-    cdf = F.sum(level).over(tile.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    return excess.select("image_id", "ty", "tx", "v", F.least(F.lit(255), F.rint(cdf * 255 / F.col("area")).cast("int")).alias("lut"))
+    def run(table: pa.Table) -> pa.Table:
+        lut = _tables(plane(table, "v", *layout(table)), clip, tiles)
+        tile, v = np.divmod(np.arange(lut.size, dtype=np.int32), np.int32(256))
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], lut.size), "ty": tile // np.int32(tiles), "tx": tile % np.int32(tiles), "v": v, "lut": lut.ravel()})
+
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return pixels.groupBy("image_id").applyInArrow(run, f"image_id {kind}, ty int, tx int, v int, lut int")
 
 
 def clahe_apply(pixels: DataFrame, clip: float = 1.5, tiles: int = 8) -> DataFrame:
-    """Every pixel through the tables of its four nearest tiles, mixed by distance; the image's tables ride along as one array."""
-    lut = clahe_lut(pixels, clip, tiles).groupBy("image_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("ty", "tx", "v", "lut"))), lambda p: p["lut"]).alias("luts"))
-    joined = pixels.join(extents(pixels), "image_id").join(lut, "image_id")
-
-    def axis(at: Column, n: Column) -> tuple[Column, Column, Column]:
-        f = at / _ceil(n, tiles) - 0.5
-        low = F.floor(f)
-        inside = lambda i: F.greatest(F.lit(0), F.least(F.lit(tiles - 1), i)).cast("int")
-        return inside(low), inside(low + 1), f - low
-
-    x1, x2, fx = axis(F.col("x"), F.col("width"))
-    y1, y2, fy = axis(F.col("y"), F.col("height"))
-    at = lambda ty, tx: F.get("luts", (ty * tiles + tx) * 256 + F.col("v"))
-    top = at(y1, x1) * (1 - fx) + at(y1, x2) * fx
-    bottom = at(y2, x1) * (1 - fx) + at(y2, x2) * fx
-    return joined.select(*KEY, F.rint(top * (1 - fy) + bottom * fy).cast("int").alias("v"))
+    """Every pixel through the tables of its four nearest tiles, mixed by distance."""
+
+    def axis(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = np.arange(n) / -(-n // tiles) - 0.5
+        low = np.floor(f).astype(int)
+        return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), f - low
+
+    def change(v: np.ndarray) -> np.ndarray:
+        lut = _tables(v, clip, tiles)
+        (y1, y2, fy), (x1, x2, fx) = axis(v.shape[0]), axis(v.shape[1])
+        line = lambda y: lut[y[:, None] * tiles + x1, v] * (1 - fx) + lut[y[:, None] * tiles + x2, v] * fx
+        return np.rint(line(y1) * (1 - fy)[:, None] + line(y2) * fy[:, None])
+
+    return map_pictures(pixels, change)

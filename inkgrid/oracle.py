@@ -75,13 +75,16 @@ def hsv(q: Steps, p: str) -> str:
     q.add(f"{p}_mm", f"SELECT *, greatest(b, g, r) AS hi, least(b, g, r) AS lo FROM {p}")
     q.add(f"{p}_deg", f"""SELECT *, CASE WHEN hi = lo THEN 0.0::DOUBLE WHEN hi = r THEN 60 * (g - b) / (hi - lo)::DOUBLE
       WHEN hi = g THEN 120 + 60 * (b - r) / (hi - lo)::DOUBLE ELSE 240 + 60 * (r - g) / (hi - lo)::DOUBLE END AS d FROM {p}_mm""")
-    return q.add(f"{p}_hsv", f"""SELECT image_id, y, x, (floor((CASE WHEN d < 0 THEN d + 360 ELSE d END) / 2 + 0.5)::INTEGER % 180)::INTEGER AS h,
+    return q.add(f"{p}_hsv", f"""SELECT image_id, y, x, r, (floor((CASE WHEN d < 0 THEN d + 360 ELSE d END) / 2 + 0.5)::INTEGER % 180)::INTEGER AS h,
       (CASE WHEN hi = 0 THEN 0 ELSE floor(255 * (hi - lo)::DOUBLE / hi + 0.5) END)::INTEGER AS s, hi AS v FROM {p}_deg""")
 
 
+WOOD = "h BETWEEN 5 AND 35 AND s BETWEEN 25 AND 200 AND v BETWEEN 40 AND 220"
+
+
 def wood(q: Steps, p: str) -> str:
     hsv(q, p)
-    return q.add(f"{p}_wood", f"SELECT image_id, y, x, CASE WHEN h BETWEEN 5 AND 35 AND s BETWEEN 25 AND 200 AND v BETWEEN 40 AND 220 THEN 255 ELSE 0 END AS v FROM {p}_hsv")
+    return q.add(f"{p}_wood", f"SELECT image_id, y, x, CASE WHEN {WOOD} THEN 255 ELSE 0 END AS v FROM {p}_hsv")
 
 
 def otsu(q: Steps, p: str) -> str:
@@ -264,9 +267,10 @@ def votes(q: Steps, p: str, threshold: int) -> str:
     q.add("trig", f"SELECT * FROM (VALUES {_values(trig_table())}) t(theta, c, s)")
     q.add(f"{p}_cast", f"SELECT image_id, y, x, theta, floor((x * c + y * s + 8192) / 16384)::INTEGER AS rho, floor((y * c - x * s) / 16384)::INTEGER AS pos FROM {p}, trig WHERE v > 0")
     q.add(f"{p}_acc", f"SELECT image_id, theta, rho, count(*) AS n FROM {p}_cast GROUP BY ALL")
-    near = lambda a, t, r: f"LEFT JOIN {p}_acc {a} ON {a}.image_id = m.image_id AND {a}.theta = m.theta + {t} AND {a}.rho = m.rho + {r}"
-    return q.add(f"{p}_hough", f"""SELECT m.image_id, m.theta, m.rho, m.n FROM {p}_acc m {near('l', 0, -1)} {near('r', 0, 1)} {near('d', -1, 0)} {near('u', 1, 0)}
-      WHERE m.n >= {threshold} AND m.n > coalesce(l.n, 0) AND m.n > coalesce(d.n, 0) AND m.n >= coalesce(r.n, 0) AND m.n >= coalesce(u.n, 0)""")
+    beside = lambda shift, over, column, step: f"CASE WHEN {shift}({column}) OVER {over} = {column} + {step} THEN {shift}(n) OVER {over} ELSE 0 END"
+    q.add(f"{p}_near", f"""SELECT *, {beside('lag', 'a', 'rho', -1)} AS l, {beside('lead', 'a', 'rho', 1)} AS r, {beside('lag', 'b', 'theta', -1)} AS d, {beside('lead', 'b', 'theta', 1)} AS u FROM {p}_acc
+      WINDOW a AS (PARTITION BY image_id, theta ORDER BY rho), b AS (PARTITION BY image_id, rho ORDER BY theta)""")
+    return q.add(f"{p}_hough", f"SELECT image_id, theta, rho, n FROM {p}_near WHERE n >= {threshold} AND n > l AND n > d AND n >= r AND n >= u")
 
 
 def segments(q: Steps, p: str, threshold: int, min_length: int, max_gap: int) -> str:
@@ -295,7 +299,7 @@ def geometry(q: Steps, skewed: str, images: str) -> str:
       round((s * cx + ({u} - c) * cy) / {u}::DOUBLE + (new_h - h) / 2.0::DOUBLE, 9) AS m12, c, s, cx, cy FROM {images}_new""")
 
 
-def rotated(q: Steps, p: str, geo: str) -> str:
+def rotated(q: Steps, p: str, geo: str, channel: str = "v") -> str:
     """By joins with tap tables and the clamped source pixels."""
     u = 1 << 20
     q.add("cubic", f"SELECT * FROM (VALUES {_values([(i, k - 1, w) for i, r in enumerate(cubic_weights()) for k, w in enumerate(r)])}) t(f, o, w)")
@@ -304,7 +308,7 @@ def rotated(q: Steps, p: str, geo: str) -> str:
     low = lambda a: f"floor({a} / 32)::BIGINT"
     q.add(f"{p}_tap", f"""SELECT image_id, tx, ty, wx.w * wy.w AS w, greatest(0, least({low('sx')} + wx.o, width - 1)) AS ax, greatest(0, least({low('sy')} + wy.o, height - 1)) AS ay
       FROM {p}_src JOIN cubic wx ON wx.f = ((sx % 32) + 32) % 32 JOIN cubic wy ON wy.f = ((sy % 32) + 32) % 32""")
-    return q.add(f"{p}_rot", f"SELECT t.image_id, ty::INTEGER AS y, tx::INTEGER AS x, greatest(0, least(255, floor((sum(w * v) + {1 << 21}) / {1 << 22})))::INTEGER AS v FROM {p}_tap t JOIN {p} s ON s.image_id = t.image_id AND s.y = t.ay AND s.x = t.ax GROUP BY t.image_id, ty, tx")
+    return q.add(f"{p}_rot_{channel}", f"SELECT t.image_id, ty::INTEGER AS y, tx::INTEGER AS x, greatest(0, least(255, floor((sum(w * {channel}) + {1 << 21}) / {1 << 22})))::INTEGER AS {channel} FROM {p}_tap t JOIN {p} s ON s.image_id = t.image_id AND s.y = t.ay AND s.x = t.ax GROUP BY t.image_id, ty, tx")
 
 
 # Recognition.

@@ -2,26 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from typing import NamedTuple
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions.tables import by_image, written
-from inkgrid.operators import denoise, geometry, lines, neighborhood, ocr, pixels, regions, stats
+from inkgrid.operators import denoise, geometry, lines, neighborhood, ocr, pixels, recognize, regions, stats
+from inkgrid.sources import images as rasters
 
 KEY = ["image_id", "y", "x"]
 
 
 @dataclass(frozen=True)
 class Settings:
-    """Kernel sizes and limits; the defaults suit photographs of some megapixels."""
+    """Kernel sizes and limits; the defaults suit photographs of some megapixels. Without ``background`` its kernel follows each picture's size."""
 
     blur: int = 51
     close: int = 35
     open: int = 20
     margin: int = 5
-    background: int = 51
+    background: int | None = None
     tiles: int = 8
     nlm_h: float = 7.0
     template: int = 7
@@ -33,11 +37,12 @@ class Settings:
 
 
 def document_mask(bgr: DataFrame, s: Settings) -> DataFrame:
-    """Bright and not wood, closed and opened."""
-    blurred = written(neighborhood.gaussian_blur(pixels.to_gray(bgr), s.blur), "blurred")
-    bright = pixels.binarize(blurred, stats.otsu_threshold(blurred))
-    wood = pixels.range_mask(bgr).withColumnRenamed("v", "wood")
-    both = bright.join(wood, KEY).select(*KEY, pixels.mask_and(F.col("v"), pixels.mask_not(F.col("wood"))).alias("v"))
+    """Bright and not wood, closed and opened. Brightness and wood of a pixel stay on one row throughout."""
+    tones = bgr.select(*KEY, pixels.luma().alias("v"), pixels.in_range(*pixels.WOOD).alias("wood"))
+    blurred = written(neighborhood.gaussian_blur(tones, s.blur), "blurred")
+    thresholds = stats.otsu_threshold(by_image(blurred))
+    bright = F.when(F.col("v") > F.col("t"), 255).otherwise(0)
+    both = blurred.join(thresholds, "image_id").select(*KEY, pixels.mask_and(bright, pixels.mask_not(F.col("wood"))).alias("v"))
     closed = neighborhood.morph_close(by_image(both), s.close, s.close)
     return neighborhood.morph_open(closed, s.open, s.open)
 
@@ -54,47 +59,74 @@ def detect_skew(gray: DataFrame, s: Settings) -> DataFrame:
     return lines.skew_angle(lines.line_segments(thick, s.votes, s.min_length, s.max_gap), gray)
 
 
-def correct_rotation(gray: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Images turned by their skew on a grown canvas; images without a correction pass through the same gather unchanged."""
-    return geometry.rotate_gather(gray, geometry.rotation_geometry(detect_skew(gray, s), stats.extents(gray)))
+def correct_rotation(image: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Images, gray or colour, turned by their skew on a grown canvas; those without a correction pass through the same gather unchanged."""
+    gray = image if "v" in image.columns else pixels.to_gray(image)
+    return geometry.rotate_gather(image, geometry.rotation_geometry(detect_skew(gray, s), stats.extents(gray)))
 
 
-def adaptive_threshold(gray: DataFrame, background: int = 51) -> DataFrame:
+def adaptive_threshold(gray: DataFrame, background: int | None = None) -> DataFrame:
     """Closing as background, division, histogram threshold, small opening."""
     base = neighborhood.morph_close_ellipse(gray.withColumn("orig", F.col("v")), background)
     flat = written(base.select(*KEY, pixels.divide_by_background(F.col("orig"), F.col("v")).alias("v")), "flat")
     return neighborhood.morph_open(by_image(pixels.binarize(flat, stats.otsu_threshold(flat))), 2, 2)
 
 
-def background_kernel(height: int, width: int) -> int:
-    """Odd, a tenth of the longer side, 51 at least."""
-    k = max(height, width) // 10
-    return max(k if k % 2 else k + 1, 51)
+class Preprocessed(NamedTuple):
+    processed: DataFrame
+    binarized: DataFrame
+    ocr_ready: DataFrame
+    quality: DataFrame
 
 
-def preprocess(bgr: DataFrame, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def preprocess(bgr: DataFrame, s: Settings = Settings()) -> Preprocessed:
     """Denoised gray, binarised, recogniser-ready BGR, and quality. The denoised table feeds the other three, so it is written once."""
-    gray = written(pixels.to_gray(isolate_document(bgr, s)), "cropped")
-    turned = written(correct_rotation(gray, s), "turned")
+    cropped = written(isolate_document(bgr, s), "cropped")
+    turned = pixels.to_gray(correct_rotation(cropped, s))
     clean = written(denoise.nlm_denoise(stats.clahe_apply(turned, tiles=s.tiles), s.nlm_h, s.template, s.search), "denoised")
     quality = stats.blur_score(by_image(clean), s.blur_threshold).withColumn("preprocessing_applied", F.lit(True))
-    return clean, adaptive_threshold(by_image(clean), s.background), pixels.gray_to_bgr(clean), quality
+    return Preprocessed(clean, adaptive_threshold(by_image(clean), s.background), pixels.gray_to_bgr(clean), quality)
 
 
-def ocr_pipeline(raw: DataFrame, bgr: DataFrame | None = None, preprocess_images: bool = False, check_quality: bool = True, drop_blurry: bool = False, s: Settings = Settings()) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """Blocks, documents and quality of recognised images.
+class Recognised(NamedTuple):
+    blocks: DataFrame
+    documents: DataFrame
+    quality: DataFrame | None
 
-    With ``preprocess_images`` the quality is that of the preprocessed gray image and is always
-    there; else it is that of the plain gray image, and only with ``check_quality``. Blurry images are
-    annotated; they go only with ``drop_blurry``. ``bgr`` names its images as ``raw`` names documents.
+
+def raw_quality(bgr: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Quality of images as they are."""
+    return stats.blur_score(by_image(pixels.to_gray(bgr)), s.blur_threshold).withColumn("preprocessing_applied", F.lit(False))
+
+
+def named(quality: DataFrame, names: DataFrame) -> DataFrame:
+    """Quality by document: the document of an image is its path (``names`` has image_id and path)."""
+    return quality.join(names.select("image_id", F.col("path").alias("document_name")), "image_id").select("document_name", "blur_score", "is_blurry", "preprocessing_applied")
+
+
+def ocr_results(raw: DataFrame, quality: DataFrame | None = None, drop_blurry: bool = False) -> Recognised:
+    """Blocks and documents of recognition output. Blurry images are annotated; they go only with ``drop_blurry``."""
+    if quality is not None and drop_blurry:
+        raw = raw.join(quality.where("is_blurry"), "document_name", "left_anti")
+    return Recognised(ocr.ocr_blocks(raw), ocr.ocr_documents(raw), quality)
+
+
+def ocr_pipeline(images: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], preprocess_images: bool = False, check_quality: bool = True, drop_blurry: bool = False, s: Settings = Settings(), name: str = "recogniser") -> Recognised:
+    """Images (as ``scan_images`` gives them) through a recogniser to blocks, documents and quality.
+
+    With ``preprocess_images`` the recogniser gets the preprocessed pictures, and the quality is that of
+    the preprocessed gray image and is always there; else it gets the images as they are, and the
+    quality is that of the plain gray image, and only with ``check_quality``.
     """
+    bgr = rasters.raster_to_pixels(images) if preprocess_images or check_quality else None
     quality = None
-    if bgr is not None and preprocess_images:
-        quality = preprocess(bgr, s)[3]
-    elif bgr is not None and check_quality:
-        quality = stats.blur_score(by_image(pixels.to_gray(bgr)), s.blur_threshold).withColumn("preprocessing_applied", F.lit(False))
-    if quality is not None:
-        quality = quality.select(F.concat(F.lit("scan/"), "image_id", F.lit(".png")).alias("document_name"), "blur_score", "is_blurry", "preprocessing_applied")
-        if drop_blurry:
-            raw = raw.join(quality.where("is_blurry"), "document_name", "left_anti")
-    return ocr.ocr_blocks(raw), ocr.ocr_documents(raw), quality
+    if preprocess_images:
+        found = preprocess(by_image(bgr), s)
+        quality = found.quality
+        pictures = rasters.pack_raster(found.ocr_ready).join(images.select("image_id", "path"), "image_id").select("image_id", "path", "height", "width", "n_channels", "data")
+        raw = recognize.recognize_batch(pictures, factory, name).withColumn("variant", F.lit("preprocessed"))
+    else:
+        raw = recognize.recognize_batch(images, factory, name)
+        if check_quality:
+            quality = raw_quality(bgr, s)
+    return ocr_results(written(raw, "recognised"), None if quality is None else named(quality, images), drop_blurry)

@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-import struct
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkgrid import schemas
+from inkgrid.functions.pictures import layout, plane
 
 
 def scan_images(spark: SparkSession, paths: str | list[str], on_invalid: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -47,11 +45,14 @@ def raster_to_pixels(images: DataFrame) -> DataFrame:
 
 def pack_raster(bgr: DataFrame) -> DataFrame:
     """Pixels back to one row of bytes an image, in row-major order."""
-    px = F.array_sort(F.collect_list(F.struct("y", "x", "b", "g", "r")))
-    packed = bgr.groupBy("image_id").agg(px.alias("px"), (F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
-    byte = lambda c: F.lpad(F.hex(c), 2, "0")
-    data = F.unhex(F.array_join(F.transform("px", lambda p: F.concat(byte(p["b"]), byte(p["g"]), byte(p["r"]))), ""))
-    return packed.select("image_id", "height", "width", F.lit(3).alias("n_channels"), data.alias("data"))
+
+    def run(table: pa.Table) -> pa.Table:
+        place, height, width = layout(table)
+        data = np.stack([plane(table, c, place, height, width) for c in "bgr"], axis=-1).astype(np.uint8).tobytes()
+        return pa.table({"image_id": table["image_id"].slice(0, 1), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "n_channels": pa.array([3], pa.int32()), "data": pa.array([data], pa.binary())})
+
+    kind = bgr.schema["image_id"].dataType.simpleString()
+    return bgr.groupBy("image_id").applyInArrow(run, f"image_id {kind}, height int, width int, n_channels int, data binary")
 
 
 def save_rasters(images: DataFrame, path: str, partition: str | None = None) -> None:
@@ -76,23 +77,3 @@ def pretty_json(documents: DataFrame) -> DataFrame:
 
 def read_ocr_json(spark: SparkSession, path: str, schema: str | StructType) -> DataFrame:
     return spark.read.schema(schema).json(path)
-
-
-def _png(width: int, height: int, bgr: bytes) -> bytes:
-    rows = np.frombuffer(bgr, np.uint8).reshape(height, width, 3)[:, :, ::-1]
-    lines = np.concatenate([np.zeros((height, 1), np.uint8), rows.reshape(height, -1)], axis=1)
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
-
-
-def write_png(images: DataFrame, path: str) -> None:
-    """One RGB PNG file an image, named by its id, written by the executors to a folder in any file system that Arrow knows (file, hdfs, s3, gs)."""
-
-    def write(rows: Iterator[Row]) -> None:
-        system, folder = fs.FileSystem.from_uri(path)
-        system.create_dir(folder, recursive=True)
-        for r in rows:
-            with system.open_output_stream(f"{folder}/{r['image_id']}.png") as out:
-                out.write(_png(r["width"], r["height"], bytes(r["data"])))
-
-    images.select("image_id", "width", "height", "data").foreachPartition(write)

@@ -8,7 +8,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from inkgrid import schemas
+from inkgrid import fixtures, schemas
 from inkgrid.operators import ocr, recognize
 from inkgrid.sources import images
 from inkgrid.streaming.blocks import stream_blocks
@@ -75,7 +75,7 @@ def test_image_source(spark):
     path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     px = spark.createDataFrame([(7, y, x, 10 * y, x, 200) for y in range(3) for x in range(4)], schemas.PIXELS_BGR)
     packed = images.pack_raster(px)
-    images.write_png(packed, path)
+    fixtures.write_png(packed, path)
     open(f"{path}/junk.png", "wb").write(b"not an image")
     good, bad = images.scan_images(spark, path, "quarantine")
     assert good.count() == 1 and bad.count() == 1 and images.scan_images(spark, path, "drop").count() == 1
