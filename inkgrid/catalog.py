@@ -17,8 +17,8 @@ from inkgrid.plans import pipelines
 from inkgrid.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Kernels for rasters of some dozen pixels a side.
-SMALL = pipelines.Settings(blur=5, close=5, open=4, margin=1, background=7, tiles=2, template=3, search=5, votes=50, min_length=40, max_gap=10)
+#: Kernels for rasters of some dozen pixels a side; contrast and denoising as for photographs.
+SMALL = pipelines.Settings(blur=5, close=5, open=4, margin=1, background=7, votes=50, min_length=40)
 XY = "image_id, y, x"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -174,7 +174,7 @@ _register("blur_score", lambda s, d: stats.blur_score(fx.glyph(s, d)), lambda q:
 _register("otsu_threshold", lambda s, d: stats.otsu_threshold(fx.glyph(s, d)), lambda q: f"SELECT image_id, t FROM {o.otsu(q, o.glyph(q))}")
 _register("clahe_lut", lambda s, d: stats.clahe_lut(pixels.to_gray(fx.card_bgr(s, d, "supplier"))), lambda q: f"SELECT image_id, ty, tx, v, lut FROM {o.clahe_lut(q, o.gray(q, o.card_bgr(q, 'supplier')), 8)}")
 _register("clahe_apply", lambda s, d: stats.clahe_apply(fx.glyph(s, d)), lambda q: o.clahe(q, o.glyph(q), 8))
-_register("nlm_denoise", lambda s, d: denoise.nlm_denoise(fx.grid(s, d), template=3, search=5), lambda q: o.nlm(q, o.grid(q), 3, 5))
+_register("nlm_denoise", lambda s, d: denoise.nlm_denoise(fx.grid(s, d)), lambda q: o.nlm(q, o.grid(q), 7, 21))
 
 # Regions.
 

@@ -208,16 +208,21 @@ def clahe(q: Steps, p: str, tiles: int) -> str:
 
 
 def nlm(q: Steps, p: str, template: int, search: int, h: float = 7.0) -> str:
+    """Patches around all places within reach, as arrays; squared distances by inner products (whole numbers that a FLOAT holds exactly)."""
     size(q, p)
     t, r = template // 2, search // 2
-    q.add(f"{p}_off", f"SELECT dy.i AS dy, dx.i AS dx FROM range({-r}, {r + 1}) dy(i), range({-r}, {r + 1}) dx(i)")
-    q.add(f"{p}_patch", f"SELECT py.i AS py, px.i AS px FROM range({-t}, {t + 1}) py(i), range({-t}, {t + 1}) px(i)")
-    q.add(f"{p}_own", f"SELECT image_id, y, x, py, px, {_reflect('y + py', 'height')} AS ay, {_reflect('x + px', 'width')} AS ax FROM {p} JOIN {p}_size USING (image_id), {p}_patch")
-    q.add(f"{p}_ownv", f"SELECT o.image_id, o.y, o.x, py, px, s.v FROM {p}_own o JOIN {p} s ON s.image_id = o.image_id AND s.y = ay AND s.x = ax")
-    q.add(f"{p}_oth", f"SELECT o.image_id, o.y, o.x, dy, dx, v, {_reflect('o.y + dy + py', 'height')} AS ay, {_reflect('o.x + dx + px', 'width')} AS ax FROM {p}_ownv o JOIN {p}_size USING (image_id), {p}_off")
-    q.add(f"{p}_sq", f"SELECT o.image_id, o.y, o.x, dy, dx, sum((o.v - s.v) * (o.v - s.v)) AS sq FROM {p}_oth o JOIN {p} s ON s.image_id = o.image_id AND s.y = ay AND s.x = ax GROUP BY ALL")
-    q.add(f"{p}_w", f"SELECT z.*, exp(-(sq / {template * template}::DOUBLE) / {h * h}::DOUBLE) AS w, {_reflect('y + dy', 'height')} AS cy, {_reflect('x + dx', 'width')} AS cx FROM {p}_sq z JOIN {p}_size USING (image_id)")
-    return q.add(f"{p}_nlm", f"SELECT z.image_id, z.y, z.x, round_even(sum(CASE WHEN w < 0.001 THEN 0 ELSE w * s.v END) / sum(CASE WHEN w < 0.001 THEN 0 ELSE w END), 0)::INTEGER AS v FROM {p}_w z JOIN {p} s ON s.image_id = z.image_id AND s.y = cy AND s.x = cx GROUP BY ALL")
+    n = template * template
+    q.add(f"{p}_px", f"SELECT image_id, height, width, list(v ORDER BY y, x) AS px FROM {p} JOIN {p}_size USING (image_id) GROUP BY ALL")
+    q.add(f"{p}_tall", f"SELECT *, unnest(range({-r}, height + {r})) AS cy FROM {p}_px")
+    q.add(f"{p}_centre", f"SELECT *, unnest(range({-r}, width + {r})) AS cx FROM {p}_tall")
+    offsets = [(a, b) for a in range(-t, t + 1) for b in range(-t, t + 1)]
+    value = lambda dy, dx: f"px[{_reflect(f'cy + {dy}', 'height')} * width + {_reflect(f'cx + {dx}', 'width')} + 1]"
+    q.add(f"{p}_patch", f"SELECT image_id, cy::INTEGER AS cy, cx::INTEGER AS cx, height, width, {value(0, 0)} AS v, [{', '.join(value(*o) for o in offsets)}]::FLOAT[{n}] AS a FROM {p}_centre")
+    q.add(f"{p}_norm", f"SELECT *, array_inner_product(a, a) AS s FROM {p}_patch")
+    q.add(f"{p}_off", f"SELECT dy.i::INTEGER AS dy, dx.i::INTEGER AS dx FROM range({-r}, {r + 1}) dy(i), range({-r}, {r + 1}) dx(i)")
+    q.add(f"{p}_pair", f"SELECT image_id, cy, cx, cy + dy AS oy, cx + dx AS ox, a, s FROM {p}_norm, {p}_off WHERE cy BETWEEN 0 AND height - 1 AND cx BETWEEN 0 AND width - 1")
+    q.add(f"{p}_w", f"SELECT m.image_id, m.cy, m.cx, o.v, exp(-((m.s + o.s - 2 * array_inner_product(m.a, o.a))::DOUBLE / {n}::DOUBLE) / {h * h}::DOUBLE) AS w FROM {p}_pair m JOIN {p}_norm o ON o.image_id = m.image_id AND o.cy = m.oy AND o.cx = m.ox")
+    return q.add(f"{p}_nlm", f"SELECT image_id, cy AS y, cx AS x, round_even(sum(CASE WHEN w < 0.001 THEN 0 ELSE w * v END) / sum(CASE WHEN w < 0.001 THEN 0 ELSE w END), 0)::INTEGER AS v FROM {p}_w GROUP BY ALL")
 
 
 # Regions.
