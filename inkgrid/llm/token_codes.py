@@ -1,5 +1,8 @@
 """Token ids as directly addressable codes, in files of which any token can be read without decoding the rest.
 
+Files are rows of a Parquet table whose codes are stored as they are, neither compressed nor encoded
+again, some ten thousand tokens a file, so that a token costs reading one such value.
+
 A code holds the lowest ``CHUNK_BITS`` bits of every id in level 0, the next bits of the ids that
 need them in level 1, and so on. A bitmap beside each level marks the ids that continue; a rank
 directory has the number of marks before each block of 512, so token ``i`` takes one byte and one
@@ -26,7 +29,7 @@ from inkgrid.llm.tokens import default_tokenizer, encoded
 MAGIC = b"DAC1"
 CHUNK_BITS = 8
 BLOCK = 512
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 16
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -98,7 +101,9 @@ def write_token_files(documents: DataFrame, tokenizer: str | None = None, shard_
     Texts are dealt by ranges of ``doc_id`` and tokenized once, behind that shuffle. Each file holds
     whole documents, about ``shard_tokens`` tokens of them, and is one row of a Parquet table in the
     shared folder: (part, number) orders the files. Null texts count as empty, null ids come first,
-    repeated rows stay apart.
+    repeated rows stay apart; an empty table gives no file; columns besides ``doc_id`` and ``text`` are
+    not read. Rows are dealt by ranges of ``doc_id`` and text hash, so that many rows of one id, or of
+    none, do not meet in one task.
     """
     path = tokenizer or default_tokenizer()
 
@@ -120,14 +125,15 @@ def write_token_files(documents: DataFrame, tokenizer: str | None = None, shard_
         if held:
             yield file()
 
-    ordered = documents.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange(n_partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id")
-    return materialise(ordered.mapInArrow(run, FILES), "token-files")
+    ordered = documents.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) as salt").repartitionByRange(n_partitions(documents.sparkSession), "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
+    return materialise(ordered.select("doc_id", "text").mapInArrow(run, FILES), "token-files", compression="none", **{"parquet.enable.dictionary": "false"})
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
     """Documents of the token files: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32.
 
-    The starts are prefix sums of one total a file; the tokens themselves never leave their file's task.
+    The starts are prefix sums over parts and over the files of each; the tokens themselves never leave
+    their file's task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,7 +146,28 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 n = len(ids)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "number": pa.array([number] * n, pa.int32()), "doc_id": pa.array(ids, pa.int64()), "local": pa.array(starts, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
-    docs = files.select("part", "number", "doc_ids", "doc_tokens", "codes").mapInArrow(run, "part int, number int, doc_id long, local long, n_tokens long, ids_crc32 long")
-    before = F.sum("n_tokens").over(Window.orderBy("part", "number").rowsBetween(Window.unboundedPreceding, -1))
-    bases = files.select("part", "number", F.coalesce(before, F.lit(0)).alias("base"))
+    docs = files.mapInArrow(run, "part int, number int, doc_id long, local long, n_tokens long, ids_crc32 long")
+    # Totals of parts, one row a partition, go through one task; files only through that of their part.
+    earlier = lambda window: F.coalesce(F.sum("n_tokens").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n_tokens")).select("part", earlier(Window.orderBy("part")).alias("start"))
+    within = files.select("part", "number", earlier(Window.partitionBy("part").orderBy("number")).alias("within"))
+    bases = within.join(parts, "part").select("part", "number", (F.col("start") + F.col("within")).alias("base"))
     return docs.join(bases, ["part", "number"]).select("doc_id", (F.col("base") + F.col("local")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def tokens_at(files: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Single tokens by random access: ``wanted`` has doc_id and position (tokens of the document before it); adds token_id.
+
+    Only the asked entries of a file's levels are touched, one byte and one rank each. Positions beyond
+    the document's end, and unknown or null ids, give no row; of rows that repeat an id each answers.
+    """
+    where = files.select("part", "number", F.posexplode("doc_ids").alias("i", "doc_id"), "doc_tokens").select("part", "number", "doc_id", F.expr("aggregate(slice(doc_tokens, 1, i), 0L, (s, n) -> s + n)").alias("base"), F.get("doc_tokens", F.col("i")).alias("n"))
+    asked = wanted.select("doc_id", "position").join(where, "doc_id").where("position >= 0 and position < n").groupBy("part", "number").agg(F.collect_list(F.struct("doc_id", "position", (F.col("base") + F.col("position")).alias("at"))).alias("asked"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data, asked in zip(batch.column("codes").to_pylist(), batch.column("asked").to_pylist(), strict=True):
+                codes = Codes.open(data)
+                yield pa.RecordBatch.from_pydict({"doc_id": pa.array([a["doc_id"] for a in asked], pa.int64()), "position": pa.array([a["position"] for a in asked], pa.int64()), "token_id": pa.array([codes[a["at"]] for a in asked], pa.int64())})
+
+    return files.select("part", "number", "codes").join(asked, ["part", "number"]).select("codes", "asked").mapInArrow(run, "doc_id long, position long, token_id long")

@@ -30,6 +30,7 @@ class Encoder:
     """Ids of whole texts; pieces that recur are encoded once and looked up afterwards.
 
     Texts are cut only where the tokenizer itself always cuts, so the ids are those of the whole text.
+    Texts that hold one of its added tokens (such as an end marker) are not cut at all.
     """
 
     def __init__(self, path: str) -> None:
@@ -37,11 +38,12 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.dtype = "<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
         if hasattr(self.tokenizer.model, "_resize_cache"):  # repeats are looked up here instead
             self.tokenizer.model._resize_cache(0)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(added)) if added else None
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         #: Ids that begin with a space (the byte-level alphabet writes it as U+0120).
         self.spaced = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -65,7 +67,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         # The pieces of a text; all but the first stand for themselves after one space.
-        split = [CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
+        split = [[t] if self.added and self.added.search(t) else CUT.split(t) if UNSAFE.search(t) else t.split(" ") for t in texts]
         heads = self._encode([s[0] for s in split])
         pieces = [p for s in split for p in s[1:]]
         found = list(map(self.known.get, pieces))
