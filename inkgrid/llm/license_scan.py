@@ -1,10 +1,13 @@
 """License scans: phrases, and an exact set-similarity join of text blocks with license notices.
 
-A block is a line. It matches a notice if it holds at least ``THRESHOLD`` of the notice's distinct
-words. Words are ordered by their frequency in the whole corpus, rarest first. A notice of ``n``
-words that needs ``o`` of them can only match a block that holds one of its first ``n - o + 1``
-words (prefix filter), that has ``o`` distinct notice words at all (length filter), and in which
-``o`` words can still follow the first shared one (positional filter). What is left is counted.
+A block is a window of consecutive words, across line ends, ``WINDOW`` times as many as the notice
+has. It matches a notice if it holds at least ``THRESHOLD`` of the notice's distinct words, and if
+another label's notice would match as well by the words that both share, one of those that only this
+notice has. Words are ordered by their frequency in the whole corpus, rarest first. A notice of
+``n`` distinct words that needs ``o`` of them can only match a window that holds one of its first
+``n - o + 1`` words (prefix filter, by an index from these words to their notices), in which ``o``
+notice words stand at all (length filter), and in which ``o`` words can still follow the rarest one
+shared (positional filter). What is left is counted.
 """
 
 from __future__ import annotations
@@ -22,6 +25,9 @@ from pyspark.sql import functions as F
 from inkgrid.llm.bytescan import ALNUM, LOWER, Chunk, chunks, prefix_hash, span_hash, words
 
 THRESHOLD = 0.8
+WINDOW = 1.5
+#: Notices that one scan may take; each worker holds them all.
+MAX_NOTICES = 100_000
 #: Phrases that label a text by themselves.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: Short notices as their licenses word them, and their labels.
@@ -58,15 +64,22 @@ class Index:
     labels: list[str]
     notices: list[np.ndarray]  # word numbers, rarest first
     needed: list[int]
+    spans: list[int]  # words of a window
+    apart: list[list[np.ndarray]]  # for each notice of another label that matches by shared words alone: the words that only this one has
+    by_prefix: dict[int, list[int]]  # notices by each word of their prefixes
 
     @classmethod
     def build(cls, notices: list[tuple[str, str]], threshold: float) -> Index:
-        sets = [sorted(set(WORD.findall(text.lower().encode()))) for _, text in notices]
+        texts = [WORD.findall(text.lower().encode()) for _, text in notices]
+        sets = [sorted(set(t)) for t in texts]
         universe = sorted({w for s in sets for w in s})
         hashes = word_hashes(universe)
         order = np.sort(hashes)
         number = dict(zip(universe, np.searchsorted(order, hashes).tolist(), strict=True))
-        return cls(order, [label for label, _ in notices], [np.array([number[w] for w in s]) for s in sets], [math.ceil(threshold * len(s) - 1e-9) for s in sets])
+        labels = [label for label, _ in notices]
+        needed = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
+        apart = [[np.array([number[w] for w in words]) for words in found] for found in told_apart(labels, sets, needed)]
+        return cls(order, labels, [np.array([number[w] for w in s]) for s in sets], needed, [math.ceil(WINDOW * len(t)) for t in texts], apart, {})
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers, or -1."""
@@ -75,7 +88,28 @@ class Index:
 
     def rank_by(self, counts: dict[int, int]) -> Index:
         notices = [np.array(sorted(n.tolist(), key=lambda w: (counts.get(w, 0), w))) for n in self.notices]
-        return Index(self.order, self.labels, notices, self.needed)
+        by_prefix: dict[int, list[int]] = {}
+        for k, (notice, needed) in enumerate(zip(notices, self.needed, strict=True)):
+            for w in notice[: len(notice) - needed + 1].tolist():
+                by_prefix.setdefault(w, []).append(k)
+        return Index(self.order, self.labels, notices, self.needed, self.spans, self.apart, by_prefix)
+
+
+def told_apart(labels: list[str], sets: list[list], needed: list[int]) -> list[list[list]]:
+    """For each notice: its own words against every notice of another label that shares as many words as it needs."""
+    holders: dict[object, list[int]] = {}
+    for k, words in enumerate(sets):
+        for w in words:
+            holders.setdefault(w, []).append(k)
+    out: list[list[list]] = []
+    for k, words in enumerate(sets):
+        shared: dict[int, int] = {}
+        for w in words:
+            for other in holders[w]:
+                shared[other] = shared.get(other, 0) + 1
+        own = [[w for w in words if w not in set(sets[o])] for o, n in sorted(shared.items()) if labels[o] != labels[k] and n >= needed[k]]
+        out.append([w for w in own if w])
+    return out
 
 
 def _scan(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -98,59 +132,81 @@ def corpus_counts(documents: DataFrame, index: Index) -> dict[int, int]:
     return {r["word"]: r["n"] for r in rows}
 
 
-def _matches(index: Index, numbers: np.ndarray, row: np.ndarray, block: np.ndarray, n_rows: int) -> tuple[list[set[str]], np.ndarray]:
-    """Labels and the best containment of each text; ``numbers`` are word numbers or -1, ``block`` numbers the lines."""
+def _windows(index: Index, k: int, numbers: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with windows that match notice ``k``, and their containment; ``numbers`` are word numbers or -1."""
+    notice, needed, span = index.notices[k], index.needed[k], index.spans[k]
+    rank_of = np.full(len(index.order), -1)
+    rank_of[notice] = np.arange(len(notice))
+    rank = np.where(numbers >= 0, rank_of[numbers], -1)
+    at = np.flatnonzero(rank >= 0)
+    rank, text = rank[at], row[at]
+    # Windows may begin with a notice word; those near enough before a prefix word are candidates.
+    prefix = np.flatnonzero(rank <= len(notice) - needed)
+    low = np.searchsorted(at, at[prefix] - span + 1)
+    step = np.zeros(len(at) + 1, np.int64)
+    np.add.at(step, low, 1)
+    np.add.at(step, prefix + 1, -1)
+    start = np.flatnonzero(np.cumsum(step[:-1]) > 0)
+    stop = np.minimum(np.searchsorted(at, at[start] + span), np.searchsorted(text, text[start], side="right"))
+    long = stop - start >= needed
+    start, stop = start[long], stop[long]
+    if not len(start):
+        return np.zeros(0, np.int64), np.zeros(0)
+    size = stop - start
+    window = np.repeat(np.arange(len(start)), size)
+    held = np.unique(window * len(notice) + rank[np.repeat(start - (np.cumsum(size) - size), size) + np.arange(len(window))])
+    window, rank = held // len(notice), held % len(notice)
+    lowest, overlap = rank[np.searchsorted(window, np.arange(len(start)))], np.bincount(window, minlength=len(start))
+    ok = (len(notice) - lowest >= needed) & (overlap >= needed)
+    for own in index.apart[k]:
+        mine = np.zeros(len(start), bool)
+        mine[window[np.isin(rank, rank_of[own])]] = True
+        ok &= mine
+    return text[start[ok]], overlap[ok] / len(notice)
+
+
+def _matches(index: Index, numbers: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[list[set[str]], np.ndarray]:
+    """Labels and the best containment of each text; only notices of which a prefix word stands there are tried."""
     labels: list[set[str]] = [set() for _ in range(n_rows)]
     best = np.zeros(n_rows)
-    hit = numbers >= 0
-    if not hit.any():
-        return labels, best
-    width = len(index.order)
-    pair = np.unique(block[hit] * width + numbers[hit])
-    b, w = pair // width, pair % width
-    row_of = dict(zip(block[hit].tolist(), row[hit].tolist(), strict=True)) if len(pair) < 2000 else None
-    sizes = np.bincount(b)
-    for label, notice, needed in zip(index.labels, index.notices, index.needed, strict=True):
-        rank = np.full(width, -1)
-        rank[notice] = np.arange(len(notice))
-        r = rank[w]
-        prefix = (r >= 0) & (r <= len(notice) - needed)
-        candidates = np.unique(b[prefix])
-        candidates = candidates[sizes[candidates] >= needed]
-        if not len(candidates):
-            continue
-        at = np.searchsorted(candidates, b)
-        at[at == len(candidates)] = 0
-        mine = (candidates[at] == b) & (r >= 0)
-        lowest = np.full(len(candidates), len(notice))
-        np.minimum.at(lowest, at[mine], r[mine])
-        overlap = np.bincount(at[mine], minlength=len(candidates))
-        fits = (len(notice) - lowest >= needed) & (overlap >= needed)
-        for c, o in zip(candidates[fits].tolist(), overlap[fits].tolist(), strict=True):
-            of = row_of[c] if row_of is not None else int(row[np.searchsorted(block, c)])
-            labels[of].add(label)
-            best[of] = max(best[of], o / len(notice))
+    seen = np.unique(numbers[numbers >= 0]).tolist()
+    for k in sorted({k for w in seen for k in index.by_prefix.get(w, [])}):
+        texts, share = _windows(index, k, numbers, row)
+        np.maximum.at(best, texts, share)
+        for r in np.unique(texts).tolist():
+            labels[r].add(index.labels[k])
     return labels, best
 
 
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
-def license_scan(documents: DataFrame, notices: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """One row per document with its license phrases and the notices that its lines match.
+def license_scan(documents: DataFrame, notices: list[tuple[str, str]] | DataFrame | None = None, threshold: float = THRESHOLD) -> DataFrame:
+    """One row per document with its license phrases and the notices that its windows match.
+
+    ``notices`` are labels and texts, as a list or as a table (label, text) of up to ``MAX_NOTICES`` rows;
+    those without words match nothing.
 
     ``score`` is 1 with a base phrase, else the largest containment that met the threshold, else 0.
     Null and empty texts have no words and no label (an empty string); repeated rows stay; an empty
     table gives an empty result; columns besides ``doc_id`` and ``text`` are not read.
     """
-    index = Index.build(notices or NOTICES, threshold)
+    if isinstance(notices, DataFrame):
+        rows = notices.select("label", "text").where("label is not null and text is not null").limit(MAX_NOTICES + 1).collect()
+        if len(rows) > MAX_NOTICES:
+            raise ValueError(f"more than {MAX_NOTICES} notices")
+        notices = [(r[0], r[1]) for r in rows]
+    notices = [(label, text) for label, text in (NOTICES if notices is None else notices) if WORD.search(text.lower().encode())]
+    index = Index.build(notices or NOTICES[:1], threshold)
+    if not notices:
+        index.labels, index.notices, index.needed = [], [], []
     index = index.rank_by(corpus_counts(documents, index))
     phrases = [(word_hashes(p.encode().split()), label) for p, label in PHRASES.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                first, row, hashes = _scan(chunk)
+                _, row, hashes = _scan(chunk)
                 n = chunk.rows
                 count = np.bincount(row, minlength=n)
                 begin = np.cumsum(count) - count
@@ -174,9 +230,7 @@ def license_scan(documents: DataFrame, notices: list[tuple[str, str]] | None = N
                 lo[some] = at[(upto - n_base)[some]] - begin[some]
                 hi[some] = at[upto[some] - 1] - begin[some]
                 numbers = index.find(hashes)
-                # A line is numbered by the newlines before it and the texts before it.
-                block = np.searchsorted(np.flatnonzero(chunk.buf == 10), first) + row
-                more, best = _matches(index, numbers, row, block, n)
+                more, best = _matches(index, numbers, row, n)
                 yield pa.RecordBatch.from_pydict(
                     {
                         "doc_id": batch.column("doc_id").slice(chunk.first, n),

@@ -4,14 +4,17 @@ from __future__ import annotations
 
 import math
 
-from inkgrid.llm.license_scan import NOTICES, PHRASES, THRESHOLD
+from inkgrid.llm.license_scan import NOTICES, PHRASES, THRESHOLD, WINDOW, told_apart
 
 LOWERED = "translate(coalesce({0}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 ALNUM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
 def license_scan_sql() -> str:
-    notices = ", ".join(f"('{label}', {sorted(set(text.split()))!r}, {math.ceil(THRESHOLD * len(set(text.split())) - 1e-9)})" for label, text in NOTICES)
+    sets = [sorted(set(text.split())) for _, text in NOTICES]
+    needed = [math.ceil(THRESHOLD * len(x) - 1e-9) for x in sets]
+    apart = told_apart([label for label, _ in NOTICES], sets, needed)
+    notices = ", ".join(f"({k}, '{label}', {sets[k]!r}, {needed[k]}, {math.ceil(WINDOW * len(text.split()))}, {apart[k]!r}::VARCHAR[][])" for k, (label, text) in enumerate(NOTICES))
     phrases = ", ".join(f"({text.split()!r}, '{label}')" for text, label in PHRASES.items())
     return f"""
 WITH docs AS (SELECT doc_id, row_number() OVER () AS r, {LOWERED.format("text")} AS t FROM documents),
@@ -23,12 +26,15 @@ places AS (
 base AS (
   SELECT r, count(*) AS n_base, min(place) AS first_word, max(place) AS last_word, list_sort(list(DISTINCT label)) AS l FROM places GROUP BY r
 ),
-notices(label, terms, needed) AS (VALUES {notices}),
-blocks AS (SELECT r, list_distinct(regexp_extract_all(unnest(string_split(t, chr(10))), '{ALNUM}')) AS b FROM docs),
-hits AS (
-  SELECT r, label, len(list_intersect(b, terms)) / len(terms) AS score FROM blocks, notices
-  WHERE len(b) >= needed AND len(list_intersect(b, terms)) >= needed
+notices(k, label, terms, needed, span, apart) AS (VALUES {notices}),
+terms AS (SELECT k, needed, span, apart, label, len(terms) AS n, unnest(terms) AS x FROM notices),
+placed AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS place FROM worded),
+spots AS (SELECT r, k, place, x, needed, span, apart, label, n FROM placed JOIN terms USING (x)),
+windows AS (
+  SELECT a.r, a.k, a.place, any_value(a.label) AS label, any_value(a.n) AS n, any_value(a.needed) AS needed, any_value(a.apart) AS apart, list(DISTINCT b.x) AS held
+  FROM spots a JOIN spots b ON a.r = b.r AND a.k = b.k AND b.place >= a.place AND b.place < a.place + a.span GROUP BY a.r, a.k, a.place
 ),
+hits AS (SELECT r, label, len(held) / n AS score FROM windows WHERE len(held) >= needed AND len(list_filter(apart, lambda own: len(list_intersect(own, held)) = 0)) = 0),
 found AS (SELECT r, list(DISTINCT label) AS l, max(score) AS score FROM hits GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word,
        coalesce(array_to_string(base.l, ','), '') AS base_labels,
