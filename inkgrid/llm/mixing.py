@@ -2,10 +2,12 @@
 
 A classifier fitted on the labelled table gives every document a posterior over domains. With ``n``
 tokens and posterior ``p`` a document at rate ``r`` adds ``r n p`` to the expected tokens of the
-domains. The rates start at 1 and follow ``r <- max(0, r - p . M^-1 (S - t))``: ``S`` are the expected
-tokens, ``t`` the targets and ``M`` the token-weighted second moments of the posteriors, which scale the
-least squares so that a unit step is safe. A step needs one sum per domain over a compact table of
-posteriors; a document's rate follows from its own posterior and the steps so far.
+domains. The rates start at 1 and follow ``r <- max(floor, r - p . M^-1 (S - t))``: ``S`` are the
+expected tokens, ``t`` the targets and ``M`` the token-weighted second moments of the posteriors, which
+scale the least squares so that a unit step is safe. A step needs one sum per domain over a compact
+table of posteriors; a document's rate follows from its own posterior and the steps so far. A floor
+of 1 keeps every document: the total is then the least one tried at which no domain has to shrink
+and the projected rates still meet the targets.
 """
 
 from __future__ import annotations
@@ -15,19 +17,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.llm.bytescan import NON_SPACE, Chunk, chunks, words
 from inkgrid.llm.features import labelled_features, stacked, sums_by_row, unit_hash, word_and_char_grams
 from inkgrid.llm.shared import materialise
+from inkgrid.llm.tokens import encoded
 
 BITS = 16
 MAX_LABELLED = 2000
 STEPS = 40
 TOLERANCE = 1e-6
-#: Domains of the labelled table by its ``quality``, and the production weights of their tokens.
-DOMAINS = ("low", "high")
+#: Totals tried, from the least that shrinks no domain to that at which no rate is projected.
+TOTALS = 4
+#: Share of the residual that a step must take off for the fit to go on.
+LEAST_GAIN = 0.02
+#: The production domains and the weights of their tokens.
 WEIGHTS = {"low": 0.1, "high": 0.9}
 
 
@@ -88,44 +94,43 @@ def fit_domains(documents: DataFrame, labelled: DataFrame, n_domains: int, max_l
     return DomainModel(w * scale / best, bias / best)
 
 
-def rates(posteriors: np.ndarray, steps: list[np.ndarray]) -> np.ndarray:
+def rates(posteriors: np.ndarray, steps: list[np.ndarray], floor: float = 0.0) -> np.ndarray:
     """Document rates after projected gradient steps."""
     r = np.ones(len(posteriors))
     for step in steps:
-        r = np.maximum(0.0, r - posteriors @ step)
+        r = np.maximum(floor, r - posteriors @ step)
     return r
 
 
-def fit_rates(table: DataFrame, targets: Callable[[np.ndarray, np.ndarray], np.ndarray], n_domains: int, steps: int = STEPS) -> tuple[list[np.ndarray], np.ndarray]:
-    """The steps and the targets; ``table`` has ``n_tokens`` and the array ``p``. Each step is one distributed sum of a few numbers."""
+def expected(table: DataFrame, n_domains: int, taken: list[np.ndarray], floor: float) -> tuple[np.ndarray, np.ndarray]:
+    """Expected tokens of the domains after the steps ``taken``, and the second moments: one distributed sum of a few numbers."""
 
-    def partial(taken: list[np.ndarray]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total, moment = np.zeros(n_domains), np.zeros((n_domains, n_domains))
-            for batch in batches:
-                if batch.num_rows:
-                    n = batch.column("n_tokens").to_numpy().astype(float)
-                    p = batch.column("p").flatten().to_numpy().reshape(-1, n_domains)
-                    total += (rates(p, taken) * n) @ p
-                    moment += (p * n[:, None]).T @ p
-            yield pa.RecordBatch.from_pydict({"place": pa.array(range(n_domains * (n_domains + 1)), pa.int32()), "x": pa.array(np.concatenate([total, moment.ravel()]))})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, moment = np.zeros(n_domains), np.zeros((n_domains, n_domains))
+        for batch in batches:
+            if batch.num_rows:
+                n = batch.column("n_tokens").to_numpy().astype(float)
+                p = batch.column("p").flatten().to_numpy().reshape(-1, n_domains)
+                total += (rates(p, taken, floor) * n) @ p
+                moment += (p * n[:, None]).T @ p
+        yield pa.RecordBatch.from_pydict({"place": pa.array(range(n_domains * (n_domains + 1)), pa.int32()), "x": pa.array(np.concatenate([total, moment.ravel()]))})
 
-        return run
+    got = {r["place"]: r["x"] for r in table.mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()}
+    every = np.array([got.get(i, 0.0) for i in range(n_domains * (n_domains + 1))])
+    return every[:n_domains], every[n_domains:].reshape(n_domains, n_domains)
 
+
+def fit_rates(table: DataFrame, goal: np.ndarray, floor: float = 0.0, steps: int = STEPS) -> tuple[list[np.ndarray], float]:
+    """The steps, and the largest domain's residual as a share of the total; ``table`` has ``n_tokens`` and the array ``p``."""
     taken: list[np.ndarray] = []
-    goal = np.zeros(n_domains)
-    for _ in range(steps + 1):
-        got = {r["place"]: r["x"] for r in table.mapInArrow(partial(taken), "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()}
-        if not got:
-            break
-        total = np.array([got[i] for i in range(n_domains)])
-        moment = np.array([got[n_domains + i] for i in range(n_domains * n_domains)]).reshape(n_domains, n_domains)
-        if not taken:
-            goal = targets(total, moment)
-        if np.abs(total - goal).max() <= TOLERANCE * max(1.0, goal.sum()) or len(taken) == steps:
-            break
+    was = np.inf
+    while True:
+        total, moment = expected(table, len(goal), taken, floor)
+        away = float(np.abs(total - goal).max() / max(1.0, goal.sum()))
+        if away <= TOLERANCE or len(taken) == steps or away > (1 - LEAST_GAIN) * was:
+            return taken, away
+        was = away
         taken.append(np.linalg.pinv(moment) @ (total - goal))
-    return taken, goal
 
 
 def cover(weights: list[float], margin: float = 1e-6) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -146,70 +151,105 @@ def cover(weights: list[float], margin: float = 1e-6) -> Callable[[np.ndarray, n
 
 @dataclass
 class Mixture:
-    """A fitted mix, applied to documents where they lie."""
+    """A fitted mix, applied to documents where they lie; ``away`` is how far the shares stay from the targets."""
 
     model: DomainModel
     steps: list[np.ndarray]
+    floor: float
+    away: float
 
-    def of(self, chunk: Chunk, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens, posteriors, rates, and whole copies: the rate's fraction is drawn by a hash of the id."""
-        n = np.bincount(words(chunk, NON_SPACE)[2], minlength=chunk.rows)
-        p = self.model.posteriors(chunk)
-        r = rates(p, self.steps)
-        return n, p, r, np.floor(r + 1e-9 + (1 - 2e-9) * unit_hash(ids)).astype(np.int64)
+    def of(self, posteriors: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rates, and whole copies: a rate's fraction is drawn by a hash of the id."""
+        r = rates(posteriors, self.steps, self.floor)
+        return r, np.floor(r + 1e-9 + (1 - 2e-9) * unit_hash(ids)).astype(np.int64)
 
 
-def fit_mixture(documents: DataFrame, labelled: DataFrame, weights: list[float], max_labelled: int = MAX_LABELLED) -> Mixture:
-    """Posteriors of all documents, and the rates that bring their expected token totals to ``weights``."""
-    model = fit_domains(documents, labelled, len(weights), max_labelled)
+def memberships(documents: DataFrame, model: DomainModel, tokenizer: str | None = None) -> DataFrame:
+    """Written table of doc_id, n_tokens and posteriors ``p``. Tokens are words between white space, or ids of ``tokenizer``."""
+    n_domains = len(model.bias)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                n = np.bincount(words(chunk, NON_SPACE)[2], minlength=chunk.rows)
-                p = model.posteriors(chunk)
-                flat = pa.ListArray.from_arrays(pa.array(np.arange(chunk.rows + 1) * len(weights), pa.int32()), pa.array(p.ravel()))
-                yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(n, pa.int64()), "p": flat})
+                part = batch.slice(chunk.first, chunk.rows)
+                if tokenizer:
+                    n = np.array([len(ids) for _, held in encoded(iter([part]), tokenizer) for ids in held], np.int64)
+                else:
+                    n = np.bincount(words(chunk, NON_SPACE)[2], minlength=chunk.rows)
+                flat = pa.ListArray.from_arrays(pa.array(np.arange(chunk.rows + 1) * n_domains, pa.int32()), pa.array(model.posteriors(chunk).ravel()))
+                yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_tokens": pa.array(n, pa.int64()), "p": flat})
 
-    table = materialise(documents.select("text").mapInArrow(run, "n_tokens long, p array<double>"), "mixing")
-    steps, _ = fit_rates(table, cover(weights), len(weights))
-    return Mixture(model, steps)
+    return materialise(documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, p array<double>"), "mixing")
 
 
-def quality_domains(labels: DataFrame) -> DataFrame:
-    return labels.select("doc_id", F.col("quality").alias("domain"))
+def fit_mixture(documents: DataFrame, labelled: DataFrame, weights: list[float], floor: float = 1.0, max_labelled: int = MAX_LABELLED, tokenizer: str | None = None) -> tuple[Mixture, DataFrame]:
+    """Rates that bring the documents' expected token totals to ``weights``, and the table of their memberships.
+
+    With a floor of 1 totals are tried from the least that shrinks no domain up to ``cover``'s; below
+    1 the total stays that of the documents. Where posteriors are too soft for the weights at any of
+    them, the rates are those of the nearest shares, and no document goes below the floor.
+    """
+    model = fit_domains(documents, labelled, len(weights), max_labelled)
+    table = memberships(documents, model, tokenizer)
+    total, moment = expected(table, len(weights), [], floor)
+    w = np.array(weights) / sum(weights)
+    if not total.sum():
+        return Mixture(model, [], floor, 0.0), table
+    totals = [total.sum()]
+    if floor >= 1:
+        low = floor * max(total[d] / w[d] for d in range(len(w)) if w[d] > 0)
+        high = max(low, cover(weights)(total, moment).sum())
+        totals = [low * (high / low) ** (i / (TOTALS - 1)) for i in range(TOTALS)] if high > low else [low]
+    best = None
+    for size in totals:
+        steps, away = fit_rates(table, w * size, floor)
+        if best is None or away < best.away:
+            best = Mixture(model, steps, floor, away)
+        if away <= TOLERANCE:
+            break
+    return best, table
+
+
+def quality_domain() -> Column:
+    """The production domain of a row of ``labels``."""
+    return F.when(F.col("quality") == 0, "low").when(F.col("quality") == 1, "high")
 
 
-def mixing_rates(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """One row per document: doc_id, n_tokens, p_low, p_high, rate, copies.
+def _numbered(labels: DataFrame, domain: Column | None, names: list[str]) -> DataFrame:
+    place = F.array_position(F.array(*map(F.lit, names)), quality_domain() if domain is None else domain) - 1
+    return labels.select("doc_id", place.cast("int").alias("domain"))
 
-    Tokens are words between white space. Null and empty texts have none and a posterior all the
-    same; null ids draw like id 0; repeated rows count each; an empty table gives an empty result;
-    columns besides ``doc_id`` and ``text`` are not read.
+
+def mixing_rates(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: Column | None = None, floor: float = 1.0, tokenizer: str | None = None) -> DataFrame:
+    """One row per document: doc_id, n_tokens, a posterior p_<domain> for each domain of ``weights``, rate, copies.
+
+    ``domain`` names the domain of a row of ``labels`` (its quality by default); rows of other domains are
+    not learnt from. Null and empty texts have no tokens and a posterior all the same; null ids draw
+    like id 0; repeated rows count each; an empty table gives an empty result; columns besides
+    ``doc_id`` and ``text`` are not read.
     """
     weights = weights or WEIGHTS
-    mixture = fit_mixture(documents, quality_domains(labels), [weights[d] for d in DOMAINS])
+    mixture, table = fit_mixture(documents, _numbered(labels, domain, list(weights)), list(weights.values()), floor, tokenizer=tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            for chunk in chunks(batch.column("text")):
-                n, p, r, copies = mixture.of(chunk, ids[chunk.first : chunk.first + chunk.rows])
-                yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id").slice(chunk.first, chunk.rows), "n_tokens": pa.array(n, pa.int64()), **{f"p_{d}": pa.array(p[:, i]) for i, d in enumerate(DOMAINS)}, "rate": pa.array(r), "copies": pa.array(copies)})
+            p = batch.column("p").flatten().to_numpy().reshape(batch.num_rows, len(weights))
+            r, copies = mixture.of(p, batch.column("doc_id").fill_null(0).to_numpy())
+            yield pa.RecordBatch.from_pydict({"doc_id": batch.column("doc_id"), "n_tokens": batch.column("n_tokens"), **{f"p_{d}": pa.array(p[:, i]) for i, d in enumerate(weights)}, "rate": pa.array(r), "copies": pa.array(copies)})
 
-    return documents.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, p_low double, p_high double, rate double, copies long")
+    return table.mapInArrow(run, f"doc_id long, n_tokens long, {', '.join(f'`p_{d}` double' for d in weights)}, rate double, copies long")
 
 
-def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
-    """The rows of ``documents``, each as often as its copies say, with all columns."""
+def mixed(documents: DataFrame, labels: DataFrame, weights: dict[str, float] | None = None, domain: Column | None = None, floor: float = 1.0, tokenizer: str | None = None) -> DataFrame:
+    """The rows of ``documents``, each as often as its copies say, with all columns; with a floor of 1 none is lost."""
     weights = weights or WEIGHTS
-    mixture = fit_mixture(documents, quality_domains(labels), [weights[d] for d in DOMAINS])
+    mixture, _ = fit_mixture(documents, _numbered(labels, domain, list(weights)), list(weights.values()), floor, tokenizer=tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id").fill_null(0).to_numpy().astype(np.int64)
             for chunk in chunks(batch.column("text")):
-                copies = mixture.of(chunk, ids[chunk.first : chunk.first + chunk.rows])[3]
+                _, copies = mixture.of(mixture.model.posteriors(chunk), ids[chunk.first : chunk.first + chunk.rows])
                 # Copies of a row follow each other, a bounded number of rows at a time.
                 at = np.repeat(np.arange(chunk.rows), copies) + chunk.first
                 for i in range(0, len(at), 2000):
