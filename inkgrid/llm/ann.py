@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from inkgrid.llm.shared import materialise
 
-SAMPLE = 20_000
+#: Rows and components of the sample that the codebooks are fitted on.
+SAMPLE, SAMPLE_VALUES = 20_000, 8_000_000
 THRESHOLD = 0.2  # share of the norm from which a product counts as large; sets eta
 RERANK = 200
 NEAREST = 20
@@ -143,7 +144,7 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
     ``vectors`` has ``vec_id`` and ``embedding``; other columns are not read. Null ids, unusable
     vectors and vectors of another length than the commonest take no part. Rows that share the
     query's id are not its candidates; other repeated rows count each. Ties go to the smaller id.
-    The codebooks are fitted on at most ``sample`` rows; every row is coded and searched. Queries
+    The codebooks are fitted on at most ``sample`` rows and ``SAMPLE_VALUES`` components; every row is coded and searched. Queries
     and codes meet block by block, and each block passes on its ``nearest`` rows a query; they are the
     exact ones, however many rows share a code.
     """
@@ -153,8 +154,9 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
     if lengths is None:
         return vectors.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("vector") == lengths["n"])
-    picked = rows.select("vec_id", "vector").orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).toArrow()
-    quantiser = fit(np.array(picked["vector"].to_pylist(), float))
+    width = lengths["n"]
+    picked = rows.select("vec_id", F.col("vector").cast("array<double>").alias("vector")).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(1, min(sample, SAMPLE_VALUES // width))).toArrow()
+    quantiser = fit(picked["vector"].combine_chunks().flatten().to_numpy().reshape(-1, width))
 
     def blocks(size: int, coded: bool):  # noqa: ANN202
         def emit(ids: np.ndarray, x: np.ndarray) -> Iterator[pa.RecordBatch]:
