@@ -16,7 +16,7 @@ Hashed = tuple[np.ndarray, np.ndarray]
 
 
 def word_and_char_grams(chunk: Chunk, bits: int) -> list[Hashed]:
-    """Occurrences of words, word pairs and 4-byte character grams, each hashed into its own table."""
+    """Occurrences of words, word pairs and grams of 4 characters (code points), each hashed into its own table."""
     first, last, row = words(chunk, NON_SPACE)
     out: list[Hashed] = []
     shift = np.uint64(64 - bits)
@@ -24,22 +24,46 @@ def word_and_char_grams(chunk: Chunk, bits: int) -> list[Hashed]:
     out.append((row, (hashes >> shift).astype(np.int64)))
     same = row[1:] == row[:-1]
     out.append((row[1:][same], (chain([hashes[:-1][same], hashes[1:][same]]) >> shift).astype(np.int64)))
-    packed = chunk.buf.astype(np.uint32)
-    n = max(0, len(packed) - 3)
-    gram = packed[:n] | (packed[1 : n + 1] << 8) | (packed[2 : n + 2] << 16) | (packed[3 : n + 3] << 24)
-    gram *= np.uint32(0x9E3779B1)
-    lengths = np.maximum(chunk.ends - chunk.starts - 3, 0)
-    inside = np.repeat(chunk.starts, lengths) + np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    points = np.frombuffer(chunk.buf.tobytes().decode().encode("utf-32-le"), "<u4")
+    n = max(0, len(points) - 3)
+    gram = points[:n].copy()
+    for i in range(1, 4):
+        gram *= np.uint32(0x9E3779B1)
+        gram ^= points[i : n + i]
+    gram ^= gram >> np.uint32(15)
+    gram *= np.uint32(0x2C1B3C6D)
+    before = np.concatenate([[0], np.cumsum((chunk.buf & 0xC0) != 0x80)])
+    starts = before[chunk.starts]
+    lengths = np.maximum(before[chunk.ends] - starts - 3, 0)
+    inside = np.repeat(starts - (np.cumsum(lengths) - lengths), lengths) + np.arange(lengths.sum())
     out.append((np.repeat(np.arange(chunk.rows), lengths), (gram[inside] >> np.uint32(32 - bits)).astype(np.int64)))
     return out
 
 
+#: Code points of a stem, and how many words of one stem a text's terms tell apart.
+STEM, TELL = 5, 4
+
+
 def distinct_terms(chunk: Chunk, bits: int) -> Hashed:
-    """Distinct lower-cased alphanumeric terms of each text, as hashed buckets."""
+    """Distinct lower-cased alphanumeric words of each text as hashed buckets; and for its words longer than ``STEM`` characters, that a first, a second, ... distinct word has their stem."""
     lowered = Chunk(chunk.first, chunk.rows, LOWER[chunk.buf], chunk.starts, chunk.ends)
     first, last, row = words(lowered, ALNUM)
-    key = keyed(row, span_hash(prefix_hash(lowered.buf), first, last))
-    key = np.unique(key >> np.uint64(48 - bits))
+    prefix = prefix_hash(lowered.buf)
+    key, at = np.unique(keyed(row, span_hash(prefix, first, last)), return_index=True)
+    first, last, row = first[at], last[at], row[at]
+    points = np.flatnonzero((lowered.buf & 0xC0) != 0x80)
+    number = np.searchsorted(points, first) + STEM
+    inside = np.flatnonzero(number < len(points))
+    stop = points[number[inside]]
+    inside, stop = inside[stop < last[inside]], stop[stop < last[inside]]
+    stems = keyed(row[inside], span_hash(prefix, first[inside], stop))
+    stems.sort()
+    begin = np.flatnonzero(np.concatenate([[True], stems[1:] != stems[:-1]])) if len(stems) else np.zeros(0, np.int64)
+    count = np.minimum(np.diff(np.append(begin, len(stems))), TELL)
+    of = np.repeat(stems[begin], count)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + 1
+    told = keyed((of >> np.uint64(48)).astype(np.int64), mix((of << np.uint64(16)) + place.astype(np.uint64)))
+    key = np.unique(np.concatenate([key, told]) >> np.uint64(48 - bits))
     return (key >> np.uint64(bits)).astype(np.int64), (key & np.uint64((1 << bits) - 1)).astype(np.int64)
 
 

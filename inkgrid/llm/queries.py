@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkgrid.llm import ann, license_scan, mixing, near_dup, packing, pii, quality, suffix_dedup, token_codes, toxicity
+from inkgrid.llm.shared import bounded_batches
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -28,7 +30,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", (~toxicity.train_row()).alias("held_out"), "score", "predicted")
+    return scored.select("doc_id", F.coalesce(~toxicity.train_row(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,4 +1,7 @@
-"""Toxicity: a factorization machine over hashed terms, so that pairs of terms weigh beyond their sum."""
+"""Toxicity: a factorization machine over hashed terms, so that pairs of terms weigh beyond their sum.
+
+Terms are words and stems, so that inflected and compound forms of one stem speak together.
+"""
 
 from __future__ import annotations
 
@@ -74,7 +77,11 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MA
     (a lasso of the weight, a group lasso of a term's factors), which fades as they grow. Without
     rows of both classes every text scores the smoothed share of toxic rows.
     """
-    rows = labelled_features(documents, bounded_labels(labels, "toxic", max_labelled, train_row()), lambda c: [distinct_terms(c, BITS)])
+    return fit_rows(labelled_features(documents, bounded_labels(labels, "toxic", max_labelled, train_row()), lambda c: [distinct_terms(c, BITS)]), epochs)
+
+
+def fit_rows(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], epochs: int) -> ToxicityModel:
+    """The fit itself, on labels and buckets."""
     size = 1 << BITS
     label = np.array([r[0] for r in rows], float)
     share = (label.sum() + 1) / (len(label) + 10)
@@ -131,8 +138,9 @@ SCHEMA = "doc_id long, score double, predicted int"
 def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, toxic_at: float = TOXIC_AT) -> DataFrame:
     """One row per document with its toxicity in [0, 1] and the verdict at ``toxic_at``.
 
-    Null and empty texts get the score of a text without terms. Only ``text`` feeds a score. Null
-    ids stay null, repeated rows give repeated rows, an empty table gives an empty result.
+    Null and empty texts get the score of a text without terms. Only ``text`` feeds a score; other
+    columns, whatever their names, are not read. Null ids stay null, repeated rows give repeated rows,
+    an empty table gives an empty result.
     """
     model = fit_toxicity(documents, labels, max_labelled)
 
@@ -146,7 +154,7 @@ def toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LA
 
 
 def remove_toxic(documents: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, toxic_at: float = TOXIC_AT) -> DataFrame:
-    """The rows of ``documents`` below ``toxic_at``, with all their columns: a filter inside the scan, without a join."""
+    """The rows of ``documents`` below ``toxic_at``, with all their columns, whatever their names: a filter inside the scan, without a join."""
     model = fit_toxicity(documents, labels, max_labelled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
