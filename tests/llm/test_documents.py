@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -83,6 +84,56 @@ def test_quality_rules(docs, labels, none):
     assert quality.quality_rules(none, labels).count() == 0
 
 
+def test_quality_verdicts_and_calibration(spark):
+    """On rows outside the fit the verdict follows the label, and scores are as sure as they are right, in any script."""
+    rng = random.Random(14)
+    good, bad, both = (["".join(rng.choices(a, k=6)) for _ in range(150)] for a in ("aeioustrnl", "éèñüßçаб", "mnopqr"))
+    rows, marks = [], []
+    for i in range(900):
+        y = i % 3 > 0
+        own = 0.35 if rng.random() < 0.9 else 0.0  # some rows look like neither
+        words = [rng.choice((good if y else bad) if rng.random() < own else both) for _ in range(60)]
+        rows.append((i, " ".join(words), "x"))
+        marks.append((i, int(y)))
+    known = spark.createDataFrame(marks[:600], "doc_id long, quality int")
+    out = quality.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, quality string"), known).where("doc_id >= 600").collect()
+    assert sum(r["kept"] == bool(marks[r["doc_id"]][1]) for r in out) > 0.9 * len(out)
+    for low, high in ((0, 0.5), (0.5, 0.8), (0.8, 1.01)):
+        own = [r for r in out if low <= r["quality"] < high]
+        if len(own) > 20:
+            assert abs(np.mean([r["quality"] for r in own]) - np.mean([marks[r["doc_id"]][1] for r in own])) < 0.15
+
+
+def test_character_grams():
+    """Grams are of four characters, whatever their bytes."""
+    import pyarrow as pa
+
+    from inkgrid.llm.bytescan import chunks
+    from inkgrid.llm.features import word_and_char_grams
+
+    texts = ["abcde", "яяяяя", "яяяя", "abc", "", "xabcd", "a😀bя😀a😀bя"]
+    (chunk,) = chunks(pa.array(texts))
+    rows, buckets = word_and_char_grams(chunk, 16)[2]
+    assert np.bincount(rows, minlength=len(texts)).tolist() == [max(0, len(t) - 3) for t in texts]
+    of = lambda i: buckets[rows == i].tolist()
+    assert of(5)[1] == of(0)[0] and set(of(1)) == set(of(2)) and of(6)[0] == of(6)[5]
+
+
+def test_terms_and_stems():
+    """Distinct words, and one term more for each of the first words of a stem."""
+    import pyarrow as pa
+
+    from inkgrid.llm.bytescan import chunks
+    from inkgrid.llm.features import TELL, distinct_terms
+
+    texts = ["Run runs running", "Überfall überfälle", "abcdef abcdeg abcdeh abcdei abcdej abcdek abcdef", "", "abcdex", "ABCDEX abcde"]
+    (chunk,) = chunks(pa.array(texts))
+    rows, buckets = distinct_terms(chunk, 30)
+    assert np.bincount(rows, minlength=len(texts)).tolist() == [4, 4, 6 + TELL, 0, 2, 3]
+    own = lambda i: set(buckets[rows == i].tolist())
+    assert len(own(4) & own(2)) == 1 and len(own(4) & own(5)) == 2
+
+
 def test_toxicity(docs, spark, none, labels):
     rng = random.Random(1)
     vocab = ["".join(rng.choices("aeioustrnl", k=5)) for _ in range(200)]
@@ -152,6 +203,32 @@ def test_token_files(docs, none):
     assert token_codes.read_token_files(token_codes.write_token_files(none)).count() == 0
 
 
+def test_single_tokens(docs, spark):
+    """Tokens by random access equal those of whole documents; what is not there gives no row."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    files = token_codes.write_token_files(docs, shard_tokens=300)
+    texts = {r[0]: r[1] for r in ROWS if r[0] not in (5, 7, None)}
+    ids = {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t in texts.items()}
+    asked = [(d, p) for d in ids for p in range(0, len(ids[d]), 37)] + [(3, 10**6), (999, 0), (None, 0), (3, -1)]
+    found = token_codes.tokens_at(files, spark.createDataFrame(asked, "doc_id long, position long"))
+    assert got(found, "doc_id", "position", "token_id") == want([(d, p, ids[d][p]) for d, p in asked if d in ids and 0 <= p < len(ids[d])])
+
+
+def test_special_tokens_in_texts(spark):
+    """Markers within texts get the ids that the library gives, in token files and in packed sequences."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(default_tokenizer())
+    texts = ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>b c", "plain  text ", "x <|endoftext|><|endoftext|> y <|endo", None]
+    ids = [np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 0], "<u4") for t in texts]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = token_codes.read_token_files(token_codes.write_token_files(table))
+    assert got(out, "doc_id", "n_tokens", "ids_crc32") == [(i, len(x), zlib.crc32(x)) for i, x in enumerate(ids)]
+    assert got(packing.pack(table), "doc_id", "length", "ids_crc32") == [(i, len(x), zlib.crc32(x)) for i, x in enumerate(ids)]
+
+
 def test_codes_round_trip():
     rng = np.random.default_rng(0)
     for ids in (np.array([0]), rng.integers(0, 50257, 3000), rng.integers(0, 1 << 31, 777), np.full(1025, 255), np.zeros(0, int)):
@@ -233,43 +310,171 @@ def test_dense_family(spark):
     table = spark.createDataFrame(rows, "doc_id long, text string")
     for large in (2000, 70):
         assert got(near_dup.near_duplicates(table, 2, large=large), "doc_id", "component_id") == [(i, c) for i, c in enumerate(label)]
+    # Nodes that meet in parts, of which some are dense and some branch.
+    for large, local in ((2000, 10), (70, 40)):
+        assert got(near_dup.near_duplicates(table.repartition(6), 2, large=large, local=local), "doc_id", "component_id") == [(i, c) for i, c in enumerate(label)]
+
+
+def test_one_id_with_different_texts(spark):
+    """Rows of one id stay if their texts differ; equal rows stay once; columns may have any name."""
+    rows = [(1, "a b c d e f g", 1), (1, "h i j k l m n", 2), (1, "a b c d e f g", 3), (2, "o p q r s t u", 4), (3, "o p q r s t u", 5), (None, "x", 6), (None, "x", 6)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, place long")
+    kept = near_dup.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    assert got(kept, "doc_id", "text") == want([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u"), (None, "x"), (None, "x")])
+
+
+def brute_licenses(text, notices):
+    t = (text or "").translate({c: c + 32 for c in range(65, 91)})
+    words = re.findall("[0-9a-z\x80-\U0010ffff]+", t)
+    places = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    labels, best = set(), 0.0
+    for label, notice in notices:
+        terms = set(notice.split())
+        needed = -(-8 * len(terms) // 10)
+        rivals = [terms - set(x.split()) for other, x in notices if other != label and len(terms & set(x.split())) >= needed]
+        span = -(-3 * len(notice.split()) // 2)
+        for i in range(len(words)):
+            held = set(words[i : i + span]) & terms
+            if len(held) >= needed and all(held & own for own in rivals if own):
+                labels.add(label)
+                best = max(best, len(held) / len(terms))
+    base = {label for _, label in places}
+    at = [i for i, _ in places]
+    return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if at else best
+
+
+LICENSE_COLUMNS = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
 def test_license_scan(docs, none):
-    def scan(text):
-        t = (text or "").translate({c: c + 32 for c in range(65, 91)})
-        pattern = re.compile("[0-9a-z\x80-\U0010ffff]+")
-        words = pattern.findall(t)
-        places = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
-        labels, best = set(), 0.0
-        for line in t.split("\n"):
-            block = set(pattern.findall(line))
-            for label, notice in license_scan.NOTICES:
-                terms = set(notice.split())
-                share = len(block & terms) / len(terms)
-                if share >= license_scan.THRESHOLD:
-                    labels.add(label)
-                    best = max(best, share)
-        base = {label for _, label in places}
-        at = [i for i, _ in places]
-        return len(words), len(at), min(at, default=None), max(at, default=None), ",".join(sorted(base)), ",".join(sorted(base | labels)), 1.0 if at else best
-
-    columns = ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
-    assert got(license_scan.license_scan(docs), *columns) == want([(r[0], *scan(r[1])) for r in ROWS])
+    assert got(license_scan.license_scan(docs), *LICENSE_COLUMNS) == want([(r[0], *brute_licenses(r[1], license_scan.NOTICES)) for r in ROWS])
     assert license_scan.license_scan(none).count() == 0
 
 
-def test_personal_data(docs, none, spark):
-    row = pii.find_personal_data(docs).where("n_email > 0").first()
-    assert (row["n_email"], row["n_ip"], row["n_card"], row["n_phone"]) == (1, 1, 1, 1)
-    base = "email:5:35,ip:62:73,card:96:115,phone:39:56"
-    text = next(r[1] for r in ROWS if r[1] and "Bob" in r[1])
-    spans = [(k, *m.span()) for k in pii.KINDS for m in pii.PATTERNS[k].finditer(text) if pii._valid(k, m[0])]
-    assert row["base_sha256"] == hashlib.sha256(",".join(f"{k}:{a}:{b}" for k, a, b in spans).encode()).hexdigest(), base
-    assert pii.find_personal_data(none).count() == 0
-    clean = pii.sanitise(docs)
-    assert clean.columns == docs.columns and clean.count() == len(ROWS)
-    assert "[EMAIL]" in clean.where("text like 'Mail%'").first()["text"]
+def test_wrapped_and_rival_notices(spark):
+    """Notices over several lines and in the midst of long lines; words too far apart; labels that exclude each other; a table of notices."""
+    rng = random.Random(9)
+    fill = lambda n: rng.choices(["of", "the", "and", "is", "licensed", "w1", "w2", "rights"], k=n)
+    texts = []
+    for _, notice in license_scan.NOTICES:
+        words = notice.split()
+        texts.append(" ".join(fill(30)) + "\n# " + "\n# ".join(" ".join(words[i : i + 5]) for i in range(0, len(words), 5)) + "\n" + " ".join(fill(9)))
+        for drop in (1, len(words) // 5, len(words) // 3):
+            left = list(words)
+            for _ in range(drop):
+                left[rng.randrange(len(left))] = "other"
+            texts.append(" ".join(fill(40) + left + fill(40)))
+        texts.append((" " + " ".join(fill(8)) + " ").join(words))
+    texts += ["Licensed under CC BY-NC 4.0.", "licensed under cc by 4 0", "Licensed under CC BY-NC-SA 4.0", "ALL rights\nreserved", "all of the rights that were reserved"]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = got(license_scan.license_scan(table), *LICENSE_COLUMNS)
+    assert found == [(i, *brute_licenses(t, license_scan.NOTICES)) for i, t in enumerate(texts)]
+    assert [r[6] for r in found[-5:]] == ["cc-by-nc", "", "cc-by-nc,cc-by-sa", "proprietary", ""]
+    assert all(label in found[5 * i][6].split(",") for i, (label, _) in enumerate(license_scan.NOTICES))
+    own = [("one", "alpha beta gamma delta epsilon"), ("two", "alpha beta gamma delta zeta"), ("none", "!!")]
+    texts = ["Alpha beta gamma\ndelta", "alpha beta gamma delta zeta", "beta gamma delta epsilon", "alpha " * 50 + "gamma delta zeta", None]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    notices = spark.createDataFrame([*own, (None, "x"), ("y", None)], "label string, text string")
+    assert got(license_scan.license_scan(table, notices), *LICENSE_COLUMNS) == [(i, *brute_licenses(t, own[:2])) for i, t in enumerate(texts)]
+    assert got(license_scan.license_scan(table, notices.limit(0)), "labels") == [("",)] * 5
+
+
+def test_base_patterns_in_linear_time():
+    """The scans equal the patterns, and long runs cost time in proportion."""
+    rng = random.Random(11)
+    for _ in range(4000):
+        text = "".join(rng.choices("ab1.2@-+ (9%", k=rng.randint(0, 40)))
+        spans = [(k, *m.span()) for k in pii.KINDS for m in pii.PATTERNS[k].finditer(text) if pii._valid(k, m[0])]
+        assert pii.base_spans(text) == spans, text
+    began = time.time()
+    for text in ("1" * 10**6, "a" * 10**6 + " x@y", "@" + "a" * 10**6, "1." * 500_000, "+1" + "(" * 10**6, "'" + "a" * 10**6, "@a" * 400_000, "a@" * 400_000):
+        pii.base_spans(text), pii.secret_spans(text)
+    assert time.time() - began < 10
+
+
+def brute_disclosures(texts):
+    """Terms and their largest disclosure, straight from the definition."""
+    word, n = re.compile("[0-9A-Za-z\x80-\U0010ffff]+"), len(texts)
+    holders, counts, supports, both = {}, {}, {}, {}
+    for i, text in enumerate(texts):
+        spans = pii.base_spans(text) + pii.secret_spans(text)
+        values, classes = pii.entities(text, spans)
+        every = [(m[0].translate({c: c + 32 for c in range(65, 91)}), *m.span()) for m in word.finditer(text)]
+        free = [x for x in every if not any(x[1] < b and x[2] > a for _, a, b in spans)]
+        for t in {x[0] for x in every}:
+            counts[t] = counts.get(t, 0) + 1
+        for e in [*values, *classes]:
+            holders[e] = holders.get(e, 0) + 1
+            for t in {x[0] for x in free}:
+                both[e, t] = both.get((e, t), 0) + 1
+                if e in classes:
+                    supports.setdefault((e, t), set()).update(classes[e])
+                    continue
+                a, b = values[e]
+                near = [x[0] for x in free if x[2] <= a][-pii.CONTEXT :], [x[0] for x in free if x[1] >= b][: pii.CONTEXT]
+                k = next(j for j, x in enumerate(every) if x[0] == t and x in free)
+                around = [x[0] for x in every[max(0, k - pii.CONTEXT) : k]], [x[0] for x in every[k + 1 : k + 1 + pii.CONTEXT]]
+                supports.setdefault((e, t), set()).add(str((near, around)))
+    out = {}
+    for (e, t), m in both.items():
+        if len(supports[e, t]) >= (pii.MIN_VALUES if e & 1 else pii.MIN_CONTEXTS) and holders[e] < n:
+            share = np.log(n * m / (counts[t] * holders[e])) / np.log(n / holders[e])
+            if share >= pii.GENERALISE_AT:
+                out[t] = max(out.get(t, 0), share)
+    return out
+
+
+def test_disclosures_of_classes(spark):
+    """Names beside domains, areas and secrets, and copies that prove nothing: terms and shares as by brute force."""
+    rng = random.Random(12)
+    vocab = [f"common{i}" for i in range(60)]
+    texts = []
+    for i in range(300):
+        words = rng.choices(vocab, k=20)
+        if i % 10 == 0:
+            words.insert(rng.randrange(20), f"Zaphod writes from u{i}@betel{i % 30 // 10}.example.com")
+        if i % 12 == 1:
+            words.insert(rng.randrange(20), f'token = "{rng.randrange(10**30):030d}abcdef"')
+        if i % 15 == 2:
+            words.insert(rng.randrange(20), f"Marvin +1 (743) 555-{i:04d}" + " secretly" * (i % 30 == 2))
+        if i % 25 == 3:
+            words[:] = ["copied", "line", "of", "copy@copies.example.com", "and", "unique"] * 3
+        texts.append(" ".join(words))
+    expected = brute_disclosures(texts)
+    assert {"zaphod", "token", "marvin"} <= set(expected) and "unique" not in expected
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    assert sorted(r["disclosure"] for r in pii.disclosures(table).collect()) == pytest.approx(sorted(expected.values()))
+    flagged = {}
+    for r in pii.find_personal_data(table).collect():
+        for s in r["spans"].split(","):
+            if s:
+                kind, a, b = s.split(":")
+                flagged.setdefault(kind, set()).add(texts[r["doc_id"]][int(a) : int(b)].lower())
+    assert flagged.get("term", set()) | flagged.get("general", set()) == set(expected)
+    assert flagged["term"] == {t for t, share in expected.items() if share >= pii.REMOVE_AT} and len(flagged["secret"]) > 10
+
+
+def test_disclosures_on_the_tables(spark):
+    """On the given documents terms are found too, the same as by brute force."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    expected = brute_disclosures([r[0] or "" for r in docs.select("text").collect()])
+    assert sorted(r["disclosure"] for r in pii.disclosures(docs).collect()) == pytest.approx(sorted(expected.values()))
+
+
+def test_sanitise_with_clashing_columns(spark, monkeypatch):
+    """Columns of any name stay as they are, whether terms are broadcast or shuffled."""
+    rng = random.Random(13)
+    rows = [(i, " ".join([*rng.choices([f"w{j}" for j in range(40)], k=20), *(["Zaphod", f"'{'ab1' * 8}{i}'", "z@betel.example.com"] if i % 20 == 0 else [])]), f"k{i}", f"m{i}", f"x{i}", i) for i in range(200)] + [(None, None, "k", "m", "x", 0)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, key string, more string, term_spans string, __more int")
+    first = pii.sanitise(table)
+    clean = got(first, *table.columns)
+    monkeypatch.setattr(pii, "MAX_BROADCAST_TERMS", 0)
+    second = pii.sanitise(table)
+    assert first.columns == second.columns == table.columns and got(second, *table.columns) == clean
+    assert [(r[0], *r[2:]) for r in clean] == [(r[0], *r[2:]) for r in want(rows)]
+    assert all("Zaphod" not in r[1] and "[EMAIL]" in r[1] and "[SECRET]" in r[1] for r in clean if r[0] is not None and r[0] % 20 == 0)
+    assert pii.generalised("1987") == "[1980s]" and pii.generalised("4711") == "[NUMBER OF 4 DIGITS]" and pii.generalised("Zaphod") == "[NAME]"
 
 
 def test_disclosing_terms(spark):
@@ -329,6 +534,40 @@ def test_projected_rates_reach_targets():
     assert np.allclose((r * n) @ p, goal, rtol=1e-6) and r.min() >= 1
 
 
+def test_projection_binds(spark):
+    """Rates by brute force where the projection binds: at a floor of 1 below the covering total, and at 0 with a domain unwanted."""
+    rng = np.random.default_rng(2)
+    p = rng.dirichlet([0.05, 0.05, 0.05], 400)
+    n = rng.integers(1, 900, 400)
+    table = spark.createDataFrame([(int(a), b.tolist()) for a, b in zip(n, p, strict=True)], "n_tokens long, p array<double>").repartition(3)
+    total, moment = n @ p, (p * n[:, None]).T @ p
+    w = np.array([0.2, 0.3, 0.5])
+    least, most = max(total / w), mixing.cover(w)(total, moment).sum()
+    for goal, floor in ((w * (least + most) / 2, 1.0), (np.array([0.0, 0.5, 0.5]) * total.sum() * 0.9, 0.0)):
+        steps, away = mixing.fit_rates(table, goal, floor)
+        r = np.ones(len(p))
+        for _ in steps:
+            r = np.maximum(floor, r - p @ (np.linalg.pinv(moment) @ ((r * n) @ p - goal)))
+        assert np.allclose(mixing.rates(p, steps, floor), r) and (r <= floor).sum() > 50
+        assert away == pytest.approx(np.abs((r * n) @ p - goal).max() / goal.sum()) and away < 0.02
+
+
+def test_mixing_of_other_domains(spark):
+    """Domains of the caller's naming, tokens of a tokenizer: every document stays, shares meet the weights."""
+    rng = random.Random(3)
+    vocab = {d: [f"{d}{i}" for i in range(30)] for d in ("law", "news", "code")}
+    rows = [(i, " ".join(rng.choices(vocab[("law", "news", "code")[i % 3]], k=20 + i % 40)), i % 3) for i in range(300)]
+    table = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    known = spark.createDataFrame([(r[0], ["law", "news", "code"][r[2]]) for r in rows[:200]], "doc_id long, area string")
+    weights = {"law": 0.2, "news": 0.5, "code": 0.3}
+    out = mixing.mixing_rates(table, known, weights, F.col("area"), tokenizer=default_tokenizer()).toPandas()
+    assert len(out) == 300 and (out["rate"] >= 1).all() and (out["copies"] >= 1).all() and (out["rate"] == 1).sum() > 50
+    mass = (out["n_tokens"] * out["rate"]).to_numpy() @ out[["p_law", "p_news", "p_code"]].to_numpy()
+    assert mass / mass.sum() == pytest.approx(list(weights.values()), abs=0.01)
+    ids = Encoder(default_tokenizer()).encode([r[1] for r in rows])
+    assert sorted(out["n_tokens"]) == sorted(len(x) + 1 for x in ids)
+
+
 def test_suffix_arrays():
     rng = np.random.default_rng(0)
     for _ in range(120):
@@ -361,6 +600,33 @@ def removed(rows, length=50):
     return out
 
 
+@pytest.mark.parametrize("joined", [1, 2, 8])
+def test_segments_by_suffix_arrays(monkeypatch, joined):
+    """Covered runs of segments as by brute force, with groups of all sizes cut deeper and deeper; periodic texts too."""
+    monkeypatch.setattr(suffix_dedup, "JOINED", joined)
+    rng = np.random.default_rng(3)
+    source = [bytes(rng.integers(97, 99 + k, 300).astype(np.uint8)) for k in range(3)] + [b"abc" * 100, b"x" * 300]
+    heads, body = [], b""
+    for group in range(12):
+        for _ in range(rng.integers(2, 30)):
+            s = source[rng.integers(0, len(source))]
+            a = rng.integers(0, 200)
+            piece = s[a : a + int(rng.integers(50, 84))]
+            heads.append((group, rng.integers(0, 9), rng.integers(0, 2), rng.integers(0, 3) * 1000, len(piece)))
+            body += piece
+    head = np.array(heads, suffix_dedup.HEAD)
+    ends = np.cumsum(head["size"].astype(np.int64))
+    found = suffix_dedup.compare_segments(head, np.frombuffer(body, np.uint8), ends - head["size"], 50)
+    first, expected = {}, set()
+    strings = [(int(h["group"]), int(h["doc"]), int(h["text"]), int(h["start"]) + k, body[e - h["size"] + k : e - h["size"] + k + 50]) for h, e in zip(head, ends, strict=True) for k in range(h["size"] - 49)]
+    for g, d, _, _, x in strings:
+        first[g, x] = min(d, first.get((g, x), d))
+    for g, d, t, p, x in strings:
+        if d > first[g, x]:
+            expected |= {(d, t, p + k) for k in range(50)}
+    assert {(int(c["doc"]), int(c["text"]), p) for c in found for p in range(c["start"], c["end"])} == expected
+
+
 @pytest.mark.parametrize(("joined", "hot"), [(8, 256), (300, 300), (2, 3)])
 def test_suffix_dedup(docs, none, spark, monkeypatch, joined, hot):
     monkeypatch.setattr(suffix_dedup, "JOINED", joined)
