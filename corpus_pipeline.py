@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from inkgrid.llm import mixing, near_dup, packing, pii, toxicity
-from inkgrid.llm.shared import materialise
+from inkgrid.llm.shared import bounded_batches, materialise
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,26 +14,31 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorization machine rejects go."""
+    bounded_batches(spark)
     return toxicity.remove_toxic(docs, _labels(spark, sf_dir))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays: five-word shingles, similarity of 0.8 or more."""
+    bounded_batches(spark)
     return near_dup.drop_near_duplicates(docs)
 
 
 def sanitise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced in the texts."""
+    bounded_batches(spark)
     return pii.sanitise(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents repeat as the target weights of their domains ask; none is lost."""
+    bounded_batches(spark)
     return mixing.mixed(docs, _labels(spark, sf_dir))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of token sequences."""
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
