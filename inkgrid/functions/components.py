@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkgrid.functions.tables import written
+from inkgrid.functions.tables import dropped, written
 
 
 #: Edges a task; few edges on many partitions would cost more in files than in work.
@@ -27,8 +27,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """Nodes with an edge and the smallest node of their component: node, component.
 
     ``edges`` has long columns ``a`` and ``b`` in any order. Each round shuffles edges only, with a
-    partial minimum before the shuffle, and is written to the shared folder. It ends when a round
-    changes nothing.
+    partial minimum before the shuffle, and is written to the shared folder, whereupon the one before
+    it goes. It ends when a round changes nothing.
     """
     now = written(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     state = [F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))]
@@ -36,7 +36,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     most = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     for _ in range(rounds):
         tasks = min(most, 1 + mark[0] // EDGES_A_TASK)
-        now = written(_star(_star(now.coalesce(tasks), True, tasks), False, tasks), "edges")
+        old, now = now, written(_star(_star(now.coalesce(tasks), True, tasks), False, tasks), "edges")
+        dropped(old)
         was, mark = mark, now.agg(*state).first()
         if was == mark:
             break
