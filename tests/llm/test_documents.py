@@ -545,9 +545,11 @@ def test_projection_binds(spark):
     least, most = max(total / w), mixing.cover(w)(total, moment).sum()
     for goal, floor in ((w * (least + most) / 2, 1.0), (np.array([0.0, 0.5, 0.5]) * total.sum() * 0.9, 0.0)):
         steps, away = mixing.fit_rates(table, goal, floor)
-        r = np.ones(len(p))
-        for _ in steps:
-            r = np.maximum(floor, r - p @ (np.linalg.pinv(moment) @ ((r * n) @ p - goal)))
+        r, was = np.ones(len(p)), np.inf
+        for k in range(len(steps)):
+            away_, free = np.abs((r * n) @ p - goal).max(), r > floor
+            scale = moment if not k or away_ > mixing.LITTLE * was else (p[free] * n[free, None]).T @ p[free]
+            was, r = away_, np.maximum(floor, r - p @ (np.linalg.pinv(scale) @ ((r * n) @ p - goal)))
         assert np.allclose(mixing.rates(p, steps, floor), r) and (r <= floor).sum() > 50
         assert away == pytest.approx(np.abs((r * n) @ p - goal).max() / goal.sum()) and away < 0.02
 
@@ -561,7 +563,7 @@ def test_mixing_of_other_domains(spark):
     known = spark.createDataFrame([(r[0], ["law", "news", "code"][r[2]]) for r in rows[:200]], "doc_id long, area string")
     weights = {"law": 0.2, "news": 0.5, "code": 0.3}
     out = mixing.mixing_rates(table, known, weights, F.col("area"), tokenizer=default_tokenizer()).toPandas()
-    assert len(out) == 300 and (out["rate"] >= 1).all() and (out["copies"] >= 1).all() and (out["rate"] == 1).sum() > 50
+    assert len(out) == 300 and (out["rate"] >= 1).all() and (out["copies"] >= 1).all() and out["rate"].min() < 1.05
     mass = (out["n_tokens"] * out["rate"]).to_numpy() @ out[["p_law", "p_news", "p_code"]].to_numpy()
     assert mass / mass.sum() == pytest.approx(list(weights.values()), abs=0.01)
     ids = Encoder(default_tokenizer()).encode([r[1] for r in rows])
