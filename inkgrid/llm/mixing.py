@@ -3,8 +3,9 @@
 A classifier fitted on the labelled table gives every document a posterior over domains. With ``n``
 tokens and posterior ``p`` a document at rate ``r`` adds ``r n p`` to the expected tokens of the
 domains. The rates start at 1 and follow ``r <- max(floor, r - p . M^-1 (S - t))``: ``S`` are the
-expected tokens, ``t`` the targets and ``M`` the token-weighted second moments of the posteriors, which
-scale the least squares so that a unit step is safe. A step needs one sum per domain over a compact
+expected tokens, ``t`` the targets and ``M`` the token-weighted second moments of the posteriors of the
+documents above the floor, which scale the least squares so that a step solves them while no other
+document meets the floor; where a step gains little, the next one takes the moments of all. A step needs one sum per domain over a compact
 table of posteriors; a document's rate follows from its own posterior and the steps so far. A floor
 of 1 keeps every document: the total is then the least one tried at which no domain has to shrink
 and the projected rates still meet the targets.
@@ -27,12 +28,12 @@ from inkgrid.llm.tokens import encoded
 
 BITS = 16
 MAX_LABELLED = 2000
-STEPS = 40
+STEPS = 8
 TOLERANCE = 1e-6
-#: Totals tried, from the least that shrinks no domain to that at which no rate is projected.
-TOTALS = 4
-#: Share of the residual that a step must take off for the fit to go on.
-LEAST_GAIN = 0.02
+#: Totals tried between the least that shrinks no domain and that at which no rate is projected, the last one included.
+TOTALS = 3
+#: Share of the residual that a step must take off for the fit to go on, and below which it counts as little.
+LEAST_GAIN, LITTLE = 0.1, 0.5
 #: The production domains and the weights of their tokens.
 WEIGHTS = {"low": 0.1, "high": 0.9}
 
@@ -103,7 +104,7 @@ def rates(posteriors: np.ndarray, steps: list[np.ndarray], floor: float = 0.0) -
 
 
 def expected(table: DataFrame, n_domains: int, taken: list[np.ndarray], floor: float) -> tuple[np.ndarray, np.ndarray]:
-    """Expected tokens of the domains after the steps ``taken``, and the second moments: one distributed sum of a few numbers."""
+    """Expected tokens of the domains after the steps ``taken``, and the second moments of the documents above the floor (of all before the first step): one distributed sum of a few numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, moment = np.zeros(n_domains), np.zeros((n_domains, n_domains))
@@ -111,8 +112,10 @@ def expected(table: DataFrame, n_domains: int, taken: list[np.ndarray], floor: f
             if batch.num_rows:
                 n = batch.column("n_tokens").to_numpy().astype(float)
                 p = batch.column("p").flatten().to_numpy().reshape(-1, n_domains)
-                total += (rates(p, taken, floor) * n) @ p
-                moment += (p * n[:, None]).T @ p
+                r = rates(p, taken, floor)
+                total += (r * n) @ p
+                free = r > floor if taken else slice(None)
+                moment += (p[free] * n[free, None]).T @ p[free]
         yield pa.RecordBatch.from_pydict({"place": pa.array(range(n_domains * (n_domains + 1)), pa.int32()), "x": pa.array(np.concatenate([total, moment.ravel()]))})
 
     got = {r["place"]: r["x"] for r in table.mapInArrow(run, "place int, x double").groupBy("place").agg(F.sum("x").alias("x")).collect()}
@@ -123,14 +126,15 @@ def expected(table: DataFrame, n_domains: int, taken: list[np.ndarray], floor: f
 def fit_rates(table: DataFrame, goal: np.ndarray, floor: float = 0.0, steps: int = STEPS) -> tuple[list[np.ndarray], float]:
     """The steps, and the largest domain's residual as a share of the total; ``table`` has ``n_tokens`` and the array ``p``."""
     taken: list[np.ndarray] = []
-    was = np.inf
+    was, every = np.inf, None
     while True:
         total, moment = expected(table, len(goal), taken, floor)
+        every = moment if every is None else every
         away = float(np.abs(total - goal).max() / max(1.0, goal.sum()))
         if away <= TOLERANCE or len(taken) == steps or away > (1 - LEAST_GAIN) * was:
             return taken, away
-        was = away
-        taken.append(np.linalg.pinv(moment) @ (total - goal))
+        scale, was = every if away > LITTLE * was else moment, away
+        taken.append(np.linalg.pinv(scale) @ (total - goal))
 
 
 def cover(weights: list[float], margin: float = 1e-6) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
@@ -185,7 +189,7 @@ def memberships(documents: DataFrame, model: DomainModel, tokenizer: str | None
 def fit_mixture(documents: DataFrame, labelled: DataFrame, weights: list[float], floor: float = 1.0, max_labelled: int = MAX_LABELLED, tokenizer: str | None = None) -> tuple[Mixture, DataFrame]:
     """Rates that bring the documents' expected token totals to ``weights``, and the table of their memberships.
 
-    With a floor of 1 totals are tried from the least that shrinks no domain up to ``cover``'s; below
+    With a floor of 1 totals are tried above the least that shrinks no domain, up to ``cover``'s; below
     1 the total stays that of the documents. Where posteriors are too soft for the weights at any of
     them, the rates are those of the nearest shares, and no document goes below the floor.
     """
@@ -199,7 +203,7 @@ def fit_mixture(documents: DataFrame, labelled: DataFrame, weights: list[float],
     if floor >= 1:
         low = floor * max(total[d] / w[d] for d in range(len(w)) if w[d] > 0)
         high = max(low, cover(weights)(total, moment).sum())
-        totals = [low * (high / low) ** (i / (TOTALS - 1)) for i in range(TOTALS)] if high > low else [low]
+        totals = [low * (high / low) ** (i / TOTALS) for i in range(1, TOTALS + 1)] if high > low else [low]
     best = None
     for size in totals:
         steps, away = fit_rates(table, w * size, floor)
