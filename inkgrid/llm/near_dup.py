@@ -11,10 +11,13 @@ A pair at the threshold reaches a common leaf of one tree with probability 0.58
 (0.50 at depth 6), so ``TREES`` of 20 miss it with probability 3e-8 (1e-6).
 
 In nodes dense with like documents only each document's first partner is confirmed that way. The
-components of these links then show which documents are still apart; documents that dense nodes tie
-together are compared across components in bounded blocks, on their full sets, and only links
-leave a block. So no link that would join two components is skipped, and a group of copies never
-expands into all of its pairs.
+components of these links then show which documents are still apart; of the documents that dense
+nodes tie together, those outside the largest component are compared with all the others in bounded
+blocks, on their full sets, and only links leave a block. So no link that would join two components
+is skipped, and a group of copies never expands into all of its pairs.
+
+A node that takes more than ``LOCAL`` documents from one batch meets in parts: the batch's documents
+in a task of their own, the first of them at the node. All its parts count as dense, or all branch.
 """
 
 from __future__ import annotations
@@ -25,12 +28,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions.components import components
+from inkgrid.functions.tables import dropped
 from inkgrid.llm.bytescan import LOWER, NON_SPACE, Chunk, chain, chunks, mix, prefix_hash, span_hash, words
-from inkgrid.llm.shared import materialise, n_partitions
+from inkgrid.llm.shared import materialise, n_partitions, unused
 
 THRESHOLD = 0.8
 COORDINATES = 128
@@ -38,10 +42,16 @@ TREES = 20
 #: Shingle overlap of unlike documents that the depth allows for, and the node size it aims at.
 UNLIKE, SMALL = 0.06, 8
 LARGE = 2000  # nodes above this branch further
+LOCAL = 500  # documents of a batch of 4000 above which they meet apart from the rest of their node
+#: Share of a large node that must be like its first document for the node to count as dense.
+LIKE_FIRST = 0.95
 #: A pair of Jaccard 0.8 agrees on 0.9 of 128 one-bit values; this bound is 4.5 standard deviations below.
 SKETCH_BITS = 100
+DEEPEST = 40  # levels after which large nodes branch no more
 #: Class ids (8 bytes each) that may be broadcast as a filter; more are joined by a shuffle.
 MAX_BROADCAST_IDS = 2_000_000
+#: Families (some 40 bytes each), and paths of nodes that branch, that may be broadcast.
+MAX_BROADCAST_FAMILIES = 200_000
 
 _RNG = np.random.default_rng(5)
 FACTOR = _RNG.integers(0, 1 << 32, COORDINATES, dtype=np.uint32) | np.uint32(1)
@@ -119,12 +129,32 @@ def describe(documents: DataFrame, size: int) -> DataFrame:
 
 
 NODES = "bucket int, nodes binary"
-ROW = np.dtype([("path", "<u8"), ("id", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
-
-
-def _dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
+#: ``part`` is 0 at the node itself, else the batch whose documents meet apart; ``first`` marks the first of such a batch.
+ROW = np.dtype([("path", "<u8"), ("part", "<u4"), ("first", "u1"), ("id", "<i8"), ("s0", "<u8"), ("s1", "<u8")])
+
+
+def _in_parts(rows: np.ndarray, local: int) -> np.ndarray:
+    """Rows of a batch, those of frequent paths as parts of their nodes, with their first rows at the node."""
+    rows["part"], rows["first"] = 0, 0
+    order = np.lexsort((rows["id"], rows["path"]))
+    path = rows["path"][order]
+    starts = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(path)))
+    many = sizes > local
+    if not many.any():
+        return rows
+    heads = rows[order[starts[many]]].copy()
+    heads["first"] = 1
+    apart = order[np.repeat(many, sizes)]
+    # One number for the batch: its ids tell it from others.
+    rows["part"][apart] = np.uint32(1) | np.bitwise_xor.reduce(mix(np.unique(rows["id"]).view(np.uint64))).astype(np.uint32)
+    return np.concatenate([rows, heads])
+
+
+def _dealt(rows: np.ndarray, buckets: int, local: int) -> Iterator[pa.RecordBatch]:
     """Rows in one blob a bucket of paths, so that the shuffle moves few large records."""
-    bucket = (rows["path"] % np.uint64(buckets)).astype(np.int32)
+    rows = _in_parts(rows, local)
+    bucket = (mix(rows["path"] + rows["part"]) % np.uint64(buckets)).astype(np.int32)
     order = np.argsort(bucket, kind="stable")
     found, at = np.unique(bucket[order], return_index=True)
     edge = [*at.tolist(), len(rows)]
@@ -132,7 +162,7 @@ def _dealt(rows: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_pydict({"bucket": pa.array(found, pa.int32()), "nodes": pa.array([rows[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())})
 
 
-def _paths(classes: DataFrame, depth: int, trees: int, buckets: int) -> DataFrame:
+def _paths(classes: DataFrame, depth: int, trees: int, buckets: int, local: int) -> DataFrame:
     """All leaves at ``depth`` of every class, dealt by bucket; branching needs no other document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,12 +178,12 @@ def _paths(classes: DataFrame, depth: int, trees: int, buckets: int) -> DataFram
                 rows = np.empty(len(paths), ROW)
                 sketch = sketches(signature)[at]
                 rows["path"], rows["id"], rows["s0"], rows["s1"] = paths, part.column("class_id").to_numpy()[at], sketch[:, 0], sketch[:, 1]
-                yield from _dealt(rows, buckets)
+                yield from _dealt(rows, buckets, local)
 
     return classes.select("class_id", "signature").mapInArrow(run, NODES)
 
 
-def _deeper(rows: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
+def _deeper(rows: DataFrame, classes: DataFrame, buckets: int, local: int) -> DataFrame:
     """One more level below the nodes of ``rows`` (path, a)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,7 +194,7 @@ def _deeper(rows: DataFrame, classes: DataFrame, buckets: int) -> DataFrame:
                 out = np.empty(len(paths), ROW)
                 sketch = sketches(signature)[at]
                 out["path"], out["id"], out["s0"], out["s1"] = paths, batch.column("a").to_numpy()[at], sketch[:, 0], sketch[:, 1]
-                yield from _dealt(out, buckets)
+                yield from _dealt(out, buckets, local)
 
     return rows.join(classes.select(F.col("class_id").alias("a"), "signature"), "a").mapInArrow(run, NODES)
 
@@ -174,17 +204,18 @@ def _alike(rows: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     return COORDINATES - differ >= SKETCH_BITS
 
 
-FOUND = "kind string, path long, a long, b long, s0 long, s1 long"
+FOUND = "kind string, path long, a long, b long"
 
 
-def _found(kind: str, path: np.ndarray, a: np.ndarray, b: np.ndarray, s0: np.ndarray | None = None, s1: np.ndarray | None = None) -> pa.RecordBatch:
-    n = len(a)
-    none = np.zeros(n, np.int64)
-    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * n, pa.string()), "path": pa.array(path.view(np.int64)), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "s0": pa.array(none if s0 is None else s0.view(np.int64)), "s1": pa.array(none if s1 is None else s1.view(np.int64))})
+def _found(kind: str, path: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"kind": pa.array([kind] * len(a), pa.string()), "path": pa.array(np.ascontiguousarray(path).view(np.int64)), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
 def _compare(nodes: DataFrame, last: bool, large: int) -> DataFrame:
-    """Pairs of each node (kind ``pair``); rows of dense nodes (``dense``) and of nodes to branch further (``deeper``)."""
+    """Pairs of each node (kind ``pair``); rows of dense nodes (``dense``) and of nodes to branch further (``deeper``), with the node's first document.
+
+    A large node that has branched often enough (``last``) counts as dense.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [x for batch in batches for x in batch.column("nodes").to_pylist()]
@@ -192,28 +223,32 @@ def _compare(nodes: DataFrame, last: bool, large: int) -> DataFrame:
             return
         rows = np.frombuffer(b"".join(held), ROW)
         held.clear()
-        rows = rows[np.lexsort((rows["id"], rows["path"]))]
-        fresh = np.concatenate([[True], (rows["path"][1:] != rows["path"][:-1]) | (rows["id"][1:] != rows["id"][:-1])])
+        rows = rows[np.lexsort((-rows["first"].astype(np.int8), rows["id"], rows["part"], rows["path"]))]
+        other = (rows["path"][1:] != rows["path"][:-1]) | (rows["part"][1:] != rows["part"][:-1])
+        fresh = np.concatenate([[True], other | (rows["id"][1:] != rows["id"][:-1])])
         rows = rows[fresh]
-        starts = np.flatnonzero(np.concatenate([[True], rows["path"][1:] != rows["path"][:-1]]))
+        starts = np.flatnonzero(np.concatenate([[True], (rows["path"][1:] != rows["path"][:-1]) | (rows["part"][1:] != rows["part"][:-1])]))
         sizes = np.diff(np.append(starts, len(rows)))
+        #: Nodes that are met in parts, and the parts.
+        parted = (np.maximum.reduceat(rows["first"], starts) > 0) | (rows["part"][starts] > 0)
         node = np.repeat(np.arange(len(starts)), sizes)
         place = np.arange(len(rows)) - starts[node]
         left_i, left_j = [], []
         # Small nodes: every pair, one distance after the other over all nodes at once.
-        small = sizes[node] <= 64
-        for k in range(1, int(sizes[sizes <= 64].max(initial=1))):
+        tiny = (sizes <= 64) & ~parted
+        small = tiny[node]
+        for k in range(1, int(sizes[tiny].max(initial=1))):
             j = np.flatnonzero(small & (place >= k))
             ok = _alike(rows, j - k, j)
             left_i.append(j[ok] - k)
             left_j.append(j[ok])
-        for s, m in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
+        for s, m, p in zip(starts[~tiny].tolist(), sizes[~tiny].tolist(), parted[~tiny].tolist(), strict=True):
             own = np.arange(s, s + m)
-            if m > large and not last:
+            if m > large or p:
                 ok = _alike(rows, np.full(m - 1, s), own[1:])
                 yield _found("pair", rows["path"][own[1:][ok]], np.full(ok.sum(), rows["id"][s]), rows["id"][own[1:][ok]])
-                kind = "dense" if ok.all() else "deeper"
-                yield _found(kind, rows["path"][own], rows["id"][own], rows["id"][own], rows["s0"][own], rows["s1"][own])
+                kind = "dense" if last or ok.mean() >= LIKE_FIRST else "deeper"
+                yield _found(kind, rows["path"][own], rows["id"][own], np.full(m, rows["id"][s]))
                 continue
             for a in range(s, s + m - 1):
                 rest = np.arange(a + 1, s + m)
@@ -230,7 +265,7 @@ def _compare(nodes: DataFrame, last: bool, large: int) -> DataFrame:
         use = first | ~dense[node[i]]
         yield _found("pair", rows["path"][i[use]], rows["id"][i[use]], rows["id"][j[use]])
         waits = dense[node]
-        yield _found("dense", rows["path"][waits], rows["id"][waits], rows["id"][waits], rows["s0"][waits], rows["s1"][waits])
+        yield _found("dense", rows["path"][waits], rows["id"][waits], rows["id"][starts[node]][waits])
 
     return nodes.repartition(n_partitions(nodes.sparkSession), "bucket").mapInArrow(run, FOUND)
 
@@ -275,26 +310,30 @@ def _block_links(left: np.ndarray, right: np.ndarray, signature: np.ndarray, com
 def _family_links(waiting: DataFrame, parts: DataFrame, sets: DataFrame, classes: DataFrame, threshold: float) -> DataFrame:
     """Links across components among documents that dense nodes tie together, exactly.
 
-    A family is what common dense nodes connect. Its documents are dealt into blocks of about
-    ``FAMILY_BLOCK``; each pair of blocks is one bounded group, and only links leave it.
+    A family is what common dense nodes connect. Links inside its largest component change nothing,
+    so its documents outside that one, in blocks of about ``FAMILY_BLOCK``, are compared with all its
+    documents, in such blocks too; each pair of blocks is one bounded group, and only links leave it.
     """
-    first = waiting.groupBy("path").agg(F.min("a").alias("b"))
-    ties = waiting.select("path", "a").join(first, "path").where("a <> b").select("a", "b").distinct()
-    family = components(ties).withColumnsRenamed({"node": "a", "component": "family"})
-    family = family.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a"))
-    sizes = family.groupBy("family").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi")
-    blocks = F.ceil(F.col("n") / FAMILY_BLOCK).cast("int")
-    dealt = family.join(sizes.select("family", blocks.alias("blocks")), "family").withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    rows = dealt.join(classes.select(F.col("class_id").alias("a"), "signature"), "a").join(sets.withColumnRenamed("id", "a"), "a").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("family", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "a", "component", "signature", "shingles")
+    family = components(waiting.where("a <> b")).withColumnsRenamed({"node": "a", "component": "family"})
+    family = materialise(family.join(parts.withColumnRenamed("node", "a"), "a", "left").withColumn("component", F.coalesce("component", "a")), "near-families")
+    counts = family.groupBy("family", "component").agg(F.count("*").alias("n"))
+    sizes = counts.groupBy("family").agg(F.sum("n").alias("n"), F.max("n").alias("most"), F.max_by("component", F.struct("n", "component")).alias("main"), F.count("*").alias("parts"))
+    sizes = materialise(sizes.where("parts > 1").select("family", "main", F.ceil((F.col("n") - F.col("most")) / FAMILY_BLOCK).cast("int").alias("lows"), F.ceil(F.col("n") / FAMILY_BLOCK).cast("int").alias("highs")), "near-sizes")
+    if sizes.count() <= MAX_BROADCAST_FAMILIES:
+        sizes = F.broadcast(sizes)
+    full = family.join(sizes, "family").join(classes.select(F.col("class_id").alias("a"), "signature"), "a").join(sets.withColumnRenamed("id", "a"), "a")
+    block = lambda of: F.pmod(F.xxhash64("a"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    outside = full.where("component <> main").withColumn("low", block("lows")).withColumn("high", every("highs")).withColumn("outside", F.lit(True))
+    whole = full.withColumn("low", every("lows")).withColumn("high", block("highs")).withColumn("outside", F.lit(False))
+    rows = outside.unionByName(whole).select("family", "low", "high", "outside", "a", "component", "signature", "shingles")
     percent = round(100 * threshold)
 
     def run(table: pa.Table) -> pa.Table:
         ids, comp = table["a"].to_numpy(), table["component"].to_numpy()
         signature = np.frombuffer(b"".join(table["signature"].to_pylist()), "<u4").reshape(len(ids), COORDINATES)
-        own, low, high = table["own"].to_numpy(), table["low"][0].as_py(), table["high"][0].as_py()
-        left, right = np.flatnonzero(own == low), np.flatnonzero(own == high)
-        found = _block_links(left, right, signature, comp, table["shingles"].to_pylist(), percent)
+        one = table["outside"].to_numpy()
+        found = _block_links(np.flatnonzero(one), np.flatnonzero(~one), signature, comp, table["shingles"].to_pylist(), percent)
         return pa.table({"a": pa.array([int(ids[i]) for i, _ in found], pa.int64()), "b": pa.array([int(ids[j]) for _, j in found], pa.int64())})
 
     return materialise(rows.groupBy("family", "low", "high").applyInArrow(run, "a long, b long"), "near-links")
@@ -352,7 +391,7 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a < b").distinct()
 
 
-def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, trees: int = TREES, large: int = LARGE) -> DataFrame:
+def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = THRESHOLD, trees: int = TREES, large: int = LARGE, local: int = LOCAL) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest linked id), kept.
 
     Documents without words, and null ids, link with nothing; a null id has a null component and is
@@ -366,19 +405,27 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = T
     count = classes.count()
     depth = max(1, math.ceil(math.log(max(count, 2) / SMALL) / -math.log(UNLIKE))) if count > SMALL else 1
     buckets = 4 * n_partitions(spark)
-    found = materialise(_compare(_paths(classes, depth, trees, buckets), False, large), "near-found")
-    pairs, dense = [found.where("kind = 'pair'")], [found.where("kind = 'dense'")]
-    deeper = found.where("kind = 'deeper'")
-    for step in range(40):
+    found = materialise(_compare(_paths(classes, depth, trees, buckets, local), False, large), "near-found")
+    pairs, dense, compared = [], [], [found]
+    for step in range(1, DEEPEST + 1):
+        pairs.append(found.where("kind = 'pair'"))
+        deeper, settled = found.where("kind = 'deeper'").select("path", "a"), found.where("kind = 'dense'").select("path", "a", "b")
         if deeper.isEmpty():
+            dense.append(settled)
             break
-        found = materialise(_compare(_deeper(deeper.select("path", "a"), classes, buckets), step == 39, large), "near-found")
-        pairs.append(found.where("kind = 'pair'"))
-        dense.append(found.where("kind = 'dense'"))
-        deeper = found.where("kind = 'deeper'")
+        # Parts of one node go the same way.
+        paths = materialise(deeper.select("path").distinct(), "near-paths")
+        if paths.count() <= MAX_BROADCAST_FAMILIES:
+            paths = F.broadcast(paths)
+        dense.append(settled.join(paths, "path", "left_anti"))
+        deeper = deeper.unionByName(settled.join(paths, "path", "left_semi").select("path", "a")).distinct()
+        found = materialise(_compare(_deeper(deeper, classes, buckets, local), step >= DEEPEST - 1, large), "near-found")
+        compared.append(found)
     union = lambda frames: frames[0] if len(frames) == 1 else frames[0].unionByName(union(frames[1:]))
     tried = materialise(_distinct_pairs(union(pairs)), "near-pairs")
-    waiting = union(dense).select("path", "a", "s0", "s1")
+    waiting = materialise(union(dense).select("a", "b").distinct(), "near-dense")
+    for table in compared:
+        dropped(table)
     ids = materialise(tried.select(F.col("a").alias("id")).union(tried.select("b")).union(waiting.select("a")).distinct(), "near-ids")
     sets = _sets(documents, ids, shingle)
     links = [_confirmed(tried, sets, threshold)]
@@ -386,6 +433,7 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = T
     if not waiting.isEmpty():
         links.append(_family_links(waiting, parts, sets, classes, threshold))
         parts = materialise(components(union(links)), "near-components")
+    dropped(sets)
     named = classes.select("digest", "class_id").join(parts, F.col("class_id") == F.col("node"), "left").select("digest", F.coalesce("component", "class_id").alias("component_id"))
     linked = described.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "digest").join(named, "digest").select("doc_id", "n_shingles", "component_id")
     rest = described.where("doc_id is null or n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
@@ -393,6 +441,14 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = T
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """The document of each component that has the smallest id, with all its columns; repeated ids once."""
+    """The document of each component that has the smallest id, with all its columns.
+
+    Rows that repeat id and text stay once (the one with the smallest hash of all its columns); rows of
+    one id with different texts all stay, as does every null id. Empty tables stay empty.
+    """
     kept = near_duplicates(documents, shingle, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    return documents.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").unionByName(documents.where("doc_id is null"))
+    place = unused(documents.columns, "place")
+    real = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
+    same = Window.partitionBy("doc_id", F.md5("text")).orderBy(F.xxhash64(*documents.columns))
+    once = real.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(*documents.columns)
+    return once.unionByName(documents.where("doc_id is null"))
