@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.functions.tables import dropped
 from inkgrid.llm.bytescan import Chunk, chain, chunks, mix, prefix_hash, span_hash
 from inkgrid.llm.shared import materialise
 from inkgrid.llm.suffix_groups import suffix_arrays
@@ -722,6 +723,8 @@ def remove_repeats(documents: DataFrame, length: int = LENGTH) -> DataFrame:
     asked = materialise(_requests(_meetings(real, length, buckets, common, frequent), buckets, frequent), "repeat-asked")
     least = _together([_unpacked(r[0], LEAST) for r in asked.where("kind = 'least'").select("data").collect()], LEAST)
     answers = materialise(_answers(asked.where("kind = 'asked'"), real, length, buckets, common, least), "repeat-answers")
+    dropped(sample)
+    dropped(asked)
     covers = answers.where("kind = 'cover'").unionByName(_compared(answers, buckets, length))
 
     def digest(doc: int | None, data: bytes, spans: list[tuple[int, int]]) -> tuple[object, ...]:
