@@ -1,11 +1,14 @@
-"""Personal data: patterns, and terms that disclose a protected value by how the corpus uses them.
-
-A protected value is one distinct e-mail address, IP address, card or phone number. A term discloses
-it as far as the pointwise mutual information of the two reaches the information of the value
-itself: ``PMI(t, e) / IC(e)`` with ``PMI = log(N n(t,e) / (n(t) n(e)))`` and ``IC = log(N / n(e))``,
-counted over whole documents; 1 means that whoever reads the term knows the value. Terms at or above
-``REMOVE_AT`` are removed, those at or above ``GENERALISE_AT`` are generalised. Copies of one
-context prove nothing: a term needs ``MIN_CONTEXTS`` different ones.
+"""Personal data: patterns, and terms that disclose a protected entity by how the corpus uses them.
+
+Protected entities are each distinct e-mail address, IP address, card or phone number and each quoted
+secret (``value``), and the classes that such values recur in (``class``): the domain of an address, the
+network of an IP address, the issuer of a card, the area of a phone, and each of the five kinds as a
+whole. A term discloses an entity as far as the pointwise mutual information of the two reaches the
+information of the entity itself: ``PMI(t, e) / IC(e)`` with ``PMI = log(N n(t,e) / (n(t) n(e)))`` and
+``IC = log(N / n(e))``, counted over whole documents; 1 means that whoever reads the term knows the
+entity. Terms at or above ``REMOVE_AT`` are removed, those at or above ``GENERALISE_AT`` are generalised.
+Copies prove nothing: a term needs ``MIN_CONTEXTS`` different contexts around it and a value, or
+``MIN_VALUES`` different values of a class.
 """
 
 from __future__ import annotations
@@ -13,15 +16,16 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkgrid.llm.bytescan import ALNUM, LOWER, Chunk, chunks, mix, prefix_hash, span_hash, words
-from inkgrid.llm.shared import materialise
+from inkgrid.llm.shared import materialise, unused
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns.
@@ -31,13 +35,27 @@ PATTERNS = {
     "card": re.compile(r"[0-9]([\x20-]?[0-9])+"),
     "phone": re.compile(r"\+[0-9][\x20().0-9-]+[0-9]"),
 }
+#: The parts of an address beside its sign, and an IP address from the first digit of a run on: no position is tried twice.
+BEFORE_AT = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
+FROM_AT = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+FROM_RUN = re.compile(r"(?<![0-9])" + PATTERNS["ip"].pattern)
+#: A quoted run of 20 or more letters and digits, with both among them.
+SECRET = re.compile(r"[\"']([A-Za-z0-9+/_=-]{20,})[\"']")
 CONTEXT = 8  # words on either side of a value and of a term that tell contexts apart
 MIN_CONTEXTS = 3
+MIN_VALUES = 5
 REMOVE_AT = 0.95
 GENERALISE_AT = 0.8
-#: Terms whose hashes (8 bytes each) may be broadcast; more are matched by a shuffle.
+#: Terms and entities whose hashes (8 bytes each) may be broadcast; more are matched by a shuffle.
 MAX_BROADCAST_TERMS = 200_000
+#: Share of a batch's documents from which a term counts as usual there.
+USUAL = 0.005
+#: Bits of a term's hash that name its cell in the filter ahead of that shuffle (2 MB).
+CELL_BITS = 24
 DIGIT = np.isin(np.arange(256), list(b"0123456789"))
+QUOTE = np.isin(np.arange(256), list(b"\"'"))
+
+Spans = list[tuple[str, int, int]]
 
 
 def _luhn(digits: str) -> bool:
@@ -57,19 +75,73 @@ def _valid(kind: str, value: str) -> bool:
     return kind == "email" or 9 <= len(digits) <= 15
 
 
-def base_spans(text: str) -> list[tuple[str, int, int]]:
-    """Matches of the base patterns by kind and start, in code points."""
-    out = []
-    for kind in KINDS:
-        if kind == "email" and "@" not in text or kind == "phone" and "+" not in text:
+def _emails(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost addresses that do not overlap, found from their signs: each goes back to where its run begins."""
+    done, at = 0, text.find("@")
+    while at >= 0:
+        before = text[done:at]
+        start = done + len(before.rstrip(BEFORE_AT))
+        m = FROM_AT.match(text, at) if start < at else None
+        if m:
+            yield start, m.end()
+        done = m.end() if m else at + 1
+        at = text.find("@", done)
+
+
+def base_spans(text: str) -> Spans:
+    """Matches of the base patterns by kind and start, in code points; linear in the text."""
+    out: Spans = []
+    if "@" in text:
+        out += [("email", a, b) for a, b in _emails(text)]
+    for kind, pattern in (("ip", FROM_RUN), ("card", PATTERNS["card"]), ("phone", PATTERNS["phone"])):
+        if kind == "phone" and "+" not in text:
             continue
-        out += [(kind, *m.span()) for m in PATTERNS[kind].finditer(text) if _valid(kind, m[0])]
+        out += [(kind, *m.span()) for m in pattern.finditer(text) if _valid(kind, m[0])]
     return out
 
 
+def secret_spans(text: str) -> Spans:
+    """Quoted secrets without their quotes."""
+    if '"' not in text and "'" not in text:
+        return []
+    found = [m for m in SECRET.finditer(text) if re.search("[0-9]", m[1]) and re.search("[A-Za-z]", m[1])]
+    return [("secret", *m.span(1)) for m in found]
+
+
+def _digest(value: str) -> int:
+    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
+
+
+def _group(kind: str, value: str) -> str:
+    """The class that a value recurs in: domain, network, issuer or area."""
+    if kind == "email":
+        return value.rpartition("@")[2].lower()
+    if kind == "ip":
+        return ".".join(value.split(".")[:2])
+    digits = "".join(c for c in value if "0" <= c <= "9")
+    return {"card": digits[:6], "phone": digits[:4]}.get(kind, "")
+
+
+def entities(text: str, spans: Spans) -> tuple[dict[int, tuple[int, int]], dict[int, set[int]]]:
+    """Value entities with the place of their first value (even numbers), and class entities with their values (odd numbers)."""
+    values: dict[int, tuple[int, int]] = {}
+    classes: dict[int, set[int]] = {}
+    for kind, a, b in spans:
+        value = text[a:b]
+        one = _digest(f"{kind}:{value.lower()}") & ~1
+        values.setdefault(one, (a, b))
+        for name in {f"class:{kind}:{_group(kind, value)}", f"class:{kind}:"}:
+            classes.setdefault(_digest(name) | 1, set()).add(one)
+    return values, classes
+
+
+def _least_support(column: str) -> Column:
+    return F.when(F.col(column).bitwiseAND(1) == 1, MIN_VALUES).otherwise(MIN_CONTEXTS)
+
+
 def _might_match(chunk: Chunk) -> np.ndarray:
-    """Texts with a digit or an at sign; the others cannot match a base pattern."""
-    seen = np.concatenate([[0], np.cumsum(DIGIT[chunk.buf] | (chunk.buf == 0x40))])
+    """Texts with a digit, an at sign or a quote; the others hold no value."""
+    seen = np.concatenate([[0], np.cumsum(DIGIT[chunk.buf] | QUOTE[chunk.buf] | (chunk.buf == 0x40))])
     return seen[chunk.ends] > seen[chunk.starts]
 
 
@@ -77,10 +149,6 @@ def _text(chunk: Chunk, i: int) -> str:
     return chunk.buf[chunk.starts[i] : chunk.ends[i]].tobytes().decode()
 
 
-def _digest(value: str) -> int:
-    return int.from_bytes(hashlib.blake2b(value.encode(), digest_size=8).digest(), "little", signed=True)
-
-
 def _neighbours(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """One hash for each term of the up to ``CONTEXT`` terms on either side of it in its text."""
     out = np.zeros(len(hashes), np.uint64)
@@ -91,102 +159,195 @@ def _neighbours(row: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return mix(out)
 
 
-def _values(documents: DataFrame) -> DataFrame:
-    """In how many documents each protected value stands: value, n_value."""
+def _summed(keys: dict[str, np.ndarray], times: np.ndarray | None = None) -> pa.RecordBatch:
+    """Each distinct row of ``keys`` with how often it stands there, or the sum of ``times``."""
+    columns = list(keys.values())
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    begin = np.flatnonzero(new)
+    n = np.diff(np.append(begin, len(order))) if times is None else np.add.reduceat(times[order], begin) if len(order) else times
+    return pa.RecordBatch.from_pydict({name: pa.array(c[begin].view(np.int64)) for name, c in zip(keys, columns, strict=True)} | {"n": pa.array(n.astype(np.int64))})
+
+
+def _merged_counts(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct terms of several counts, and the sums."""
+    term, n = (np.concatenate(x) for x in zip(*counted, strict=True))
+    distinct, place = np.unique(term, return_inverse=True)
+    return distinct, np.bincount(place, weights=n, minlength=len(distinct)).astype(np.int64)
+
+
+def _first_counts(documents: DataFrame) -> DataFrame:
+    """In how many documents each protected entity stands (entity, n), and for usual terms a lower bound of theirs (term, n): the documents of the batches in which they are usual."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            found: list[int] = []
+            counted: list[tuple[np.ndarray, np.ndarray]] = []
             for chunk in chunks(batch.column("text")):
-                value: list[int] = []
+                counted.append(_in_documents(chunk))
                 for i in np.flatnonzero(_might_match(chunk)).tolist():
                     text = _text(chunk, i)
-                    value += {_digest(f"{kind}:{text[a:b].lower()}") for kind, a, b in base_spans(text)}
-                yield pa.RecordBatch.from_pydict({"value": pa.array(value, pa.int64())})
+                    values, classes = entities(text, base_spans(text) + secret_spans(text))
+                    found += [*values, *classes]
+            if not counted:
+                continue
+            entity = _summed({"entity": np.array(found, np.int64)})
+            term, n = _merged_counts(counted)
+            usual = n >= max(2, USUAL * batch.num_rows)
+            term, n = term[usual], n[usual]
+            yield pa.RecordBatch.from_pydict({"entity": pa.concat_arrays([entity["entity"], pa.nulls(len(term), pa.int64())]), "term": pa.concat_arrays([pa.nulls(len(entity), pa.int64()), pa.array(term.view(np.int64), pa.int64())]), "n": pa.concat_arrays([entity["n"], pa.array(n, pa.int64())])})
 
-    return documents.mapInArrow(run, "value long").groupBy("value").agg(F.count("*").alias("n_value"))
+    return documents.mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
 
 
-def _pairs(documents: DataFrame, wanted: np.ndarray | None) -> DataFrame:
-    """Each distinct value of a document with each distinct term that stands there outside any base span: value, term, context.
+@dataclass
+class Wanted:
+    """Entities to look for and how many documents a term may stand in to disclose each; usual terms and at least how many they stand in.
 
-    The context is a hash of the terms around both. ``wanted`` are the values that may matter, or None
-    for all. Rows without a value count the documents with any such value that hold the term.
+    Without ``entities`` all are looked for, and no term is ruled out beforehand.
+    """
+
+    entities: np.ndarray | None
+    limits: np.ndarray
+    usual: np.ndarray
+    at_least: np.ndarray
+
+    @classmethod
+    def choose(cls, counts: DataFrame, total: int, share: float) -> Wanted:
+        """``counts`` is the written table of first counts. ``PMI / IC`` is at least ``share`` only if ``n(t) <= N (n(e) / N) ** share``."""
+        none = np.zeros(0)
+        entities = counts.where("entity is not null")
+        if entities.count() > MAX_BROADCAST_TERMS:
+            return cls(None, none, none.astype(np.uint64), none)
+        found = entities.select("entity", "n").toArrow()
+        key, n = found["entity"].to_numpy().view(np.uint64), found["n"].to_numpy()
+        order = np.argsort(key)
+        # Terms of that share of the documents are few: no more than a document's mean number of terms over USUAL.
+        usual = counts.where(F.col("term").isNotNull() & (F.col("n") >= USUAL * total)).select("term", "n").toArrow()
+        term = usual["term"].to_numpy().view(np.uint64)
+        by_term = np.argsort(term)
+        return cls(key[order], total * (n[order] / max(total, 1)) ** share * (1 + 1e-9), term[by_term], usual["n"].to_numpy()[by_term])
+
+    def least(self, terms: np.ndarray) -> np.ndarray:
+        """In how many documents each of ``terms`` stands at least."""
+        out = np.zeros(len(terms), np.int64)
+        known = _member(self.usual, terms)
+        out[known] = self.at_least[np.searchsorted(self.usual, terms[known])]
+        return out
+
+    def limit(self, key: int) -> float:
+        return np.inf if self.entities is None else self.limits[np.searchsorted(self.entities, np.array([key], np.int64).view(np.uint64))[0]]
+
+
+def _outside(begin: np.ndarray, end: np.ndarray, spans: Spans) -> np.ndarray:
+    """Which of the places ``begin`` to ``end`` meet no span: as many spans have ended before as have begun before the end."""
+    starts, ends = np.array(sorted(a for _, a, _ in spans), np.int64), np.array(sorted(b for _, _, b in spans), np.int64)
+    return np.searchsorted(ends, begin, side="right") == np.searchsorted(starts, end, side="left")
+
+
+def _beside(chunk: Chunk, wanted: np.ndarray | None) -> Iterator[tuple[dict, dict, np.ndarray, np.ndarray, tuple]]:
+    """Of each text with a wanted entity: value and class entities, distinct terms outside all spans, the first place of each, and all free terms."""
+    might = np.flatnonzero(_might_match(chunk)).tolist()
+    if not might or wanted is not None and not len(wanted):
+        return
+    first, last, row, hashes = _terms(chunk)
+    at = np.searchsorted(row, np.arange(chunk.rows + 1))
+    points = np.concatenate([[0], np.cumsum((chunk.buf & 0xC0) != 0x80)])
+    for i in might:
+        text = _text(chunk, i)
+        spans = base_spans(text) + secret_spans(text)
+        values, classes = entities(text, spans)
+        if wanted is not None and spans:
+            keys = np.array([*values, *classes], np.int64)
+            known = set(keys[_member(wanted, keys.view(np.uint64))].tolist())
+            values, classes = ({k: x for k, x in of.items() if k in known} for of in (values, classes))
+        if not values and not classes:
+            continue
+        own = slice(at[i], at[i + 1])
+        base = points[chunk.starts[i]]
+        begin, end = points[first[own]] - base, points[last[own]] - base
+        free = np.flatnonzero(_outside(begin, end, spans))
+        distinct, place = np.unique(hashes[own][free], return_index=True)
+        yield values, classes, distinct, at[i] + free[place], (begin[free], end[free], hashes[own][free], row, hashes)
+
+
+def _pairs(documents: DataFrame, wanted: Wanted) -> DataFrame:
+    """What speaks for each wanted entity with each term that may disclose it: entity, term, n_both (documents), contexts (different ones, or values of a class).
+
+    Rows without an entity count documents that hold the term, of each batch where it stands beside an
+    entity: a lower bound that is sharp for terms in general use.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            seen: list[np.ndarray] = []
+            counted: list[tuple[np.ndarray, np.ndarray]] = []
             for chunk in chunks(batch.column("text")):
-                might = np.flatnonzero(_might_match(chunk)).tolist()
-                if not might or wanted is not None and not len(wanted):
-                    continue
-                first, last, row, hashes = _terms(chunk)
+                counted.append(_in_documents(chunk))
                 around = None
-                at = np.searchsorted(row, np.arange(chunk.rows + 1))
-                points = np.concatenate([[0], np.cumsum((chunk.buf & 0xC0) != 0x80)])
-                value, term, context, each = [], [], [], []
-                for i in might:
-                    text = _text(chunk, i)
-                    spans = base_spans(text)
-                    keys: dict[int, tuple[int, int]] = {}
-                    for kind, a, b in spans:
-                        keys.setdefault(_digest(f"{kind}:{text[a:b].lower()}"), (a, b))
-                    if wanted is not None and keys:
-                        known = _member(wanted, np.array(list(keys), np.int64).view(np.uint64))
-                        keys = {k: x for (k, x), ok in zip(keys.items(), known.tolist(), strict=True) if ok}
-                    if not keys:
-                        continue
-                    if around is None:
+                out: list[tuple[np.ndarray, ...]] = []
+                each = []
+                for values, classes, distinct, place, (begin, end, mine, row, hashes) in _beside(chunk, wanted.entities):
+                    each.append(distinct)
+                    least = wanted.least(distinct)
+                    if values and around is None:
                         around = _neighbours(row, hashes)
-                    own = slice(at[i], at[i + 1])
-                    base = points[chunk.starts[i]]
-                    begin, end = points[first[own]] - base, points[last[own]] - base
-                    starts, ends = np.array(sorted(a for _, a, _ in spans)), np.array(sorted(b for _, _, b in spans))
-                    # A term meets a span unless as many spans have ended before it as have begun before its end.
-                    free = np.searchsorted(ends, begin, side="right") == np.searchsorted(starts, end, side="left")
-                    begin, end, mine = begin[free], end[free], hashes[own][free]
-                    distinct, place = np.unique(mine, return_index=True)
-                    beside = around[own][free][place]
-                    for key, (a, b) in keys.items():
+                    for key, (a, b) in values.items():
                         low, high = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(begin, b, side="left"))
                         near = np.concatenate([mine[max(0, low - CONTEXT) : low], mine[high : high + CONTEXT]]).tobytes()
                         where = np.frombuffer(hashlib.blake2b(near, digest_size=8).digest(), np.uint64)
-                        value.append(np.full(len(distinct), key, np.int64))
-                        term.append(distinct)
-                        context.append(mix(beside + where))
-                    each.append(distinct)
-                if value:
-                    yield pa.RecordBatch.from_pydict({"value": pa.array(np.concatenate(value)), "term": pa.array(np.concatenate(term).view(np.int64)), "context": pa.array(np.concatenate(context).view(np.int64)), "n": pa.array(np.ones(sum(map(len, value)), np.int64))})
-                    distinct, n = np.unique(np.concatenate(each), return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"value": pa.nulls(len(n), pa.int64()), "term": pa.array(distinct.view(np.int64)), "context": pa.array(np.zeros(len(n), np.int64)), "n": pa.array(n.astype(np.int64))})
-
-    return documents.mapInArrow(run, "value long, term long, context long, n long")
-
-
-def disclosures(documents: DataFrame, min_contexts: int = MIN_CONTEXTS, at_least: float = GENERALISE_AT) -> DataFrame:
-    """Terms that disclose a value by ``at_least``, and how far each discloses the one it discloses most: term (hash), disclosure.
-
-    Everything is counted over whole documents and pre-aggregated before each shuffle. Values of
-    fewer documents than ``min_contexts`` cannot have that many contexts and give no pairs. A term
-    stands in at least as many documents as were seen with a value; pairs that this alone puts
-    below ``at_least`` are not counted further.
+                        may = least <= wanted.limit(key)
+                        k = int(may.sum())
+                        out.append((np.full(k, key, np.int64), distinct[may], mix(around[place[may]] + where), np.ones(k, np.int64)))
+                    for key, members in classes.items():
+                        some = distinct[least <= wanted.limit(key)]
+                        k = len(some)
+                        # A document counts once, with one of its values.
+                        out += [(np.full(k, key, np.int64), some, np.full(k, m, np.int64).view(np.uint64), np.full(k, int(not i), np.int64)) for i, m in enumerate(sorted(members))]
+                if out:
+                    e, t, c, n = (np.concatenate(x) for x in zip(*out, strict=True))
+                    yield _summed({"entity": e, "term": t, "context": c}, n)
+                if each:
+                    seen.append(np.unique(np.concatenate(each)))
+            if seen:
+                beside = np.unique(np.concatenate(seen))
+                # What is ruled out for all entities needs no bound.
+                beside = beside[wanted.least(beside) <= (np.inf if wanted.entities is None else wanted.limits.max(initial=0))]
+                term, n = _merged_counts(counted)
+                alone = n[np.searchsorted(term, beside)]
+                none = pa.nulls(len(beside), pa.int64())
+                yield pa.RecordBatch.from_pydict({"entity": none, "term": pa.array(beside.view(np.int64)), "context": none, "n": pa.array(alone)})
+
+    found = documents.mapInArrow(run, "entity long, term long, context long, n long").groupBy("entity", "term", "context").agg(F.sum("n").alias("n"))
+    return found.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
+
+
+def disclosures(documents: DataFrame, at_least: float = GENERALISE_AT) -> DataFrame:
+    """Terms that disclose an entity by ``at_least``, and how far each discloses the one it discloses most: term (hash), disclosure.
+
+    Everything is counted over whole documents and pre-aggregated before each shuffle. Entities of
+    fewer documents than their support needs, and pairs of less support, are not counted further;
+    neither are usual terms that stand in too many documents for an entity, nor pairs that the documents
+    of the batches where a term stands beside an entity alone put below ``at_least``.
+    An entity of all documents has no information to disclose.
     """
     documents = documents.select("text")
-    values = materialise(_values(documents).where(F.col("n_value") >= min_contexts), "pii-values")
-    wanted = None
-    if values.count() <= MAX_BROADCAST_TERMS:
-        wanted = np.sort(np.array([r[0] for r in values.select("value").collect()], np.int64).view(np.uint64))
-    found = _pairs(documents, wanted)
-    grouped = found.groupBy("value", "term", "context").agg(F.sum("n").alias("n")).groupBy("value", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
-    grouped = materialise(grouped.where(F.col("value").isNull() | (F.col("contexts") >= min_contexts)), "pii-grouped")
     total = documents.count()
-    least = grouped.where(F.col("value").isNull()).select("term", F.col("n_both").alias("n_least"))
-    # log N/n(e) > 0 as a value in every document carries no information to disclose.
-    ic = F.log(F.lit(float(max(total, 1))) / F.col("n_value"))
-    pmi = lambda n_term: F.log(F.lit(float(max(total, 1))) * F.col("n_both") / (F.col(n_term) * F.col("n_value")))
-    pairs = grouped.where(F.col("value").isNotNull()).join(values, "value").where(F.col("n_value") < total).join(least, "term").where(pmi("n_least") >= at_least * ic - 1e-9)
-    pairs = materialise(pairs.select("value", "term", "n_both", "n_value"), "pii-pairs")
-    counts = _document_counts(documents, pairs.select("term").distinct())
-    return pairs.join(counts, "term").groupBy("term").agg(F.max(pmi("n_term") / ic).alias("disclosure")).where(F.col("disclosure") >= at_least)
+    counts = materialise(_first_counts(documents).where(F.col("entity").isNull() | (F.col("n") >= _least_support("entity")) & (F.col("n") < total)), "pii-counts")
+    wanted = Wanted.choose(counts, total, at_least)
+    counts = counts.where("entity is not null").select("entity", F.col("n").alias("n_entity"))
+    grouped = materialise(_pairs(documents, wanted).where(F.col("entity").isNull() | (F.col("contexts") >= _least_support("entity"))), "pii-grouped")
+    least = grouped.where(F.col("entity").isNull()).select("term", F.col("n_both").alias("n_least"))
+    n = F.lit(float(max(total, 1)))
+    ic = F.log(n / F.col("n_entity"))
+    pmi = lambda n_term: F.log(n * F.col("n_both") / (F.col(n_term) * F.col("n_entity")))
+    pairs = grouped.where(F.col("entity").isNotNull()).join(counts, "entity").join(least, "term").where(pmi("n_least") >= at_least * ic - 1e-9)
+    pairs = materialise(pairs.select("entity", "term", "n_both", "n_entity"), "pii-pairs")
+    n_term = _document_counts(documents, pairs.select("term").distinct())
+    return pairs.join(n_term, "term").groupBy("term").agg(F.max(pmi("n_term") / ic).alias("disclosure")).where(F.col("disclosure") >= at_least - 1e-12)
 
 
 def _document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
@@ -200,15 +361,7 @@ def _document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
         held = np.zeros(0 if wanted is None else len(wanted), np.int64)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                _, _, row, hashes = _terms(chunk)
-                if wanted is not None:
-                    known = _member(wanted, hashes)
-                    row, hashes = row[known], hashes[known]
-                order = np.lexsort((row, hashes))
-                row, hashes = row[order], hashes[order]
-                fresh = np.ones(len(row), bool)
-                fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
-                term, n = np.unique(hashes[fresh], return_counts=True)
+                term, n = _in_documents(chunk, wanted)
                 if wanted is not None:
                     held[np.searchsorted(wanted, term)] += n
                     continue
@@ -227,6 +380,19 @@ def _terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return first, last, row, span_hash(prefix_hash(lowered.buf), first, last)
 
 
+def _in_documents(chunk: Chunk, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The (wanted) terms of a chunk, and in how many of its texts each stands."""
+    _, _, row, hashes = _terms(chunk)
+    if wanted is not None:
+        known = _member(wanted, hashes)
+        row, hashes = row[known], hashes[known]
+    order = np.lexsort((row, hashes))
+    row, hashes = row[order], hashes[order]
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (hashes[1:] != hashes[:-1])
+    return np.unique(hashes[fresh], return_counts=True)
+
+
 def _member(ordered: np.ndarray, values: np.ndarray) -> np.ndarray:
     if not len(ordered):
         return np.zeros(len(values), bool)
@@ -240,11 +406,8 @@ def _points(chunk: Chunk, row: np.ndarray, at: np.ndarray) -> np.ndarray:
     return points[at] - points[chunk.starts[row]]
 
 
-Spans = list[tuple[str, int, int]]
-
-
 def spans_of(chunk: Chunk, removed: np.ndarray, generalised: np.ndarray) -> Iterator[tuple[Spans, Spans]]:
-    """Base spans and term spans of each text of a chunk; terms inside base spans are covered already."""
+    """Base spans of each text of a chunk, and its secrets and disclosing terms; terms inside other spans are covered already."""
     first, last, row, hashes = _terms(chunk) if len(removed) or len(generalised) else (np.zeros(0, np.int64),) * 4
     kinds: list[Spans] = [[] for _ in range(chunk.rows)]
     for kind, wanted in (("term", removed), ("general", generalised)):
@@ -254,8 +417,19 @@ def spans_of(chunk: Chunk, removed: np.ndarray, generalised: np.ndarray) -> Iter
                 kinds[r].append((kind, a, b))
     might = _might_match(chunk)
     for i in range(chunk.rows):
-        base = base_spans(_text(chunk, i)) if might[i] else []
-        yield base, [x for x in kinds[i] if not any(x[1] < b and x[2] > a for _, a, b in base)]
+        text = _text(chunk, i) if might[i] else ""
+        base = base_spans(text)
+        yield base, _added(base, secret_spans(text), kinds[i])
+
+
+def _added(base: Spans, secrets: Spans, terms: Spans) -> Spans:
+    """Secrets outside base spans, and terms outside both."""
+    for found in (secrets, terms):
+        if found and (base or found is terms):
+            taken = base if found is secrets else base + secrets
+            free = _outside(np.array([a for _, a, _ in found]), np.array([b for _, _, b in found]), taken) if taken else np.ones(len(found), bool)
+            found[:] = [x for x, ok in zip(found, free.tolist(), strict=True) if ok]
+    return secrets + terms
 
 
 def _disclosing(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame | None]:
@@ -269,39 +443,52 @@ def _disclosing(documents: DataFrame) -> tuple[np.ndarray, np.ndarray, DataFrame
 
 
 def _shuffled_terms(documents: DataFrame, found: DataFrame) -> DataFrame:
-    """Term spans by a join, for more disclosing terms than may be broadcast: key, more (kind:start:end, joined by commas)."""
+    """Term spans by a join, for more disclosing terms than may be broadcast: key, more (kind:start:end, joined by commas).
+
+    A bitmap of the terms' cells goes ahead, so that usual words are not shuffled at all.
+    """
+    shift = 64 - CELL_BITS
+    cells = np.zeros(1 << CELL_BITS, bool)
+    cells[[r[0] for r in found.select(F.shiftrightunsigned("term", shift).alias("cell")).distinct().toLocalIterator()]] = True
+    packed = np.packbits(cells)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = np.unpackbits(packed).astype(bool)
         for batch in batches:
             keys = batch.column("key")
             for chunk in chunks(batch.column("text")):
                 first, last, row, hashes = _terms(chunk)
+                at = np.flatnonzero(known[hashes >> np.uint64(shift)])
+                first, last, row, hashes = first[at], last[at], row[at], hashes[at]
                 yield pa.RecordBatch.from_pydict({"key": keys.take(pa.array(row + chunk.first)), "term": pa.array(hashes.view(np.int64), pa.int64()), "start": pa.array(_points(chunk, row, first), pa.int64()), "end": pa.array(_points(chunk, row, last), pa.int64())})
 
-    every = documents.select(F.md5("text").alias("key"), "text").dropDuplicates(["key"]).mapInArrow(run, "key string, term long, start long, end long")
+    every = documents.select(F.md5("text").alias("key"), "text").where("key is not null").dropDuplicates(["key"]).mapInArrow(run, "key string, term long, start long, end long")
     kind = F.when(F.col("disclosure") >= REMOVE_AT, "term").otherwise("general")
     hits = every.join(found, "term").select("key", F.struct(kind.alias("kind"), "start", "end").alias("x"))
     return hits.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",").alias("more"))
 
 
-def _map_spans(documents: DataFrame, schema: str, emit: Callable[[pa.RecordBatch, Chunk, list[tuple[Spans, Spans]]], pa.RecordBatch]) -> DataFrame:
+def _map_spans(documents: DataFrame, schema: StructType | str, emit: Callable[[pa.RecordBatch, Chunk, list[tuple[Spans, Spans]]], pa.RecordBatch]) -> DataFrame:
     removed, generalised, many = _disclosing(documents)
+    columns = documents.columns
+    key, extra = unused(columns, "text_key"), unused(columns, "term_spans")
     if many is None:
-        documents = documents.withColumn("__more", F.lit(None).cast("string"))
+        documents = documents.withColumn(extra, F.lit(None).cast("string"))
     else:
-        documents = documents.join(_shuffled_terms(documents, many), F.md5("text") == F.col("key"), "left").withColumn("__more", F.col("more")).drop("key", "more")
+        found = _shuffled_terms(documents, many).withColumnsRenamed({"key": key, "more": extra})
+        documents = documents.withColumn(key, F.md5("text")).join(found, key, "left").select(*columns, extra)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            more = batch.column("__more")
+            more = batch.column(extra)
+            batch = batch.drop_columns([extra])
             for chunk in chunks(batch.column("text")):
                 found = list(spans_of(chunk, removed, generalised))
                 if more.null_count < len(more):
-                    for i, extra in enumerate(more.slice(chunk.first, chunk.rows).to_pylist()):
-                        if extra:
-                            base = found[i][0]
-                            parsed = [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in extra.split(","))]
-                            found[i] = (base, [x for x in parsed if not any(x[1] < b and x[2] > a for _, a, b in base)])
+                    for i, terms in enumerate(more.slice(chunk.first, chunk.rows).to_pylist()):
+                        if terms:
+                            base, secrets = found[i]
+                            found[i] = (base, _added(base, secrets, [(k, int(a), int(b)) for k, a, b in (x.split(":") for x in terms.split(","))]))
                 yield emit(batch, chunk, found)
 
     return documents.mapInArrow(run, schema)
@@ -325,16 +512,25 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     return _map_spans(documents.selectExpr("cast(doc_id as long) doc_id", "text"), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string", emit)
 
 
+def generalised(term: str) -> str:
+    """What a term is an instance of: the decade of a year, the length of a number, else its shape."""
+    if term.isdecimal():
+        return f"[{term[:3]}0s]" if len(term) == 4 and term[:2] in ("19", "20") else f"[NUMBER OF {len(term)} DIGITS]"
+    if any(c.isdecimal() for c in term):
+        return "[CODE]"
+    return "[NAME]" if term[:1].isupper() else "[WORD]"
+
+
 def sanitise(documents: DataFrame) -> DataFrame:
-    """The same rows and columns; base matches become ``[EMAIL]`` and the like, disclosing terms ``[TERM]`` or ``[REDACTED]``.
+    """The same rows and columns; base matches become ``[EMAIL]`` and the like, secrets ``[SECRET]``, disclosing terms what they are an instance of, or ``[REDACTED]``.
 
     Overlapping spans are replaced together, under the first one's name. ``n_chars``, where there is
-    one, is counted anew. A null text stays null.
+    one, is counted anew. A null text stays null, an empty table empty; columns may have any name.
     """
-    name = {"general": "[TERM]", "term": "[REDACTED]"} | {k: f"[{k.upper()}]" for k in KINDS}
+    name = {"term": "[REDACTED]", "secret": "[SECRET]"} | {k: f"[{k.upper()}]" for k in KINDS}
 
     def emit(batch: pa.RecordBatch, chunk: Chunk, found: list[tuple[Spans, Spans]]) -> pa.RecordBatch:
-        part = batch.slice(chunk.first, chunk.rows).drop_columns(["__more"])
+        part = batch.slice(chunk.first, chunk.rows)
         if not any(a or b for a, b in found):
             return part
         texts = part.column("text").to_pylist()
@@ -346,7 +542,7 @@ def sanitise(documents: DataFrame) -> DataFrame:
             out, at, text = [], 0, texts[i]
             for kind, a, b in spans:
                 if a >= at:
-                    out += [text[at:a], name[kind]]
+                    out += [text[at:a], generalised(text[a:b]) if kind == "general" else name[kind]]
                 at = max(at, b)
             texts[i] = "".join([*out, text[at:]])
             changed.append(i)
