@@ -97,6 +97,16 @@ def test_channels_turn_as_gray_does(spark):
         assert sorted(map(tuple, one.collect())) == sorted(map(tuple, turned.select("image_id", "y", "x", c).collect()))
 
 
+def test_denoising_by_channel(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, y, x, *map(int, rng.integers(0, 256, 3))) for y in range(6) for x in range(7)]
+    bgr = spark.createDataFrame(rows, BGR)
+    found = denoise.nlm_denoise_bgr(bgr, 10.0, 3, 5)
+    for c in "bgr":
+        one = denoise.nlm_denoise(bgr.select("image_id", "y", "x", F.col(c).alias("v")), 10.0, 3, 5)
+        assert sorted(map(tuple, one.collect())) == sorted(map(tuple, found.select("image_id", "y", "x", c).collect()))
+
+
 def test_clahe_by_definition(spark):
     """Eight by eight tiles of sizes that do not divide, of one line, and of one pixel."""
     rng = np.random.default_rng(5)
