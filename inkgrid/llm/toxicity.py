@@ -91,14 +91,20 @@ def fit_rows(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], epochs
         return ToxicityModel(bias, linear, factors)
     d = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1][0][0]) for r in rows])
     b = np.concatenate([r[1][0][0] for r in rows]).astype(np.int32)
+    n = len(rows)
+    del rows  # the driver has little memory
     # A term of one row has nothing that it could be told from.
-    shared = np.bincount(b, minlength=size)[b] > 1
-    d, b = d[shared], b[shared]
-    if not len(b):
+    held = np.bincount(b, minlength=size)
+    known = np.flatnonzero(held > 1)
+    if not len(known):
         return ToxicityModel(bias, linear, factors)
-    n = len(rows)
-    known, local = np.unique(b, return_inverse=True)
+    shared = held[b] > 1
+    number = np.zeros(size, np.int32)
+    number[known] = np.arange(len(known))
+    d, local = d[shared], number[b[shared]]
+    del b, shared
     by_row, by_term = _Sums(d, local, n), _Sums(local, d, len(known))
+    del d, local
     theta = np.concatenate([np.zeros((1, len(known))), 0.05 * np.random.default_rng(7).standard_normal((FACTORS, len(known)))])
     m, s, mb, sb = np.zeros_like(theta), np.zeros_like(theta), 0.0, 0.0
     # Both classes weigh the same in the fit, so that a fixed threshold means the same at any share of toxic rows.
