@@ -75,6 +75,28 @@ SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 FROM pairs QUALIFY rank <= 20
 """
 
+#: Item windows met with document windows of the same length.
+LEAKS_SQL = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all({LOWERED.format("text")}, '{ALNUM}') AS w FROM documents),
+i AS (SELECT item_id::VARCHAR AS item, regexp_extract_all({LOWERED.format("text")}, '{ALNUM}') AS w FROM benchmark WHERE text IS NOT NULL),
+iw AS (SELECT DISTINCT item, least(len(w), 10) AS n, w[k:k + least(len(w), 10) - 1] AS x FROM i, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(k) WHERE len(w) > 0),
+dw AS (SELECT r, k, n, w[k:k + n - 1] AS x FROM (SELECT r, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM iw) WHERE len(w) >= n)),
+found AS (SELECT DISTINCT r, k, n, item FROM dw JOIN iw USING (n, x)),
+hit AS (SELECT r, count(DISTINCT place) AS n_hit FROM (SELECT r, unnest(range(k, k + n)) AS place FROM found) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM found GROUP BY r),
+sets AS (SELECT k, list_distinct(x) AS s FROM (SELECT row_number() OVER () AS k, x FROM (SELECT DISTINCT x FROM iw))),
+terms AS (SELECT k, len(s) AS needed, unnest(s) AS t FROM sets),
+spots AS (SELECT r, k, needed, t, spot FROM (SELECT r, unnest(w) AS t, unnest(range(len(w))) AS spot FROM d) JOIN terms USING (t)),
+full_docs AS (SELECT r, k FROM spots GROUP BY r, k, needed HAVING count(DISTINCT t) = needed),
+close_by AS (
+  SELECT r, k, needed, count(DISTINCT t) OVER (PARTITION BY r, k ORDER BY spot RANGE BETWEEN CURRENT ROW AND 19 FOLLOWING) AS n FROM spots SEMI JOIN full_docs USING (r, k)
+),
+near_by AS (SELECT r, count(DISTINCT item) AS n_near FROM (SELECT DISTINCT r, k FROM close_by WHERE n = needed) JOIN sets USING (k) JOIN iw ON list_sort(list_distinct(x)) = list_sort(s) GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near_by USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_near_duplicates": NEAR_SQL, "op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}
+    return {"op12_decontamination": LEAKS_SQL, "op5_near_duplicates": NEAR_SQL, "op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}
