@@ -97,6 +97,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN near_by USING (r)
 """
 
+#: The checksum of an ASCII text, bit by bit.
+CRC32 = (
+    "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split({0}, ''), lambda ch: ascii(ch)::BIGINT)),"
+    " lambda c, b: list_reduce(list_concat([xor(c, b)], range(8)), lambda v, k: CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END)))"
+)
+#: Every pair of equal words of a text by distance, and stretches of such pairs as islands.
+RUNS_SQL = rf"""
+WITH t AS (
+  SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         {CRC32.format("doc_id::VARCHAR")} AS h FROM documents
+),
+ga AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM t),
+gp AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM ga),
+d AS (
+  SELECT doc_id, r, CASE WHEN a IS NULL THEN w ELSE list_transform(range(len(w)), lambda i: CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % p + 1] END) END AS w FROM gp
+),
+x AS (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM d),
+pairs AS (SELECT a.r, a.i, b.i - a.i AS q FROM x a JOIN x b ON a.r = b.r AND a.x = b.x AND a.i < b.i),
+islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM pairs),
+stretches AS (SELECT r, q, min(i) AS s, count(*) + q AS n FROM islands GROUP BY r, q, g HAVING count(*) >= greatest(q, 12 - q)),
+runs AS (SELECT r, s, n, min(q) AS q FROM stretches GROUP BY r, s, n),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || n || ',' || q || chr(10), '' ORDER BY s, q) AS l, arg_min((s, n, q), (-n, s, q)) AS b FROM runs GROUP BY r),
+gone AS (SELECT DISTINCT r, unnest(range(s + q, s + n)) AS i FROM runs),
+kept AS (SELECT r, string_agg(x, ' ' ORDER BY i) AS c FROM x ANTI JOIN gone USING (r, i) GROUP BY r)
+SELECT doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, b[1]::BIGINT AS start, b[2]::BIGINT AS length, b[3]::BIGINT AS period,
+       (1000 * b[2] // b[3])::BIGINT AS exponent_milli, sha256(coalesce(l, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_decontamination": LEAKS_SQL, "op5_near_duplicates": NEAR_SQL, "op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}
+    return {"op13_periodic_runs": RUNS_SQL, "op12_decontamination": LEAKS_SQL, "op5_near_duplicates": NEAR_SQL, "op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}
