@@ -127,5 +127,57 @@ FROM d LEFT JOIN listed USING (r) LEFT JOIN kept USING (r)
 """
 
 
+def repair_sql() -> str:
+    """Row by row: the cheapest edits that lead to each state, as texts of an eight-digit cost and the audit."""
+
+    def add(state: str, cost: str, edit: str) -> str:
+        return f"(printf('%08d', {state}[:8]::INTEGER + {cost}) || {state}[9:] || '{edit}')"
+
+    def when(condition: str, state: str, cost: str, edit: str) -> str:
+        return f"CASE WHEN {condition} THEN {add(state, cost, edit)} END"
+
+    free, extra = "NOT blank AND NOT dup", "(CASE WHEN cut THEN 3 ELSE 0 END)"
+    edited = {
+        0: [add("x0", "4", "D")],
+        1: [add("x1", "4", "D"), when(f"{free} AND ini = 's'", "x0", extra, "K")],
+        2: [add("x2", "4", "D")] + [w for p in (0, 1, 3) for w in (when(f"{free} AND ini = 'u'", f"x{p}", extra, "K"), when(free, f"x{p}", f"3 + {extra}", "R"))],
+        3: [add("x3", "4", "D"), when(f"{free} AND ini = 'a'", "x2", extra, "K"), when(free, "x2", f"3 + {extra}", "R")],
+    }
+    m = ", ".join(f"least({', '.join(w)}) AS m{q}" if len(w) > 1 else f"{w[0]} AS m{q}" for q, w in edited.items())
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    space = r"[\x20\x09-\x0D]"
+    return rf"""
+WITH RECURSIVE hit AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC32.format(key)} % 20 AS k FROM conversations),
+left_over AS (
+  SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+         unnest(range(CASE WHEN k = 3 THEN 2 ELSE 1 END)) AS copy FROM hit WHERE k <> 0
+),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy) AS i, left(role, 1) AS ini FROM left_over),
+seen AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS again, NOT regexp_matches(text, '[^\x20\x09-\x0D]') AS blank, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini AS two FROM numbered),
+faults AS (SELECT *, again AND NOT blank AS dup, NOT again AND NOT blank AND NOT regexp_matches(text, '[.!?]{space}*\z') AS cut FROM seen),
+convs AS (SELECT DISTINCT conv_id FROM conversations),
+dp(conv_id, i, x0, x1, x2, x3) AS (
+  SELECT conv_id, 0::BIGINT, '00000000', NULL::VARCHAR, '00000003I', '00000006II' FROM convs
+  UNION ALL
+  SELECT conv_id, i, m0, m1, y2, least(m3, {add("y2", "3", "I")}) FROM (
+    SELECT *, least(m2, {add("m0", "3", "I")}, {add("m1", "3", "I")}, {add("m3", "3", "I")}) AS y2 FROM (
+      SELECT f.conv_id, f.i, {m} FROM dp JOIN faults f ON f.conv_id IS NOT DISTINCT FROM dp.conv_id AND f.i = dp.i + 1))
+),
+best AS (SELECT conv_id, arg_max(least(x0, x3), i) AS b, max(i) AS n FROM dp GROUP BY conv_id),
+edits AS (SELECT conv_id, unnest(string_split(b[9:], '')) AS e, unnest(range(len(b) - 8)) AS j FROM best WHERE len(b) > 8 AND n > 0),
+placed AS (SELECT *, count(*) FILTER (WHERE e <> 'I') OVER w AS i, count(*) FILTER (WHERE e <> 'D') OVER w AS k FROM edits WINDOW w AS (PARTITION BY conv_id ORDER BY j)),
+rowed AS (SELECT p.conv_id, e, j, k, f.role, f.text, bool_or(k = 1 AND e = 'K' AND f.ini = 's') OVER (PARTITION BY p.conv_id) AS headed
+          FROM placed p LEFT JOIN faults f ON p.conv_id IS NOT DISTINCT FROM f.conv_id AND p.i = f.i AND e <> 'I' WHERE e <> 'D'),
+lines AS (SELECT conv_id, string_agg(CASE WHEN e = 'K' THEN role WHEN (k + CASE WHEN headed THEN 1 ELSE 0 END) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || coalesce(text, ''), chr(10) ORDER BY j) AS l FROM rowed GROUP BY conv_id),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE blank) AS blank, count(*) FILTER (WHERE dup) AS duplicate,
+         count(*) FILTER (WHERE cut) AS truncated, count(*) FILTER (WHERE two NOT IN ('su', 'ua', 'au')) AS illegal FROM faults GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+       coalesce(illegal, 0)::BIGINT AS illegal, CASE WHEN n > 0 THEN b[:8]::BIGINT ELSE 0 END AS cost, CASE WHEN n > 0 THEN b[9:] ELSE '' END AS audit, sha256(coalesce(l, '')) AS repaired_sha256
+FROM convs c JOIN best ON c.conv_id IS NOT DISTINCT FROM best.conv_id LEFT JOIN counts ON c.conv_id IS NOT DISTINCT FROM counts.conv_id LEFT JOIN lines ON c.conv_id IS NOT DISTINCT FROM lines.conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_periodic_runs": RUNS_SQL, "op12_decontamination": LEAKS_SQL, "op5_near_duplicates": NEAR_SQL, "op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}
+    return {"op11_conversation_repair": repair_sql(), "op13_periodic_runs": RUNS_SQL, "op12_decontamination": LEAKS_SQL, "op5_near_duplicates": NEAR_SQL, "op7_nearest_neighbours": NEAREST_SQL, "op6_license_scan": license_scan_sql()}

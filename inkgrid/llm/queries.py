@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkgrid.llm import ann, decontamination, license_scan, mixing, near_dup, packing, periodic, pii, quality, suffix_dedup, token_codes, toxicity
+from inkgrid.llm import ann, conversation_repair, decontamination, license_scan, mixing, near_dup, packing, periodic, pii, quality, suffix_dedup, token_codes, toxicity
 from inkgrid.llm.shared import bounded_batches
 
 
@@ -57,6 +57,17 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = _table(spark, sf_dir, "conversations")
+    found = conversation_repair.repair(conversation_repair.damaged(conversations))
+    every = conversations.select(F.col("conv_id").alias("id")).distinct()
+    rows = every.join(found.summary, F.col("id").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    digests = conversation_repair.digests(found.turns)
+    rows = rows.join(digests, F.col("id").eqNullSafe(F.col("conv_id")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in conversation_repair.COUNTS]
+    return rows.select(F.col("id").alias("conv_id"), *counts, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "n_near")
