@@ -67,7 +67,7 @@ def test_anisotropic_loss_is_lower():
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "embeddings"):
+    for t in ("documents", "embeddings", "benchmark", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SMALL}/{t}.parquet'")
     a = queries.queries()[name](spark, SMALL).toPandas()
     b = con.execute(oracles.oracle_sql()[name]).df()[list(a.columns)]
