@@ -17,8 +17,9 @@ from inkgrid.plans import pipelines
 from inkgrid.sources import images
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Kernels for rasters of some dozen pixels a side; contrast and denoising as for photographs.
-SMALL = pipelines.Settings(blur=5, close=5, open=4, margin=1, background=7, votes=50, min_length=40)
+#: Kernels for rasters of some dozen pixels a side, contrast as for photographs; the search of the denoising is one that SQL
+#: can do on every card (``nlm_denoise`` and ``preprocess_full`` have that of photographs).
+SMALL = pipelines.Settings(blur=5, close=5, open=4, margin=1, background=7, template=3, search=5, votes=50, min_length=40)
 XY = "image_id, y, x"
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -166,13 +167,21 @@ _register("morph_close", lambda s, d: neighborhood.morph_close(fx.glyph(s, d)),
 _register("morph_open", lambda s, d: neighborhood.morph_open(fx.glyph(s, d)), lambda q: o.opening(q, o.glyph(q), 20))
 _register("morph_close_ellipse", lambda s, d: neighborhood.morph_close_ellipse(fx.grid(s, d), 7), lambda q: o.ellipse(q, o.grid(q), 7))
 _register("sobel_gradient", lambda s, d: neighborhood.sobel(fx.card_bgr(s, d).transform(pixels.to_gray)), lambda q: f"SELECT {XY}, gx, gy FROM {o.sobel(q, o.gray(q, o.card_bgr(q)))}")
-_register("canny_edges", lambda s, d: lines.canny_edges(pixels.to_gray(fx.card_bgr(s, d, "supplier"))), lambda q: o.canny(q, o.gray(q, o.card_bgr(q, "supplier"))))
+_register("canny_edges", lambda s, d: lines.canny_edges(pixels.to_gray(fx.card_bgr(s, d))), lambda q: o.canny(q, o.gray(q, o.card_bgr(q))))
 
 # Statistics.
 
 _register("blur_score", lambda s, d: stats.blur_score(fx.glyph(s, d)), lambda q: f"SELECT image_id, blur_score, is_blurry FROM {o.blur(q, o.glyph(q))}")
 _register("otsu_threshold", lambda s, d: stats.otsu_threshold(fx.glyph(s, d)), lambda q: f"SELECT image_id, t FROM {o.otsu(q, o.glyph(q))}")
-_register("clahe_lut", lambda s, d: stats.clahe_lut(pixels.to_gray(fx.card_bgr(s, d, "supplier"))), lambda q: f"SELECT image_id, ty, tx, v, lut FROM {o.clahe_lut(q, o.gray(q, o.card_bgr(q, 'supplier')), 8)}")
+
+
+def _clahe_tables(s: SparkSession, d: str) -> DataFrame:
+    """The table of every tile of every document's raster, its 256 values as a digest."""
+    values = F.transform(F.array_sort(F.collect_list(F.struct("v", "lut"))), lambda x: x["lut"])
+    return stats.clahe_lut(fx.glyph(s, d)).groupBy("image_id", "ty", "tx").agg(F.sum("lut").alias("total"), F.md5(F.array_join(values, ",")).alias("digest"))
+
+
+_register("clahe_lut", _clahe_tables, lambda q: f"SELECT image_id, ty, tx, sum(lut)::BIGINT AS total, md5(string_agg(lut::VARCHAR, ',' ORDER BY v)) AS digest FROM {o.clahe_lut(q, o.glyph(q), 8)} GROUP BY image_id, ty, tx")
 _register("clahe_apply", lambda s, d: stats.clahe_apply(fx.glyph(s, d)), lambda q: o.clahe(q, o.glyph(q), 8))
 _register("nlm_denoise", lambda s, d: denoise.nlm_denoise(fx.grid(s, d)), lambda q: o.nlm(q, o.grid(q), 7, 21))
 
@@ -320,7 +329,7 @@ def _stub() -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 _register(
     "recognize_batch",
-    lambda s, d: _flat_blocks(ocr.ocr_blocks(recognize.recognize_batch(_rasters(s, d), _stub, "stub"))),
+    lambda s, d: _flat_blocks(ocr.ocr_blocks(recognize.recognize_batch(_rasters(s, d), _stub))),
     lambda q: f"SELECT 'card/' || image_id AS document_name, 'raw' AS variant, 0 AS block_idx, sum(b + g + r)::VARCHAR AS text, arg_min(b, (y, x)) / 255.0::DOUBLE AS confidence, 0.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, 32.0::DOUBLE AS x2, 0.0::DOUBLE AS y2, 32.0::DOUBLE AS x3, 24.0::DOUBLE AS y3, 0.0::DOUBLE AS x4, 24.0::DOUBLE AS y4 FROM {o.card_bgr(q)} GROUP BY image_id",
 )
 
@@ -339,7 +348,8 @@ _register("adaptive_threshold", lambda s, d: pipelines.adaptive_threshold(fx.gri
 
 
 def _clean_sql(q: o.Steps) -> str:
-    p = o.card_bgr(q, "supplier")
+    q.once = True
+    p = o.card_bgr(q)
     cut = o.cropped(q, p, o.document_mask(q, p, SMALL), SMALL.margin)
     edges = o.rect(q, o.canny(q, o.gray(q, cut)), 15, 3, "max")
     geo = o.geometry(q, o.skew(q, edges, f"{cut}_gray", SMALL.votes, SMALL.min_length, SMALL.max_gap), f"{cut}_gray")
@@ -352,7 +362,7 @@ def _preprocess_sql(q: o.Steps) -> str:
 
 
 def _preprocessed(s: SparkSession, d: str) -> pipelines.Preprocessed:
-    return pipelines.preprocess(fx.card_bgr(s, d, "supplier"), SMALL)
+    return pipelines.preprocess(fx.card_bgr(s, d), SMALL)
 
 
 _register("preprocess_quality", lambda s, d: _preprocessed(s, d).quality, _preprocess_sql)
@@ -368,15 +378,26 @@ def _full_preprocess(s: SparkSession, d: str) -> DataFrame:
     return found.quality.join(digest(found.processed, "processed"), "image_id").join(digest(found.binarized, "binarized"), "image_id")
 
 
-def _scanned_pipeline(s: SparkSession, d: str) -> DataFrame:
-    """Every card as a PNG file, scanned, preprocessed and recognised."""
-    found = pipelines.ocr_pipeline(images.scan_images(s, _png_files(s, d)), _stub, preprocess_images=True, name="stub")
-    rows = _flat_blocks(found.blocks).join(found.quality, "document_name")
+def _scanned_pipeline(s: SparkSession, d: str, prepared: bool) -> DataFrame:
+    """Every card as a PNG file, scanned, preprocessed if asked, and recognised: documents with their block and quality."""
+    found = pipelines.ocr_pipeline(images.scan_images(s, _png_files(s, d)), _stub, preprocess_images=prepared, s=SMALL)
+    rows = _flat_blocks(found.blocks).join(found.quality, "document_name").join(found.documents.select("document_name", "total_blocks"), "document_name")
     return rows.withColumn("document_name", F.regexp_extract("document_name", r"[^/]+$", 0))
 
 
+def _scanned_sql(q: o.Steps, prepared: bool) -> str:
+    """What the stand-in recogniser says of each card, with its quality."""
+    seen = q.add("seen", f"SELECT {XY}, v, 3 * v AS total FROM {_clean_sql(q)}" if prepared else f"SELECT {XY}, b AS v, b + g + r AS total FROM {o.card_bgr(q)}")
+    score = o.blur(q, _clean_sql(q) if prepared else o.gray(q, o.card_bgr(q)))
+    q.add("told", f"SELECT image_id, sum(total)::VARCHAR AS text, arg_min(v, (y, x)) / 255.0::DOUBLE AS confidence, (max(x) + 1)::DOUBLE AS w, (max(y) + 1)::DOUBLE AS h FROM {seen} GROUP BY image_id")
+    corners = "0.0::DOUBLE AS x1, 0.0::DOUBLE AS y1, w AS x2, 0.0::DOUBLE AS y2, w AS x3, h AS y3, 0.0::DOUBLE AS x4, h AS y4"
+    variant = "preprocessed" if prepared else "raw"
+    return f"SELECT image_id || '.png' AS document_name, '{variant}' AS variant, 0 AS block_idx, text, confidence, {corners}, blur_score, is_blurry, {str(prepared).lower()} AS preprocessing_applied, 1 AS total_blocks FROM told JOIN {score} USING (image_id)"
+
+
 _register("preprocess_full", _full_preprocess)
-_register("ocr_pipeline_preprocessed", _scanned_pipeline)
+_register("ocr_pipeline_scanned", lambda s, d: _scanned_pipeline(s, d, False), lambda q: _scanned_sql(q, False))
+_register("ocr_pipeline_preprocessed", lambda s, d: _scanned_pipeline(s, d, True), lambda q: _scanned_sql(q, True))
 
 
 def _tinted(s: SparkSession, d: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 Spark deals the images out and one image is the unit of memory. A null value counts as 0. A picture
 with a missing or repeated pixel is an error, as everything after the gap would shift.
+
+A picture row (image_id, height, width, n_channels, data) holds a whole picture as bytes. Steps that stay within a
+picture are fused on such rows by ``map_rows``: nothing is shuffled, and a pixel is as many bytes as it has channels.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -58,6 +61,80 @@ def rows_of(image_id: pa.Scalar, planes: dict[str, np.ndarray]) -> pa.Table:
     return pa.table({"image_id": pa.repeat(image_id, height * width), "y": pa.array(y), "x": pa.array(x), **{n: pa.array(a.reshape(-1).astype(np.int32)) for n, a in planes.items()}})
 
 
+PICTURE = "height int, width int, n_channels int, data binary"
+_PLANE = pa.struct([("height", pa.int32()), ("width", pa.int32()), ("n_channels", pa.int32()), ("data", pa.binary())])
+#: Bytes of pictures that one Arrow batch returns, or one picture.
+RETURNED = 1 << 24
+
+
+def array_of(height: int, width: int, n_channels: int, data: bytes) -> np.ndarray:
+    """Bytes as an array: two axes for one channel, else a third of channels."""
+    a = np.frombuffer(data, np.uint8)
+    return a.reshape(height, width) if n_channels == 1 else a.reshape(height, width, n_channels)
+
+
+def row_of(a: np.ndarray) -> dict[str, object]:
+    return {"height": a.shape[0], "width": a.shape[1], "n_channels": 1 if a.ndim == 2 else a.shape[2], "data": a.astype(np.uint8).tobytes()}
+
+
+def packed(pixels: DataFrame) -> DataFrame:
+    """Pixel rows to picture rows, of b, g, r or of v: one exchange by image, none if they are dealt out so."""
+
+    def run(table: pa.Table) -> pa.Table:
+        place, height, width = layout(table)
+        planes = [plane(table, c, place, height, width) for c in columns]
+        row = {"image_id": table["image_id"][0], **row_of(np.stack(planes, axis=-1) if len(planes) > 1 else planes[0])}
+        return pa.Table.from_pylist([row], pa.schema([("image_id", table.schema.field("image_id").type), *_PLANE]))
+
+    columns = ["v"] if "v" in pixels.columns else ["b", "g", "r"]
+    kind = pixels.schema["image_id"].dataType.simpleString()
+    return pixels.select(*KEY, *columns).groupBy("image_id").applyInArrow(run, f"image_id {kind}, {PICTURE}")
+
+
+def unpacked(rows: DataFrame, picture: str | None = None) -> DataFrame:
+    """Picture rows, or their column ``picture``, to pixel rows of b, g, r (equal for one channel); nothing is shuffled."""
+    rows = rows.select("image_id", f"{picture}.*") if picture else rows
+    kind = rows.schema["image_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                h, w, c, data = (batch.column(n)[i] for n in ("height", "width", "n_channels", "data"))
+                a = np.frombuffer(data.as_buffer(), np.uint8).reshape(h.as_py() * w.as_py(), c.as_py())
+                for low in range(0, len(a), 100_000):
+                    part = a[low : low + 100_000]
+                    y, x = np.divmod(np.arange(low, low + len(part), dtype=np.int32), np.int32(max(w.as_py(), 1)))
+                    channel = [part[:, k if a.shape[1] >= 3 else 0].astype(np.int32) for k in range(3)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("image_id")[i], len(part)), *map(pa.array, (y, x, *channel))], ["image_id", "y", "x", "b", "g", "r"])
+
+    return rows.select("image_id", "height", "width", "n_channels", "data").mapInArrow(run, f"image_id {kind}, y int, x int, b int, g int, r int")
+
+
+def map_rows(rows: DataFrame, change: Callable[[np.ndarray], dict[str, object]], pictures: tuple[str, ...], scalars: str = "", keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Picture by picture what ``change`` makes of it: the columns ``keep``, those of ``pictures`` (as structs), and ``scalars`` (their SQL schema)."""
+    kept = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
+    arrow = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32()}
+    plain = [(n, arrow[t]) for n, t in (x.split() for x in scalars.split(",") if x)]
+    struct = f"struct<{PICTURE.replace(' int', ': int').replace(' binary', ': binary')}>"
+    schema = ", ".join([*kept, *[f"{p} {struct}" for p in pictures], *([scalars] if scalars else [])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[dict[str, object]] = []
+            fields, size = pa.schema([*[(c, batch.schema.field(c).type) for c in keep], *[(p, _PLANE) for p in pictures], *plain]), 0
+            for i in range(batch.num_rows):
+                found = change(array_of(*(batch.column(n)[i].as_py() for n in ("height", "width", "n_channels", "data"))))
+                out.append({**{c: batch.column(c)[i] for c in keep}, **{n: row_of(a) if n in pictures else a for n, a in found.items()}})
+                size += sum(len(out[-1][p]["data"]) for p in pictures)
+                if size >= RETURNED:
+                    yield pa.RecordBatch.from_pylist(out, fields)
+                    out, size = [], 0
+            if out:
+                yield pa.RecordBatch.from_pylist(out, fields)
+
+    return rows.select(*dict.fromkeys([*keep, "height", "width", "n_channels", "data"])).mapInArrow(run, schema)
+
+
 def reflected(places: np.ndarray, n: int) -> np.ndarray:
     """Indices reflected into ``0..n-1`` without repeating the edge."""
     period = max(2 * (n - 1), 1)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,6 +28,47 @@ def rotation_geometry(skew: DataFrame, sizes: DataFrame) -> DataFrame:
     return g.select("image_id", "height", "width", "new_w", "new_h", F.round(c / UNIT, 9).alias("m00"), F.round(s / UNIT, 9).alias("m01"), F.round(m02, 9).alias("m02"), F.round(-s / UNIT, 9).alias("m10"), F.round(c / UNIT, 9).alias("m11"), F.round(m12, 9).alias("m12"), "c", "s")
 
 
+def canvas(height: int, width: int, angle: float | None) -> tuple[int, int, int, int]:
+    """``rotation_geometry`` of one picture: cosine and sine in ``UNIT``, new height and width."""
+    radians = math.radians(angle or 0.0)
+    c, s = (math.floor(f(radians) * UNIT + 0.5) if f(radians) >= 0 else -math.floor(-f(radians) * UNIT + 0.5) for f in (math.cos, math.sin))
+    return c, s, (height * abs(c) + width * abs(s)) // UNIT, (height * abs(s) + width * abs(c)) // UNIT
+
+
+def turned_planes(sources: list[np.ndarray], c: int, s: int, nh: int, nw: int) -> list[np.ndarray]:
+    """``rotate_gather`` of whole planes of one picture, 256 scanlines of the target at a time."""
+    h, w = sources[0].shape
+    out = [np.empty((nh, nw), np.int64) for _ in sources]
+    for low in range(0, nh, 256):
+        high = min(low + 256, nh)
+        x, y = source_places(low, high, h, w, c, s, nh, nw)
+        for source, target in zip(sources, out, strict=True):
+            target[low:high] = gathered(source, x, y, h, 0)
+    return out
+
+
+def source_places(low: int, high: int, h: int, w: int, c: int, s: int, nh: int, nw: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the target scanlines ``low`` to ``high`` come from, in 32nds of a pixel."""
+    cx, cy = w // 2, h // 2
+    # Twice the offsets from the canvas centre, so that halves stay whole.
+    dx = 2 * np.arange(nw, dtype=np.int64)[None, :] - (nw - w) - 2 * cx
+    dy = 2 * np.arange(low, high, dtype=np.int64)[:, None] - (nh - h) - 2 * cy
+    at = lambda a, centre: (16 * a + centre * 32 * UNIT + UNIT // 2) // UNIT
+    return at(c * dx - s * dy, cx), at(s * dx + c * dy, cy)
+
+
+def gathered(source: np.ndarray, x: np.ndarray, y: np.ndarray, h: int, first: int) -> np.ndarray:
+    """Cubic interpolation at places in 32nds of a pixel; ``source`` holds the scanlines of a picture of height ``h`` from ``first`` on."""
+    weights, w = np.array(cubic_weights(), np.int64), source.shape[1]
+    wx, wy, x, y = weights[x % 32], weights[y % 32], x // 32, y // 32
+    source, total = source.astype(np.int64), np.zeros(x.shape, np.int64)
+    columns_at = [np.clip(x + i - 1, 0, w - 1) for i in range(4)]
+    for j in range(4):
+        row = np.clip(y + j - 1, 0, h - 1) - first
+        total += wy[..., j] * sum(wx[..., i] * source[row, columns_at[i]] for i in range(4))
+    return np.clip((total + (1 << 21)) >> 22, 0, 255)
+
+
 def rotate_gather(pixels: DataFrame, geometry: DataFrame) -> DataFrame:
     """Every target pixel from sixteen source pixels, cubic weights at 32nds of a pixel, the border repeated; exact integers.
 
@@ -33,30 +76,13 @@ def rotate_gather(pixels: DataFrame, geometry: DataFrame) -> DataFrame:
     one task; memory is one image, some scanlines of the target at a time.
     """
     columns = [c for c in pixels.columns if c not in KEY]
-    weights = np.array(cubic_weights(), np.int64)
 
     def run(table: pa.Table, g: pa.Table) -> pa.Table:
         if not table.num_rows or not g.num_rows:
             return pa.table({f.name: pa.array([], f.type) for f in table.select([*KEY, *columns]).schema})
         place, h, w = layout(table)
         c, s, nw, nh = (g[n][0].as_py() for n in ("c", "s", "new_w", "new_h"))
-        cx, cy = w // 2, h // 2
-        sources = [plane(table, n, place, h, w).astype(np.int64) for n in columns]
-        out = [np.empty((nh, nw), np.int64) for _ in columns]
-        # Twice the offsets from the canvas centre, so that halves stay whole.
-        dx = 2 * np.arange(nw, dtype=np.int64)[None, :] - (nw - w) - 2 * cx
-        at = lambda a, centre: (16 * a + centre * 32 * UNIT + UNIT // 2) // UNIT
-        for low in range(0, nh, 256):
-            dy = 2 * np.arange(low, min(low + 256, nh), dtype=np.int64)[:, None] - (nh - h) - 2 * cy
-            x, y = at(c * dx - s * dy, cx), at(s * dx + c * dy, cy)
-            wx, wy, x, y = weights[x % 32], weights[y % 32], x // 32, y // 32
-            columns_at = [np.clip(x + i - 1, 0, w - 1) for i in range(4)]
-            for source, target in zip(sources, out, strict=True):
-                total = np.zeros(x.shape, np.int64)
-                for j in range(4):
-                    row = np.clip(y + j - 1, 0, h - 1)
-                    total += wy[..., j] * sum(wx[..., i] * source[row, columns_at[i]] for i in range(4))
-                target[low : low + 256] = np.clip((total + (1 << 21)) >> 22, 0, 255)
+        out = turned_planes([plane(table, n, place, h, w) for n in columns], c, s, nh, nw)
         return rows_of(table["image_id"][0], dict(zip(columns, out, strict=True)))
 
     kind = pixels.schema["image_id"].dataType.simpleString()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import ROUND_HALF_UP, Decimal
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -56,23 +58,39 @@ def line_segments(mask: DataFrame, threshold: int = 100, min_length: int = 100,
     """Segments on the accumulator's peaks: pixels of a line in order, cut where they lie more than ``max_gap`` apart; x1 <= x2."""
 
     def run(table: pa.Table) -> pa.Table:
-        y, x, rho, pos = _cast(plane(table, "v", *layout(table)))
-        ends: list[tuple[int, ...]] = []
-        for theta, distance, _ in _peaks(rho, threshold).tolist():
-            on = np.flatnonzero(rho[theta] == distance)
-            on = on[np.lexsort((x[on], y[on], pos[theta, on]))]
-            p = pos[theta, on]
-            for part in np.split(on, np.flatnonzero(np.diff(p) > max_gap) + 1):
-                if pos[theta, part[-1]] - pos[theta, part[0]] >= min_length:
-                    places = sorted(((int(x[i]), int(y[i])) for i in (part[np.lexsort((y[part], x[part]))][[0, -1]])))
-                    ends.append((*places[0], *places[-1]))
-        found = np.array(ends, np.int32).reshape(-1, 4)
+        found = plane_segments(plane(table, "v", *layout(table)), threshold, min_length, max_gap)
         return pa.table({"image_id": pa.repeat(table["image_id"][0], len(found)), **{c: found[:, i] for i, c in enumerate(("x1", "y1", "x2", "y2"))}})
 
     kind = mask.schema["image_id"].dataType.simpleString()
     return mask.groupBy("image_id").applyInArrow(run, f"image_id {kind}, x1 int, y1 int, x2 int, y2 int")
 
 
+def plane_segments(mask: np.ndarray, threshold: int, min_length: int, max_gap: int) -> np.ndarray:
+    """``line_segments`` of a whole picture: rows of x1, y1, x2, y2."""
+    y, x, rho, pos = _cast(mask)
+    ends: list[tuple[int, ...]] = []
+    for theta, distance, _ in _peaks(rho, threshold).tolist():
+        on = np.flatnonzero(rho[theta] == distance)
+        on = on[np.lexsort((x[on], y[on], pos[theta, on]))]
+        p = pos[theta, on]
+        for part in np.split(on, np.flatnonzero(np.diff(p) > max_gap) + 1):
+            if pos[theta, part[-1]] - pos[theta, part[0]] >= min_length:
+                places = sorted(((int(x[i]), int(y[i])) for i in (part[np.lexsort((y[part], x[part]))][[0, -1]])))
+                ends.append((*places[0], *places[-1]))
+    return np.array(ends, np.int32).reshape(-1, 4)
+
+
+def median_angle(segments: np.ndarray) -> float | None:
+    """``skew_angle`` of one picture's segments: its median angle where it is worth correcting, else None."""
+    x1, y1, x2, y2 = segments.T.astype(float)
+    angle = np.degrees(np.arctan2(y2 - y1, x2 - x1))
+    angle = angle[(angle > -45) & (angle < 45)]
+    if not len(angle):
+        return None
+    found = float(Decimal(repr(float(np.median(angle)))).quantize(Decimal("1e-9"), ROUND_HALF_UP))
+    return found if 0.5 <= abs(found) <= 30 else None
+
+
 def skew_angle(segments: DataFrame, images: DataFrame) -> DataFrame:
     """Median angle of each image's near-horizontal segments, and whether it is worth correcting (0.5 to 30 degrees)."""
     angle = F.degrees(F.atan2(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1")))

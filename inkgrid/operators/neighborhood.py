@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -42,6 +44,34 @@ def sobel(pixels: DataFrame) -> DataFrame:
     return first.select(*KEY, (dx_up + 2 * F.col("dx") + dx_down).alias("gx"), (sx_down - sx_up).alias("gy"))
 
 
+def around(v: np.ndarray, dy: int, dx: int, border: int | None = None) -> np.ndarray:
+    """The picture moved so that each place holds its neighbour at (dy, dx); reflected at the border, or ``border`` there."""
+    if border is not None:
+        return np.pad(v, 1, constant_values=border)[1 + dy : 1 + dy + v.shape[0], 1 + dx : 1 + dx + v.shape[1]]
+    return v[np.ix_(*(reflected(np.arange(n) + d, n) for n, d in zip(v.shape, (dy, dx), strict=True)))]
+
+
+def laplacian_plane(v: np.ndarray) -> np.ndarray:
+    return around(v, 0, -1) + around(v, 0, 1) + around(v, -1, 0) + around(v, 1, 0) - 4 * v
+
+
+def thinned_plane(v: np.ndarray) -> np.ndarray:
+    """``thin_edges`` of ``sobel`` of a whole picture."""
+    left, right = around(v, 0, -1), around(v, 0, 1)
+    dx, sx = right - left, left + 2 * v + right
+    gx, gy = around(dx, -1, 0) + 2 * dx + around(dx, 1, 0), around(sx, 1, 0) - around(sx, -1, 0)
+    m = np.abs(gx) + np.abs(gy)
+    return np.where(_stays(m, gx, gy, lambda dy, dx: around(m, dy, dx, 0)), m, 0)
+
+
+def _stays(m: np.ndarray, gx: np.ndarray, gy: np.ndarray, at: Callable[[int, int], np.ndarray]) -> np.ndarray:
+    """Whether a magnitude exceeds its neighbour before along the gradient and is not below the one after."""
+    ax, ay = np.abs(gx).astype(np.int64), np.abs(gy).astype(np.int64)
+    pairs = (((0, -1), (0, 1)), ((-1, 0), (1, 0)), ((-1, -1), (1, 1)), ((-1, 1), (1, -1)))
+    flat, steep, falling, rising = ((m > at(*before)) & (m >= at(*after)) for before, after in pairs)
+    return np.select([ay * 32768 < ax * 13573, ay * 32768 > ax * 79109, gx.astype(np.int64) * gy > 0], [flat, steep, falling], rising)
+
+
 def thin_edges(gradients: DataFrame) -> DataFrame:
     """Non-maximum suppression of the L1 magnitude along the gradient: magnitude m, or 0.
 
@@ -62,6 +92,10 @@ def thin_edges(gradients: DataFrame) -> DataFrame:
 
 def gaussian_blur(pixels: DataFrame, k: int = 51) -> DataFrame:
     """Separable blur in exact integers, scanlines before columns; borders reflected, other columns kept."""
+    return map_pictures(pixels, lambda v: blurred_plane(v, k))
+
+
+def blurred_plane(v: np.ndarray, k: int) -> np.ndarray:
     weights = gaussian_weights(k)
 
     def along(a: np.ndarray) -> np.ndarray:
@@ -69,7 +103,7 @@ def gaussian_blur(pixels: DataFrame, k: int = 51) -> DataFrame:
         padded = a[:, reflected(np.arange(-(k // 2), n + k - 1 - k // 2), n)].astype(np.int64)
         return sum(w * padded[:, i : i + n] for i, w in enumerate(weights)) + 32768 >> 16
 
-    return map_pictures(pixels, lambda v: along(along(v).T).T)
+    return along(along(v).T).T
 
 
 def _rect(a: np.ndarray, kw: int, kh: int, highest: bool) -> np.ndarray:
@@ -89,6 +123,18 @@ def morph_close(pixels: DataFrame, kw: int = 35, kh: int = 35) -> DataFrame:
     return map_pictures(pixels, lambda v: _rect(_rect(v, kw, kh, True), kw, kh, False))
 
 
+def closed_plane(v: np.ndarray, k: int) -> np.ndarray:
+    return _rect(_rect(v, k, k, True), k, k, False)
+
+
+def opened_plane(v: np.ndarray, k: int) -> np.ndarray:
+    return _rect(_rect(v, k, k, False), k, k, True)
+
+
+def dilated_plane(v: np.ndarray, kw: int, kh: int) -> np.ndarray:
+    return _rect(v, kw, kh, True)
+
+
 def morph_open(pixels: DataFrame, kw: int = 20, kh: int = 20) -> DataFrame:
     return map_pictures(pixels, lambda v: _rect(_rect(v, kw, kh, False), kw, kh, True))
 
@@ -115,9 +161,9 @@ def background_kernel(height: int, width: int, least: int = 51) -> int:
 
 def morph_close_ellipse(pixels: DataFrame, k: int | None = 51) -> DataFrame:
     """Closing with a ``k`` by ``k`` ellipse (odd ``k``): an estimate of the background. Without ``k`` each picture gets its own by its size."""
+    return map_pictures(pixels, lambda v: background_plane(v, k))
 
-    def change(v: np.ndarray) -> np.ndarray:
-        own = k or background_kernel(*v.shape)
-        return _ellipse(_ellipse(v, own, True), own, False)
 
-    return map_pictures(pixels, change)
+def background_plane(v: np.ndarray, k: int | None) -> np.ndarray:
+    own = k or background_kernel(*v.shape)
+    return _ellipse(_ellipse(v, own, True), own, False)

@@ -14,6 +14,19 @@ def _lists() -> tuple[Column, Column, Column]:
     return tuple(F.coalesce(F.col(c), F.array().cast(t)) for c, t in empty.items())
 
 
+def _zipped() -> Column:
+    """Blocks as structs t, s, p: the lists are zipped up to the shortest."""
+    texts, scores, polys = _lists()
+    return F.slice(F.arrays_zip(texts.alias("t"), scores.alias("s"), polys.alias("p")), F.lit(1), F.least(F.size(texts), F.size(scores), F.size(polys)))
+
+
+def _fields() -> tuple[Column, Column, Column]:
+    """Text, confidence and corners of a block ``z``."""
+    p = F.col("z.p")
+    corner = lambda i: F.when(F.size(p) >= 4, F.get(p, F.lit(i))).otherwise(F.raise_error(F.lit("a text polygon needs four points")))
+    return F.col("z.t").alias("text"), F.col("z.s").cast("double").alias("confidence"), F.struct(*[corner(i).alias(n) for i, n in enumerate(CORNERS)]).alias("bbox")
+
+
 def ocr_blocks(raw: DataFrame, page: int | None = 0) -> DataFrame:
     """Blocks in input order: the lists are zipped up to the shortest. Only ``page`` is read; None reads all.
 
@@ -21,22 +34,21 @@ def ocr_blocks(raw: DataFrame, page: int | None = 0) -> DataFrame:
     """
     if page is not None:
         raw = raw.where(F.col("page") == page)
-    texts, scores, polys = _lists()
-    zipped = F.slice(F.arrays_zip(texts.alias("t"), scores.alias("s"), polys.alias("p")), F.lit(1), F.least(F.size(texts), F.size(scores), F.size(polys)))
-    block = raw.select("document_name", "variant", F.posexplode(zipped).alias("block_idx", "z"))
-    p = F.col("z.p")
-    corner = lambda i: F.when(F.size(p) >= 4, F.get(p, F.lit(i))).otherwise(F.raise_error(F.lit("a text polygon needs four points")))
-    return block.select("document_name", "variant", "block_idx", F.col("z.t").alias("text"), F.col("z.s").cast("double").alias("confidence"), F.struct(*[corner(i).alias(n) for i, n in enumerate(CORNERS)]).alias("bbox"))
+    return raw.select("document_name", "variant", F.posexplode(_zipped()).alias("block_idx", "z")).select("document_name", "variant", "block_idx", *_fields())
+
+
+def _by_document(raw: DataFrame, page: int | None, *found: Column) -> DataFrame:
+    """Aggregates of the blocks ``block_idx, t, s, p`` of every document and variant, those without blocks too: one scan, one exchange."""
+    wanted = F.lit(True) if page is None else F.col("page") == page
+    block = raw.select("document_name", "variant", F.posexplode_outer(F.when(wanted, _zipped())).alias("block_idx", "z"))
+    return block.select("document_name", "variant", "block_idx", "z").groupBy("document_name", "variant").agg(F.count("block_idx").cast("int").alias("total_blocks"), *found)
 
 
 def ocr_documents(raw: DataFrame, page: int | None = 0) -> DataFrame:
     """One record per document and variant, without blocks too: total_blocks, results in block order."""
-    blocks = ocr_blocks(raw, page).groupBy("document_name", "variant").agg(F.array_sort(F.collect_list(F.struct("block_idx", "text", "confidence", "bbox"))).alias("b"))
-    every = raw.select("document_name", "variant").distinct()
+    held = F.when(F.col("block_idx").isNotNull(), F.struct("block_idx", *_fields()))
     item = lambda b: F.struct(b["text"].alias("text"), b["confidence"].alias("confidence"), b["bbox"].alias("bbox"))
-    joined = every.join(blocks, ["document_name", "variant"], "left")
-    none = F.array().cast("array<struct<text:string,confidence:double,bbox:struct<top_left:array<double>,top_right:array<double>,bottom_right:array<double>,bottom_left:array<double>>>>")
-    return joined.select("document_name", "variant", F.coalesce(F.size("b"), F.lit(0)).alias("total_blocks"), F.coalesce(F.transform("b", item), none).alias("results"))
+    return _by_document(raw, page, F.transform(F.array_sort(F.collect_list(held)), item).alias("results"))
 
 
 def alignment_audit(raw: DataFrame, page: int = 0) -> DataFrame:
@@ -47,8 +59,7 @@ def alignment_audit(raw: DataFrame, page: int = 0) -> DataFrame:
 
 def confidence_summary(raw: DataFrame, page: int = 0) -> DataFrame:
     """Blocks and mean confidence (9 digits; null without blocks) of every document and variant."""
-    means = ocr_blocks(raw, page).groupBy("document_name", "variant").agg(F.count("*").alias("n"), F.round(F.avg("confidence"), 9).alias("mean_confidence"))
-    return raw.select("document_name", "variant").distinct().join(means, ["document_name", "variant"], "left").select("document_name", "variant", F.coalesce("n", F.lit(0)).alias("total_blocks"), "mean_confidence")
+    return _by_document(raw, page, F.round(F.avg(F.col("z.s").cast("double")), 9).alias("mean_confidence"))
 
 
 def variant_comparison(raw: DataFrame, page: int = 0) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,6 +16,12 @@ def luma() -> Column:
     return F.expr("cast((299 * r + 587 * g + 114 * b + 500) div 1000 as int)")
 
 
+def luma_plane(bgr: np.ndarray) -> np.ndarray:
+    """``luma`` of a whole picture, blue, green and red along the last axis."""
+    b, g, r = (bgr[..., i].astype(np.int32) for i in range(3))
+    return (299 * r + 587 * g + 114 * b + 500) // 1000
+
+
 def to_gray(bgr: DataFrame) -> DataFrame:
     return bgr.select(*KEY, luma().alias("v"))
 
@@ -45,6 +52,18 @@ def in_range(low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
     return F.when(h.between(low[0], high[0]) & s.between(low[1], high[1]) & v.between(low[2], high[2]), 255).otherwise(0)
 
 
+def in_range_plane(bgr: np.ndarray, low: tuple[int, int, int], high: tuple[int, int, int]) -> np.ndarray:
+    """``in_range`` of a whole picture, as booleans."""
+    b, g, r = (bgr[..., i].astype(np.int32) for i in range(3))
+    v, least = np.maximum(np.maximum(b, g), r), np.minimum(np.minimum(b, g), r)
+    d = (v - least).astype(float)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        s = np.where(v == 0, 0, np.floor(255 * d / v + 0.5))
+        h = np.select([v == least, v == r, v == g], [0.0, 60 * (g - b) / d, 120 + 60 * (b - r) / d], 240 + 60 * (r - g) / d)
+    h = np.floor(np.where(h < 0, h + 360, h) / 2 + 0.5) % 180
+    return np.logical_and.reduce([(low[i] <= x) & (x <= high[i]) for i, x in enumerate((h, s, v))])
+
+
 def range_mask(bgr: DataFrame, low: tuple[int, int, int] = WOOD[0], high: tuple[int, int, int] = WOOD[1]) -> DataFrame:
     return bgr.select(*KEY, in_range(low, high).alias("v"))
 
@@ -67,6 +86,21 @@ def divide_by_background(v: Column, background: Column) -> Column:
     return F.when(background == 0, 0).otherwise(F.least(F.lit(255), F.rint(v * 255 / background).cast("int")))
 
 
+def divided_plane(v: np.ndarray, background: np.ndarray) -> np.ndarray:
+    """``divide_by_background`` of a whole picture."""
+    return np.where(background == 0, 0, np.minimum(255, np.rint(v.astype(np.int64) * 255 / np.maximum(background, 1)))).astype(np.int32)
+
+
+def cut_plane(picture: np.ndarray, box: tuple[int, int, int, int] | None, margin: int) -> np.ndarray:
+    """``crop`` of a whole picture to its box (x, y, w, h)."""
+    height, width = picture.shape[:2]
+    if box is None:
+        return picture
+    x1, y1 = min(box[0] + margin, width - 1), min(box[1] + margin, height - 1)
+    x2, y2 = min(box[0] + box[2] - margin, width), min(box[1] + box[3] - margin, height)
+    return picture[y1:y2, x1:x2] if x2 > x1 and y2 > y1 else picture
+
+
 def crop(pixels: DataFrame, boxes: DataFrame, margin: int = 5) -> DataFrame:
     """Cut each image to its box moved inwards by ``margin``; without a box, or if nothing is left, the image stays whole.
 

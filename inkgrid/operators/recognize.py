@@ -2,23 +2,43 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from inkgrid import schemas
 
-_BUILT: dict[str, Callable] = {}
+Recogniser = Callable[[pd.DataFrame], pd.DataFrame]
+#: Of this worker process: recognisers by the digest of their factory, the one used last at the end.
+_BUILT: dict[str, Recogniser] = {}
+#: Recognisers that a worker keeps.
+KEPT = 4
 
 
-def recognize_batch(images: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], name: str = "recogniser") -> DataFrame:
-    """Recognition output of a table of images. ``factory`` builds the recogniser once per Python worker; it maps image rows to rows of the raw schema."""
+def _recogniser(key: str, factory: bytes) -> Recogniser:
+    found = _BUILT.pop(key, None) or cloudpickle.loads(factory)()
+    _BUILT[key] = found
+    while len(_BUILT) > KEPT:
+        del _BUILT[next(iter(_BUILT))]
+    return found
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if name not in _BUILT:
-                _BUILT[name] = factory()
-            yield _BUILT[name](batch)
 
-    return images.mapInPandas(run, schemas.RAW_OCR)
+def _recognised(key: str, factory: bytes, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Workers reach this function by import, so ``_BUILT`` is the worker's own and outlives the task."""
+    for batch in batches:
+        yield _recogniser(key, factory)(batch)
+
+
+def recognize_batch(images: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
+    """Recognition output of a table of images.
+
+    ``factory`` builds the recogniser, which maps image rows to rows of the raw schema, once in the
+    life of a Python worker, however many tasks the worker runs. Factories are told apart by what they pickle
+    to, not by their names; a worker keeps the last ``KEPT`` recognisers. A task without images builds none.
+    """
+    pickled = cloudpickle.dumps(factory)
+    return images.mapInPandas(partial(_recognised, hashlib.sha256(pickled).hexdigest(), pickled), schemas.RAW_OCR)

@@ -7,6 +7,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgrid.functions.pictures import map_pictures
+
 
 def row_runs(mask: DataFrame) -> DataFrame:
     """Maximal horizontal runs of non-zero pixels: image_id, y, x1, x2."""
@@ -38,6 +40,57 @@ def _labels(y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
             label = label[label]
 
 
+def plane_runs(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row_runs`` of a whole picture, by (y, x1)."""
+    edge = np.diff(np.pad(mask > 0, ((0, 0), (1, 1))).astype(np.int8), axis=1)
+    (y, x1), (_, x2) = np.nonzero(edge == 1), np.nonzero(edge == -1)
+    return y, x1, x2 - 1
+
+
+def component_rows(label: np.ndarray, y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> tuple[np.ndarray, ...]:
+    """By component and scanline, in order: label, y, least x1, largest x2, pixels."""
+    order = np.lexsort((y, label))
+    label, y, x1, x2 = label[order], y[order], x1[order], x2[order]
+    first = np.flatnonzero((np.diff(label, prepend=-1) != 0) | (np.diff(y, prepend=-1) != 0))
+    if not len(first):
+        return (label,) * 5
+    return label[first], y[first], np.minimum.reduceat(x1, first), np.maximum.reduceat(x2, first), np.add.reduceat(x2 - x1 + 1, first)
+
+
+def largest_box(mask: np.ndarray, least_share: float = 0.05) -> tuple[int, int, int, int] | None:
+    """``largest_region_box`` of a whole picture: x, y, w, h, or None."""
+    y, x1, x2 = plane_runs(mask)
+    if not len(y):
+        return None
+    label, y, lo, hi, _ = component_rows(_labels(y, x1, x2), y, x1, x2)
+    wide = hi - lo
+    twice = np.bincount(label[:-1], weights=np.where(label[1:] == label[:-1], wide[1:] + wide[:-1], 0), minlength=label[-1] + 1)
+    top = int(np.argmax(twice))  # components in order of their first runs, so the first wins a tie
+    own = label == top
+    if twice[top] / 2 < least_share * mask.shape[0] * mask.shape[1]:
+        return None
+    return int(lo[own].min()), int(y[own].min()), int(hi[own].max() - lo[own].min() + 1), int(y[own].max() - y[own].min() + 1)
+
+
+def strong_plane(m: np.ndarray, low: int, high: int) -> np.ndarray:
+    """``keep_strong`` of a whole picture."""
+    y, x1, x2 = plane_runs(m > low)
+    out = np.zeros(m.shape, np.int32)
+    if len(y):
+        # An empty slot after each run, so that reduceat sees runs only.
+        ends = np.stack([y * m.shape[1] + x1, y * m.shape[1] + x2 + 1], axis=1).ravel()
+        most = np.maximum.reduceat(np.append(m.ravel(), 0), ends)[::2]
+        label = _labels(y, x1, x2)
+        best = np.zeros(len(y), m.dtype)
+        np.maximum.at(best, label, most)
+        edge = np.zeros((m.shape[0], m.shape[1] + 1), np.int32)
+        kept = best[label] > high
+        edge[y[kept], x1[kept]] = 255
+        edge[y[kept], x2[kept] + 1] -= 255
+        out = np.cumsum(edge, axis=1)[:, :-1]
+    return out
+
+
 def connected_runs(runs: DataFrame) -> DataFrame:
     """Runs with the id of their 8-connected component: image_id, y, x1, x2, comp_y, comp_x (its first run).
 
@@ -76,11 +129,5 @@ def largest_region_box(mask: DataFrame, sizes: DataFrame, least_share: float = 0
 
 
 def keep_strong(edges: DataFrame, low: int, high: int) -> DataFrame:
-    """Hysteresis: connected pixels above ``low`` stay where one of them exceeds ``high``."""
-    weak = edges.where(F.col("m") > low)
-    runs = connected_runs(row_runs(weak.select("image_id", "y", "x", F.lit(1).alias("v"))))
-    inside = (F.col("e.image_id") == F.col("r.image_id")) & (F.col("e.y") == F.col("r.y")) & F.col("e.x").between(F.col("r.x1"), F.col("r.x2"))
-    labelled = weak.alias("e").join(runs.alias("r"), inside).select("e.image_id", "e.y", "e.x", "e.m", "r.comp_y", "r.comp_x")
-    strong = labelled.where(F.col("m") > high).select("image_id", "comp_y", "comp_x").distinct()
-    kept = labelled.join(strong, ["image_id", "comp_y", "comp_x"], "left_semi").select("image_id", "y", "x", F.lit(255).alias("hit"))
-    return edges.join(kept, ["image_id", "y", "x"], "left").select("image_id", "y", "x", F.coalesce("hit", F.lit(0)).alias("v"))
+    """Hysteresis: connected pixels above ``low`` stay where one of them exceeds ``high``, picture by picture."""
+    return map_pictures(edges.select("image_id", "y", "x", F.col("m").alias("v")), lambda m: strong_plane(m, low, high))

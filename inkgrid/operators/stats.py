@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions.pictures import layout, map_pictures, plane, reflected
 from inkgrid.functions.scalar import rint2
-from inkgrid.operators.neighborhood import laplacian
+from inkgrid.operators.neighborhood import laplacian, laplacian_plane
 
 
 def blur_score(pixels: DataFrame, threshold: float = 100.0) -> DataFrame:
@@ -31,6 +31,25 @@ def otsu_threshold(pixels: DataFrame) -> DataFrame:
     return sums.groupBy("image_id").agg(F.coalesce(-F.max(split)["v"], F.lit(0)).alias("t"))
 
 
+def threshold_of(counts: np.ndarray) -> int:
+    """``otsu_threshold`` of a histogram of values from 0 on; whole numbers of any size."""
+    values = np.flatnonzero(counts)
+    n1, s1 = (np.cumsum(a.astype(object)) for a in (counts[values], counts[values].astype(object) * values))
+    splits = [(float(a * n1[-1] - b * s1[-1]) ** 2 / float(b * (n1[-1] - b)), -int(v)) for v, a, b in zip(values[:-1], s1, n1, strict=False)]
+    return -max(splits)[1] if splits else 0
+
+
+def sharpness(v: np.ndarray, threshold: float) -> tuple[float, bool]:
+    """``blur_score`` of a whole picture."""
+    g = laplacian_plane(v.astype(np.int64))
+    return sharpness_of(g.size, int(g.sum()), int((g * g).sum()), threshold)
+
+
+def sharpness_of(n: int, total: int, squares: int, threshold: float) -> tuple[float, bool]:
+    raw = float(n * squares - total * total) / float(n * n)
+    return float(np.rint(raw * 100) / 100), raw < threshold
+
+
 def extents(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").agg((F.max("y") + 1).alias("height"), (F.max("x") + 1).alias("width"))
 
@@ -68,16 +87,21 @@ def clahe_lut(pixels: DataFrame, clip: float = 1.5, tiles: int = 8) -> DataFrame
 
 def clahe_apply(pixels: DataFrame, clip: float = 1.5, tiles: int = 8) -> DataFrame:
     """Every pixel through the tables of its four nearest tiles, mixed by distance."""
+    return map_pictures(pixels, lambda v: contrast_plane(v, clip, tiles))
 
-    def axis(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        f = np.arange(n) / -(-n // tiles) - 0.5
+
+def contrast_plane(v: np.ndarray, clip: float = 1.5, tiles: int = 8) -> np.ndarray:
+    return mixed_tables(v, _tables(v, clip, tiles), v.shape, tiles)
+
+
+def mixed_tables(v: np.ndarray, lut: np.ndarray, shape: tuple[int, int], tiles: int, first: int = 0) -> np.ndarray:
+    """Scanlines ``first`` and on of a picture of ``shape`` through the tables of its tiles."""
+
+    def axis(n: int, low: int, high: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        f = np.arange(low, high) / -(-n // tiles) - 0.5
         low = np.floor(f).astype(int)
         return np.clip(low, 0, tiles - 1), np.clip(low + 1, 0, tiles - 1), f - low
 
-    def change(v: np.ndarray) -> np.ndarray:
-        lut = _tables(v, clip, tiles)
-        (y1, y2, fy), (x1, x2, fx) = axis(v.shape[0]), axis(v.shape[1])
-        line = lambda y: lut[y[:, None] * tiles + x1, v] * (1 - fx) + lut[y[:, None] * tiles + x2, v] * fx
-        return np.rint(line(y1) * (1 - fy)[:, None] + line(y2) * fy[:, None])
-
-    return map_pictures(pixels, change)
+    (y1, y2, fy), (x1, x2, fx) = axis(shape[0], first, first + v.shape[0]), axis(shape[1], 0, shape[1])
+    line = lambda y: lut[y[:, None] * tiles + x1, v] * (1 - fx) + lut[y[:, None] * tiles + x2, v] * fx
+    return np.rint(line(y1) * (1 - fy)[:, None] + line(y2) * fy[:, None])

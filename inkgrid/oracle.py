@@ -10,13 +10,15 @@ class Steps:
 
     def __init__(self) -> None:
         self.parts: dict[str, str] = {}
+        #: Long chains compute each step once; short ones are left to the optimiser.
+        self.once = False
 
     def add(self, name: str, sql: str) -> str:
         self.parts.setdefault(name, sql)
         return name
 
     def select(self, sql: str) -> str:
-        return "WITH RECURSIVE " + ",\n".join(f"{n} AS ({s})" for n, s in self.parts.items()) + "\n" + sql
+        return "WITH RECURSIVE " + ",\n".join(f"{n} AS {'MATERIALIZED ' * self.once}({s})" for n, s in self.parts.items()) + "\n" + sql
 
 
 def _values(rows: list[tuple[int, ...]]) -> str:

@@ -6,13 +6,14 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from inkgrid.functions.pictures import map_rows, packed, unpacked
 from inkgrid.functions.tables import by_image, written
 from inkgrid.operators import denoise, geometry, lines, neighborhood, ocr, pixels, recognize, regions, stats
-from inkgrid.sources import images as rasters
 
 KEY = ["image_id", "y", "x"]
 
@@ -36,40 +37,52 @@ class Settings:
     blur_threshold: float = 100.0
 
 
-def document_mask(bgr: DataFrame, s: Settings) -> DataFrame:
-    """Bright and not wood, closed and opened. Brightness and wood of a pixel stay on one row throughout."""
-    tones = bgr.select(*KEY, pixels.luma().alias("v"), pixels.in_range(*pixels.WOOD).alias("wood"))
-    blurred = written(neighborhood.gaussian_blur(tones, s.blur), "blurred")
-    thresholds = stats.otsu_threshold(by_image(blurred))
-    bright = F.when(F.col("v") > F.col("t"), 255).otherwise(0)
-    both = blurred.join(thresholds, "image_id").select(*KEY, pixels.mask_and(bright, pixels.mask_not(F.col("wood"))).alias("v"))
-    closed = neighborhood.morph_close(by_image(both), s.close, s.close)
-    return neighborhood.morph_open(closed, s.open, s.open)
+def isolated(bgr: np.ndarray, s: Settings) -> np.ndarray:
+    """Cut to the largest region that is bright and not wood, closed and opened; or whole."""
+    bright = neighborhood.blurred_plane(pixels.luma_plane(bgr), s.blur)
+    lit = (bright > stats.threshold_of(np.bincount(bright.ravel()))) & ~pixels.in_range_plane(bgr, *pixels.WOOD)
+    mask = neighborhood.opened_plane(neighborhood.closed_plane(np.where(lit, 255, 0), s.close), s.open)
+    return pixels.cut_plane(bgr, regions.largest_box(mask), s.margin)
 
 
-def isolate_document(bgr: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Each image cut to its largest bright region, or whole."""
-    boxes = regions.largest_region_box(document_mask(bgr, s), stats.extents(bgr))
-    return pixels.crop(bgr, boxes, s.margin)
+def straightened(picture: np.ndarray, s: Settings) -> np.ndarray:
+    """Gray or colour, turned by its skew on a grown canvas: edges, thickened along lines, to segments to a median angle."""
+    gray = (pixels.luma_plane(picture) if picture.ndim == 3 else picture).astype(np.int32)
+    thick = neighborhood.dilated_plane(regions.strong_plane(neighborhood.thinned_plane(gray), 50, 150), 15, 3)
+    angle = lines.median_angle(lines.plane_segments(thick, s.votes, s.min_length, s.max_gap))
+    if angle is None:
+        return picture
+    planes = geometry.turned_planes([picture] if picture.ndim == 2 else [picture[..., i] for i in range(picture.shape[2])], *geometry.canvas(*gray.shape, angle))
+    return planes[0] if picture.ndim == 2 else np.stack(planes, axis=-1)
+
+
+def binarized(gray: np.ndarray, s: Settings) -> np.ndarray:
+    """Closing as background, division, histogram threshold, small opening."""
+    flat = pixels.divided_plane(gray, neighborhood.background_plane(gray.astype(np.int32), s.background))
+    return neighborhood.opened_plane(np.where(flat > stats.threshold_of(np.bincount(flat.ravel())), 255, 0), 2)
 
 
-def detect_skew(gray: DataFrame, s: Settings) -> DataFrame:
-    """Edges, thickened along lines, to segments to a median angle."""
-    thick = written(neighborhood.dilate(by_image(lines.canny_edges(gray)), 15, 3), "edges")
-    return lines.skew_angle(lines.line_segments(thick, s.votes, s.min_length, s.max_gap), gray)
+def cleaned(bgr: np.ndarray, s: Settings) -> np.ndarray:
+    """Isolated, straightened, gray, with contrast, denoised."""
+    gray = pixels.luma_plane(straightened(isolated(bgr, s), s))
+    return denoise.denoised_plane(stats.contrast_plane(gray, tiles=s.tiles).astype(np.int64), s.nlm_h, s.template, s.search)
+
+
+def isolate_document(bgr: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Each image cut to its largest bright region, or whole."""
+    return unpacked(map_rows(packed(bgr), lambda p: {"cut": isolated(p, s)}, ("cut",)), "cut")
 
 
 def correct_rotation(image: DataFrame, s: Settings = Settings()) -> DataFrame:
-    """Images, gray or colour, turned by their skew on a grown canvas; those without a correction pass through the same gather unchanged."""
-    gray = image if "v" in image.columns else pixels.to_gray(image)
-    return geometry.rotate_gather(image, geometry.rotation_geometry(detect_skew(gray, s), stats.extents(gray)))
+    """Images, gray or colour, turned by their skew on a grown canvas; those without a correction stay as they are."""
+    turned = unpacked(map_rows(packed(image), lambda p: {"turned": straightened(p, s)}, ("turned",)), "turned")
+    return turned.select(*KEY, F.col("b").alias("v")) if "v" in image.columns else turned
 
 
 def adaptive_threshold(gray: DataFrame, background: int | None = None) -> DataFrame:
     """Closing as background, division, histogram threshold, small opening."""
-    base = neighborhood.morph_close_ellipse(gray.withColumn("orig", F.col("v")), background)
-    flat = written(base.select(*KEY, pixels.divide_by_background(F.col("orig"), F.col("v")).alias("v")), "flat")
-    return neighborhood.morph_open(by_image(pixels.binarize(flat, stats.otsu_threshold(flat))), 2, 2)
+    s = Settings(background=background)
+    return unpacked(map_rows(packed(gray), lambda p: {"binarized": binarized(p, s)}, ("binarized",)), "binarized").select(*KEY, F.col("b").alias("v"))
 
 
 class Preprocessed(NamedTuple):
@@ -79,13 +92,28 @@ class Preprocessed(NamedTuple):
     quality: DataFrame
 
 
+def preprocess_pictures(images: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Picture rows to one row an image: the columns ``keep``, processed (gray), binarized, blur_score, is_blurry. All steps in one pass; nothing is shuffled."""
+
+    def change(bgr: np.ndarray) -> dict[str, object]:
+        clean = cleaned(in_colour(bgr), s).astype(np.int32)
+        score, blurry = stats.sharpness(clean, s.blur_threshold)
+        return {"processed": clean, "binarized": binarized(clean, s), "blur_score": score, "is_blurry": blurry}
+
+    return map_rows(images, change, ("processed", "binarized"), "blur_score double, is_blurry boolean", keep)
+
+
+def in_colour(picture: np.ndarray) -> np.ndarray:
+    """A picture of one channel gets three equal ones."""
+    return picture if picture.ndim == 3 else np.stack([picture] * 3, axis=-1)
+
+
 def preprocess(bgr: DataFrame, s: Settings = Settings()) -> Preprocessed:
-    """Denoised gray, binarised, recogniser-ready BGR, and quality. The denoised table feeds the other three, so it is written once."""
-    cropped = written(isolate_document(bgr, s), "cropped")
-    turned = pixels.to_gray(correct_rotation(cropped, s))
-    clean = written(denoise.nlm_denoise(stats.clahe_apply(turned, tiles=s.tiles), s.nlm_h, s.template, s.search), "denoised")
-    quality = stats.blur_score(by_image(clean), s.blur_threshold).withColumn("preprocessing_applied", F.lit(True))
-    return Preprocessed(clean, adaptive_threshold(by_image(clean), s.background), pixels.gray_to_bgr(clean), quality)
+    """Denoised gray, binarised, recogniser-ready BGR, and quality, from pixel rows: one exchange, to picture rows, written once."""
+    table = written(preprocess_pictures(packed(bgr), s), "preprocessed")
+    gray = lambda name: unpacked(table, name).select(*KEY, F.col("b").alias("v"))
+    quality = table.select("image_id", "blur_score", "is_blurry", F.lit(True).alias("preprocessing_applied"))
+    return Preprocessed(gray("processed"), gray("binarized"), unpacked(table, "processed"), quality)
 
 
 class Recognised(NamedTuple):
@@ -111,22 +139,31 @@ def ocr_results(raw: DataFrame, quality: DataFrame | None = None, drop_blurry: b
     return Recognised(ocr.ocr_blocks(raw), ocr.ocr_documents(raw), quality)
 
 
-def ocr_pipeline(images: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], preprocess_images: bool = False, check_quality: bool = True, drop_blurry: bool = False, s: Settings = Settings(), name: str = "recogniser") -> Recognised:
+def raw_quality_pictures(images: DataFrame, s: Settings = Settings()) -> DataFrame:
+    """Quality of images as they are, from picture rows; nothing is shuffled."""
+
+    def change(picture: np.ndarray) -> dict[str, object]:
+        score, blurry = stats.sharpness(pixels.luma_plane(in_colour(picture)), s.blur_threshold)
+        return {"blur_score": score, "is_blurry": blurry}
+
+    return map_rows(images, change, (), "blur_score double, is_blurry boolean").withColumn("preprocessing_applied", F.lit(False))
+
+
+def ocr_pipeline(images: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], preprocess_images: bool = False, check_quality: bool = True, drop_blurry: bool = False, s: Settings = Settings()) -> Recognised:
     """Images (as ``scan_images`` gives them) through a recogniser to blocks, documents and quality.
 
     With ``preprocess_images`` the recogniser gets the preprocessed pictures, and the quality is that of
     the preprocessed gray image and is always there; else it gets the images as they are, and the
     quality is that of the plain gray image, and only with ``check_quality``.
     """
-    bgr = rasters.raster_to_pixels(images) if preprocess_images or check_quality else None
     quality = None
     if preprocess_images:
-        found = preprocess(by_image(bgr), s)
-        quality = found.quality
-        pictures = rasters.pack_raster(found.ocr_ready).join(images.select("image_id", "path"), "image_id").select("image_id", "path", "height", "width", "n_channels", "data")
-        raw = recognize.recognize_batch(pictures, factory, name).withColumn("variant", F.lit("preprocessed"))
+        found = written(preprocess_pictures(images, s, ("image_id", "path")), "preprocessed")
+        quality = found.select("image_id", "blur_score", "is_blurry", F.lit(True).alias("preprocessing_applied"))
+        ready = map_rows(found.select("image_id", "path", "processed.*"), lambda p: {"ready": in_colour(p)}, ("ready",), keep=("image_id", "path"))
+        raw = recognize.recognize_batch(ready.select("image_id", "path", "ready.*"), factory).withColumn("variant", F.lit("preprocessed"))
     else:
-        raw = recognize.recognize_batch(images, factory, name)
+        raw = recognize.recognize_batch(images, factory)
         if check_quality:
-            quality = raw_quality(bgr, s)
+            quality = raw_quality_pictures(images, s)
     return ocr_results(written(raw, "recognised"), None if quality is None else named(quality, images), drop_blurry)

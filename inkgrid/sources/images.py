@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from inkgrid import schemas
-from inkgrid.functions.pictures import layout, plane
+from inkgrid.functions.pictures import packed, unpacked
 
 
 def scan_images(spark: SparkSession, paths: str | list[str], on_invalid: str = "fail") -> DataFrame | tuple[DataFrame, DataFrame]:
@@ -27,32 +23,12 @@ def scan_images(spark: SparkSession, paths: str | list[str], on_invalid: str = "
 
 def raster_to_pixels(images: DataFrame) -> DataFrame:
     """One row per pixel; the bytes are split in Arrow batches. Gray images give equal channels."""
-    kind = dict(images.dtypes)["image_id"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i, (h, w, c, data) in enumerate(zip(*(batch.column(n).to_pylist() for n in ("height", "width", "n_channels", "data")), strict=True)):
-                px = np.frombuffer(data, np.uint8).reshape(h * w, c)
-                y, x = np.divmod(np.arange(h * w, dtype=np.int32), np.int32(max(w, 1)))
-                for a in range(0, h * w, 100_000):
-                    part = slice(a, a + 100_000)
-                    n = len(y[part])
-                    channel = [pa.array(px[part, k if c >= 3 else 0].astype(np.int32)) for k in range(3)]
-                    yield pa.RecordBatch.from_arrays([batch.column("image_id").take(pa.array([i] * n)), pa.array(y[part]), pa.array(x[part]), *channel], ["image_id", "y", "x", "b", "g", "r"])
-
-    return images.select("image_id", "height", "width", "n_channels", "data").mapInArrow(run, f"image_id {kind}, y int, x int, b int, g int, r int")
+    return unpacked(images)
 
 
 def pack_raster(bgr: DataFrame) -> DataFrame:
     """Pixels back to one row of bytes an image, in row-major order."""
-
-    def run(table: pa.Table) -> pa.Table:
-        place, height, width = layout(table)
-        data = np.stack([plane(table, c, place, height, width) for c in "bgr"], axis=-1).astype(np.uint8).tobytes()
-        return pa.table({"image_id": table["image_id"].slice(0, 1), "height": pa.array([height], pa.int32()), "width": pa.array([width], pa.int32()), "n_channels": pa.array([3], pa.int32()), "data": pa.array([data], pa.binary())})
-
-    kind = bgr.schema["image_id"].dataType.simpleString()
-    return bgr.groupBy("image_id").applyInArrow(run, f"image_id {kind}, height int, width int, n_channels int, data binary")
+    return packed(bgr)
 
 
 def save_rasters(images: DataFrame, path: str, partition: str | None = None) -> None:

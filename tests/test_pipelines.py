@@ -73,12 +73,12 @@ def test_scanned_images_to_regions_and_rotation(scanned):
 def test_pipeline_from_files(scanned, factory):
     """The recogniser sees preprocessed pictures only if asked to; documents are named by their paths."""
     paths = {r[0] for r in scanned.select("path").collect()}
-    plain = pipelines.ocr_pipeline(scanned, factory, s=LIGHT, name="plain")
+    plain = pipelines.ocr_pipeline(scanned, factory, s=LIGHT)
     blocks = {r["document_name"]: r for r in plain.blocks.collect()}
     assert set(blocks) == paths and {r["text"].split(":")[0] for r in blocks.values()} == {"72x96"} and all(r["variant"] == "raw" for r in blocks.values())
     assert {(r["document_name"], r["preprocessing_applied"]) for r in plain.quality.collect()} == {(p, False) for p in paths}
-    assert pipelines.ocr_pipeline(scanned, factory, check_quality=False, name="plain").quality is None
-    ready = pipelines.ocr_pipeline(scanned, factory, preprocess_images=True, check_quality=False, s=LIGHT, name="ready")
+    assert pipelines.ocr_pipeline(scanned, factory, check_quality=False).quality is None
+    ready = pipelines.ocr_pipeline(scanned, factory, preprocess_images=True, check_quality=False, s=LIGHT)
     seen = {r["document_name"]: r["text"].split(":")[0] for r in ready.blocks.collect()}
     assert set(seen) == paths and "72x96" not in seen.values()
     assert {(r["document_name"], r["preprocessing_applied"]) for r in ready.quality.collect()} == {(p, True) for p in paths}
@@ -197,3 +197,14 @@ def test_sql(spark, name):
         return
     norm = lambda df: sorted(str(tuple(None if pd.isna(v) else round(float(v), 6) if isinstance(v, (float, int, np.number, np.bool_)) else str(v) for v in r)) for r in df.astype(object).itertuples(index=False))
     assert norm(a) == norm(b)
+
+
+def test_preprocessing_shuffles_pixels_once(spark):
+    """Pixel rows meet once, as whole pictures; picture rows never."""
+    found = pipelines.preprocess(spark.createDataFrame([("a", y, x, 9, 9, 9) for y in range(6) for x in range(6)], BGR.replace("long", "string")), LIGHT)
+    for df in found:
+        assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+    rows = spark.createDataFrame([("a", 6, 6, 3, bytes(108)), ("gray", 2, 3, 1, bytes(range(6)))], "image_id string, height int, width int, n_channels int, data binary")
+    ready = pipelines.preprocess_pictures(rows, LIGHT)
+    assert "Exchange" not in ready._jdf.queryExecution().executedPlan().toString()
+    assert {r["image_id"]: r["processed"]["n_channels"] for r in ready.collect()} == {"a": 1, "gray": 1}

@@ -95,7 +95,7 @@ def test_recognizer(spark):
     def factory():
         return lambda b: pd.DataFrame({"document_name": b["path"], "variant": "raw", "page": 0, "rec_texts": [["t"]] * len(b), "rec_scores": [[0.5]] * len(b), "dt_polys": [[BOX]] * len(b)})
 
-    assert ocr.ocr_blocks(recognize.recognize_batch(table, factory, "test")).first()["text"] == "t"
+    assert ocr.ocr_blocks(recognize.recognize_batch(table, factory)).first()["text"] == "t"
 
 
 def test_stream(spark, raw):
@@ -111,3 +111,42 @@ def test_quality_attach(raw, spark):
     got = {(r["document_name"], r["variant"]): r["is_blurry"] for r in ocr.with_quality(ocr.ocr_documents(raw), quality).collect()}
     assert got["a", "raw"] is True and got["b", "raw"] is None
     assert raw.select(F.count("*")).first()[0] == 5
+
+
+def _counting(folder: str, answer: str):
+    """A factory that leaves a line for each recogniser it builds; nested, so that it travels by value."""
+
+    def factory():
+        import os as system
+
+        with open(f"{folder}/{system.getpid()}-{answer}", "a") as out:
+            out.write("built\n")
+
+        def run(batch):
+            import pandas
+
+            return pandas.DataFrame({"document_name": batch["path"], "variant": "raw", "page": 0, "rec_texts": [[answer]] * len(batch), "rec_scores": [[1.0]] * len(batch), "dt_polys": [[BOX]] * len(batch)})
+
+        return run
+
+    return factory
+
+
+def test_one_recogniser_a_worker(spark):
+    """Many tasks in a worker build one; two factories of one name build two; an empty table builds none."""
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    table = spark.createDataFrame([(str(i), f"p{i}", 1, 1, 1, bytearray(b"x")) for i in range(60)], schemas.IMAGES).repartition(12)
+    one, two = _counting(folder, "one"), _counting(folder, "two")
+    for factory, answer in ((one, "one"), (two, "two"), (one, "one")):
+        assert {tuple(r["rec_texts"]) for r in recognize.recognize_batch(table, factory).collect()} == {(answer,)}
+    for name in os.listdir(folder):
+        with open(f"{folder}/{name}") as f:
+            assert f.read() == "built\n", name
+    assert {n.split("-")[1] for n in os.listdir(folder)} == {"one", "two"}
+    assert recognize.recognize_batch(table.limit(0), _counting(folder, "none")).count() == 0 and not any("none" in n for n in os.listdir(folder))
+
+
+def test_documents_in_one_scan(spark, raw):
+    for df in (ocr.ocr_documents(raw), ocr.confidence_summary(raw)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange") == 1 and "Join" not in plan
