@@ -441,14 +441,30 @@ def near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = T
 
 
 def drop_near_duplicates(documents: DataFrame, shingle: int = 5, threshold: float = THRESHOLD) -> DataFrame:
-    """The document of each component that has the smallest id, with all its columns.
+    """One row of each component of near copies, that of the smallest id, with all its columns.
 
-    Rows that repeat id and text stay once (the one with the smallest hash of all its columns); rows of
-    one id with different texts all stay, as does every null id. Empty tables stay empty.
+    Rows that repeat id and text stay once (the one with the smallest hash of all its columns). Rows of
+    one id with different texts are documents of their own: each stays or goes by its own text. A null id
+    always stays. Empty tables stay empty.
     """
-    kept = near_duplicates(documents, shingle, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
-    place = unused(documents.columns, "place")
-    real = documents.where("doc_id is not null").join(kept, "doc_id", "left_semi")
-    same = Window.partitionBy("doc_id", F.md5("text")).orderBy(F.xxhash64(*documents.columns))
-    once = real.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(*documents.columns)
+    columns = documents.columns
+    row, place = unused(columns, "row"), unused(columns, "place")
+    digest = F.coalesce(F.md5("text"), F.lit(""))
+    real = documents.where("doc_id is not null")
+    several = materialise(real.select("doc_id", digest.alias("d")).groupBy("doc_id").agg(F.min("d").alias("a"), F.max("d").alias("b")).where("a <> b").select("doc_id"), "near-several")
+    if several.isEmpty():
+        kept = near_duplicates(documents, shingle, threshold).where("kept and doc_id is not null").select("doc_id").distinct()
+        real = real.join(kept, "doc_id", "left_semi")
+    else:
+        # Such ids become one for each text; of a component the row of the smallest given id stays.
+        if several.count() <= MAX_BROADCAST_IDS:
+            several = F.broadcast(several)
+        own = several.withColumn(place, F.lit(True))
+        real = real.join(own, "doc_id", "left").withColumn(row, F.when(F.col(place), F.xxhash64("doc_id", digest)).otherwise(F.col("doc_id").cast("long"))).drop(place)
+        ids = real.select(F.col(row).alias("r"), F.col("doc_id").alias("d")).distinct()
+        found = near_duplicates(real.select(F.col(row).alias("doc_id"), "text"), shingle, threshold).select("doc_id", "component_id").distinct()
+        first = found.join(ids, F.col("doc_id") == F.col("r")).groupBy("component_id").agg(F.min(F.struct("d", "r")).alias("m"))
+        real = real.join(first.select(F.col("m.r").alias(row)), row, "left_semi")
+    same = Window.partitionBy("doc_id", digest).orderBy(F.xxhash64(*columns))
+    once = real.withColumn(place, F.row_number().over(same)).where(F.col(place) == 1).select(*columns)
     return once.unionByName(documents.where("doc_id is null"))

@@ -324,6 +324,15 @@ def test_one_id_with_different_texts(spark):
     assert got(kept, "doc_id", "text") == want([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "o p q r s t u"), (None, "x"), (None, "x")])
 
 
+def test_rows_of_one_id_go_by_their_own_texts(spark):
+    """An unlike text stays though another row of its id is a copy, and a copy goes though another row of its id stays."""
+    words = [f"w{i}" for i in range(60)]
+    text, near, unlike = " ".join(words), " ".join([*words[:-1], "other"]), " ".join(f"u{i}" for i in range(60))
+    for copy in (near, text):
+        table = spark.createDataFrame([(3, text), (5, copy), (5, unlike), (5, unlike), (4, None), (4, ""), (6, "x y"), (6, "x y z")], "doc_id long, text string")
+        assert got(near_dup.drop_near_duplicates(table), "doc_id", "text") == want([(3, text), (5, unlike), (4, None), (4, ""), (6, "x y"), (6, "x y z")])
+
+
 def brute_licenses(text, notices):
     t = (text or "").translate({c: c + 32 for c in range(65, 91)})
     words = re.findall("[0-9a-z\x80-\U0010ffff]+", t)
