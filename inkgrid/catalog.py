@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from inkgrid import fixtures as fx
 from inkgrid import oracle as o
+from inkgrid.functions import bands
 from inkgrid.functions.tables import by_image, shared_folder, written
-from inkgrid.operators import denoise, geometry, lines, neighborhood, ocr, pixels, recognize, regions, stats
+from inkgrid.operators import banded, denoise, geometry, lines, neighborhood, ocr, pixels, recognize, regions, stats
 from inkgrid.plans import pipelines
 from inkgrid.sources import images
 
@@ -191,6 +192,19 @@ _register("row_runs", lambda s, d: regions.row_runs(_bright_mask(s, d)), lambda
 _register("connected_components", lambda s, d: regions.connected_components(_bright_mask(s, d)), lambda q: f"SELECT * FROM {o.comps(q, _bright_sql(q))}")
 _register("largest_region_box", lambda s, d: regions.largest_region_box(_bright_mask(s, d), stats.extents(fx.card_bgr(s, d))), lambda q: f"SELECT * FROM {o.box(q, _bright_sql(q), 'card_part')}")
 
+# Pictures in bands: the results of whole pictures.
+
+
+def _bands(pixel_rows: DataFrame, step: int) -> DataFrame:
+    return written(bands.bands_of_pixels(pixel_rows, step), "bands")
+
+
+_register("banded_close", lambda s, d: bands.pixels_of_bands(banded.morph_close(_bands(fx.glyph(s, d), 64))), lambda q: o.closing(q, o.glyph(q), 35))
+_register("banded_clahe", lambda s, d: bands.pixels_of_bands(banded.clahe_apply(_bands(fx.glyph(s, d), 64))), lambda q: o.clahe(q, o.glyph(q), 8))
+_register("banded_blur_score", lambda s, d: banded.blur_score(_bands(fx.glyph(s, d), 64)), lambda q: f"SELECT image_id, blur_score, is_blurry FROM {o.blur(q, o.glyph(q))}")
+_register("banded_components", lambda s, d: banded.connected_components(_bands(_bright_mask(s, d), 7)), lambda q: f"SELECT * FROM {o.comps(q, _bright_sql(q))}")
+_register("banded_canny", lambda s, d: bands.pixels_of_bands(banded.canny_edges(_bands(pixels.to_gray(fx.card_bgr(s, d)), 7))), lambda q: o.canny(q, o.gray(q, o.card_bgr(q))))
+
 # Lines and rotation.
 
 

@@ -57,9 +57,14 @@ def laplacian_plane(v: np.ndarray) -> np.ndarray:
 
 def thinned_plane(v: np.ndarray) -> np.ndarray:
     """``thin_edges`` of ``sobel`` of a whole picture."""
-    left, right = around(v, 0, -1), around(v, 0, 1)
-    dx, sx = right - left, left + 2 * v + right
-    gx, gy = around(dx, -1, 0) + 2 * dx + around(dx, 1, 0), around(sx, 1, 0) - around(sx, -1, 0)
+    return thinned(around(v, -1, 0), v, around(v, 1, 0))
+
+
+def thinned(up: np.ndarray, here: np.ndarray, down: np.ndarray) -> np.ndarray:
+    """Thinned magnitudes of scanlines ``here`` between those above and below; outside of them magnitudes count as 0."""
+    dx = [around(a, 0, 1) - around(a, 0, -1) for a in (up, here, down)]
+    sx = [around(a, 0, -1) + 2 * a + around(a, 0, 1) for a in (up, down)]
+    gx, gy = dx[0] + 2 * dx[1] + dx[2], sx[1] - sx[0]
     m = np.abs(gx) + np.abs(gy)
     return np.where(_stays(m, gx, gy, lambda dy, dx: around(m, dy, dx, 0)), m, 0)
 
@@ -96,47 +101,53 @@ def gaussian_blur(pixels: DataFrame, k: int = 51) -> DataFrame:
 
 
 def blurred_plane(v: np.ndarray, k: int) -> np.ndarray:
-    weights = gaussian_weights(k)
+    place = reflected(np.arange(-(k // 2), v.shape[0] + k - 1 - k // 2), v.shape[0])
+    return along_columns(along_rows(v, k)[place], k)
+
+
+def along_rows(v: np.ndarray, k: int) -> np.ndarray:
+    n = v.shape[1]
+    padded = v[:, reflected(np.arange(-(k // 2), n + k - 1 - k // 2), n)].astype(np.int64)
+    return sum(w * padded[:, i : i + n] for i, w in enumerate(gaussian_weights(k))) + 32768 >> 16
 
-    def along(a: np.ndarray) -> np.ndarray:
-        n = a.shape[1]
-        padded = a[:, reflected(np.arange(-(k // 2), n + k - 1 - k // 2), n)].astype(np.int64)
-        return sum(w * padded[:, i : i + n] for i, w in enumerate(weights)) + 32768 >> 16
 
-    return along(along(v).T).T
+def along_columns(padded: np.ndarray, k: int) -> np.ndarray:
+    """Down the columns of scanlines that reach ``k - 1`` beyond those asked for."""
+    n = padded.shape[0] - k + 1
+    return sum(w * padded[i : i + n] for i, w in enumerate(gaussian_weights(k))) + 32768 >> 16
 
 
-def _rect(a: np.ndarray, kw: int, kh: int, highest: bool) -> np.ndarray:
+def rect_plane(a: np.ndarray, kw: int, kh: int, highest: bool) -> np.ndarray:
     return slide(slide(a, kw // 2, kw - 1 - kw // 2, 1, highest), kh // 2, kh - 1 - kh // 2, 0, highest)
 
 
 def dilate(pixels: DataFrame, kw: int, kh: int) -> DataFrame:
     """Largest value in a rectangle anchored at ``k // 2``; pixels outside the image do not count."""
-    return map_pictures(pixels, lambda v: _rect(v, kw, kh, True))
+    return map_pictures(pixels, lambda v: rect_plane(v, kw, kh, True))
 
 
 def erode(pixels: DataFrame, kw: int, kh: int) -> DataFrame:
-    return map_pictures(pixels, lambda v: _rect(v, kw, kh, False))
+    return map_pictures(pixels, lambda v: rect_plane(v, kw, kh, False))
 
 
 def morph_close(pixels: DataFrame, kw: int = 35, kh: int = 35) -> DataFrame:
-    return map_pictures(pixels, lambda v: _rect(_rect(v, kw, kh, True), kw, kh, False))
+    return map_pictures(pixels, lambda v: rect_plane(rect_plane(v, kw, kh, True), kw, kh, False))
 
 
 def closed_plane(v: np.ndarray, k: int) -> np.ndarray:
-    return _rect(_rect(v, k, k, True), k, k, False)
+    return rect_plane(rect_plane(v, k, k, True), k, k, False)
 
 
 def opened_plane(v: np.ndarray, k: int) -> np.ndarray:
-    return _rect(_rect(v, k, k, False), k, k, True)
+    return rect_plane(rect_plane(v, k, k, False), k, k, True)
 
 
 def dilated_plane(v: np.ndarray, kw: int, kh: int) -> np.ndarray:
-    return _rect(v, kw, kh, True)
+    return rect_plane(v, kw, kh, True)
 
 
 def morph_open(pixels: DataFrame, kw: int = 20, kh: int = 20) -> DataFrame:
-    return map_pictures(pixels, lambda v: _rect(_rect(v, kw, kh, False), kw, kh, True))
+    return map_pictures(pixels, lambda v: rect_plane(rect_plane(v, kw, kh, False), kw, kh, True))
 
 
 def _ellipse(a: np.ndarray, k: int, highest: bool) -> np.ndarray:

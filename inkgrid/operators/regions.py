@@ -17,7 +17,7 @@ def row_runs(mask: DataFrame) -> DataFrame:
     return lit.withColumn("island", island).groupBy("image_id", "y", "island").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).drop("island")
 
 
-def _labels(y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
+def labels(y: np.ndarray, x1: np.ndarray, x2: np.ndarray) -> np.ndarray:
     """For each of a picture's runs, ordered by (y, x1), the first run of its component.
 
     Runs of neighbouring scanlines touch if they overlap by one pixel or meet at a corner; roots that
@@ -62,7 +62,7 @@ def largest_box(mask: np.ndarray, least_share: float = 0.05) -> tuple[int, int,
     y, x1, x2 = plane_runs(mask)
     if not len(y):
         return None
-    label, y, lo, hi, _ = component_rows(_labels(y, x1, x2), y, x1, x2)
+    label, y, lo, hi, _ = component_rows(labels(y, x1, x2), y, x1, x2)
     wide = hi - lo
     twice = np.bincount(label[:-1], weights=np.where(label[1:] == label[:-1], wide[1:] + wide[:-1], 0), minlength=label[-1] + 1)
     top = int(np.argmax(twice))  # components in order of their first runs, so the first wins a tie
@@ -80,7 +80,7 @@ def strong_plane(m: np.ndarray, low: int, high: int) -> np.ndarray:
         # An empty slot after each run, so that reduceat sees runs only.
         ends = np.stack([y * m.shape[1] + x1, y * m.shape[1] + x2 + 1], axis=1).ravel()
         most = np.maximum.reduceat(np.append(m.ravel(), 0), ends)[::2]
-        label = _labels(y, x1, x2)
+        label = labels(y, x1, x2)
         best = np.zeros(len(y), m.dtype)
         np.maximum.at(best, label, most)
         edge = np.zeros((m.shape[0], m.shape[1] + 1), np.int32)
@@ -101,7 +101,7 @@ def connected_runs(runs: DataFrame) -> DataFrame:
         y, x1, x2 = (table[c].to_numpy().astype(np.int64) for c in ("y", "x1", "x2"))
         order = np.lexsort((x1, y))
         first = np.empty(len(y), np.int64)
-        first[order] = order[_labels(y[order], x1[order], x2[order])]
+        first[order] = order[labels(y[order], x1[order], x2[order])]
         return table.append_column("comp_y", pa.array(y[first].astype(np.int32))).append_column("comp_x", pa.array(x1[first].astype(np.int32)))
 
     kind = runs.schema["image_id"].dataType.simpleString()
@@ -113,8 +113,12 @@ def connected_components(mask: DataFrame) -> DataFrame:
 
     The area is that of the polygon through the row extents: half the sum of neighbouring extents.
     """
+    return components_of_runs(connected_runs(row_runs(mask)))
+
+
+def components_of_runs(runs: DataFrame) -> DataFrame:
     by = ["image_id", "comp_y", "comp_x"]
-    rows = connected_runs(row_runs(mask)).groupBy(*by, "y").agg(F.min("x1").alias("lo"), F.max("x2").alias("hi"), F.sum(F.col("x2") - F.col("x1") + 1).alias("px"))
+    rows = runs.groupBy(*by, "y").agg(F.min("x1").alias("lo"), F.max("x2").alias("hi"), F.sum(F.col("x2") - F.col("x1") + 1).alias("px"))
     following = F.lead("wide").over(Window.partitionBy(*by).orderBy("y"))
     rows = rows.withColumn("wide", F.col("hi") - F.col("lo")).withColumn("strip", (F.col("wide") + following) / 2)
     return rows.groupBy(*by).agg(F.min("lo").alias("x"), F.min("y").alias("y"), (F.max("hi") - F.min("lo") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"), F.sum("px").alias("n_pixels"), F.coalesce(F.sum("strip"), F.lit(0.0)).alias("area"))

@@ -64,13 +64,17 @@ def _tables(v: np.ndarray, clip: float, tiles: int) -> np.ndarray:
     down, across = np.arange(height * tiles), np.arange(width * tiles)
     padded = v[np.ix_(reflected(down, v.shape[0]), reflected(across, v.shape[1]))]
     tile = (down // height)[:, None] * tiles + (across // width)[None, :]
-    counts = np.bincount((tile * 256 + padded).ravel(), minlength=tiles * tiles * 256).reshape(-1, 256)
-    limit = max(1, int(clip * (height * width) / 256))
+    return tables_of(np.bincount((tile * 256 + padded).ravel(), minlength=tiles * tiles * 256).reshape(-1, 256), clip, height * width)
+
+
+def tables_of(counts: np.ndarray, clip: float, area: int) -> np.ndarray:
+    """Tables from the histograms of tiles of ``area`` pixels."""
+    limit = max(1, int(clip * area / 256))
     excess = np.maximum(counts - limit, 0).sum(1, keepdims=True)
     left, bins = excess % 256, np.arange(256)
     step = np.maximum(256 // np.maximum(left, 1), 1)
     level = np.minimum(counts, limit) + excess // 256 + ((left > 0) & (bins % step == 0) & (bins // step < left))
-    return np.minimum(255, np.rint(np.cumsum(level, axis=1) * 255 / (height * width))).astype(np.int32)
+    return np.minimum(255, np.rint(np.cumsum(level, axis=1) * 255 / area)).astype(np.int32)
 
 
 def clahe_lut(pixels: DataFrame, clip: float = 1.5, tiles: int = 8) -> DataFrame:
