@@ -414,6 +414,26 @@ _register("ocr_pipeline_scanned", lambda s, d: _scanned_pipeline(s, d, False), l
 _register("ocr_pipeline_preprocessed", lambda s, d: _scanned_pipeline(s, d, True), lambda q: _scanned_sql(q, True))
 
 
+_register("banded_segments", lambda s, d: banded.line_segments(_bands(_thick(s, d), 13), *_LINE), lambda q: f"SELECT * FROM {o.segments(q, _thick_sql(q), *_LINE)}")
+_register("banded_rotation", lambda s, d: bands.pixels_of_bands(banded.correct_rotation(_bands(fx.ruling(s, d), 13), SMALL.votes, SMALL.min_length, SMALL.max_gap)), lambda q: _rotation_sql(q, o.ruling(q)))
+
+
+def _failures(s: SparkSession, d: str) -> DataFrame:
+    """Cards of which some have no bytes, too few, or no size, through the pipeline: failures, and documents of the rest."""
+    k = F.col("image_id")
+    broken = _rasters(s, d).withColumn("data", F.when(k % 10 == 1, None).when(k % 10 == 2, F.substring("data", 1, 100)).otherwise(F.col("data"))).withColumn("height", F.when(k % 10 == 3, 0).otherwise(F.col("height")))
+    found = pipelines.ocr_pipeline(broken, _stub, s=SMALL, on_invalid="quarantine")
+    lost = found.failures.select(F.concat(F.lit("card/"), "image_id").alias("document_name"), "stage", "message")
+    return lost.unionByName(found.documents.select("document_name", F.lit("done").alias("stage"), F.col("total_blocks").cast("string").alias("message")))
+
+
+_register(
+    "ocr_pipeline_failures",
+    _failures,
+    lambda q: f"SELECT 'card/' || image_id AS document_name, CASE WHEN image_id % 10 IN (1, 2, 3) THEN 'scan' ELSE 'done' END AS stage, CASE WHEN image_id % 10 IN (1, 2, 3) THEN 'Unable to load image: ' || image_id ELSE '1' END AS message FROM {o.card_bgr(q)} GROUP BY image_id",
+)
+
+
 def _tinted(s: SparkSession, d: str) -> DataFrame:
     """Rules in colour."""
     v = F.col("v")

@@ -110,22 +110,30 @@ def unpacked(rows: DataFrame, picture: str | None = None) -> DataFrame:
     return rows.select("image_id", "height", "width", "n_channels", "data").mapInArrow(run, f"image_id {kind}, y int, x int, b int, g int, r int")
 
 
-def map_rows(rows: DataFrame, change: Callable[[np.ndarray], dict[str, object]], pictures: tuple[str, ...], scalars: str = "", keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
-    """Picture by picture what ``change`` makes of it: the columns ``keep``, those of ``pictures`` (as structs), and ``scalars`` (their SQL schema)."""
+def map_rows(rows: DataFrame, change: Callable[[np.ndarray], dict[str, object]], pictures: tuple[str, ...], scalars: str = "", keep: tuple[str, ...] = ("image_id",), tolerant: bool = False) -> DataFrame:
+    """Picture by picture what ``change`` makes of it: the columns ``keep``, those of ``pictures`` (as structs), and ``scalars`` (their SQL schema).
+
+    With ``tolerant`` a picture that ``change`` cannot do keeps its row, with nulls and the message in a column ``failure``, null for the others.
+    """
     kept = [f"{c} {rows.schema[c].dataType.simpleString()}" for c in keep]
     arrow = {"double": pa.float64(), "boolean": pa.bool_(), "long": pa.int64(), "int": pa.int32()}
     plain = [(n, arrow[t]) for n, t in (x.split() for x in scalars.split(",") if x)]
     struct = f"struct<{PICTURE.replace(' int', ': int').replace(' binary', ': binary')}>"
-    schema = ", ".join([*kept, *[f"{p} {struct}" for p in pictures], *([scalars] if scalars else [])])
+    schema = ", ".join([*kept, *[f"{p} {struct}" for p in pictures], *([scalars] if scalars else []), *(["failure string"] if tolerant else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[dict[str, object]] = []
-            fields, size = pa.schema([*[(c, batch.schema.field(c).type) for c in keep], *[(p, _PLANE) for p in pictures], *plain]), 0
+            fields, size = pa.schema([*[(c, batch.schema.field(c).type) for c in keep], *[(p, _PLANE) for p in pictures], *plain, *([("failure", pa.string())] if tolerant else [])]), 0
             for i in range(batch.num_rows):
-                found = change(array_of(*(batch.column(n)[i].as_py() for n in ("height", "width", "n_channels", "data"))))
+                try:
+                    found = change(array_of(*(batch.column(n)[i].as_py() for n in ("height", "width", "n_channels", "data"))))
+                except Exception as e:
+                    if not tolerant:
+                        raise
+                    found = {"failure": f"{type(e).__name__}: {e}"}
                 out.append({**{c: batch.column(c)[i] for c in keep}, **{n: row_of(a) if n in pictures else a for n, a in found.items()}})
-                size += sum(len(out[-1][p]["data"]) for p in pictures)
+                size += sum(len(out[-1][p]["data"]) for p in pictures if p in found)
                 if size >= RETURNED:
                     yield pa.RecordBatch.from_pylist(out, fields)
                     out, size = [], 0

@@ -6,14 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkgrid.functions.bands import COLUMNS, SCHEMA, Band, map_halo, with_halo
 from inkgrid.functions.components import components
 from inkgrid.functions.pictures import reflected
 from inkgrid.functions.tables import written
-from inkgrid.operators import neighborhood, regions, stats
+from inkgrid.operators import geometry, lines, neighborhood, regions, stats
 
 #: Pictures whose contrast tables (up to 16 KB each) may be broadcast.
 MAX_BROADCAST_PICTURES = 1000
@@ -227,3 +227,135 @@ def keep_strong(bands: DataFrame, low: int, high: int) -> DataFrame:
 def canny_edges(bands: DataFrame, low: int = 50, high: int = 150) -> DataFrame:
     """Sobel, thinning, hysteresis over all bands of a picture."""
     return keep_strong(written(thin_edges(bands), "thinned"), low, high)
+
+
+# Lines and rotation.
+
+
+def _lit(batch: pa.RecordBatch, i: int) -> tuple[np.ndarray, ...]:
+    """``cast_votes`` of one band, at places of the whole picture."""
+    width, top = (batch.column(c)[i].as_py() for c in ("width", "top"))
+    v = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8).reshape(-1, width)
+    return lines.cast_votes(v, top)
+
+
+def hough_votes(bands: DataFrame, threshold: int = 100) -> DataFrame:
+    """Local maxima of a picture's accumulator: bands vote by angle, votes of an angle are added up, and the 180 sums meet in one task."""
+    kind = _kind(bands)
+
+    def vote(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                rho = _lit(batch, i)[2]
+                if rho.size:
+                    votes, low = lines.accumulated(rho)
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("image_id")[i], len(votes)), pa.array(np.arange(len(votes)), pa.int32()), pa.array([low] * len(votes), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in votes], pa.binary())], ["image_id", "theta", "low", "votes"])
+
+    def aligned(rows: list[tuple[int, bytes]]) -> tuple[int, list[np.ndarray]]:
+        low, high = min(a for a, _ in rows), max(a + len(v) // 8 for a, v in rows)
+        return low, [np.pad(np.frombuffer(v, "<i8"), (a - low, high - a - len(v) // 8)) for a, v in rows]
+
+    def added(table: pa.Table) -> pa.Table:
+        low, votes = aligned(list(zip(table["low"].to_pylist(), table["votes"].to_pylist(), strict=True)))
+        return pa.table({"image_id": table["image_id"].slice(0, 1), "theta": table["theta"].slice(0, 1), "low": pa.array([low], pa.int32()), "votes": pa.array([sum(votes).tobytes()], pa.binary())})
+
+    def peaks(table: pa.Table) -> pa.Table:
+        table = table.sort_by("theta")
+        low, votes = aligned(list(zip(table["low"].to_pylist(), table["votes"].to_pylist(), strict=True)))
+        found = lines.peaks_of(np.stack(votes), low, threshold)
+        return pa.table({"image_id": pa.repeat(table["image_id"][0], len(found)), "theta": found[:, 0].astype(np.int32), "rho": found[:, 1].astype(np.int32), "n": found[:, 2]})
+
+    schema = f"image_id {kind}, theta int, low int, votes binary"
+    sums = bands.select("image_id", "width", "top", "data").mapInArrow(vote, schema).groupBy("image_id", "theta").applyInArrow(added, schema)
+    return sums.groupBy("image_id").applyInArrow(peaks, f"image_id {kind}, theta int, rho int, n long")
+
+
+def line_segments(bands: DataFrame, threshold: int = 100, min_length: int = 100, max_gap: int = 10) -> DataFrame:
+    """Segments on the peaks: each band cuts its pixels of a line into stretches, and stretches of one line join where less than a gap parts them."""
+    kind = _kind(bands)
+    peaks = hough_votes(bands, threshold).groupBy("image_id").agg(F.collect_list(F.struct("theta", "rho")).alias("peaks"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                y, x, rho, pos = _lit(batch, i)
+                out = []
+                for peak in batch.column("peaks")[i].as_py():
+                    on = np.flatnonzero(rho[peak["theta"]] == peak["rho"])
+                    on = on[np.argsort(pos[peak["theta"], on], kind="stable")]
+                    for part in np.split(on, np.flatnonzero(np.diff(pos[peak["theta"], on]) > max_gap) + 1) if len(on) else ():
+                        ends = sorted(zip(x[part].tolist(), y[part].tolist(), strict=True))
+                        out.append({"image_id": batch.column("image_id")[i], **peak, "first": int(pos[peak["theta"], part[0]]), "last": int(pos[peak["theta"], part[-1]]), "x1": ends[0][0], "y1": ends[0][1], "x2": ends[-1][0], "y2": ends[-1][1]})
+                yield pa.RecordBatch.from_pylist(out, pa.schema([("image_id", batch.schema.field("image_id").type), *[(c, pa.int32()) for c in ("theta", "rho", "first", "last", "x1", "y1", "x2", "y2")]]))
+
+    parts = bands.join(peaks, "image_id").select("image_id", "width", "top", "data", "peaks").mapInArrow(run, f"image_id {kind}, theta int, rho int, first int, last int, x1 int, y1 int, x2 int, y2 int")
+    line = Window.partitionBy("image_id", "theta", "rho").orderBy("first", "last")
+    reach = F.max("last").over(line.rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.withColumn("new", F.when(F.col("first") - reach <= max_gap, 0).otherwise(1)).withColumn("part", F.sum("new").over(line))
+    least, most = F.min(F.struct("x1", "y1")), F.max(F.struct("x2", "y2"))
+    whole = parts.groupBy("image_id", "theta", "rho", "part").agg(least.alias("a"), most.alias("b"), (F.max("last") - F.min("first")).alias("length"))
+    return whole.where(F.col("length") >= min_length).select("image_id", "a.x1", "a.y1", "b.x2", "b.y2")
+
+
+def rotate_gather(bands: DataFrame, geometry_rows: DataFrame, tile: int = 1024) -> DataFrame:
+    """Rotation by target tiles, of a band's scanlines and ``tile`` columns: each is sent the box of source pixels that its inverse map meets.
+
+    A task holds a tile and its box; tiles of a target band are laid side by side afterwards.
+    """
+    kind = _kind(bands)
+    whole = [(c, pa.int32()) for c in ("height", "width", "step", "band", "tile", "top", "left", "columns", "nh", "nw")] + [("c", pa.int64()), ("s", pa.int64()), ("data", pa.binary())]
+    names = [n for n, _ in whole]
+    schema = f"image_id {kind}, " + ", ".join(f"{n} {'binary' if n == 'data' else 'long' if n in 'cs' else 'int'}" for n in names)
+    turned = bands.join(geometry_rows.select("image_id", "c", "s", F.col("new_h").alias("nh"), F.col("new_w").alias("nw")), "image_id")
+
+    def boxes(h: int, w: int, step: int, c: int, s: int, nh: int, nw: int) -> tuple[np.ndarray, ...]:
+        """First and last scanline and column of the box of each target tile."""
+        t, k = (a.ravel() for a in np.meshgrid(np.arange(-(-nh // step)), np.arange(-(-nw // tile)), indexing="ij"))
+        row, column = np.stack([t * step, np.minimum(t * step + step, nh) - 1]), np.stack([k * tile, np.minimum(k * tile + tile, nw) - 1])
+        x, y = geometry.source_places(row[:, None], column[None, :], h, w, c, s, nh, nw)
+        edge = lambda a, n: (np.clip(a.min((0, 1)) // 32 - 1, 0, n - 1), np.clip(a.max((0, 1)) // 32 + 2, 0, n - 1))
+        return t, k, *edge(y, h), *edge(x, w)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fields = pa.schema([("image_id", batch.schema.field("image_id").type), *whole])
+            for i in range(batch.num_rows):
+                h, w, step, top, c, s, nh, nw = (batch.column(n)[i].as_py() for n in ("height", "width", "step", "top", "c", "s", "nh", "nw"))
+                v = np.frombuffer(batch.column("data")[i].as_buffer(), np.uint8).reshape(-1, w)
+                out = []
+                for t, k, y1, y2, x1, x2 in zip(*(a.tolist() for a in boxes(h, w, step, c, s, nh, nw)), strict=True):
+                    a, b = max(y1, top), min(y2 + 1, top + len(v))
+                    if a < b:
+                        out.append({"image_id": batch.column("image_id")[i], "height": h, "width": w, "step": step, "band": t, "tile": k, "top": a, "left": x1, "columns": x2 + 1 - x1, "nh": nh, "nw": nw, "c": c, "s": s, "data": v[a - top : b - top, x1 : x2 + 1].tobytes()})
+                yield pa.RecordBatch.from_pylist(out, fields)
+
+    def gather(table: pa.Table) -> pa.Table:
+        table = table.sort_by("top")
+        h, w, step, t, k, top, left, columns, nh, nw, c, s = (table[n][0].as_py() for n in names[:-1])
+        source = np.frombuffer(b"".join(table["data"].to_pylist()), np.uint8).reshape(-1, columns)
+        row, column = np.arange(t * step, min(t * step + step, nh)), np.arange(k * tile, min(k * tile + tile, nw))
+        x, y = geometry.source_places(row[:, None], column[None, :], h, w, c, s, nh, nw)
+        data = geometry.gathered(source, x, y, h, w, top, left).astype(np.uint8).tobytes()
+        return table.slice(0, 1).set_column(table.schema.get_field_index("data"), "data", pa.array([data], pa.binary()))
+
+    def beside(table: pa.Table) -> pa.Table:
+        table = table.sort_by("tile")
+        step, band, nh, nw = (table[n][0].as_py() for n in ("step", "band", "nh", "nw"))
+        b = Band(table["image_id"][0], nh, nw, step, band, band * step, np.zeros((0, nw)))
+        return b.table(np.concatenate([np.frombuffer(d.as_buffer(), np.uint8).reshape(b.rows, -1) for d in table["data"]], axis=1))
+
+    tiles = turned.mapInArrow(send, schema).groupBy("image_id", "band", "tile").applyInArrow(gather, schema)
+    return tiles.groupBy("image_id", "band").applyInArrow(beside, SCHEMA.format(kind))
+
+
+def sizes(bands: DataFrame) -> DataFrame:
+    """image_id, height, width of each picture."""
+    return bands.select("image_id", "height", "width").distinct()
+
+
+def correct_rotation(bands: DataFrame, votes: int = 100, min_length: int = 100, max_gap: int = 10) -> DataFrame:
+    """Gray pictures turned by their skew on a grown canvas."""
+    thick = written(dilate(canny_edges(bands), 15, 3), "thick")
+    every = sizes(bands)
+    skew = lines.skew_angle(line_segments(thick, votes, min_length, max_gap), every)
+    return rotate_gather(bands, geometry.rotation_geometry(skew, every))

@@ -41,30 +41,29 @@ def turned_planes(sources: list[np.ndarray], c: int, s: int, nh: int, nw: int) -
     out = [np.empty((nh, nw), np.int64) for _ in sources]
     for low in range(0, nh, 256):
         high = min(low + 256, nh)
-        x, y = source_places(low, high, h, w, c, s, nh, nw)
+        x, y = source_places(np.arange(low, high)[:, None], np.arange(nw)[None, :], h, w, c, s, nh, nw)
         for source, target in zip(sources, out, strict=True):
-            target[low:high] = gathered(source, x, y, h, 0)
+            target[low:high] = gathered(source, x, y, h, w)
     return out
 
 
-def source_places(low: int, high: int, h: int, w: int, c: int, s: int, nh: int, nw: int) -> tuple[np.ndarray, np.ndarray]:
-    """Where the target scanlines ``low`` to ``high`` come from, in 32nds of a pixel."""
+def source_places(row: np.ndarray, column: np.ndarray, h: int, w: int, c: int, s: int, nh: int, nw: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where target places come from, in 32nds of a pixel."""
     cx, cy = w // 2, h // 2
     # Twice the offsets from the canvas centre, so that halves stay whole.
-    dx = 2 * np.arange(nw, dtype=np.int64)[None, :] - (nw - w) - 2 * cx
-    dy = 2 * np.arange(low, high, dtype=np.int64)[:, None] - (nh - h) - 2 * cy
+    dx, dy = 2 * column - (nw - w) - 2 * cx, 2 * row - (nh - h) - 2 * cy
     at = lambda a, centre: (16 * a + centre * 32 * UNIT + UNIT // 2) // UNIT
     return at(c * dx - s * dy, cx), at(s * dx + c * dy, cy)
 
 
-def gathered(source: np.ndarray, x: np.ndarray, y: np.ndarray, h: int, first: int) -> np.ndarray:
-    """Cubic interpolation at places in 32nds of a pixel; ``source`` holds the scanlines of a picture of height ``h`` from ``first`` on."""
-    weights, w = np.array(cubic_weights(), np.int64), source.shape[1]
+def gathered(source: np.ndarray, x: np.ndarray, y: np.ndarray, h: int, w: int, top: int = 0, left: int = 0) -> np.ndarray:
+    """Cubic interpolation at places in 32nds of a pixel; ``source`` holds what they need of a picture of ``h`` by ``w``, from ``top`` and ``left`` on."""
+    weights = np.array(cubic_weights(), np.int64)
     wx, wy, x, y = weights[x % 32], weights[y % 32], x // 32, y // 32
     source, total = source.astype(np.int64), np.zeros(x.shape, np.int64)
-    columns_at = [np.clip(x + i - 1, 0, w - 1) for i in range(4)]
+    columns_at = [np.clip(x + i - 1, 0, w - 1) - left for i in range(4)]
     for j in range(4):
-        row = np.clip(y + j - 1, 0, h - 1) - first
+        row = np.clip(y + j - 1, 0, h - 1) - top
         total += wy[..., j] * sum(wx[..., i] * source[row, columns_at[i]] for i in range(4))
     return np.clip((total + (1 << 21)) >> 22, 0, 255)
 

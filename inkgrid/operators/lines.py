@@ -20,9 +20,10 @@ def canny_edges(pixels: DataFrame, low: int = 50, high: int = 150) -> DataFrame:
     return keep_strong(thin_edges(sobel(pixels)), low, high)
 
 
-def _cast(mask: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Lit pixels, and by angle and pixel the distance of its line to the origin and its place along the line."""
+def cast_votes(mask: np.ndarray, top: int = 0) -> tuple[np.ndarray, ...]:
+    """Lit pixels of scanlines from ``top`` on, and by angle and pixel the distance of its line to the origin and its place along the line."""
     y, x = (a.astype(np.int64) for a in np.nonzero(mask > 0))
+    y = y + top
     _, c, s = (np.array(a, np.int64)[:, None] for a in zip(*trig_table(), strict=True))
     return y, x, (x * c + y * s + 8192) // 16384, (y * c - x * s) // 16384
 
@@ -31,9 +32,19 @@ def _peaks(rho: np.ndarray, threshold: int) -> np.ndarray:
     """Angle, distance and votes of the accumulator's local maxima."""
     if not rho.size:
         return np.zeros((0, 3), np.int64)
-    low, n = int(rho.min()) - 1, int(rho.max() - rho.min()) + 3
+    return peaks_of(*accumulated(rho), threshold)
+
+
+def accumulated(rho: np.ndarray) -> tuple[np.ndarray, int]:
+    """Votes by angle and distance, and the least distance."""
+    low, n = int(rho.min()), int(rho.max() - rho.min()) + 1
     angles = np.arange(len(rho))[:, None]
-    votes = np.bincount(((angles + 1) * n + rho - low).ravel(), minlength=(len(rho) + 2) * n).reshape(-1, n)
+    return np.bincount((angles * n + rho - low).ravel(), minlength=len(rho) * n).reshape(-1, n), low
+
+
+def peaks_of(votes: np.ndarray, low: int, threshold: int) -> np.ndarray:
+    """Angle, distance and votes of local maxima."""
+    votes, low = np.pad(votes, 1), low - 1
     own = votes[1:-1, 1:-1]
     top = (own >= threshold) & (own > votes[1:-1, :-2]) & (own > votes[:-2, 1:-1]) & (own >= votes[1:-1, 2:]) & (own >= votes[2:, 1:-1])
     theta, at = np.nonzero(top)
@@ -47,7 +58,7 @@ def hough_votes(mask: DataFrame, threshold: int = 100) -> DataFrame:
     """
 
     def run(table: pa.Table) -> pa.Table:
-        found = _peaks(_cast(plane(table, "v", *layout(table)))[2], threshold)
+        found = _peaks(cast_votes(plane(table, "v", *layout(table)))[2], threshold)
         return pa.table({"image_id": pa.repeat(table["image_id"][0], len(found)), "theta": found[:, 0].astype(np.int32), "rho": found[:, 1].astype(np.int32), "n": found[:, 2]})
 
     kind = mask.schema["image_id"].dataType.simpleString()
@@ -67,7 +78,7 @@ def line_segments(mask: DataFrame, threshold: int = 100, min_length: int = 100,
 
 def plane_segments(mask: np.ndarray, threshold: int, min_length: int, max_gap: int) -> np.ndarray:
     """``line_segments`` of a whole picture: rows of x1, y1, x2, y2."""
-    y, x, rho, pos = _cast(mask)
+    y, x, rho, pos = cast_votes(mask)
     ends: list[tuple[int, ...]] = []
     for theta, distance, _ in _peaks(rho, threshold).tolist():
         on = np.flatnonzero(rho[theta] == distance)

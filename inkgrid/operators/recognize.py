@@ -33,12 +33,32 @@ def _recognised(key: str, factory: bytes, batches: Iterator[pd.DataFrame]) -> It
         yield _recogniser(key, factory)(batch)
 
 
-def recognize_batch(images: DataFrame, factory: Callable[[], Recogniser]) -> DataFrame:
+def _tolerated(key: str, factory: bytes, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A batch that fails is tried image by image; an image that fails is told by a row of its own."""
+    for batch in batches:
+        try:
+            yield _recogniser(key, factory)(batch).assign(failure=None)
+        except Exception:
+            for i in range(len(batch)):
+                one = batch.iloc[i : i + 1].reset_index(drop=True)
+                try:
+                    yield _recogniser(key, factory)(one).assign(failure=None)
+                except Exception as e:
+                    yield pd.DataFrame({**dict.fromkeys(_COLUMNS), "document_name": one["path"], "failure": f"{type(e).__name__}: {e}"})
+
+
+_COLUMNS = [c.split()[0] for c in schemas.RAW_OCR.split(", ")]
+
+
+def recognize_batch(images: DataFrame, factory: Callable[[], Recogniser], tolerant: bool = False) -> DataFrame:
     """Recognition output of a table of images.
 
     ``factory`` builds the recogniser, which maps image rows to rows of the raw schema, once in the
     life of a Python worker, however many tasks the worker runs. Factories are told apart by what they pickle
     to, not by their names; a worker keeps the last ``KEPT`` recognisers. A task without images builds none.
+    With ``tolerant`` an image that the recogniser cannot do gives a row of nulls with its name and the message in a
+    column ``failure``, null for the others.
     """
     pickled = cloudpickle.dumps(factory)
-    return images.mapInPandas(partial(_recognised, hashlib.sha256(pickled).hexdigest(), pickled), schemas.RAW_OCR)
+    run = partial(_tolerated if tolerant else _recognised, hashlib.sha256(pickled).hexdigest(), pickled)
+    return images.mapInPandas(run, schemas.RAW_OCR + ", failure string" * tolerant)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 from typing import NamedTuple
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from inkgrid.functions.pictures import map_rows, packed, unpacked
 from inkgrid.functions.tables import by_image, written
 from inkgrid.operators import denoise, geometry, lines, neighborhood, ocr, pixels, recognize, regions, stats
+from inkgrid.sources import images as rasters
 
 KEY = ["image_id", "y", "x"]
 
@@ -92,7 +94,7 @@ class Preprocessed(NamedTuple):
     quality: DataFrame
 
 
-def preprocess_pictures(images: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] = ("image_id",)) -> DataFrame:
+def preprocess_pictures(images: DataFrame, s: Settings = Settings(), keep: tuple[str, ...] = ("image_id",), tolerant: bool = False) -> DataFrame:
     """Picture rows to one row an image: the columns ``keep``, processed (gray), binarized, blur_score, is_blurry. All steps in one pass; nothing is shuffled."""
 
     def change(bgr: np.ndarray) -> dict[str, object]:
@@ -100,7 +102,7 @@ def preprocess_pictures(images: DataFrame, s: Settings = Settings(), keep: tuple
         score, blurry = stats.sharpness(clean, s.blur_threshold)
         return {"processed": clean, "binarized": binarized(clean, s), "blur_score": score, "is_blurry": blurry}
 
-    return map_rows(images, change, ("processed", "binarized"), "blur_score double, is_blurry boolean", keep)
+    return map_rows(images, change, ("processed", "binarized"), "blur_score double, is_blurry boolean", keep, tolerant)
 
 
 def in_colour(picture: np.ndarray) -> np.ndarray:
@@ -120,6 +122,8 @@ class Recognised(NamedTuple):
     blocks: DataFrame
     documents: DataFrame
     quality: DataFrame | None
+    #: image_id, stage, message, where failures are asked for.
+    failures: DataFrame | None = None
 
 
 def raw_quality(bgr: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -149,21 +153,44 @@ def raw_quality_pictures(images: DataFrame, s: Settings = Settings()) -> DataFra
     return map_rows(images, change, (), "blur_score double, is_blurry boolean").withColumn("preprocessing_applied", F.lit(False))
 
 
-def ocr_pipeline(images: DataFrame, factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]], preprocess_images: bool = False, check_quality: bool = True, drop_blurry: bool = False, s: Settings = Settings()) -> Recognised:
+def ocr_pipeline(
+    images: DataFrame,
+    factory: Callable[[], Callable[[pd.DataFrame], pd.DataFrame]],
+    preprocess_images: bool = False,
+    check_quality: bool = True,
+    drop_blurry: bool = False,
+    s: Settings = Settings(),
+    on_invalid: str = "fail",
+) -> Recognised:
     """Images (as ``scan_images`` gives them) through a recogniser to blocks, documents and quality.
 
     With ``preprocess_images`` the recogniser gets the preprocessed pictures, and the quality is that of
     the preprocessed gray image and is always there; else it gets the images as they are, and the
     quality is that of the plain gray image, and only with ``check_quality``.
+
+    An image that is no picture, or that a step or the recogniser cannot do, ends the job (``fail``), is left out
+    (``drop``), or is left out and listed in ``failures`` (``quarantine``: image_id, stage, message); a document without
+    blocks is left of those that the recogniser could not do.
     """
-    quality = None
+    good, failures = rasters.readable_images(images, on_invalid)
+    tolerant, lost, quality = on_invalid != "fail", [], None
+    told = lambda df, stage: df.where("failure is not null").select("image_id", F.lit(stage).alias("stage"), F.col("failure").alias("message"))
     if preprocess_images:
-        found = written(preprocess_pictures(images, s, ("image_id", "path")), "preprocessed")
+        found = written(preprocess_pictures(good, s, ("image_id", "path"), tolerant), "preprocessed")
+        if tolerant:
+            lost.append(told(found, "preprocess"))
+            found = found.where("failure is null").drop("failure")
         quality = found.select("image_id", "blur_score", "is_blurry", F.lit(True).alias("preprocessing_applied"))
         ready = map_rows(found.select("image_id", "path", "processed.*"), lambda p: {"ready": in_colour(p)}, ("ready",), keep=("image_id", "path"))
-        raw = recognize.recognize_batch(ready.select("image_id", "path", "ready.*"), factory).withColumn("variant", F.lit("preprocessed"))
+        raw = recognize.recognize_batch(ready.select("image_id", "path", "ready.*"), factory, tolerant).withColumn("variant", F.lit("preprocessed"))
     else:
-        raw = recognize.recognize_batch(images, factory)
+        raw = recognize.recognize_batch(good, factory, tolerant).withColumn("variant", F.coalesce("variant", F.lit("raw")))
         if check_quality:
-            quality = raw_quality_pictures(images, s)
-    return ocr_results(written(raw, "recognised"), None if quality is None else named(quality, images), drop_blurry)
+            quality = raw_quality_pictures(good, s)
+    raw = written(raw, "recognised")
+    if tolerant:
+        names = images.select("image_id", "path").distinct()
+        lost.append(told(raw.where("failure is not null").join(names, F.col("document_name") == F.col("path")), "recognise"))
+        raw = raw.drop("failure")
+    results = ocr_results(raw, None if quality is None else named(quality, good), drop_blurry)
+    return results if failures is None else results._replace(failures=reduce(DataFrame.unionByName, [failures, *lost]))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -21,6 +21,24 @@ def scan_images(spark: SparkSession, paths: str | list[str], on_invalid: str = "
     return (good, found.where("height < 0").select(F.col("origin").alias("path"))) if on_invalid == "quarantine" else good
 
 
+def readable() -> Column:
+    """Whether an image row holds a picture: positive sizes, 1, 3 or 4 channels, and as many bytes as they need."""
+    h, w, c = (F.coalesce(n, F.lit(-1)).cast("long") for n in ("height", "width", "n_channels"))
+    return F.coalesce((h > 0) & (w > 0) & c.isin(1, 3, 4) & (F.length("data") == h * w * c), F.lit(False))
+
+
+def readable_images(images: DataFrame, on_invalid: str = "fail") -> tuple[DataFrame, DataFrame | None]:
+    """Image rows that hold a picture and, with ``quarantine``, the others as failures (image_id, stage, message).
+
+    With ``fail`` the first other row that is read raises; with ``drop`` the others go.
+    """
+    what = F.concat(F.lit("Unable to load image: "), F.coalesce(F.col("image_id").cast("string"), F.lit("null")))
+    if on_invalid == "fail":
+        return images.withColumn("data", F.when(readable(), F.col("data")).otherwise(F.raise_error(what).cast("binary"))), None
+    failures = images.where(~readable()).select("image_id", F.lit("scan").alias("stage"), what.alias("message"))
+    return images.where(readable()), failures if on_invalid == "quarantine" else None
+
+
 def raster_to_pixels(images: DataFrame) -> DataFrame:
     """One row per pixel; the bytes are split in Arrow batches. Gray images give equal channels."""
     return unpacked(images)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions import bands as bn
 from inkgrid.functions.tables import written
-from inkgrid.operators import banded, lines, neighborhood, regions, stats
+from inkgrid.operators import banded, geometry, lines, neighborhood, regions, stats
+from inkgrid.plans import pipelines
 
 GRAY = "image_id string, y int, x int, v int"
 
@@ -101,9 +102,32 @@ def test_regions_and_edges(gray, cut):
     same(bn.pixels_of_bands(banded.canny_edges(cut)), lines.canny_edges(gray))
 
 
+@pytest.mark.parametrize(("step", "tile"), [(9, 16), (64, 1024)])
+def test_lines_and_rotation(spark, step, tile):
+    """Lines through all bands are one; turned pictures are the same, tile by tile."""
+    rows = []
+    for i, slope in enumerate((-0.12, 0.0, 0.3, 4.0)):
+        y, x = np.mgrid[0:72, 0:96]
+        a = np.where((y - slope * x) % 24 < 2, 0, 220) if slope < 1 else np.where((x - y / slope) % 30 < 2, 0, 220)
+        a[30:50, 40:46] = 220  # a gap in the lines
+        rows += [(f"s{i}", int(p), int(q), int(v)) for (p, q), v in np.ndenumerate(a)]
+    gray = spark.createDataFrame(rows, GRAY)
+    cut = written(bn.bands_of_pixels(gray, step), "bands")
+    ink, lit = gray.withColumn("v", F.when(F.col("v") == 0, 255).otherwise(0)), written(bn.bands_of_pixels(gray.withColumn("v", F.when(F.col("v") == 0, 255).otherwise(0)), step), "ink")
+    same(banded.hough_votes(lit, 40), lines.hough_votes(ink, 40))
+    for gap in (2, 10):
+        same(banded.line_segments(lit, 40, 20, gap), lines.line_segments(ink, 40, 20, gap))
+    skew = lines.skew_angle(lines.line_segments(ink, 40, 20, 10), gray)
+    g = geometry.rotation_geometry(skew, stats.extents(gray))
+    assert skew.where("applied").count() > 0
+    same(bn.pixels_of_bands(banded.rotate_gather(cut, g, tile)), geometry.rotate_gather(gray, g))
+    s = pipelines.Settings(votes=40, min_length=20, max_gap=10)
+    same(bn.pixels_of_bands(banded.correct_rotation(cut, 40, 20, 10)), pipelines.correct_rotation(gray, s))
+
+
 def test_no_bands(spark):
     none = bn.bands_of_pixels(spark.createDataFrame([], GRAY), 4)
-    for found in (banded.morph_close(none), banded.clahe_apply(none), banded.otsu_threshold(none), banded.connected_components(none), banded.canny_edges(none)):
+    for found in (banded.morph_close(none), banded.clahe_apply(none), banded.otsu_threshold(none), banded.connected_components(none), banded.canny_edges(none), banded.correct_rotation(none)):
         assert found.count() == 0
 
 

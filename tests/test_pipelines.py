@@ -85,6 +85,43 @@ def test_pipeline_from_files(scanned, factory):
     assert {r["variant"] for r in ready.documents.collect()} == {"preprocessed"}
 
 
+def test_failures_beside_results(spark, factory):
+    """A truncated file, an empty picture, null bytes, and a picture that the recogniser cannot do: listed, the others done."""
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    rows = [(f"good{i}", 72, 96, 3, page(0.1 * i).tobytes()) for i in range(2)] + [("cut", 72, 96, 3, page(0).tobytes())]
+    fixtures.write_png(spark.createDataFrame(rows, "image_id string, height int, width int, n_channels int, data binary"), path)
+    with open(f"{path}/cut.png", "r+b") as f:
+        f.truncate(40)
+    found = spark.read.format("image").load(path).select("image.*")
+    scanned = found.select(F.col("origin").alias("image_id"), F.col("origin").alias("path"), "height", "width", F.col("nChannels").alias("n_channels"), "data")
+    more = spark.createDataFrame([("empty", "empty", 0, 0, 3, b""), ("null", "null", 4, 4, 3, None), ("bad", "bad", 5, 7, 3, bytes(105))], scanned.schema)
+    every = scanned.unionByName(more)
+
+    def picky():
+        inner = factory()
+
+        def run(batch):
+            if (batch["path"] == "bad").any():
+                raise ValueError("cannot read this")
+            return inner(batch)
+
+        return run
+
+    for prepared in (False, True):
+        result = pipelines.ocr_pipeline(every, picky, preprocess_images=prepared, s=LIGHT, on_invalid="quarantine")
+        lost = sorted((r["image_id"].rsplit("/", 1)[-1], r["stage"]) for r in result.failures.collect())
+        assert lost == [("bad", "recognise"), ("cut.png", "scan"), ("empty", "scan"), ("null", "scan")]
+        assert "cannot read this" in result.failures.where("stage = 'recognise'").first()["message"]
+        assert sorted(r["document_name"].rsplit("/", 1)[-1] for r in result.blocks.collect()) == ["good0.png", "good1.png"]
+        assert {r["document_name"].rsplit("/", 1)[-1]: r["total_blocks"] for r in result.documents.collect()} == {"good0.png": 1, "good1.png": 1, "bad": 0}
+    dropped = pipelines.ocr_pipeline(every, picky, s=LIGHT, on_invalid="drop")
+    assert dropped.failures is None and dropped.blocks.count() == 2
+    with pytest.raises(Exception, match="Unable to load image"):
+        pipelines.ocr_pipeline(every, picky, s=LIGHT)
+    rows = spark.createDataFrame([("a", 2, 2, 3, bytes(12)), ("odd", 3, 2, 3, bytes(12))], "image_id string, height int, width int, n_channels int, data binary")
+    assert {r["image_id"]: r["failure"] is None for r in pipelines.preprocess_pictures(rows, LIGHT, tolerant=True).collect()} == {"a": True, "odd": False}
+
+
 def test_channels_turn_as_gray_does(spark):
     rng = np.random.default_rng(4)
     rows = [(7, y, x, *map(int, rng.integers(0, 256, 3))) for y in range(9) for x in range(11)]
