@@ -3,8 +3,10 @@
 Vectors are coded four bits a pair of dimensions. Codebooks and codes minimise the anisotropic loss
 ``|r|^2 + (eta - 1) <r, x>^2 / |x|^2`` of the residual ``r``: an error along the vector changes large
 inner products, one across it hardly does. A query scores all codes by table look-ups, two codes a
-byte. The best are ranked again by exact products, and so is every row whose score plus the most that
-its residual can add (``|q| |r|``) reaches the last of them: no row is cut by its code.
+byte. The best are ranked again by exact products. Every row whose score plus the most that
+its residual can add (``|q| |r|``) reaches the last of them is scored once more with a second level of
+four-bit codes, of the residual itself, and those that still reach it with what is left of the residual are
+ranked exactly too: no row is cut by its code.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ from inkgrid.llm.shared import materialise
 #: Rows and components of the sample that the codebooks are fitted on.
 SAMPLE, SAMPLE_VALUES = 20_000, 8_000_000
 THRESHOLD = 0.2  # share of the norm from which a product counts as large; sets eta
-RERANK = 200
+RERANK = 100
 NEAREST = 20
 BLOCK = 16_384
 QUERY_BLOCK = 256
@@ -32,6 +34,7 @@ QUERY_BLOCK = 256
 class Quantiser:
     centres: np.ndarray  # (pairs of dimensions, 16, 2)
     eta: float
+    second: np.ndarray | None = None  # of residuals, alike
 
     @property
     def dims(self) -> int:
@@ -57,17 +60,22 @@ class Quantiser:
                 code[:, m], inner[:, m] = best, along[np.arange(n), best]
         return code
 
-    def reach(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
-        """By how much, for a query of length 1, an exact product can exceed the score of the codes, float32 sums included."""
-        x = self.pad(x)
-        picked = np.stack([self.centres[m][code[:, m]] for m in range(len(self.centres))], 1)
-        away, length = np.sqrt(((x - picked) ** 2).sum((1, 2))), np.sqrt((x * x).sum((1, 2)))
-        return away + np.finfo(np.float32).eps * (len(self.centres) + 4) * (away + length)
+    def residuals(self, x: np.ndarray, code: np.ndarray) -> np.ndarray:
+        return self.pad(x) - np.stack([self.centres[m][code[:, m]] for m in range(len(self.centres))], 1)
+
+    def reaches(self, x: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Second codes, and by how much, for a query of length 1, an exact product can exceed the score of the first and of both, float32 sums included."""
+        away, length = self.residuals(x, code), np.sqrt((x.astype(np.float64) ** 2).sum(1))
+        second = np.stack([((away[:, m, None] - self.second[m][None]) ** 2).sum(2).argmin(1) for m in range(len(self.second))], 1).astype(np.uint8)
+        left = away - np.stack([self.second[m][second[:, m]] for m in range(len(self.second))], 1)
+        one, two = (np.sqrt((r * r).sum((1, 2))) for r in (away, left))
+        rounding = np.finfo(np.float32).eps * (2 * len(self.centres) + 8) * (one + two + length)
+        return second, one + rounding, two + rounding
 
-    def tables(self, queries: np.ndarray) -> np.ndarray:
+    def tables(self, queries: np.ndarray, second: bool = False) -> np.ndarray:
         """Scores of every byte of two codes, by query and byte position: (queries, bytes, 256)."""
         q = self.pad(queries)
-        single = np.einsum("qmd,mcd->qmc", q, self.centres)
+        single = np.einsum("qmd,mcd->qmc", q, self.second if second else self.centres)
         if single.shape[1] % 2:
             single = np.pad(single, ((0, 0), (0, 1), (0, 0)))
         low, high = single[:, 0::2], single[:, 1::2]
@@ -106,9 +114,61 @@ def fit(sample: np.ndarray, threshold: float = THRESHOLD, rounds: int = 6) -> Qu
                     q.centres[m, c] = np.linalg.solve(np.eye(2) * mine.sum() + outer[mine].sum(0), right[mine].sum(0))
                 else:
                     q.centres[m, c] = xm[rng.integers(len(xm))]
+    q.second = _second(q.residuals(sample, q.codes(sample)), rng)
     return q
 
 
+def _second(residuals: np.ndarray, rng: np.random.Generator, rounds: int = 8) -> np.ndarray:
+    """Centres of residuals, pair by pair, by k-means."""
+    centres = residuals[rng.choice(len(residuals), 16, replace=len(residuals) < 16)].transpose(1, 0, 2).copy()
+    for own, r in zip(centres, residuals.transpose(1, 0, 2), strict=True):
+        for _ in range(rounds):
+            code = ((r[:, None] - own[None]) ** 2).sum(2).argmin(1)
+            n = np.bincount(code, minlength=16)
+            sums = np.stack([np.bincount(code, weights=r[:, d], minlength=16) for d in range(2)], 1)
+            own[n > 0] = sums[n > 0] / n[n > 0, None]
+    return centres
+
+
+@dataclass
+class Coded:
+    """A block of rows with both levels of codes, a line for each byte."""
+
+    quantiser: Quantiser
+    ids: np.ndarray
+    vectors: np.ndarray
+    first: np.ndarray
+    second: np.ndarray
+    reach_first: np.ndarray
+    reach_second: np.ndarray
+
+    def nearest(self, asking: int, q: np.ndarray, nearest: int, rerank: int) -> tuple[np.ndarray, np.ndarray, int]:
+        """Ids and exact products of the nearest rows, nearest first, and how many rows were ranked exactly."""
+        table = self.quantiser.tables(q[None])[0]
+        score = table[0][self.first[0]]
+        for t, codes in zip(table[1:], self.first[1:], strict=True):
+            score += t[codes]
+        score[self.ids == asking] = -np.inf
+        found = best(score, rerank)
+        found = found[self.ids[found] != asking]
+        exact = exact_products(q, self.vectors[found].astype(np.float64))
+        if len(exact) >= nearest:
+            last, length = np.partition(exact, len(exact) - nearest)[len(exact) - nearest], np.sqrt((q**2).sum())
+            may = score + length * self.reach_first >= last
+            may[found] = False
+            more = np.flatnonzero(may)
+            table = self.quantiser.tables(q[None], second=True)[0]
+            finer = score[more]
+            for t, codes in zip(table, self.second, strict=True):
+                finer += t[codes[more]]
+            more = more[finer + length * self.reach_second[more] >= last]
+        else:
+            more = np.setdiff1d(np.flatnonzero(self.ids != asking), found)
+        found, exact = np.concatenate([found, more]), np.concatenate([exact, exact_products(q, self.vectors[more].astype(np.float64))])
+        top = np.lexsort((self.ids[found], -exact))[:nearest]
+        return self.ids[found[top]], exact[top], len(found)
+
+
 def exact_products(query: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Double-precision inner products, summed dimension by dimension."""
     total = np.zeros(len(vectors))
@@ -166,8 +226,9 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
                 data = {"ids": pa.array([ids[part].tobytes()], pa.binary()), "vectors": pa.array([x[part].tobytes()], pa.binary())}
                 if coded:
                     code = quantiser.codes(x[part])
-                    data["codes"] = pa.array([np.ascontiguousarray(pack_nibbles(code)).tobytes()], pa.binary())
-                    data["reach"] = pa.array([quantiser.reach(x[part], code).tobytes()], pa.binary())
+                    second, *reach = quantiser.reaches(x[part], code)
+                    lines = [np.ascontiguousarray(pack_nibbles(c).T).tobytes() for c in (code, second)]
+                    data |= {n: pa.array([v], pa.binary()) for n, v in zip(("first", "second", "reach"), (*lines, np.stack(reach).tobytes()), strict=True)}
                 yield pa.RecordBatch.from_pydict(data)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -188,38 +249,18 @@ def search(vectors: DataFrame, is_query: Column, nearest: int = NEAREST, rerank:
     if dict(rows.dtypes)["vector"] not in ("array<double>", "array<float>"):
         rows = rows.withColumn("vector", F.col("vector").cast("array<double>"))
         kind = np.float64
-    coded = materialise(rows.select("vec_id", "vector").mapInArrow(blocks(BLOCK, True), "ids binary, vectors binary, codes binary, reach binary"), "ann-codes")
+    coded = materialise(rows.select("vec_id", "vector").mapInArrow(blocks(BLOCK, True), "ids binary, vectors binary, first binary, second binary, reach binary"), "ann-codes")
     asked = materialise(rows.where("query").select("vec_id", "vector").mapInArrow(blocks(QUERY_BLOCK, False), "ids binary, vectors binary"), "ann-queries")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for ids, x, code, reach, asking, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "codes", "reach", "query_ids", "queries")), strict=True):
+            for ids, x, first, second, reach, asking, q in zip(*(batch.column(c).to_pylist() for c in ("ids", "vectors", "first", "second", "reach", "query_ids", "queries")), strict=True):
                 ids, asking = np.frombuffer(ids, np.int64), np.frombuffer(asking, np.int64)
-                x, q = np.frombuffer(x, kind).reshape(len(ids), -1), np.frombuffer(q, kind).reshape(len(asking), -1).astype(np.float64)
-                reach = np.frombuffer(reach, np.float64)
-                bytes_ = np.ascontiguousarray(np.frombuffer(code, np.uint8).reshape(len(ids), -1).T)
-                out = []
-                for at in range(len(asking)):
-                    table = quantiser.tables(q[at : at + 1])[0]
-                    score = table[0][bytes_[0]]
-                    for j in range(1, len(bytes_)):
-                        score += table[j][bytes_[j]]
-                    score[ids == asking[at]] = -np.inf
-                    found = best(score, rerank)
-                    found = found[ids[found] != asking[at]]
-                    exact = exact_products(q[at], x[found].astype(np.float64))
-                    if len(exact) >= nearest:
-                        last = np.partition(exact, len(exact) - nearest)[len(exact) - nearest]
-                        may = score + np.sqrt((q[at] ** 2).sum()) * reach >= last
-                        may[found] = False
-                        may &= ids != asking[at]
-                        more = np.flatnonzero(may)
-                    else:
-                        more = np.setdiff1d(np.flatnonzero(ids != asking[at]), found)
-                    if len(more):
-                        found, exact = np.concatenate([found, more]), np.concatenate([exact, exact_products(q[at], x[more].astype(np.float64))])
-                    top = np.lexsort((ids[found], -exact))[:nearest]
-                    out.append((np.full(len(top), asking[at]), ids[found[top]], exact[top]))
+                q = np.frombuffer(q, kind).reshape(len(asking), -1).astype(np.float64)
+                codes = [np.frombuffer(c, np.uint8).reshape(-1, len(ids)) for c in (first, second)]
+                block = Coded(quantiser, ids, np.frombuffer(x, kind).reshape(len(ids), -1), *codes, *np.frombuffer(reach, np.float64).reshape(2, -1))
+                found = [block.nearest(int(a), v, nearest, rerank) for a, v in zip(asking, q, strict=True)]
+                out = [(np.full(len(i), a), i, e) for a, (i, e, _) in zip(asking, found, strict=True)]
                 yield pa.RecordBatch.from_pydict({"query_id": pa.array(np.concatenate([o[0] for o in out])), "vec_id": pa.array(np.concatenate([o[1] for o in out])), "score": pa.array(np.concatenate([o[2] for o in out]))})
 
     # A stated query set against all rows, block against block.

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import duckdb
 import numpy as np
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -64,6 +66,27 @@ def test_anisotropic_loss_is_lower():
     assert parallel(q.codes(x)) < parallel(plain.codes(x))
 
 
+def test_few_rows_are_ranked_exactly():
+    """Both levels of codes leave less than a seventh of a real table to exact products, and lose no neighbour."""
+    table = pq.read_table("/root/testdata/sf0.1/embeddings.parquet", columns=["vec_id", "embedding"])
+    table = table.filter(pc.is_valid(table["embedding"]))
+    ids, x = table["vec_id"].to_numpy(), np.array(table["embedding"].to_pylist(), np.float64)
+    q = ann.fit(x)
+    code = q.codes(x)
+    second, *reach = q.reaches(x, code)
+    block = ann.Coded(q, ids, x, *(np.ascontiguousarray(ann.pack_nibbles(c).T) for c in (code, second)), *reach)
+    counts = []
+    for k in range(0, len(ids), 25):
+        found, score, n = block.nearest(ids[k], x[k], 20, ann.RERANK)
+        exact = ann.exact_products(x[k], x)
+        others = np.flatnonzero(ids != ids[k])
+        want = others[np.lexsort((ids[others], -exact[others]))[:20]]
+        assert found.tolist() == ids[want].tolist() and (score == exact[want]).all()
+        counts.append(n / len(ids))
+    print(np.mean(counts))
+    assert np.mean(counts) <= 0.15
+
+
 @pytest.mark.parametrize("name", sorted(oracles.oracle_sql()))
 def test_sql(spark, name):
     con = duckdb.connect()
