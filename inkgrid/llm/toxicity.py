@@ -20,9 +20,11 @@ BITS = 18
 FACTORS = 4
 MAX_LABELLED = 12_000
 TOXIC_AT = 0.7
-#: The penalty of a weight in units of its gradient's noise, and the evidence (standard deviations) that halves it.
+#: The penalty of a weight in units of its gradient's noise, the evidence (standard deviations) that halves it, and the penalty of
+#: factors, which a term's own lean does not touch. Chosen by log loss over four folds of training rows (sf0.1), never on held-out rows.
 PENALTY = 2.0
-EVIDENCE = 2.0
+EVIDENCE = 6.0
+FACTOR_PENALTY = 2.0
 
 
 @dataclass
@@ -80,7 +82,7 @@ def fit_toxicity(documents: DataFrame, labels: DataFrame, max_labelled: int = MA
     return fit_rows(labelled_features(documents, bounded_labels(labels, "toxic", max_labelled, train_row()), lambda c: [distinct_terms(c, BITS)]), epochs)
 
 
-def fit_rows(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], epochs: int) -> ToxicityModel:
+def fit_rows(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], epochs: int, penalty: float = PENALTY, evidence_at: float = EVIDENCE, factor_penalty: float = FACTOR_PENALTY) -> ToxicityModel:
     """The fit itself, on labels and buckets."""
     size = 1 << BITS
     label = np.array([r[0] for r in rows], float)
@@ -112,8 +114,8 @@ def fit_rows(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], epochs
     # What a term's gradient would be by chance alone; terms with evidence of their own are held back less.
     noise = 0.5 * np.sqrt(by_term(use * use))
     evidence = by_term(0.5 * use * np.sign(label - 0.5)) / noise
-    hold = PENALTY * noise
-    own = hold / (1 + (evidence / EVIDENCE) ** 4)
+    own = penalty * noise / (1 + (evidence / evidence_at) ** 4)
+    paired = factor_penalty * noise
     for step in range(1, epochs + 1):
         total = [by_row(x) for x in theta]
         z = bias + total[0] + 0.5 * (sum(t * t for t in total[1:]) - by_row((theta[1:] ** 2).sum(0)))
@@ -132,7 +134,7 @@ def fit_rows(rows: list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]], epochs
         bias -= 0.05 / warm * mb / (np.sqrt(sb) / fix + 1e-6)
         theta[0] *= _shrink(np.abs(theta[0]), rate[0] * own, 0.2)
         partners = np.sqrt(sum((t * t).mean() for t in total[1:]))
-        theta[1:] *= _shrink(np.sqrt((theta[1:] ** 2).sum(0)), rate[1:].mean(0) * own * partners, 0.5)
+        theta[1:] *= _shrink(np.sqrt((theta[1:] ** 2).sum(0)), rate[1:].mean(0) * paired * partners, 0.5)
     linear[known] = theta[0]
     factors[:, known] = theta[1:]
     return ToxicityModel(float(bias), linear, factors)
