@@ -24,7 +24,7 @@ TOXIC_AT = 0.7
 #: factors, which a term's own lean does not touch. Chosen by log loss over four folds of training rows (sf0.1), never on held-out rows.
 PENALTY = 2.0
 EVIDENCE = 6.0
-FACTOR_PENALTY = 2.0
+FACTOR_PENALTY = 0.5
 
 
 @dataclass
