@@ -317,8 +317,8 @@ _register("ocr_with_quality", _with_quality, _quality_sql)
 
 def _pipeline_raw(s: SparkSession, d: str) -> DataFrame:
     """Blurry documents dropped: blocks of the rest with their document's quality."""
-    blocks, _, quality = pipelines.ocr_results(fx.raw_ocr(s, d), written(_glyph_quality(s, d), "quality"), drop_blurry=True)
-    return blocks.join(quality, "document_name", "left").select("document_name", "variant", "block_idx", "text", "confidence", "blur_score", "preprocessing_applied")
+    found = pipelines.ocr_results(fx.raw_ocr(s, d), written(_glyph_quality(s, d), "quality"), drop_blurry=True)
+    return found.blocks.join(found.quality, "document_name", "left").select("document_name", "variant", "block_idx", "text", "confidence", "blur_score", "preprocessing_applied")
 
 
 def _pipeline_sql(q: o.Steps) -> str:
