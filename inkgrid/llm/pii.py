@@ -46,11 +46,13 @@ MIN_CONTEXTS = 3
 MIN_VALUES = 5
 REMOVE_AT = 0.95
 GENERALISE_AT = 0.8
-#: Terms and entities whose hashes (8 bytes each) may be broadcast; more are matched by a shuffle.
+#: Terms whose hashes (8 bytes each) may be broadcast; more are matched by a shuffle.
 MAX_BROADCAST_TERMS = 200_000
 #: Share of a batch's documents from which a term counts as usual there.
 USUAL = 0.005
-#: Bits of a term's hash that name its cell in the filter ahead of that shuffle (2 MB).
+#: Pairs of entities and terms that a task holds before it sums them.
+PAIRS = 1 << 20
+#: Bits of a hash that name its cell in the filters ahead of a shuffle: of terms (2 MB), at most of entities (16 MB).
 CELL_BITS = 24
 DIGIT = np.isin(np.arange(256), list(b"0123456789"))
 QUOTE = np.isin(np.arange(256), list(b"\"'"))
@@ -180,56 +182,77 @@ def _merged_counts(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.nda
 
 
 def _first_counts(documents: DataFrame) -> DataFrame:
-    """In how many documents each protected entity stands (entity, n), and for usual terms a lower bound of theirs (term, n): the documents of the batches in which they are usual."""
+    """In how many documents each protected entity stands, and how (entity, n, p1, p2), and for usual terms a lower bound of theirs (term, n): the documents of the batches in which they are usual.
+
+    ``p1`` and ``p2`` digest an entity's profile. Of a value it is the sets of documents in which it stands
+    beside the same words, of a class the sets of documents in which each of its values stands. Which
+    words these are makes no difference to what any term discloses, so entities of one profile are alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[int] = []
+            rows: list[tuple[int, int, int, int, int]] = []
             counted: list[tuple[np.ndarray, np.ndarray]] = []
             for chunk in chunks(batch.column("text")):
-                counted.append(_in_documents(chunk))
-                for i in np.flatnonzero(_might_match(chunk)).tolist():
-                    text = _text(chunk, i)
-                    values, classes = entities(text, base_spans(text) + secret_spans(text))
-                    found += [*values, *classes]
+                scanned = _terms(chunk)
+                counted.append(_in_documents(scanned))
+                for i, values, classes, begin, end, mine, _ in _beside(chunk, scanned, None):
+                    digest = hashlib.blake2b(chunk.buf[chunk.starts[i] : chunk.ends[i]].tobytes(), digest_size=16).digest()
+                    d1, d2 = np.frombuffer(digest, np.int64).tolist()
+                    rows += [(key, int(_near(begin, end, mine, *place).view(np.int64)), d1, d2, 1) for key, place in values.items()]
+                    for key, members in classes.items():
+                        # A document counts once, with one of its values.
+                        rows += [(key, m, d1, d2, int(not j)) for j, m in enumerate(sorted(members))]
             if not counted:
                 continue
-            entity = _summed({"entity": np.array(found, np.int64)})
             term, n = _merged_counts(counted)
             usual = n >= max(2, USUAL * batch.num_rows)
             term, n = term[usual], n[usual]
-            yield pa.RecordBatch.from_pydict({"entity": pa.concat_arrays([entity["entity"], pa.nulls(len(term), pa.int64())]), "term": pa.concat_arrays([pa.nulls(len(entity), pa.int64()), pa.array(term.view(np.int64), pa.int64())]), "n": pa.concat_arrays([entity["n"], pa.array(n, pa.int64())])})
+            of = np.array(rows, np.int64).reshape(-1, 5).T
+            none = pa.nulls(len(term), pa.int64())
+            columns = {name: pa.concat_arrays([pa.array(x), none]) for name, x in zip(("entity", "mark", "d1", "d2"), of[:4], strict=True)}
+            yield pa.RecordBatch.from_pydict(columns | {"term": pa.concat_arrays([pa.nulls(len(rows), pa.int64()), pa.array(term.view(np.int64), pa.int64())]), "n": pa.concat_arrays([pa.array(of[4]), pa.array(n, pa.int64())])})
 
-    return documents.mapInArrow(run, "entity long, term long, n long").groupBy("entity", "term").agg(F.sum("n").alias("n"))
+    total = lambda column: F.sum(column.cast("decimal(20,0)"))
+    marks = documents.mapInArrow(run, "entity long, mark long, d1 long, d2 long, term long, n long").groupBy("entity", "mark", "term").agg(F.sum("n").alias("n"), total(F.col("d1")).alias("d1"), total(F.col("d2")).alias("d2"))
+    return marks.groupBy("entity", "term").agg(F.sum("n").alias("n"), total(F.xxhash64("d1", "d2")).alias("p1"), total(F.xxhash64("d2", "d1", F.lit(1))).alias("p2"))
 
 
 @dataclass
 class Wanted:
-    """Entities to look for and how many documents a term may stand in to disclose each; usual terms and at least how many they stand in.
+    """Entities to look for and how many documents a term may stand in to disclose them; usual terms and at least how many they stand in.
 
-    Without ``entities`` all are looked for, and no term is ruled out beforehand.
+    Entities are known by cells of their hashes, which hold the largest level (a fifth of a binary order)
+    of their document counts, or 0: at most 16 MB for any number of entities. What else falls into a
+    cell is ruled out later, by the entities' table.
     """
 
-    entities: np.ndarray | None
-    limits: np.ndarray
+    shift: np.uint64
+    levels: np.ndarray
+    limits: np.ndarray  # by level
     usual: np.ndarray
     at_least: np.ndarray
 
     @classmethod
-    def choose(cls, counts: DataFrame, total: int, share: float) -> Wanted:
-        """``counts`` is the written table of first counts. ``PMI / IC`` is at least ``share`` only if ``n(t) <= N (n(e) / N) ** share``."""
-        none = np.zeros(0)
-        entities = counts.where("entity is not null")
-        if entities.count() > MAX_BROADCAST_TERMS:
-            return cls(None, none, none.astype(np.uint64), none)
-        found = entities.select("entity", "n").toArrow()
-        key, n = found["entity"].to_numpy().view(np.uint64), found["n"].to_numpy()
-        order = np.argsort(key)
+    def choose(cls, entities: DataFrame, terms: DataFrame, total: int, share: float) -> Wanted:
+        """From written tables of entities (entity, n) and usual terms (term, n). ``PMI / IC`` is at least ``share`` only if ``n(t) <= N (n(e) / N) ** share``."""
+        bits = min(max((16 * entities.count()).bit_length(), 10), CELL_BITS)
+        level = (F.ceil(F.log2("n") * 5) + 1).cast("int")
+        found = entities.groupBy(F.shiftrightunsigned("entity", 64 - bits).cast("int").alias("cell")).agg(F.max(level).alias("level")).toArrow()
+        levels = np.zeros(1 << bits, np.uint8)
+        levels[found["cell"].to_numpy()] = found["level"].to_numpy()
+        most = 2.0 ** (np.arange(-1, 255) / 5)
+        limits = total * (most / max(total, 1)) ** share * (1 + 1e-9)
         # Terms of that share of the documents are few: no more than a document's mean number of terms over USUAL.
-        usual = counts.where(F.col("term").isNotNull() & (F.col("n") >= USUAL * total)).select("term", "n").toArrow()
+        usual = terms.where(F.col("n") >= USUAL * total).select("term", "n").toArrow()
         term = usual["term"].to_numpy().view(np.uint64)
         by_term = np.argsort(term)
-        return cls(key[order], total * (n[order] / max(total, 1)) ** share * (1 + 1e-9), term[by_term], usual["n"].to_numpy()[by_term])
+        return cls(np.uint64(64 - bits), levels, limits, term[by_term], usual["n"].to_numpy()[by_term])
+
+    def known(self, keys: list[int]) -> set[int]:
+        """Those of ``keys`` that are looked for, and a few others."""
+        of = np.array(keys, np.int64)
+        return set(of[self.levels[of.view(np.uint64) >> self.shift] > 0].tolist())
 
     def least(self, terms: np.ndarray) -> np.ndarray:
         """In how many documents each of ``terms`` stands at least."""
@@ -239,7 +262,7 @@ class Wanted:
         return out
 
     def limit(self, key: int) -> float:
-        return np.inf if self.entities is None else self.limits[np.searchsorted(self.entities, np.array([key], np.int64).view(np.uint64))[0]]
+        return self.limits[self.levels[np.array([key], np.int64).view(np.uint64) >> self.shift][0]]
 
 
 def _outside(begin: np.ndarray, end: np.ndarray, spans: Spans) -> np.ndarray:
@@ -248,12 +271,19 @@ def _outside(begin: np.ndarray, end: np.ndarray, spans: Spans) -> np.ndarray:
     return np.searchsorted(ends, begin, side="right") == np.searchsorted(starts, end, side="left")
 
 
-def _beside(chunk: Chunk, wanted: np.ndarray | None) -> Iterator[tuple[dict, dict, np.ndarray, np.ndarray, tuple]]:
-    """Of each text with a wanted entity: value and class entities, distinct terms outside all spans, the first place of each, and all free terms."""
+def _near(begin: np.ndarray, end: np.ndarray, mine: np.ndarray, a: int, b: int) -> np.uint64:
+    """One hash for the free terms ``mine`` beside the span from ``a`` to ``b``."""
+    low, high = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(begin, b, side="left"))
+    near = np.concatenate([mine[max(0, low - CONTEXT) : low], mine[high : high + CONTEXT]]).tobytes()
+    return np.frombuffer(hashlib.blake2b(near, digest_size=8).digest(), np.uint64)[0]
+
+
+def _beside(chunk: Chunk, scanned: tuple[np.ndarray, ...], wanted: Wanted | None) -> Iterator[tuple]:
+    """Of each text with a (wanted) entity: its row, value and class entities, and the terms outside all spans: begin, end, hash, and place among the chunk's."""
     might = np.flatnonzero(_might_match(chunk)).tolist()
-    if not might or wanted is not None and not len(wanted):
+    if not might or wanted is not None and not wanted.levels.any():
         return
-    first, last, row, hashes = _terms(chunk)
+    first, last, row, hashes = scanned
     at = np.searchsorted(row, np.arange(chunk.rows + 1))
     points = np.concatenate([[0], np.cumsum((chunk.buf & 0xC0) != 0x80)])
     for i in might:
@@ -261,8 +291,7 @@ def _beside(chunk: Chunk, wanted: np.ndarray | None) -> Iterator[tuple[dict, dic
         spans = base_spans(text) + secret_spans(text)
         values, classes = entities(text, spans)
         if wanted is not None and spans:
-            keys = np.array([*values, *classes], np.int64)
-            known = set(keys[_member(wanted, keys.view(np.uint64))].tolist())
+            known = wanted.known([*values, *classes])
             values, classes = ({k: x for k, x in of.items() if k in known} for of in (values, classes))
         if not values and not classes:
             continue
@@ -270,15 +299,15 @@ def _beside(chunk: Chunk, wanted: np.ndarray | None) -> Iterator[tuple[dict, dic
         base = points[chunk.starts[i]]
         begin, end = points[first[own]] - base, points[last[own]] - base
         free = np.flatnonzero(_outside(begin, end, spans))
-        distinct, place = np.unique(hashes[own][free], return_index=True)
-        yield values, classes, distinct, at[i] + free[place], (begin[free], end[free], hashes[own][free], row, hashes)
+        yield i, values, classes, begin[free], end[free], hashes[own][free], at[i] + free
 
 
 def _pairs(documents: DataFrame, wanted: Wanted) -> DataFrame:
     """What speaks for each wanted entity with each term that may disclose it: entity, term, n_both (documents), contexts (different ones, or values of a class).
 
     Rows without an entity count documents that hold the term, of each batch where it stands beside an
-    entity: a lower bound that is sharp for terms in general use.
+    entity: a lower bound that is sharp for terms in general use. Values of a class count up to the
+    ``MIN_VALUES`` that prove it: a text that holds more gives the smallest of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -286,36 +315,43 @@ def _pairs(documents: DataFrame, wanted: Wanted) -> DataFrame:
             seen: list[np.ndarray] = []
             counted: list[tuple[np.ndarray, np.ndarray]] = []
             for chunk in chunks(batch.column("text")):
-                counted.append(_in_documents(chunk))
+                scanned = _terms(chunk)
+                counted.append(_in_documents(scanned))
                 around = None
                 out: list[tuple[np.ndarray, ...]] = []
+                size = 0
                 each = []
-                for values, classes, distinct, place, (begin, end, mine, row, hashes) in _beside(chunk, wanted.entities):
+                for _, values, classes, begin, end, mine, places in _beside(chunk, scanned, wanted):
+                    distinct, index = np.unique(mine, return_index=True)
                     each.append(distinct)
                     least = wanted.least(distinct)
                     if values and around is None:
-                        around = _neighbours(row, hashes)
-                    for key, (a, b) in values.items():
-                        low, high = int(np.searchsorted(end, a, side="right")), int(np.searchsorted(begin, b, side="left"))
-                        near = np.concatenate([mine[max(0, low - CONTEXT) : low], mine[high : high + CONTEXT]]).tobytes()
-                        where = np.frombuffer(hashlib.blake2b(near, digest_size=8).digest(), np.uint64)
+                        around = _neighbours(*scanned[2:])
+                    for key, place in values.items():
                         may = least <= wanted.limit(key)
                         k = int(may.sum())
-                        out.append((np.full(k, key, np.int64), distinct[may], mix(around[place[may]] + where), np.ones(k, np.int64)))
+                        out.append((np.full(k, key, np.int64), distinct[may], mix(around[places[index[may]]] + _near(begin, end, mine, *place)), np.ones(k, np.int64)))
+                        size += k
+                        if size >= PAIRS:
+                            yield _paired(out)
+                            out, size = [], 0
                     for key, members in classes.items():
                         some = distinct[least <= wanted.limit(key)]
                         k = len(some)
                         # A document counts once, with one of its values.
-                        out += [(np.full(k, key, np.int64), some, np.full(k, m, np.int64).view(np.uint64), np.full(k, int(not i), np.int64)) for i, m in enumerate(sorted(members))]
+                        out += [(np.full(k, key, np.int64), some, np.full(k, m, np.int64).view(np.uint64), np.full(k, int(not i), np.int64)) for i, m in enumerate(sorted(members)[:MIN_VALUES])]
+                        size += k * min(len(members), MIN_VALUES)
+                        if size >= PAIRS:
+                            yield _paired(out)
+                            out, size = [], 0
                 if out:
-                    e, t, c, n = (np.concatenate(x) for x in zip(*out, strict=True))
-                    yield _summed({"entity": e, "term": t, "context": c}, n)
+                    yield _paired(out)
                 if each:
                     seen.append(np.unique(np.concatenate(each)))
             if seen:
                 beside = np.unique(np.concatenate(seen))
                 # What is ruled out for all entities needs no bound.
-                beside = beside[wanted.least(beside) <= (np.inf if wanted.entities is None else wanted.limits.max(initial=0))]
+                beside = beside[wanted.least(beside) <= wanted.limits[wanted.levels.max()]]
                 term, n = _merged_counts(counted)
                 alone = n[np.searchsorted(term, beside)]
                 none = pa.nulls(len(beside), pa.int64())
@@ -325,20 +361,28 @@ def _pairs(documents: DataFrame, wanted: Wanted) -> DataFrame:
     return found.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("contexts"))
 
 
+def _paired(out: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    entity, term, context, n = (np.concatenate(x) for x in zip(*out, strict=True))
+    return _summed({"entity": entity, "term": term, "context": context}, n)
+
+
 def disclosures(documents: DataFrame, at_least: float = GENERALISE_AT) -> DataFrame:
     """Terms that disclose an entity by ``at_least``, and how far each discloses the one it discloses most: term (hash), disclosure.
 
     Everything is counted over whole documents and pre-aggregated before each shuffle. Entities of
     fewer documents than their support needs, and pairs of less support, are not counted further;
     neither are usual terms that stand in too many documents for an entity, nor pairs that the documents
-    of the batches where a term stands beside an entity alone put below ``at_least``.
+    of the batches where a term stands beside an entity alone put below ``at_least``. Of entities that
+    stand in the same documents in the same way, as the values of a list that is copied do, one stands for all.
     An entity of all documents has no information to disclose.
     """
     documents = documents.select("text")
     total = documents.count()
-    counts = materialise(_first_counts(documents).where(F.col("entity").isNull() | (F.col("n") >= _least_support("entity")) & (F.col("n") < total)), "pii-counts")
-    wanted = Wanted.choose(counts, total, at_least)
-    counts = counts.where("entity is not null").select("entity", F.col("n").alias("n_entity"))
+    found = materialise(_first_counts(documents).where(F.col("entity").isNull() | (F.col("n") >= _least_support("entity")) & (F.col("n") < total)), "pii-counts")
+    alike = found.where("entity is not null").groupBy(F.col("entity").bitwiseAND(1), "p1", "p2").agg(F.min("entity").alias("entity"), F.min("n").alias("n"))
+    entities = materialise(alike.select("entity", "n"), "pii-entities")
+    wanted = Wanted.choose(entities, found.where("term is not null"), total, at_least)
+    counts = entities.select("entity", F.col("n").alias("n_entity"))
     grouped = materialise(_pairs(documents, wanted).where(F.col("entity").isNull() | (F.col("contexts") >= _least_support("entity"))), "pii-grouped")
     least = grouped.where(F.col("entity").isNull()).select("term", F.col("n_both").alias("n_least"))
     n = F.lit(float(max(total, 1)))
@@ -361,7 +405,7 @@ def _document_counts(documents: DataFrame, terms: DataFrame) -> DataFrame:
         held = np.zeros(0 if wanted is None else len(wanted), np.int64)
         for batch in batches:
             for chunk in chunks(batch.column("text")):
-                term, n = _in_documents(chunk, wanted)
+                term, n = _in_documents(_terms(chunk), wanted)
                 if wanted is not None:
                     held[np.searchsorted(wanted, term)] += n
                     continue
@@ -380,9 +424,9 @@ def _terms(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray
     return first, last, row, span_hash(prefix_hash(lowered.buf), first, last)
 
 
-def _in_documents(chunk: Chunk, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """The (wanted) terms of a chunk, and in how many of its texts each stands."""
-    _, _, row, hashes = _terms(chunk)
+def _in_documents(scanned: tuple[np.ndarray, ...], wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The (wanted) terms of a scanned chunk, and in how many of its texts each stands."""
+    _, _, row, hashes = scanned
     if wanted is not None:
         known = _member(wanted, hashes)
         row, hashes = row[known], hashes[known]

@@ -464,6 +464,35 @@ def test_disclosures_of_classes(spark):
     assert flagged["term"] == {t for t, share in expected.items() if share >= pii.REMOVE_AT} and len(flagged["secret"]) > 10
 
 
+def test_lists_of_values_in_copied_texts(spark):
+    """Lists of recurring addresses: those of one profile stand for each other, with the disclosures of brute force."""
+    rng = random.Random(21)
+    vocab = [f"common{i}" for i in range(50)]
+    texts = [" ".join(rng.choices(vocab, k=15)) for _ in range(60)] + [f"mail of a{i}@other{i}.example.org" for i in range(4)]
+    # All three lists hold addresses 0 to 59; 60 to 79 are in the first and third as well as in three short texts, with one neighbour or several.
+    for k in range(3):
+        listed = [f"u{i}@d{i}.example.com" for i in range(80) if i < 60 or k != 1]
+        texts.append(" ".join(f"row{i} {x} of{k if i % 3 else 0}" for i, x in enumerate(listed)) + " zaphod roster")
+    for k in range(3):
+        texts.append(" ".join(f"{'beside' if i % 2 else f'near{k}'} u{i}@d{i}.example.com trillian{i % 4}" for i in range(60, 80)))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    expected = brute_disclosures(texts)
+    assert {"zaphod", "roster", "trillian1"} <= set(expected)
+    assert sorted(r["disclosure"] for r in pii.disclosures(table).collect()) == pytest.approx(sorted(expected.values()))
+
+
+def test_long_lists_of_values(spark):
+    """Three texts of 10,000 recurring addresses end soon: their values and terms are not all paired."""
+    listed = [f"row{i} u{i}@d{i}.example.com" for i in range(10_000)]
+    texts = [f"plain text {i}" for i in range(20)] + [f"mail of a{i}@other{i}.example.org" for i in range(4)]
+    texts += [f"list{k} " + " ".join(listed) for k in range(3)]
+    begun = time.time()
+    found = pii.disclosures(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    took = time.time() - begun
+    # Each row's name discloses its addresses, and each list's name that addresses stand there (five values or more).
+    assert len(found) == 10_003 and [r["disclosure"] for r in found] == pytest.approx([1.0] * 10_003) and took < 60, took
+
+
 def test_disclosures_on_the_tables(spark):
     """On the given documents terms are found too, the same as by brute force."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
