@@ -7,7 +7,9 @@ notice has. Words are ordered by their frequency in the whole corpus, rarest fir
 ``n`` distinct words that needs ``o`` of them can only match a window that holds one of its first
 ``n - o + 1`` words (prefix filter, by an index from these words to their notices), in which ``o``
 notice words stand at all (length filter), and in which ``o`` words can still follow the rarest one
-shared (positional filter). What is left is counted.
+shared (positional filter). What is left is counted. The prefix filter is asked at every place: it
+is lengthened by up to ``DEEPER - 1`` words, and only where as many of its words as that lets one
+expect stand within a window's length are the notice's words looked at.
 """
 
 from __future__ import annotations
@@ -26,6 +28,10 @@ from inkgrid.llm.bytescan import ALNUM, LOWER, Chunk, chunks, prefix_hash, span_
 
 THRESHOLD = 0.8
 WINDOW = 1.5
+#: Words of a lengthened prefix that a window must hold, if the notice needs as many.
+DEEPER = 3
+#: Notices whose prefix words are looked up at once.
+NOTICE_BLOCK = 128
 #: Notices that one scan may take; each worker holds them all.
 MAX_NOTICES = 100_000
 #: Phrases that label a text by themselves.
@@ -66,7 +72,8 @@ class Index:
     needed: list[int]
     spans: list[int]  # words of a window
     apart: list[list[np.ndarray]]  # for each notice of another label that matches by shared words alone: the words that only this one has
-    by_prefix: dict[int, list[int]]  # notices by each word of their prefixes
+    by_word: list[tuple[np.ndarray, np.ndarray]]  # (word numbers, ranks) of each notice by word number
+    prefixes: list[tuple[np.ndarray, np.ndarray]]  # of each block of notices: where the notices of a word begin, and these notices
 
     @classmethod
     def build(cls, notices: list[tuple[str, str]], threshold: float) -> Index:
@@ -79,7 +86,7 @@ class Index:
         labels = [label for label, _ in notices]
         needed = [math.ceil(threshold * len(s) - 1e-9) for s in sets]
         apart = [[np.array([number[w] for w in words]) for words in found] for found in told_apart(labels, sets, needed)]
-        return cls(order, labels, [np.array([number[w] for w in s]) for s in sets], needed, [math.ceil(WINDOW * len(t)) for t in texts], apart, {})
+        return cls(order, labels, [np.array([number[w] for w in s]) for s in sets], needed, [math.ceil(WINDOW * len(t)) for t in texts], apart, [], [])
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Word numbers, or -1."""
@@ -88,11 +95,22 @@ class Index:
 
     def rank_by(self, counts: dict[int, int]) -> Index:
         notices = [np.array(sorted(n.tolist(), key=lambda w: (counts.get(w, 0), w))) for n in self.notices]
-        by_prefix: dict[int, list[int]] = {}
-        for k, (notice, needed) in enumerate(zip(notices, self.needed, strict=True)):
-            for w in notice[: len(notice) - needed + 1].tolist():
-                by_prefix.setdefault(w, []).append(k)
-        return Index(self.order, self.labels, notices, self.needed, self.spans, self.apart, by_prefix)
+        by_word = []
+        for notice in notices:
+            ranks = np.argsort(notice)
+            by_word.append((notice[ranks], ranks))
+        prefixes = []
+        for low in range(0, len(notices), NOTICE_BLOCK):
+            block = range(low, min(low + NOTICE_BLOCK, len(notices)))
+            held = [notices[k][: len(notices[k]) - self.needed[k] + self.deep(k)] for k in block]
+            word, of = np.concatenate(held), np.repeat(np.array(block), [len(h) for h in held])
+            by = np.lexsort((of, word))
+            prefixes.append((np.searchsorted(word[by], np.arange(len(self.order) + 1)), of[by]))
+        return Index(self.order, self.labels, notices, self.needed, self.spans, self.apart, by_word, prefixes)
+
+    def deep(self, k: int) -> int:
+        """How many words of notice ``k``'s lengthened prefix every matching window holds."""
+        return min(DEEPER, self.needed[k])
 
 
 def told_apart(labels: list[str], sets: list[list], needed: list[int]) -> list[list[list]]:
@@ -132,14 +150,13 @@ def corpus_counts(documents: DataFrame, index: Index) -> dict[int, int]:
     return {r["word"]: r["n"] for r in rows}
 
 
-def _windows(index: Index, k: int, numbers: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Texts with windows that match notice ``k``, and their containment; ``numbers`` are word numbers or -1."""
+def _windows(index: Index, k: int, at: np.ndarray, numbers: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Texts with windows that match notice ``k``, and their containment; words of any notice by place, number and text."""
     notice, needed, span = index.notices[k], index.needed[k], index.spans[k]
-    rank_of = np.full(len(index.order), -1)
-    rank_of[notice] = np.arange(len(notice))
-    rank = np.where(numbers >= 0, rank_of[numbers], -1)
-    at = np.flatnonzero(rank >= 0)
-    rank, text = rank[at], row[at]
+    word, ranks = index.by_word[k]
+    found = np.minimum(np.searchsorted(word, numbers), len(word) - 1)
+    mine = word[found] == numbers
+    at, text, rank = at[mine], text[mine], ranks[found[mine]]
     # Windows may begin with a notice word; those near enough before a prefix word are candidates.
     prefix = np.flatnonzero(rank <= len(notice) - needed)
     low = np.searchsorted(at, at[prefix] - span + 1)
@@ -160,21 +177,46 @@ def _windows(index: Index, k: int, numbers: np.ndarray, row: np.ndarray) -> tupl
     ok = (len(notice) - lowest >= needed) & (overlap >= needed)
     for own in index.apart[k]:
         mine = np.zeros(len(start), bool)
-        mine[window[np.isin(rank, rank_of[own])]] = True
+        mine[window[np.isin(rank, ranks[np.searchsorted(word, own)])]] = True
         ok &= mine
     return text[start[ok]], overlap[ok] / len(notice)
 
 
+def _spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers from each ``first`` on, ``size`` of them."""
+    return np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
 def _matches(index: Index, numbers: np.ndarray, row: np.ndarray, n_rows: int) -> tuple[list[set[str]], np.ndarray]:
-    """Labels and the best containment of each text; only notices of which a prefix word stands there are tried."""
+    """Labels and the best containment of each text; a notice is tried only around places where enough of its lengthened prefix stands."""
     labels: list[set[str]] = [set() for _ in range(n_rows)]
     best = np.zeros(n_rows)
-    seen = np.unique(numbers[numbers >= 0]).tolist()
-    for k in sorted({k for w in seen for k in index.by_prefix.get(w, [])}):
-        texts, share = _windows(index, k, numbers, row)
-        np.maximum.at(best, texts, share)
-        for r in np.unique(texts).tolist():
-            labels[r].add(index.labels[k])
+    at = np.flatnonzero(numbers >= 0)
+    number, text = numbers[at], row[at]
+    deep, spans = np.array([index.deep(k) for k in range(len(index.notices))], np.int64), np.array(index.spans, np.int64)
+    for begin, notices in index.prefixes:
+        size = begin[number + 1] - begin[number]
+        notice, word = notices[_spread(begin[number], size)], np.repeat(np.arange(len(at)), size)
+        by = np.argsort(notice, kind="stable")
+        notice, word = notice[by], word[by]
+        # The hit with which a window that begins with this one holds enough of them.
+        last = np.arange(len(notice)) + deep[notice] - 1
+        inside = np.flatnonzero(last < len(notice))
+        last = last[inside]
+        near = (notice[last] == notice[inside]) & (text[word[last]] == text[word[inside]]) & (at[word[last]] - at[word[inside]] < spans[notice[inside]])
+        inside, last = inside[near], last[near]
+        tried, first = np.unique(notice[inside], return_index=True)
+        for k, a, b in zip(tried.tolist(), first.tolist(), [*first[1:].tolist(), len(inside)], strict=True):
+            # All windows around these hits, as ranges of notice words.
+            low = np.searchsorted(at, at[word[last[a:b]]] - spans[k] + 1)
+            high = np.searchsorted(at, at[word[inside[a:b]]] + spans[k])
+            # Both ends ascend with the hits, so each range adds what lies beyond the one before.
+            low = np.maximum(low, np.concatenate([[0], high[:-1]]))
+            around = _spread(low, np.maximum(high - low, 0))
+            texts, share = _windows(index, k, at[around], number[around], text[around])
+            np.maximum.at(best, texts, share)
+            for r in np.unique(texts).tolist():
+                labels[r].add(index.labels[k])
     return labels, best
 
 
@@ -199,7 +241,7 @@ def license_scan(documents: DataFrame, notices: list[tuple[str, str]] | DataFram
     notices = [(label, text) for label, text in (NOTICES if notices is None else notices) if WORD.search(text.lower().encode())]
     index = Index.build(notices or NOTICES[:1], threshold)
     if not notices:
-        index.labels, index.notices, index.needed = [], [], []
+        index.labels, index.notices, index.needed, index.spans = [], [], [], []
     index = index.rank_by(corpus_counts(documents, index))
     phrases = [(word_hashes(p.encode().split()), label) for p, label in PHRASES.items()]
 

@@ -389,6 +389,25 @@ def test_wrapped_and_rival_notices(spark):
     assert got(license_scan.license_scan(table, notices.limit(0)), "labels") == [("",)] * 5
 
 
+def test_many_and_long_notices(spark):
+    """Hundreds of notices of usual words, whole license texts among them, as a table: as by brute force, repeated words and blocks of notices included."""
+    rng = random.Random(33)
+    vocab = [f"w{i}" for i in range(120)]
+    notices = [(f"l{i % 9}", " ".join(rng.choices(vocab, k=rng.randint(1, 25)))) for i in range(300)]
+    notices += [(f"long{i}", " ".join(rng.choices(vocab + [f"own{i}x{j}" for j in range(60)], k=400))) for i in range(3)]
+    texts = []
+    for _, notice in notices[::4] + notices[-3:]:
+        words = notice.split()
+        for _ in range(len(words) // 6):
+            words[rng.randrange(len(words))] = rng.choice(["other", *vocab])
+        texts.append(" ".join(rng.choices(vocab, k=rng.randint(0, 30)) + words + rng.choices(vocab, k=rng.randint(0, 30))))
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert license_scan.NOTICE_BLOCK < len(notices)
+    found = got(license_scan.license_scan(table, spark.createDataFrame(notices, "label string, text string")), *LICENSE_COLUMNS)
+    assert found == [(i, *brute_licenses(t, notices)) for i, t in enumerate(texts)]
+    assert sum("long" in row[6] for row in found) >= 3
+
+
 def test_base_patterns_in_linear_time():
     """The scans equal the patterns, and long runs cost time in proportion."""
     rng = random.Random(11)
