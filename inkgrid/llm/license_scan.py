@@ -205,6 +205,8 @@ def _matches(index: Index, numbers: np.ndarray, row: np.ndarray, n_rows: int) ->
         last = last[inside]
         near = (notice[last] == notice[inside]) & (text[word[last]] == text[word[inside]]) & (at[word[last]] - at[word[inside]] < spans[notice[inside]])
         inside, last = inside[near], last[near]
+        if not len(inside):
+            continue
         tried, first = np.unique(notice[inside], return_index=True)
         for k, a, b in zip(tried.tolist(), first.tolist(), [*first[1:].tolist(), len(inside)], strict=True):
             # All windows around these hits, as ranges of notice words.

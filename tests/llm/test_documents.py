@@ -406,6 +406,11 @@ def test_many_and_long_notices(spark):
     found = got(license_scan.license_scan(table, spark.createDataFrame(notices, "label string, text string")), *LICENSE_COLUMNS)
     assert found == [(i, *brute_licenses(t, notices)) for i, t in enumerate(texts)]
     assert sum("long" in row[6] for row in found) >= 3
+    # Batches in which nothing of any notice stands, or too little of it.
+    bare = [(0, None), (1, ""), (2, "nothing of them"), (3, "rights")]
+    for row in bare:
+        alone = spark.createDataFrame([row], "doc_id long, text string")
+        assert got(license_scan.license_scan(alone), *LICENSE_COLUMNS) == [(row[0], *brute_licenses(row[1], license_scan.NOTICES))]
 
 
 def test_base_patterns_in_linear_time():
