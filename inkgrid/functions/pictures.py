@@ -92,7 +92,10 @@ def packed(pixels: DataFrame) -> DataFrame:
 
 
 def unpacked(rows: DataFrame, picture: str | None = None) -> DataFrame:
-    """Picture rows, or their column ``picture``, to pixel rows of b, g, r (equal for one channel); nothing is shuffled."""
+    """Picture rows, or their column ``picture``, to pixel rows of b, g, r (equal for one channel); nothing is shuffled.
+
+    A picture without bytes or without a size has no pixels; bytes that do not fit the size are an error that names the image.
+    """
     rows = rows.select("image_id", f"{picture}.*") if picture else rows
     kind = rows.schema["image_id"].dataType.simpleString()
 
@@ -100,7 +103,12 @@ def unpacked(rows: DataFrame, picture: str | None = None) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 h, w, c, data = (batch.column(n)[i] for n in ("height", "width", "n_channels", "data"))
-                a = np.frombuffer(data.as_buffer(), np.uint8).reshape(h.as_py() * w.as_py(), c.as_py())
+                if not all(x.is_valid for x in (h, w, c, data)):
+                    continue
+                a = np.frombuffer(data.as_buffer(), np.uint8)
+                if h.as_py() < 0 or w.as_py() < 0 or c.as_py() < 1 or len(a) != h.as_py() * w.as_py() * c.as_py():
+                    raise ValueError(f"image {batch.column('image_id')[i].as_py()} has {len(a)} bytes, which its size does not ask for")
+                a = a.reshape(h.as_py() * w.as_py(), c.as_py())
                 for low in range(0, len(a), 100_000):
                     part = a[low : low + 100_000]
                     y, x = np.divmod(np.arange(low, low + len(part), dtype=np.int32), np.int32(max(w.as_py(), 1)))

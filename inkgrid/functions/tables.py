@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,20 +22,45 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
-def written(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, a lost executor costs nothing before it."""
+#: Folders written inside ``temporaries``, in the thread that opened it.
+_OPEN: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("open", default=None)
+
+
+def written(df: DataFrame, name: str, keep: bool = False, **options: str) -> DataFrame:
+    """Write ``df`` as Parquet in the shared folder and read it back: lineage ends, a lost executor costs nothing before it.
+
+    Inside ``temporaries`` the table goes at its end, unless ``keep``.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
+    if not keep and (open_ := _OPEN.get()) is not None:
+        open_.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _removed(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def dropped(df: DataFrame) -> None:
     """Remove a written table that nothing reads any more."""
-    spark = df.sparkSession
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+        _removed(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def temporaries(spark: SparkSession) -> Iterator[None]:
+    """Tables that are written inside go at the end, also after a failure: what reads them must have been written by then."""
+    paths: list[str] = []
+    token = _OPEN.set(paths)
+    try:
+        yield
+    finally:
+        _OPEN.reset(token)
+        for path in paths:
+            _removed(spark, path)
 
 
 def by_image(df: DataFrame) -> DataFrame:

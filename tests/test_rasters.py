@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions.scalar import cubic_weights, ellipse_half_widths, gaussian_weights
 from inkgrid.operators import denoise, geometry, lines, neighborhood, pixels, regions, stats
+from inkgrid.sources import images
 
 
 def table(spark, *rasters, column="v"):
@@ -187,3 +188,29 @@ def test_one_exchange(spark):
 
     plan = stats.blur_score(by_image(table(spark, NOISE)))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
+
+
+def test_rasters_without_bytes(spark):
+    """A picture without bytes or size has no pixels; bytes that do not fit are an error."""
+    rows = [("a", 1, 2, 1, bytearray(b"\x01\x02")), ("b", 1, 2, 1, None), ("c", None, 2, 1, bytearray(b"\x01\x02")), ("d", 0, 0, 3, bytearray())]
+    kind = "image_id string, height int, width int, n_channels int, data binary"
+    assert sorted(tuple(r) for r in images.raster_to_pixels(spark.createDataFrame(rows, kind)).collect()) == [("a", 0, 0, 1, 1, 1), ("a", 0, 1, 2, 2, 2)]
+    with pytest.raises(Exception, match="image e has 2 bytes"):
+        images.raster_to_pixels(spark.createDataFrame([("e", 1, 3, 1, bytearray(b"\x01\x02"))], kind)).collect()
+
+
+def test_temporaries(spark):
+    """Tables written inside go at the end, also after a failure; kept ones stay."""
+    from inkgrid.functions.tables import temporaries, written
+
+    with temporaries(spark):
+        inside = written(spark.range(3), "inside")
+        kept = written(inside, "kept", keep=True)
+    assert kept.count() == 3
+    with pytest.raises(ValueError, match="stop"), temporaries(spark):
+        failed = written(spark.range(3), "failed")
+        raise ValueError("stop")
+    for gone in (inside, failed):
+        with pytest.raises(Exception):  # noqa: B017
+            gone.select("id").where("id >= 0").collect()
+    assert written(spark.range(2), "outside").count() == 2
