@@ -6,10 +6,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkgrid.functions.tables import dropped
 from inkgrid.llm.bytescan import ALNUM, LOWER, MULTIPLIER, NON_SPACE, Chunk, chain, chunks, keyed, mix, prefix_hash, span_hash, words
+from inkgrid.llm.shared import materialise
 
 #: Rows, hashed buckets, in ascending order by row.
 Hashed = tuple[np.ndarray, np.ndarray]
@@ -84,8 +86,16 @@ def bounded_labels(labels: DataFrame, target: str, rows: int, keep: Column | Non
     return found.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
 
-def labelled_features(documents: DataFrame, chosen: DataFrame, featurise: Callable[[Chunk], list[Hashed]]) -> list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
-    """Labels, and buckets with their counts, of the chosen documents, on the driver: as many rows as ``chosen`` is bounded to, by id."""
+#: Bytes of features that a fit takes to the driver.
+MAX_FEATURE_BYTES = 192 << 20
+
+
+def labelled_features(documents: DataFrame, chosen: DataFrame, featurise: Callable[[Chunk], list[Hashed]], most: int = MAX_FEATURE_BYTES) -> list[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """Labels, and buckets with their counts, of the chosen documents, on the driver, by id: as many rows as ``chosen`` is bounded to.
+
+    If their features exceed ``most`` bytes, which takes very long texts, the rows whose hash of the id comes first
+    take part, as many as fit; so the sample is bounded by rows and by bytes.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -100,14 +110,21 @@ def labelled_features(documents: DataFrame, chosen: DataFrame, featurise: Callab
                 part = slice(chunk.first, chunk.first + chunk.rows)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array(ids[part], pa.int64()), "label": pa.array(label[part], pa.int32()), "features": pa.array([list(x) for x in zip(*blobs, strict=True)], pa.list_(pa.binary()))})
 
-    found = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features array<binary>").toArrow()
+    rows = documents.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").mapInArrow(run, "doc_id long, label int, features array<binary>")
+    # A repeated id counts once, by its longest features.
+    rows = materialise(rows.withColumn("size", F.expr("aggregate(features, 0L, (s, x) -> s + octet_length(x))")), "features")
+    sizes = rows.groupBy("doc_id").agg(F.max("size").alias("size"))
+    # One row an id, as many as ``chosen`` is bounded to: a window in one task.
+    fits = sizes.withColumn("sum", F.sum("size").over(Window.orderBy(F.xxhash64("doc_id"), "doc_id"))).where(F.col("sum") <= most)
+    found = rows.join(F.broadcast(fits.select("doc_id", "size")), ["doc_id", "size"]).select("doc_id", "label", "features").toArrow()
+    dropped(rows)
     ids, label = found["doc_id"].to_numpy(), found["label"].to_numpy()
-    _, first = np.unique(ids, return_index=True)  # a repeated id counts once
-    order = sorted(first.tolist(), key=lambda i: ids[i])
-    column = found["features"].combine_chunks()
+    _, first = np.unique(ids, return_index=True)
+    chunk_of = np.cumsum([0, *(len(c) for c in found["features"].chunks)])
     out = []
-    for i in order:
-        parts = [np.frombuffer(b.as_buffer(), "<u4") for b in column[i]]
+    for i in first.tolist():
+        at = int(np.searchsorted(chunk_of, i, side="right")) - 1
+        parts = [np.frombuffer(b.as_buffer(), "<u4") for b in found["features"].chunk(at)[i - int(chunk_of[at])]]
         out.append((int(label[i]), [(x[: len(x) // 2], x[len(x) // 2 :]) for x in parts]))
     return out
 

@@ -16,6 +16,8 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +32,8 @@ MAGIC = b"DAC1"
 CHUNK_BITS = 8
 BLOCK = 512
 SHARD_TOKENS = 1 << 16
+#: Bytes of a row group of token files: some dozens of files, each group with its own bounds of (part, number).
+ROW_GROUP = 4 << 20
 
 
 def encode_codes(ids: np.ndarray) -> bytes:
@@ -92,7 +96,9 @@ class Codes:
         return out
 
 
-FILES = "part int, number int, n_tokens long, doc_ids array<long>, doc_tokens array<long>, codes binary"
+FILES = "part int, number int, n_tokens long, doc_ids array<long>, doc_starts array<long>, doc_tokens array<long>, codes binary"
+#: Files that a filter names; beyond, the join alone finds them.
+MAX_NAMED = 256
 
 
 def write_token_files(documents: DataFrame, tokenizer: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
@@ -112,7 +118,7 @@ def write_token_files(documents: DataFrame, tokenizer: str | None = None, shard_
 
         def file() -> pa.RecordBatch:
             lengths = [len(x) for x in held]
-            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_tokens": pa.array([size], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "doc_tokens": pa.array([lengths], pa.list_(pa.int64())), "codes": pa.array([encode_codes(np.concatenate(held))], pa.binary())})
+            return pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "number": pa.array([number], pa.int32()), "n_tokens": pa.array([size], pa.int64()), "doc_ids": pa.array([ids], pa.list_(pa.int64())), "doc_starts": pa.array([[0, *np.cumsum(lengths)[:-1].tolist()]], pa.list_(pa.int64())), "doc_tokens": pa.array([lengths], pa.list_(pa.int64())), "codes": pa.array([encode_codes(np.concatenate(held))], pa.binary())})
 
         for docs, tokens in encoded(batches, path):
             for doc, token in zip(docs, tokens, strict=True):
@@ -126,7 +132,7 @@ def write_token_files(documents: DataFrame, tokenizer: str | None = None, shard_
             yield file()
 
     ordered = documents.selectExpr("cast(doc_id as long) doc_id", "text", "xxhash64(text) as salt").repartitionByRange(n_partitions(documents.sparkSession), "doc_id", "salt").sortWithinPartitions("doc_id", "salt")
-    return materialise(ordered.select("doc_id", "text").mapInArrow(run, FILES), "token-files", compression="none", **{"parquet.enable.dictionary": "false"})
+    return materialise(ordered.select("doc_id", "text").mapInArrow(run, FILES), "token-files", compression="none", **{"parquet.enable.dictionary": "false", "parquet.block.size": str(ROW_GROUP)})
 
 
 def read_token_files(files: DataFrame) -> DataFrame:
@@ -138,11 +144,9 @@ def read_token_files(files: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, number, ids, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "doc_ids", "doc_tokens", "codes")), strict=True):
+            for part, number, ids, starts, lengths, data in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "doc_ids", "doc_starts", "doc_tokens", "codes")), strict=True):
                 tokens = Codes.open(data).all().astype("<u4")
-                ends = np.cumsum(lengths)
-                starts = ends - lengths
-                crc = [zlib.crc32(tokens[a:b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                crc = [zlib.crc32(tokens[a : a + n]) for a, n in zip(starts, lengths, strict=True)]
                 n = len(ids)
                 yield pa.RecordBatch.from_pydict({"part": pa.array([part] * n, pa.int32()), "number": pa.array([number] * n, pa.int32()), "doc_id": pa.array(ids, pa.int64()), "local": pa.array(starts, pa.int64()), "n_tokens": pa.array(lengths, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
 
@@ -158,11 +162,20 @@ def read_token_files(files: DataFrame) -> DataFrame:
 def tokens_at(files: DataFrame, wanted: DataFrame) -> DataFrame:
     """Single tokens by random access: ``wanted`` has doc_id and position (tokens of the document before it); adds token_id.
 
-    Only the asked entries of a file's levels are touched, one byte and one rank each. Positions beyond
+    Only the asked entries of a file's levels are touched, one byte and one rank each. Which files are asked is
+    found from their lists of documents, without their codes. Up to ``MAX_NAMED`` such files are then named to the scan, which
+    passes over the pages of all others (their statistics rule them out); more are joined. Positions beyond
     the document's end, and unknown or null ids, give no row; of rows that repeat an id each answers.
     """
-    where = files.select("part", "number", F.posexplode("doc_ids").alias("i", "doc_id"), "doc_tokens").select("part", "number", "doc_id", F.expr("aggregate(slice(doc_tokens, 1, i), 0L, (s, n) -> s + n)").alias("base"), F.get("doc_tokens", F.col("i")).alias("n"))
-    asked = wanted.select("doc_id", "position").join(where, "doc_id").where("position >= 0 and position < n").groupBy("part", "number").agg(F.collect_list(F.struct("doc_id", "position", (F.col("base") + F.col("position")).alias("at"))).alias("asked"))
+    spots = files.select("part", "number", F.inline(F.arrays_zip("doc_ids", "doc_starts", "doc_tokens"))).withColumnRenamed("doc_ids", "doc_id")
+    asked = wanted.select("doc_id", "position").join(spots, "doc_id").where("position >= 0 and position < doc_tokens")
+    asked = materialise(asked.select("part", "number", "doc_id", "position", (F.col("doc_starts") + F.col("position")).alias("at")), "token-places")
+    named = asked.select("part", "number").distinct().limit(MAX_NAMED + 1).collect()
+    asked = asked.groupBy("part", "number").agg(F.collect_list(F.struct("doc_id", "position", "at")).alias("asked"))
+    few = files.select("part", "number", "codes")
+    if len(named) <= MAX_NAMED:
+        here = [(F.col("part") == r["part"]) & (F.col("number") == r["number"]) for r in named]
+        few = few.where(reduce(or_, here, F.lit(False)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,4 +183,4 @@ def tokens_at(files: DataFrame, wanted: DataFrame) -> DataFrame:
                 codes = Codes.open(data)
                 yield pa.RecordBatch.from_pydict({"doc_id": pa.array([a["doc_id"] for a in asked], pa.int64()), "position": pa.array([a["position"] for a in asked], pa.int64()), "token_id": pa.array([codes[a["at"]] for a in asked], pa.int64())})
 
-    return files.select("part", "number", "codes").join(asked, ["part", "number"]).select("codes", "asked").mapInArrow(run, "doc_id long, position long, token_id long")
+    return few.join(asked, ["part", "number"]).select("codes", "asked").mapInArrow(run, "doc_id long, position long, token_id long")

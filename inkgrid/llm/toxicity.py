@@ -50,9 +50,12 @@ class _Sums:
     """Sums over the entries of each group; ``groups`` and ``members`` are the two sides of the entries."""
 
     def __init__(self, groups: np.ndarray, members: np.ndarray, n: int) -> None:
-        order = np.argsort(groups, kind="stable")
-        self.members = members[order].astype(np.int32)
-        self.groups, self.at = np.unique(groups[order], return_index=True)
+        if (groups[1:] < groups[:-1]).any():
+            order = np.argsort(groups, kind="stable")
+            groups, members = groups[order], members[order]
+        self.members = members.astype(np.int32, copy=False)
+        self.at = np.flatnonzero(np.concatenate([[True], groups[1:] != groups[:-1]]))
+        self.groups = groups[self.at]
         self.n = n
 
     def __call__(self, values: np.ndarray) -> np.ndarray:

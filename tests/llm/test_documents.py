@@ -216,6 +216,35 @@ def test_single_tokens(docs, spark):
     assert got(found, "doc_id", "position", "token_id") == want([(d, p, ids[d][p]) for d, p in asked if d in ids and 0 <= p < len(ids[d])])
 
 
+def test_single_tokens_read_few_files(spark, monkeypatch):
+    """One token's files are named to the scan; with more files than may be named the join finds them; both give the same."""
+    docs = spark.createDataFrame([(i, f"text {i} " + "word " * 400) for i in range(400)], "doc_id long, text string")
+    files = token_codes.write_token_files(docs, shard_tokens=800)
+    one = spark.createDataFrame([(77, 5)], "doc_id long, position long")
+    some = spark.createDataFrame([(d, 5) for d in range(0, 400, 9)], "doc_id long, position long")
+    scans = [line for line in token_codes.tokens_at(files, one)._jdf.queryExecution().toString().splitlines() if "PushedFilters" in line and "codes" in line]
+    assert scans and all("EqualTo(part" in line and "EqualTo(number" in line for line in scans)
+    named = got(token_codes.tokens_at(files, some), "doc_id", "position", "token_id")
+    monkeypatch.setattr(token_codes, "MAX_NAMED", 3)
+    assert got(token_codes.tokens_at(files, some), "doc_id", "position", "token_id") == named and len(named) == 45
+    assert token_codes.tokens_at(files, one.limit(0)).count() == 0
+
+
+def test_features_are_bounded_by_bytes(spark):
+    """Of very long labelled texts as many take part as fit, in the order of the ids' hashes."""
+    from inkgrid.llm.features import distinct_terms, labelled_features
+
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(50 * (1 + i % 3)))) for i in range(60)] + [(3, "a b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    chosen = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, label int")
+    size = lambda out: sum(8 * len(x) for _, tables in out for x, _ in tables)
+    whole = labelled_features(docs, chosen, lambda c: [distinct_terms(c, 18)])
+    assert len(whole) == 60
+    few = labelled_features(docs, chosen, lambda c: [distinct_terms(c, 18)], size(whole) // 2)
+    assert 0.3 * size(whole) < size(few) <= size(whole) // 2
+    assert labelled_features(docs, chosen, lambda c: [distinct_terms(c, 18)], 10) == []
+
+
 def test_special_tokens_in_texts(spark):
     """Markers within texts get the ids that the library gives, in token files and in packed sequences."""
     from tokenizers import Tokenizer
