@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from inkgrid.functions.tables import dropped, temporaries, written
 from inkgrid.llm import mixing, near_dup, packing, pii, toxicity
-from inkgrid.llm.shared import bounded_batches, materialise
+from inkgrid.llm.shared import bounded_batches
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after the other. A stage's own tables go once its result is written, and that result once the next one is."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    for i, (name, stage) in enumerate(STAGES):
+        with temporaries(spark):
+            made = written(stage(spark, docs, sf_dir), f"stage-{name}", keep=True)
+        if i:
+            dropped(docs)
+        docs = made
     return docs
