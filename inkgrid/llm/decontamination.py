@@ -28,11 +28,13 @@ from pyspark.sql import functions as F
 
 from inkgrid.functions.tables import dropped
 from inkgrid.llm.bytescan import ALNUM, LOWER, Chunk, chunks, prefix_hash, span_hash, words
-from inkgrid.llm.shared import materialise
+from inkgrid.llm.shared import batches_of, materialise
 
 WINDOW = 10
 #: Text bytes of a segment; a longer document is a segment of its own.
 SEGMENT = 1 << 21
+#: Segments of an Arrow batch.
+SEGMENTS = 2
 #: Empty places after each document, and so the widest span of a proximity match.
 GAP = 64
 #: Words that the query asks a proximity match to fit into, for a window of ``WINDOW`` words.
@@ -284,7 +286,9 @@ def matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW, near:
         table = pieces.where(place(blocks) == b).toArrow()
         if table.num_rows:
             shared = spark.sparkContext.broadcast(Block.of(table, window))
-            found.append(materialise(index.select("segment", "terms", "counts", "places", "starts").mapInArrow(asked(shared), MATCHES), "matches"))
+            # A segment is some megabytes: a batch of all segments of a task would be a hundred.
+            with batches_of(spark, SEGMENTS):
+                found.append(materialise(index.select("segment", "terms", "counts", "places", "starts").mapInArrow(asked(shared), MATCHES), "matches"))
             shared.unpersist()
     dropped(pieces)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], MATCHES)
