@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import struct
 import tempfile
+import zlib
 
 import numpy as np
 import pytest
@@ -93,3 +95,52 @@ def test_files_in_folders(spark):
     found = images.scan_folders(spark, path, 3)
     assert found.count() == 50 and found.selectExpr("md5(data)").exceptAll(rows.selectExpr("md5(data)")).count() == 0
     assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def png(a: np.ndarray, kind: int, filters: list[int], more: bytes = b"") -> bytes:
+    """A PNG of RGB, gray or RGBA whose scanlines take the filters in turn."""
+    h, w = a.shape[:2]
+    rows, n = a.reshape(h, -1).astype(int), a.size // (h * w)
+    left, up = np.pad(rows, ((0, 0), (n, 0)))[:, :-n], np.pad(rows, ((1, 0), (0, 0)))[:-1]
+    corner = np.pad(up, ((0, 0), (n, 0)))[:, :-n]
+    near = np.stack([left, up, corner])
+    apart = np.abs(near - (left + up - corner))
+    by = [0 * rows, left, up, (left + up) // 2, np.take_along_axis(near, apart.argmin(0)[None], 0)[0]]
+    use = [filters[y % len(filters)] for y in range(h)]
+    raw = b"".join(bytes([f]) + ((rows[y] - by[f][y]) % 256).astype(np.uint8).tobytes() for y, f in enumerate(use))
+    chunk = lambda name, body: struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+    data = zlib.compress(raw)
+    parts = [chunk(b"IDAT", data[: len(data) // 2]), chunk(b"IDAT", data[len(data) // 2 :])]
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, kind, 0, 0, 0)) + more + b"".join(parts) + chunk(b"IEND", b"")
+
+
+def test_small_files_are_read_without_the_image_source(spark):
+    """Every file is what the image source says; it reads only what is no small plain PNG, of which none is lost."""
+    rng = np.random.default_rng(5)
+    rgb, root = rng.integers(0, 256, (6, 5, 3)), tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    note = b"tEXta\0b"
+    files = {
+        "a/plain.png": png(rgb, 2, [0]), "a/sub up.png": png(rgb, 2, [1, 2, 0, 2]), "a/first up%.png": png(rgb, 2, [2, 1]), "a/thin.png": png(rgb[:, :1], 2, [1, 2]),
+        "b/paeth.png": png(rgb, 2, [3, 4, 1]), "b/gray.png": png(rgb[..., :1], 0, [1]), "b/rgba.png": png(rng.integers(0, 256, (3, 4, 4)), 6, [0]),
+        "b/note.png": png(rgb, 2, [0], struct.pack(">I", 3) + note + struct.pack(">I", zlib.crc32(note))), "c d/large.png": png(rng.integers(0, 256, (200, 150, 3)), 2, [0]), "c d/plain.png": png(rgb, 2, [0]),
+    }
+    for name, data in files.items():
+        os.makedirs(os.path.dirname(f"{root}/{name}"), exist_ok=True)
+        open(f"{root}/{name}", "wb").write(data)
+    plain = {n for n, d in files.items() if images.plain_png(d)}
+    assert plain == {n for n in files if n[0] == "a" or n in ("c d/plain.png", "c d/large.png")} and images.plain_png(files["a/sub up.png"])[2] == rgb[..., ::-1].astype(np.uint8).tobytes()
+    asked, real = [], images.scan_images
+    images.scan_images = lambda s, paths, *more: asked.extend(paths) or real(s, paths, *more)
+    try:
+        found = images.scan_folders(spark, f"file://{root}", 2)
+        assert sorted(f.rsplit("/", 1)[1] for f in asked) == ["b", "c d"]
+        whole = real(spark, [f"{root}/{f}" for f in ("a", "b", "c d")])
+        assert found.columns == whole.columns and sorted(map(tuple, found.collect())) == sorted(map(tuple, whole.collect())) and found.count() == len(files)
+        good = png(rgb, 2, [0])
+        for broken in (b"junk", good[:-20], good[:45] + b"?" + good[46:], good + b"more", b""):
+            assert images.plain_png(broken) is None
+        open(f"{root}/a/junk.png", "wb").write(b"junk")
+        with pytest.raises(Exception, match="Unable to load image"):
+            images.scan_folders(spark, f"file://{root}", 2).count()
+    finally:
+        images.scan_images = real
