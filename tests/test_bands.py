@@ -125,6 +125,24 @@ def test_lines_and_rotation(spark, step, tile):
     same(bn.pixels_of_bands(banded.correct_rotation(cut, 40, 20, 10)), pipelines.correct_rotation(gray, s))
 
 
+def test_small_pictures_meet_and_large_ones_do_not(spark, monkeypatch):
+    """Votes and segments are the same either way; small pictures and small target bands share Python calls."""
+    y, x = np.mgrid[0:40, 0:52]
+    rows = [(f"s{i}", 40, 52, 1, np.where((y - m * x) % 15 < 2, np.uint8(255), np.uint8(0)).tobytes()) for i, m in enumerate((-0.2, 0.1, 0.3))]
+    rows.append(("blank", 40, 52, 1, bytes(40 * 52)))
+    cut = written(bn.bands_of_pictures(spark.createDataFrame(rows, "image_id string, height int, width int, n_channels int, data binary"), 7), "bands")
+    steps = (lambda: banded.hough_votes(cut, 25), lambda: banded.line_segments(cut, 25, 15, 5), lambda: bn.pixels_of_bands(banded.correct_rotation(cut, 25, 15, 5)))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    whole = [step() for step in steps]
+    small = banded._of_wholes(cut, lambda m: lines.plane_segments(m, 25, 15, 5), "x1 int, y1 int, x2 int, y2 int")
+    same(whole[1], small)
+    g = geometry.rotation_geometry(lines.skew_angle(small, cut), banded.sizes(cut))
+    assert "FlatMapGroups" not in plan(banded.rotate_gather(cut, written(g, "geometry"))) and g.where("c < 1048576").count()
+    whole = [sorted(map(tuple, w.collect())) for w in whole]
+    monkeypatch.setattr(banded, "MAX_WHOLE", 0)
+    assert [sorted(map(tuple, step().select(*c).collect())) for step, c in zip(steps, (["image_id", "theta", "rho", "n"], ["image_id", "x1", "y1", "x2", "y2"], ["image_id", "y", "x", "v"]), strict=True)] == whole and all(whole)
+
+
 def test_no_bands(spark):
     none = bn.bands_of_pixels(spark.createDataFrame([], GRAY), 4)
     for found in (banded.morph_close(none), banded.clahe_apply(none), banded.otsu_threshold(none), banded.connected_components(none), banded.canny_edges(none), banded.correct_rotation(none)):
