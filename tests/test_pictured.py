@@ -85,6 +85,36 @@ def test_no_line_has_more_votes_than_a_full_picture():
     assert len(lines.plane_votes(full, most)) and not len(lines.plane_votes(full, most + 1))
 
 
+def segments_line_by_line(mask, threshold, min_length, max_gap):
+    y, x, rho = lines.cast_votes(mask)
+    ends = []
+    for theta, distance, _ in lines.plane_votes(mask, threshold).tolist():
+        on = np.flatnonzero(rho[theta] == distance)
+        pos = lines.along(theta, y[on], x[on])
+        order = np.argsort(pos, kind="stable")
+        on, pos = on[order], pos[order]
+        cuts = np.flatnonzero(np.diff(pos) > max_gap) + 1
+        for part, p in zip(np.split(on, cuts), np.split(pos, cuts), strict=True):
+            if p[-1] - p[0] >= min_length:
+                places = sorted(zip(x[part].tolist(), y[part].tolist(), strict=True))
+                ends.append((*places[0], *places[-1]))
+    return ends
+
+
+@pytest.mark.parametrize("cut", [1, 1 << 20])
+def test_lines_of_an_angle_are_cut_together(monkeypatch, cut):
+    """Segments are those found line by line, in the same order, with one look at the pixels an angle."""
+    rng = np.random.default_rng(8)
+    y, x = np.mgrid[0:60, 0:80]
+    masks = [np.where((y - m * x) % 14 < 3, 255, 0) * (rng.random((60, 80)) < 0.8) for m in (-0.4, 0.0, 0.2, 3.0)] + [np.zeros((60, 80), int)]
+    wanted = [segments_line_by_line(m, 20, n, gap) for m in masks for n, gap in ((10, 1), (15, 4), (40, 10))]
+    asked, real = [], lines.along
+    monkeypatch.setattr(lines, "along", lambda theta, *more: asked.append(theta) or real(theta, *more))
+    monkeypatch.setattr(lines, "CUT", cut)
+    assert [list(map(tuple, lines.plane_segments(m, 20, n, gap).tolist())) for m in masks for n, gap in ((10, 1), (15, 4), (40, 10))] == wanted
+    assert sum(map(len, wanted)) > 200 and len(asked) <= 180 * 12
+
+
 def test_files_in_folders(spark):
     """Folders are read some at a time; every file is a row."""
     path = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
