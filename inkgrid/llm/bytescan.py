@@ -99,10 +99,11 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit integers that spreads every bit."""
     x = x ^ (x >> np.uint64(30))
-    x = x * np.uint64(0xBF58476D1CE4E5B9)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
     x ^= x >> np.uint64(27)
-    x = x * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    x *= np.uint64(0x94D049BB133111EB)
+    x ^= x >> np.uint64(31)
+    return x
 
 
 def prefix_hash(buf: np.ndarray) -> np.ndarray:
@@ -119,6 +120,13 @@ def span_hash(prefix: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.nda
     return mix((prefix[last] - prefix[first]) * _powers(size)[1][first] + (last - first).astype(np.uint64))
 
 
+def gram_hashes(prefix: np.ndarray, low: int, high: int, size: int) -> np.ndarray:
+    """``span_hash`` of the spans of ``size`` bytes that begin at ``low``, ``low + 1`` and so on and end at ``high`` at most."""
+    stop = high - size + 1
+    powers = _powers(1 << max(20, int(len(prefix) - 1).bit_length()))[1][low:stop]
+    return mix((prefix[low + size : stop + size] - prefix[low:stop]) * powers + np.uint64(size))
+
+
 def chain(hashes: list[np.ndarray]) -> np.ndarray:
     """One hash for each tuple of hashes, sensitive to their order."""
     out = np.zeros_like(hashes[0])

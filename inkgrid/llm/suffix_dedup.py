@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkgrid.functions.tables import dropped
-from inkgrid.llm.bytescan import Chunk, chain, chunks, mix, prefix_hash, span_hash
+from inkgrid.llm.bytescan import Chunk, chain, chunks, gram_hashes, mix, prefix_hash, span_hash
 from inkgrid.llm.shared import materialise
 from inkgrid.llm.suffix_groups import suffix_arrays
 
@@ -48,26 +48,26 @@ DEEP = 4
 BUCKET_BYTES = 8 << 20
 #: Documents of the sample that finds frequent grams and segments, in how many of them those stand, and how many are kept.
 SAMPLE_DOCUMENTS, FREQUENT, MAX_FREQUENT = 1024, 5, 1 << 17
-INDEX_BITS = 24  # positions within a chunk
+INDEX_BITS = 24  # positions within a part
 SCAN = 1 << 19  # bytes of a chunk
+PART = 1 << 16  # strings of a chunk that are looked at together, so that their hashes stay in a processor's cache
 
 
 class Known:
     """A sorted list of hashes with a bitmap in front of it, for many questions with mostly negative answers."""
 
-    BITS = 22
-
     def __init__(self, values: np.ndarray) -> None:
         self.values = np.unique(values.astype(np.uint64))
+        self.bits = min(22, max(16, len(self.values).bit_length() + 5))
         self.bitmap: np.ndarray | None = None
 
     def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Positions of known hashes, and their places in ``values``."""
         if not len(self.values):
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        shift = np.uint64(64 - self.BITS)
+        shift = np.uint64(64 - self.bits)
         if self.bitmap is None:
-            self.bitmap = np.zeros(1 << self.BITS, bool)
+            self.bitmap = np.zeros(1 << self.bits, bool)
             self.bitmap[self.values >> shift] = True
         at = np.flatnonzero(self.bitmap[hashes >> shift])
         place = np.minimum(np.searchsorted(self.values, hashes[at]), len(self.values) - 1)
@@ -89,41 +89,51 @@ def runs(chunk: Chunk, length: int = LENGTH, common: Known = NONE) -> tuple[np.n
     n = len(chunk.buf)
     if n < length:
         return empty
-    # Long chunks (one long text) are scanned in overlapping parts, so that positions fit beside the hash.
-    most = (1 << INDEX_BITS) - length
+    # Parts overlap, so that every string lies in one as a whole; positions within a part fit beside the hash.
     prefix = prefix_hash(chunk.buf)
-    starts, owners = [], []
-    for low in range(0, n - length + 1, most):
-        high = min(n, low + most + length - 1)
-        at = np.arange(low, high - gram + 1)
-        key = span_hash(prefix, at, at + gram)
+    low_bits = np.uint64((1 << INDEX_BITS) - 1)
+    places, owners, before = [], [], -1
+    edges = _edges(chunk, length)
+    for low in range(0, n - length + 1, PART):
+        high = min(n, low + PART + length - 1)
+        key = gram_hashes(prefix, low, high, gram)
         frequent, _ = common.find(key)
         # The low bits hold the position, so that the minimum names its place and the first of equals wins.
-        key = ((key >> np.uint64(1)) & ~np.uint64((1 << INDEX_BITS) - 1)) | (at - low).astype(np.uint64)
+        key >>= np.uint64(1)
+        key &= ~low_bits
+        key |= np.arange(len(key), dtype=np.uint64)
         key[frequent] |= np.uint64(1 << 63)
         least, n_seen = key, 1
         while 2 * n_seen <= width:
             least, n_seen = np.minimum(least[:-n_seen], least[n_seen:]), 2 * n_seen
         if n_seen < width:
             least = np.minimum(least[: len(least) - (width - n_seen)], least[width - n_seen :])
-        owners.append((least & np.uint64((1 << INDEX_BITS) - 1)).astype(np.int64) + low)
-        starts.append(np.arange(low, low + len(least)))
-    start, owner = np.concatenate(starts), np.concatenate(owners)
-    row = np.repeat(np.arange(chunk.rows), chunk.ends - chunk.starts)[start]
-    whole = start + length <= chunk.ends[row]
-    start, owner, row = start[whole], owner[whole], row[whole]
-    if not len(start):
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[0] = int(least[0] & low_bits) + low != before
+        new[edges[np.searchsorted(edges, low) : np.searchsorted(edges, low + len(least))] - low] = True
+        at = np.flatnonzero(new)
+        places.append(at + low)
+        owners.append((least[at] & low_bits).astype(np.int64) + low)
+        before = int(least[-1] & low_bits) + low
+    first, anchor = np.concatenate(places), np.concatenate(owners)
+    last = np.append(first[1:], n - length + 1) - 1
+    row = chunk.of(first)
+    whole = first + length <= chunk.ends[row]
+    first, last, anchor, row = first[whole], last[whole], anchor[whole], row[whole]
+    if not len(first):
         return empty
-    new = np.ones(len(start), bool)
-    new[1:] = (owner[1:] != owner[:-1]) | (row[1:] != row[:-1])
-    begin = np.flatnonzero(new)
-    stop = np.append(begin[1:], len(start)) - 1
-    first, last, anchor, row = start[begin], start[stop], owner[begin], row[begin]
     grams = span_hash(prefix, anchor, anchor + gram)
     segments = chain([span_hash(prefix, first, last + length), (anchor - first).astype(np.uint64)])
     return row, first, last, anchor, grams, segments
 
 
+def _edges(chunk: Chunk, length: int) -> np.ndarray:
+    """Where the strings of a text begin, and where what would reach beyond it does."""
+    beyond = np.maximum(chunk.ends - length + 1, chunk.starts)
+    return np.unique(np.concatenate([chunk.starts, beyond]))
+
+
 MET = np.dtype([("key", "<u4"), ("seg_low", "<u4"), ("seg_high", "<u2"), ("number", "<u4")])
 ASKED = np.dtype([("doc", "<i8"), ("key", "<u4"), ("seg_low", "<u4"), ("seg_high", "<u2"), ("number", "<u4"), ("kind", "u1"), ("bucket", "<u4")])
 #: ``text`` is a crc32 of the whole text, as rows of one id may differ.

@@ -8,8 +8,9 @@ end a group is the suffixes with one Lyndon prefix. Phase two walks the suffix a
 each entry it follows the previous-smaller pointers from the position before it, and every suffix
 met that has no place yet takes the next one of its group. Nothing is renamed or sorted recursively.
 
-All texts of a batch take each step together, as rows of matrices, so a step costs array
-operations over the batch and not interpreted work for each text.
+All texts of a batch take each step together, so a step costs array operations over the batch and
+not interpreted work for each text. The members of a group stay side by side, so a step touches only
+the group that each text has at hand; a text that is ahead in its suffix array does not wait.
 """
 
 from __future__ import annotations
@@ -24,82 +25,113 @@ def suffix_arrays(symbols: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     be its only smallest one. Entries beyond a row's length are -1.
     """
     lanes, width = symbols.shape
-    inside = np.arange(width)[None, :] < lengths[:, None]
-    # group: first place of a suffix's group. size, start: by first and by last place of a group.
-    alphabet = int(symbols.max(initial=0)) + 1
-    flat = (np.arange(lanes)[:, None] * alphabet + symbols)[inside]
-    counts = np.bincount(flat, minlength=lanes * alphabet).reshape(lanes, alphabet)
-    firsts = np.cumsum(counts, axis=1) - counts
-    group = np.where(inside, np.take_along_axis(firsts, symbols.astype(np.int64), 1), -1).astype(np.int32)
-    size = np.zeros((lanes, width), np.int32)
-    start = np.zeros((lanes, width), np.int32)
-    lane, symbol = np.nonzero(counts)
-    size[lane, firsts[lane, symbol]] = counts[lane, symbol]
-    start[lane, firsts[lane, symbol] + counts[lane, symbol] - 1] = firsts[lane, symbol]
-    back = np.tile(np.arange(-1, width - 1, dtype=np.int32), (lanes, 1))
-    group_f, size_f, start_f, back_f = group.ravel(), size.ravel(), start.ravel(), back.ravel()
-    top = lengths - 1  # last place of the group at hand
-    live = np.flatnonzero(top > 0)
-    while len(live):
-        low = start_f[live * width + top[live]]
-        hit_lane, member = np.nonzero(group[live] == low[:, None]) if len(live) < lanes else np.nonzero(group == low[:, None])
-        floor, base = low[hit_lane], live[hit_lane] * width
-        at = back_f[base + member]
-        open_ = np.flatnonzero(at >= 0)
-        open_ = open_[group_f[base[open_] + at[open_]] >= floor[open_]]
+    base, none = np.arange(lanes) * width, lanes * width  # none: the place before each text, in no group
+    # Places and suffixes are numbered through all texts. suffix: what stands at a place, and its inverse place. group:
+    # first place of a suffix's group. last: by first place, the last one of the group.
+    key = np.where(np.arange(width) < lengths[:, None], symbols.astype(np.uint16), np.uint16(0xFFFF))
+    order = np.argsort(key, axis=1, kind="stable")
+    key = np.take_along_axis(key, order, 1)
+    suffix = (order + base[:, None]).ravel()
+    new = np.ones((lanes, width), bool)
+    new[:, 1:] = key[:, 1:] != key[:, :-1]
+    begin = np.flatnonzero(new)
+    extent = np.diff(np.append(begin, none))
+    place, group, last = (np.empty(none + 1, np.int64) for _ in range(3))
+    place[suffix] = np.arange(none)
+    group[suffix] = np.repeat(begin, extent)
+    group[none] = -1
+    last[begin] = begin + extent - 1
+    before = np.arange(-1, none)
+    before[base] = none
+    back = before.copy()
+    top, least = base + lengths - 1, base + 1  # last place of the group at hand; place 0 is the last symbol's, to which nothing points
+    while len(top := top[(live := np.flatnonzero(top >= least))]):
+        least = least[live]
+        low = group[suffix[top]]
+        n = top - low + 1
+        alone = n == 1
+        one, many = np.flatnonzero(alone), np.flatnonzero(~alone)
+        members = n[many]
+        ends = np.cumsum(members)
+        own = np.repeat(low[many], members)
+        member = suffix[np.concatenate([low[one], own + np.arange(len(own)) - np.repeat(ends - members, members)])]
+        floor = np.concatenate([low[one], own])
+        at = back[member]
+        open_ = np.flatnonzero(group[at] >= floor)
         while len(open_):
-            at[open_] = back_f[base[open_] + at[open_]]
-            open_ = open_[at[open_] >= 0]
-            open_ = open_[group_f[base[open_] + at[open_]] >= floor[open_]]
-        back_f[base + member] = at
-        found = at >= 0
-        parents, times = np.unique(base[found] + at[found], return_counts=True)
+            at[open_] = to = back[at[open_]]
+            open_ = open_[group[to] >= floor[open_]]
+        back[member] = at
+        # A group of one points to one suffix, which moves behind the rest of its group.
+        parents = at[: len(one)]
+        parents = parents[parents < none]
+        of = group[parents]
+        slot = last[of]
+        left = place[parents]
+        moved = suffix[slot]
+        suffix[left], place[moved] = moved, left
+        suffix[slot], place[parents] = parents, slot
+        last[of] = slot - 1
+        last[slot] = slot
+        group[parents] = slot
+        parents = np.sort(at[len(one) :])
+        fresh = np.flatnonzero(np.concatenate([[True], parents[1:] != parents[:-1]])) if len(parents) else parents
+        times = np.diff(np.append(fresh, len(parents)))
+        parents = parents[fresh]
+        if len(parents) and parents[-1] == none:
+            parents, times = parents[:-1], times[:-1]
         if len(parents):
-            of = (parents // width) * width + group_f[parents]  # their groups, as flat first places
-            order = np.lexsort((-times, of))
+            of = group[parents]
+            order = np.argsort(of * (width + 1) - times)
             parents, times, of = parents[order], times[order], of[order]
-            n = len(of)
-            new = np.ones(n, bool)
+            new = np.ones(len(of), bool)
             new[1:] = of[1:] != of[:-1]
             begin = np.flatnonzero(new)
-            moved = np.diff(np.append(begin, n))
+            count = np.diff(np.append(begin, len(of)))
+            end = last[of[begin]]
+            # The most pointed to come first here and last in the group.
+            slot = np.repeat(end + begin, count) - np.arange(len(of))
+            left = place[parents]
+            tail = np.repeat(end - count, count)
+            stay = suffix[slot]
+            place[parents] = -1
+            stay = stay[place[stay] >= 0]
+            left = left[left <= tail]
+            suffix[left], place[stay] = stay, left
+            suffix[slot], place[parents] = parents, slot
+            last[of[begin]] = end - count
             new[1:] |= times[1:] != times[:-1]
             piece = np.flatnonzero(new)
-            extent = np.diff(np.append(piece, n))
-            own = np.repeat(np.arange(len(begin)), moved)
-            end = of[begin] + size_f[of[begin]] - 1
-            # The most pointed to come first here and last in the group.
-            reach = piece + extent - begin[own[piece]]
-            first = end[own[piece]] - reach + 1
-            size_f[of[begin]] -= moved
-            rest = size_f[of[begin]] > 0
-            start_f[of[begin[rest]] + size_f[of[begin[rest]]] - 1] = of[begin[rest]] % width
-            size_f[first] = extent
-            start_f[first + extent - 1] = first % width
-            group_f[parents] = np.repeat(first % width, extent)
-        top[live] = low - 1
-        live = live[low > 1]  # place 0 is the last symbol's, to which nothing points
-    order_f = np.full(lanes * width, -1, np.int32)
-    base_all = np.arange(lanes) * width
-    order_f[base_all] = lengths - 1
-    placed = ~inside.ravel()
-    placed[base_all + lengths - 1] = True
-    next_f = np.tile(np.arange(width, dtype=np.int32), lanes)  # next free place of each group
-    # Suffixes before the last symbol have only it below them.
-    for place in range(int(lengths.max(initial=0))):
-        active = np.flatnonzero(place < lengths)
-        base = base_all[active]
-        at = order_f[base + place] - 1
-        while len(at):
-            ok = at >= 0
-            ok[ok] = ~placed[base[ok] + at[ok]]
-            base, at = base[ok], at[ok]
-            if not len(at):
-                break
-            here = base + at
-            slot = base + group_f[here]
-            order_f[base + next_f[slot]] = at
-            next_f[slot] += 1
-            placed[here] = True
-            at = back_f[here]
-    return order_f.reshape(lanes, width)
+            extent = np.diff(np.append(piece, len(of)))
+            first = slot[piece] - extent + 1
+            last[first] = slot[piece]
+            group[parents] = np.repeat(first, extent)
+        top = low - 1
+    out = np.full(none, -1, np.int64)
+    out[base] = base + lengths - 1
+    placed = np.ones(none + 1, bool)
+    placed[:-1] = (np.arange(width) >= lengths[:, None] - 1).ravel()
+    free = np.arange(none)  # next free place of each group
+    stop = base + lengths
+    here = base.copy()  # how far each suffix array has been walked
+    at = before[out[here]]
+    while len(here):
+        # Suffixes before the last symbol have only it below them.
+        k = np.flatnonzero(~placed[at])
+        a = at[k]
+        slot = group[a]
+        to = free[slot]
+        out[to] = a
+        free[slot] = to + 1
+        placed[a] = True
+        at[k] = back[a]
+        k = np.flatnonzero(placed[at])
+        here[k] = to = here[k] + 1
+        if (to >= stop[k]).any():
+            k = here < stop
+            here, at, stop = here[k], at[k], stop[k]
+            k = np.flatnonzero(placed[at])
+            to = here[k]
+        at[k] = before[out[to]]
+    out = out.reshape(lanes, width)
+    return np.where(out >= 0, out - base[:, None], -1)

@@ -9,10 +9,11 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from inkgrid.llm import license_scan, mixing, near_dup, packing, pii, quality, suffix_dedup, token_codes, toxicity
+from inkgrid.llm import bytescan, license_scan, mixing, near_dup, packing, pii, quality, suffix_dedup, suffix_groups, token_codes, toxicity
 from inkgrid.llm.suffix_groups import suffix_arrays
 from inkgrid.llm.tokens import Encoder, default_tokenizer
 
@@ -673,6 +674,54 @@ def test_suffix_arrays():
             assert sa[r, : lengths[r]].tolist() == sorted(range(len(x)), key=lambda i: x[i:])
 
 
+def test_suffix_arrays_touch_what_is_at_hand(monkeypatch):
+    """What the steps look through grows with the symbols, not with their square."""
+
+    class Counting:
+        seen = 0
+
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def nonzero(self, a):
+            Counting.seen += a.size
+            return np.nonzero(a)
+
+        def flatnonzero(self, a):
+            Counting.seen += a.size
+            return np.flatnonzero(a)
+
+    monkeypatch.setattr(suffix_groups, "np", Counting())
+    looked = []
+    for width in (100, 400):
+        s = np.random.default_rng(5).integers(1, 20, (30, width))
+        s[:, -1], Counting.seen = 0, 0
+        suffix_arrays(s, np.full(30, width))
+        looked.append(Counting.seen)
+    assert looked[1] < 6 * looked[0]
+
+
+@pytest.mark.parametrize("length", [24, 50])
+def test_runs_in_parts(monkeypatch, length):
+    """The runs of a chunk are the same however it is parted; every whole string is in one, with its own smallest gram as anchor."""
+    rng = np.random.default_rng(4)
+    for _ in range(20):
+        texts = ["".join(rng.choice(list("abcd\u00e9")[: rng.integers(1, 6)], rng.choice([0, 1, length - 1, length, length + 1, 300]))) for _ in range(8)]
+        chunk = next(bytescan.chunks(pa.array([*texts, None], pa.string())))
+        found = []
+        for part in (1 << 16, 64, 7, 1):
+            monkeypatch.setattr(suffix_dedup, "PART", part)
+            found.append(suffix_dedup.runs(chunk, length))
+        assert all(np.array_equal(a, b) for other in found[1:] for a, b in zip(found[0], other, strict=True))
+        gram = min(suffix_dedup.GRAM, length)
+        at = np.arange(max(0, len(chunk.buf) - gram + 1))
+        # The bit that marks frequent grams and those that hold the position do not count.
+        order = (bytescan.span_hash(bytescan.prefix_hash(chunk.buf), at, at + gram) >> np.uint64(1)) >> np.uint64(suffix_dedup.INDEX_BITS)
+        owned = [(int(r), p, int(o)) for r, a, b, o in zip(*found[0][:4], strict=True) for p in range(a, b + 1)]
+        whole = [(r, p) for r in range(chunk.rows) for p in range(chunk.starts[r], chunk.ends[r] - length + 1)]
+        assert owned == [(r, p, p + int(np.argmin(order[p : p + length - gram + 1]))) for r, p in whole]
+
+
 def removed(rows, length=50):
     first = {}
     for i, t in rows:
