@@ -63,6 +63,21 @@ def test_results_of_pixel_rows(gray):
     same(pictured.line_segments(rows, 5, 3, 2), lines.line_segments(gray, 5, 3, 2))
 
 
+def test_crop_joins_no_pixels(spark, gray):
+    """Pictures are cut where they lie, as pixel rows are by their boxes; what Python makes of few rows is never broadcast as pixels."""
+    rows = packed(gray).cache()
+    bgr = pixels.gray_to_bgr(gray)
+    for margin in (0, 1, 9):
+        boxes = regions.largest_region_box(gray, pictured.sizes(rows))
+        same(pictured.crop_to_largest(rows, lambda v: v, margin), pixels.crop(bgr, boxes, margin))
+    plan = catalog.queries()["crop_to_region"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+    boxes = packed(gray).selectExpr("image_id", "height", "width", "0 as x", "0 as y", "1 as w", "1 as h")
+    for cut in (pixels.crop(bgr, boxes, 0), pixels.binarize(gray, boxes.selectExpr("image_id", "9 as t"))):
+        cut.collect()
+        assert "SortMergeJoin" in cut._jdf.queryExecution().executedPlan().toString()
+
+
 def test_stacks_are_pictures():
     """Steps that get a stack give what they give each picture alone."""
     rng = np.random.default_rng(3)
