@@ -6,11 +6,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from inkgrid import catalog, fixtures
 from inkgrid.functions import bands as bn
-from inkgrid.functions.tables import written
-from inkgrid.operators import banded, geometry, lines, neighborhood, regions, stats
+from inkgrid.functions.tables import beside, written
+from inkgrid.operators import banded, geometry, lines, neighborhood, pictured, regions, stats
 from inkgrid.plans import pipelines
 
+SMALL = "/root/testdata/sf0.001"
 GRAY = "image_id string, y int, x int, v int"
 
 
@@ -153,3 +155,20 @@ def test_closing_exchanges_bytes_once(cut):
     plan = banded.morph_close(written(cut, "bands"))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1
     assert banded.morph_close(cut).agg(F.max(F.length("data"))).first()[0] > 0
+
+
+@pytest.mark.parametrize("few", [0, 1 << 17])
+def test_pictures_are_never_broadcast(spark, monkeypatch, few):
+    """Whatever Spark takes their size for, bands and pictures are joined to geometry without being broadcast, with the same result."""
+    monkeypatch.setattr(banded, "beside", lambda pictures, narrow, least=0: beside(pictures, narrow, few))
+    monkeypatch.setattr(pictured, "beside", lambda pictures, narrow, least=0: beside(pictures, narrow, few))
+    rows = fixtures.ruling_pictures(spark, SMALL)
+    angles = written(rows.selectExpr("image_id", "2.0 * (image_id % 5) as median_angle", "true as applied"), "angles")
+    turned = geometry.rotation_geometry(angles, pictured.sizes(rows))
+    whole = pictured.rotate_gather(rows, turned)
+    cut = bn.pixels_of_bands(banded.rotate_gather(bn.bands_of_pictures(rows, 13), turned))
+    for found in (whole, cut, catalog.queries()["banded_rotation"](spark, SMALL)):
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert "BuildLeft" not in plan and ("SortMergeJoin" in plan) == (few == 0)
+    same(cut, whole)
