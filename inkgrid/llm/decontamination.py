@@ -35,6 +35,9 @@ WINDOW = 10
 SEGMENT = 1 << 21
 #: Segments of an Arrow batch.
 SEGMENTS = 2
+#: Bytes of a row group of the index, or one segment. Parquet asks for its size after a hundred rows only, unless told, and a reader
+#: unpacks a whole row group: a task would hold a hundred segments twice over.
+ROW_GROUP = 1 << 23
 #: Empty places after each document, and so the widest span of a proximity match.
 GAP = 64
 #: Words that the query asks a proximity match to fit into, for a window of ``WINDOW`` words.
@@ -89,7 +92,7 @@ def build_index(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 segment += 1
 
     schema = f"segment long, terms array<string>, counts array<int>, places binary, doc_ids array<{kind}>, starts array<int>, n_words array<int>"
-    return materialise(documents.select(doc_id, text).mapInArrow(run, schema), "postings")
+    return materialise(documents.select(doc_id, text).mapInArrow(run, schema), "postings", **{"parquet.block.size": str(ROW_GROUP), "parquet.page.size.row.check.min": "1"})
 
 
 def _pieces(benchmark: DataFrame, window: int) -> DataFrame:
