@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 import tempfile
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -94,6 +95,20 @@ def test_stacks_are_pictures():
     assert all((a == b).all() for a, b in zip(pipelines.cleaned(list(bgr), s), [pipelines.cleaned([p], s)[0] for p in bgr], strict=True))
 
 
+def test_denoising_works_on_some_pictures_at_a_time(spark):
+    """Whatever the stack, its steps hold a few megabytes; preprocessing to digests is one pass of Python after the drawing."""
+    stack = np.random.default_rng(6).integers(90, 110, (700, 14, 22))
+    tracemalloc.start()
+    whole = denoise.denoised_plane(stack, 7.0, 7, 21)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak - whole.nbytes < 8 << 20
+    assert (whole[::50] == np.stack([denoise.denoised_plane(v, 7.0, 7, 21) for v in stack[::50]])).all() and (whole != stack).any()
+    assert denoise._sums(np.arange(12).reshape(3, 4), 3, 1).tolist() == [[3, 6], [15, 18], [27, 30]] and denoise._sums(np.arange(12).reshape(3, 4), 2, 0).tolist() == [[4, 6, 8, 10], [12, 14, 16, 18]]
+    plan = catalog.queries()["preprocess_full"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 2
+
+
 def test_no_line_has_more_votes_than_a_full_picture():
     full = np.full((24, 32), 255)
     most = lines.most_votes(24, 32)
