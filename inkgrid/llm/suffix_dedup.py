@@ -24,8 +24,9 @@ go and nothing else. No pair of documents is ever formed.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -46,6 +47,8 @@ HOT = 256
 DEEP = 4
 #: Bytes of text a bucket.
 BUCKET_BYTES = 8 << 20
+#: Bytes of texts that are dealt to buckets together.
+DEALT_BYTES = 32 << 20
 #: Documents of the sample that finds frequent grams and segments, in how many of them those stand, and how many are kept.
 SAMPLE_DOCUMENTS, FREQUENT, MAX_FREQUENT = 1024, 5, 1 << 17
 INDEX_BITS = 24  # positions within a part
@@ -180,9 +183,9 @@ def _by_bucket(bucket: np.ndarray, records: np.ndarray, kind: str) -> Iterator[p
         return
     order = np.argsort(bucket, kind="stable")
     found, at = np.unique(bucket[order], return_index=True)
-    records = records[order]
     edge = [*at.tolist(), len(records)]
-    yield _blobs(found, kind, [_packed(records[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)])
+    fields = [records[n][order] for n in records.dtype.names]
+    yield _blobs(found, kind, [_squeezed(b"".join(f[a:b].tobytes() for f in fields)) for a, b in zip(edge[:-1], edge[1:], strict=True)])
 
 
 def _blobs(bucket: np.ndarray, kind: str, data: list[bytes]) -> pa.RecordBatch:
@@ -350,24 +353,40 @@ def _requests(met: DataFrame, buckets: int, frequent: Known) -> DataFrame:
     return met.repartitionById(buckets, F.col("bucket")).mapInArrow(run, DEALT)
 
 
+def _joined(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Neighbouring batches as one of ``size`` bytes or somewhat more: with many buckets what comes from a blob may be a single short text."""
+    held, bytes_ = [], 0
+    for batch in itertools.chain(batches, [None]):
+        if batch is not None and batch.num_rows:
+            held.append(batch)
+            bytes_ += batch.nbytes
+        if held and (batch is None or bytes_ >= size):
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, bytes_ = [], 0
+
+
+def _opened_texts(blobs: Iterable[bytes]) -> Iterator[pa.RecordBatch]:
+    """Documents of neighbouring blobs, a chunk's worth at a time."""
+    return _joined((b for blob in blobs for b in pa.ipc.open_stream(blob)), SCAN)
+
+
 def _dealt_texts(documents: DataFrame, buckets: int) -> DataFrame:
-    """Documents by the bucket of their id, as the requests have it: one compressed Arrow stream a bucket and batch."""
+    """Documents by the bucket of their id, as the requests have it: one compressed Arrow stream a bucket and some ``DEALT_BYTES``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         options = _ipc_options()
-        for batch in batches:
+        for batch in _joined(batches, DEALT_BYTES):
             bucket = _doc_bucket(batch.column("doc_id").fill_null(0).to_numpy(), buckets)
             order = np.argsort(bucket, kind="stable")
             found, at = np.unique(bucket[order], return_index=True)
             edge = [*at.tolist(), len(order)]
-            data = []
+            batch, data = batch.take(pa.array(order)), []
             for a, b in zip(edge[:-1], edge[1:], strict=True):
                 sink = pa.BufferOutputStream()
                 with pa.ipc.new_stream(sink, batch.schema, options=options) as out:
-                    out.write_batch(batch.take(pa.array(order[a:b])))
+                    out.write_batch(batch.slice(a, b - a))
                 data.append(sink.getvalue().to_pybytes())
-            if data:
-                yield _blobs(found, "text", data)
+            yield _blobs(found, "text", data)
 
     return documents.select("doc_id", "text").mapInArrow(run, DEALT)
 
@@ -404,7 +423,7 @@ def _answers(asked: DataFrame, documents: DataFrame, length: int, buckets: int,
     first_doc = least["doc"][np.argsort(least["id"])]
 
     def run(blobs: Iterator[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
-        asks, waiting = None, []
+        asks, waiting, bucket = None, [], 0
         covers: list[np.ndarray] = []
         segs: dict[int, tuple[list[bytes], list[bytes]]] = {}
         size = 0
@@ -413,16 +432,22 @@ def _answers(asked: DataFrame, documents: DataFrame, length: int, buckets: int,
             joined = [(b"".join(h), b"".join(d)) for h, d in segs.values()]
             return _blobs(np.array(list(segs)), "segment", [_squeezed(np.array([len(h) // HEAD.itemsize], "<i8").tobytes() + h + d) for h, d in joined])
 
-        for bucket, kind, blob in blobs:
-            if kind == "asked":
-                waiting.append(_unpacked(blob, ASKED))
-                continue
+        def texts() -> Iterator[bytes]:
+            nonlocal bucket
+            for bucket, kind, blob in blobs:  # noqa: B007
+                if kind == "asked":
+                    waiting.append(_unpacked(blob, ASKED))
+                else:
+                    yield blob
+
+        for batch in _opened_texts(texts()):
             if asks is None:
                 asks = _together(waiting, ASKED)
                 asks = asks[np.lexsort((asks["number"], asks["doc"]))]
+                asked_of = np.ascontiguousarray(asks["doc"])
                 waiting.clear()
-            for own, chunk in ((b.column("doc_id").slice(c.first, c.rows).to_numpy(), c) for b in pa.ipc.open_stream(blob) for c in chunks(b.column("text"), SCAN)):
-                low, high = np.searchsorted(asks["doc"], own, "left"), np.searchsorted(asks["doc"], own, "right")
+            for own, chunk in ((batch.column("doc_id").slice(c.first, c.rows).to_numpy(), c) for c in chunks(batch.column("text"), SCAN)):
+                low, high = np.searchsorted(asked_of, own, "left"), np.searchsorted(asked_of, own, "right")
                 if not len(least) and not (high > low).any():
                     continue
                 row, first, last, _, grams, segments = runs(chunk, length, common)
@@ -673,23 +698,29 @@ def _cut(documents: DataFrame, covers: DataFrame, buckets: int, schema: str, emi
 
     def run(blobs: Iterator[tuple[int, str, bytes]]) -> Iterator[pa.RecordBatch]:
         cover, waiting = None, []
-        for _, kind, blob in blobs:
-            if kind == "cover":
-                waiting.append(_unpacked(blob, COVER))
-                continue
+
+        def texts() -> Iterator[bytes]:
+            for _, kind, blob in blobs:
+                if kind == "cover":
+                    waiting.append(_unpacked(blob, COVER))
+                else:
+                    yield blob
+
+        for batch in _opened_texts(texts()):
             if cover is None:
                 cover = _merged(_together(waiting, COVER))
+                covered = np.ascontiguousarray(cover["doc"])
                 waiting.clear()
-            for batch in pa.ipc.open_stream(blob):
-                rows = []
-                for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                    data = (text or "").encode()
-                    low, high = (0, 0) if doc is None else (np.searchsorted(cover["doc"], doc, side) for side in ("left", "right"))
-                    own = cover[low:high]
-                    if len(own):
-                        own = own[own["text"] == zlib.crc32(data)]
-                    rows.append(emit(doc, data, [(int(a), int(b)) for a, b in zip(own["start"], own["end"], strict=True)]))
-                yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
+            rows, ids = [], batch.column("doc_id")
+            low, high = (np.where(ids.is_valid().to_numpy(zero_copy_only=False), np.searchsorted(covered, ids.fill_null(0).to_numpy(), side), 0).tolist() for side in ("left", "right"))
+            for doc, text, a, b in zip(ids.to_pylist(), batch.column("text").to_pylist(), low, high, strict=True):
+                data, spans = (text or "").encode(), []
+                if a < b:
+                    own = cover[a:b]
+                    own = own[own["text"] == zlib.crc32(data)]
+                    spans = list(zip(own["start"].tolist(), own["end"].tolist(), strict=True))
+                rows.append(emit(doc, data, spans))
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[i] for r in rows], k) for i, (n, k) in enumerate(zip(names, kinds, strict=True))})
 
     return _beside_texts(covers, documents, buckets, run, schema)
 

@@ -780,3 +780,21 @@ def test_suffix_dedup(docs, none, spark, monkeypatch, joined, hot):
     columns = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
     assert got(suffix_dedup.remove_repeats(table), *columns) == want(removed(rows))
     assert suffix_dedup.remove_repeats(none).count() == 0
+
+
+def test_texts_of_a_bucket_travel_and_are_read_together(spark):
+    """However many buckets and however small the batches, a task's texts are a blob a bucket, and small blobs are opened together."""
+    rows = [(i, None if i % 50 == 0 else f"text {i} " * (i % 7)) for i in range(3000)] + [(None, "x")]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "100")
+    try:
+        dealt = suffix_dedup._dealt_texts(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 40).collect()
+    finally:
+        spark.conf.set(name, before)
+    assert len(dealt) == 40 and {r["bucket"] for r in dealt} == set(range(40))
+    found = list(suffix_dedup._opened_texts(r["data"] for r in dealt))
+    assert len(found) == 1 and sorted(map(str, zip(*(found[0].column(c).to_pylist() for c in ("doc_id", "text")), strict=True))) == sorted(map(str, rows))
+    assert not list(suffix_dedup._opened_texts([]))
+    limit = [b.num_rows for b in suffix_dedup._joined((pa.record_batch({"a": [1.0] * 10}) for _ in range(10)), 200)]
+    assert limit == [30, 30, 30, 10]
